@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.llm import language, quality, toxicity
+from itemforge.llm import language, pieces, quality, toxicity
 from itemforge.llm.common import table
 from itemforge.llm.decontaminate import contamination
 from itemforge.llm.line_dedup import dedup_lines
@@ -38,6 +38,19 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: pieces, a digest of their ids, and whether the text came back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = pieces.decode_documents(pieces.encode_documents(docs))
+    return both.select(
+        "doc_id",
+        F.size("pieces").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join("pieces", ","), 256).alias("pieces_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"), "doc_id", "lang", "source")
 
@@ -52,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
+    "op7_pieces": op7_pieces,
     "op8_language": op8_language,
     "op10_media": op10_media,
 }
