@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from itemforge.llm import language, pieces, quality, toxicity
 from itemforge.llm.common import table
 from itemforge.llm.decontaminate import contamination
+from itemforge.llm.jaccard import near_duplicates
 from itemforge.llm.line_dedup import dedup_lines
 from itemforge.llm.media import media_digests
 from itemforge.llm.secrets import scan_secrets
@@ -38,6 +39,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: pieces, a digest of their ids, and whether the text came back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_pieces": op7_pieces,
     "op8_language": op8_language,
     "op10_media": op10_media,
