@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.llm import language, pieces, quality, toxicity
+from itemforge.llm import language, pieces, quality, toxicity, wrappers
 from itemforge.llm.common import table
 from itemforge.llm.decontaminate import contamination
 from itemforge.llm.jaccard import near_duplicates
@@ -60,6 +60,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"), "doc_id", "lang", "source")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_pieces": op7_pieces,
     "op8_language": op8_language,
+    "op9_html_extraction": op9_html_extraction,
     "op10_media": op10_media,
 }
 
