@@ -13,6 +13,7 @@ from itemforge.llm.decontaminate import contamination
 from itemforge.llm.jaccard import near_duplicates
 from itemforge.llm.line_dedup import dedup_lines
 from itemforge.llm.media import media_digests
+from itemforge.llm.oracles import ORACLES
 from itemforge.llm.secrets import scan_secrets
 
 
@@ -68,6 +69,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality": op2_quality,
@@ -80,5 +83,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_media": op10_media,
 }
-
-ORACLES: dict[str, str] = {}
