@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itemforge.operators import filters, metrics, scoring
 from itemforge.plans import roles
+from itemforge.plans.define import Queries
 from itemforge.plans.roles import ANSWERS_SQL, QUESTIONS_SQL
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its name, with its SQL."""
-
-    def register(function):
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLES[function.__name__] = sql
-        return function
-
-    return register
+query = Queries()
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,8 +186,6 @@ UNION ALL SELECT 'year', source_year::VARCHAR, row_number() OVER (ORDER BY sourc
 def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank = roles.questions(spark, sf_dir)
     years = metrics.facet(bank, "source_year")  # a few dozen rows: the ranking may meet in one task
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.orderBy(F.col("number").asc_nulls_last(), "value"))
     return (
         metrics.facet(bank, "topic", "position").select(F.lit("topic").alias("facet"), "value", F.col("first_seen").alias("rank"))
