@@ -351,7 +351,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
     loads = stored(loads, "clusters")
     sizes = loads.groupBy("root").agg(F.ceil(F.greatest(F.sum("grams") / VERIFY_BLOCK, F.count("*") / VERIFY_ROWS)).cast("int").alias("blocks"))
     wanted = loads.join(sizes, "root").select("root", "vertex", F.col("first_doc").alias("doc_id"), "copies", "blocks")
-    texts = docs.join(wanted, "doc_id")
+    # the candidates grow with the corpus, so neither side of this join may be broadcast
+    texts = docs.join(wanted.hint("merge"), "doc_id")
 
     def sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
