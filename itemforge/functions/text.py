@@ -104,3 +104,9 @@ def contains_any(text: Column, words: tuple[str, ...]) -> Column:
 
 def contains_all(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a & b, (F.contains(text, F.lit(w)) for w in words))
+
+
+def zero_padded(number: Column, width: int) -> Column:
+    """The number with leading zeros up to the width; longer numbers stay whole."""
+    digits = number.cast("string")
+    return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)

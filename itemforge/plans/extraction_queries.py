@@ -124,7 +124,7 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id, item) AS s FROM items WHERE k >= 4 AND question <> '')
-SELECT 's' || (doc_id % 4) || '-doc-' || CASE WHEN s < 1000 THEN lpad(s::VARCHAR, 3, '0') ELSE left(s::VARCHAR, 3) END AS question_id, doc_id, item, coalesce(correct, 0)::INT AS correct, CASE WHEN correct IS NULL THEN 'needs_manual_review,needs_answer_review' ELSE '' END AS tags, correct IS NOT NULL AS reviewed FROM r""")
+SELECT 's' || (doc_id % 4) || '-doc-' || CASE WHEN s < 1000 THEN lpad(s::VARCHAR, 3, '0') ELSE s::VARCHAR END AS question_id, doc_id, item, coalesce(correct, 0)::INT AS correct, CASE WHEN correct IS NULL THEN 'needs_manual_review,needs_answer_review' ELSE '' END AS tags, correct IS NOT NULL AS reviewed FROM r""")
 def raw_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = extraction.complete_items(extraction.numbered_items(_lines(spark, sf_dir)))
     raw = items.withColumns({"subject": F.concat(F.lit("s"), (F.col("doc_id") % 4).cast("string")), "position": F.struct("doc_id", "item")})
