@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of text handled together inside a task, so that memory follows the slice and not the Arrow batch.
 SLICE_CHARS = 4_000_000
 
 
+#: Bytes of an Arrow batch, where the session sets no other bound.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that tasks hand to Python by bytes, as texts may be long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,25 +42,14 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def by_slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive rows that hold about SLICE_CHARS characters together (one row at least)."""
+def by_slices(texts: list[str | None], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive rows that hold about `most` characters together (one row at least)."""
     start, held = 0, 0
     for i, text in enumerate(texts):
         held += len(text) if text else 0
-        if held >= SLICE_CHARS:
+        if held >= most:
             yield start, i + 1
             start, held = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
 
-
-def map_rows(df: DataFrame, function: Callable[[list[list]], list[list]], schema: str, arrow_schema: pa.Schema) -> DataFrame:
-    """mapInArrow over whole rows: function takes the input columns as lists and returns the output columns as lists."""
-
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            if batch.num_rows:
-                columns = function([c.to_pylist() for c in batch.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow_schema, strict=True)], schema=arrow_schema)
-
-    return df.mapInArrow(batches, schema)

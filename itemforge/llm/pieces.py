@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemforge.llm.common import by_slices
+from itemforge.llm.common import bound_batches, by_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, DROPOUT, VARIANTS = 13, 0.1, 8
 SHORT = 48  # symbols of a word that advances with others
+SLICE = 2_000_000  # characters whose words are segmented together
 SPACE = "▁"
 #: No piece spans these parts of a text: a run of spaces with the word behind it, a word, a run of line ends.
 _PARTS = re.compile(r" +[^ \n]*|[^ \n]+|\n+")
@@ -150,23 +151,22 @@ def _segment(v: Vocabulary, words: list[str], which: np.ndarray, keys: np.ndarra
     lengths = np.array([len(w) for w in words], dtype=np.int64)
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     base = v.char_ids[codes]
-    base = np.where(base >= 0, base, codes.astype(np.int64) - (1 << 21) - 1)
+    base = np.where(base >= 0, base, codes.astype(np.int32) - (1 << 21) - 1)
     starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
     n = lengths[which]
-    sizes = np.zeros(len(which), dtype=np.int64)
     done: list[tuple[np.ndarray, np.ndarray]] = []  # items, their symbols in order
     for i in np.flatnonzero(n > SHORT).tolist():
         w = which[i]
         out = _agenda(v, base[starts[w] : starts[w] + lengths[w]].tolist(), keys[i], limit)
-        done.append((np.full(len(out), i), np.array(out, dtype=np.int64)))
+        done.append((np.full(len(out), i, np.int32), np.array(out, dtype=np.int32)))
     short = np.flatnonzero(n <= SHORT)
-    item = np.repeat(short, n[short])
-    begin = np.arange(len(item)) - np.repeat(np.cumsum(n[short]) - n[short], n[short])
+    item = np.repeat(short, n[short]).astype(np.int32)
+    begin = (np.arange(len(item)) - np.repeat(np.cumsum(n[short]) - n[short], n[short])).astype(np.int32)
     symbol = base[np.repeat(starts[which[short]], n[short]) + begin]
     end = begin + 1
     while len(item):
         same = item[:-1] == item[1:]
-        merged = np.full(len(item), -1, dtype=np.int64)
+        merged = np.full(len(item), -1, dtype=np.int32)
         at = np.flatnonzero(same)
         merged[at] = v.merge(symbol[at], symbol[at + 1])
         at = at[merged[at] >= 0]
@@ -186,8 +186,8 @@ def _segment(v: Vocabulary, words: list[str], which: np.ndarray, keys: np.ndarra
         keep = ~over
         keep[chosen + 1] = False
         item, begin, symbol, end = item[keep], begin[keep], symbol[keep], end[keep]
-    items = np.concatenate([np.empty(0, np.int64), *(d[0] for d in done)])
-    symbols = np.concatenate([np.empty(0, np.int64), *(d[1] for d in done)])
+    items = np.concatenate([np.empty(0, np.int32), *(d[0] for d in done)])
+    symbols = np.concatenate([np.empty(0, np.int32), *(d[1] for d in done)])
     order = np.argsort(items, kind="stable")
     sizes = np.bincount(items, minlength=len(which))
     return symbols[order], np.concatenate(([0], np.cumsum(sizes)))
@@ -198,7 +198,7 @@ def _with_bytes(v: Vocabulary, symbols: np.ndarray, bounds: np.ndarray) -> tuple
     at = np.flatnonzero(symbols < 0)
     if not len(at):
         return symbols.astype(np.int32), bounds
-    code = symbols[at] + (1 << 21) + 1
+    code = symbols[at].astype(np.int64) + (1 << 21) + 1
     width = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
     sizes = np.ones(len(symbols), dtype=np.int64)
     sizes[at] = width
@@ -265,6 +265,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, seed: int = SEED, drop
     Null text and empty text have no pieces. The key of a document is its doc_id (0 for null), so repeated rows get
     equal pieces. A column named pieces is replaced. The model's tables are read by the driver and broadcast.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     head = [c for c in docs.columns if c != "pieces"]
 
@@ -273,7 +274,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, seed: int = SEED, drop
         for batch in source:
             texts, keys = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             flat, sizes = [np.empty(0, np.int32)], [0]
-            for a, b in by_slices(texts):
+            for a, b in by_slices(texts, SLICE):
                 for ids in encoder.encode(texts[a:b], keys[a:b]):
                     flat.append(ids)
                     sizes.append(len(ids))
@@ -287,6 +288,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, seed: int = SEED, drop
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """The columns of encoded with `decoded`, the text of `pieces`; null pieces give the empty text."""
+    bound_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     head = [c for c in encoded.columns if c != "decoded"]
 
