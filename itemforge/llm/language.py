@@ -53,14 +53,17 @@ def train(rows: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
     rows = rows.filter(F.length("text") <= MOST_CHARS)
     counts = rows.filter(F.col("declared").isNotNull()).groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES).collect()
     total = sum(r["count"] for r in counts)
-    languages = sorted(r["declared"] for r in counts if r["count"] >= max(2, LEAST_SHARE * total))
+    known = {r["declared"]: r["count"] for r in counts if r["count"] >= max(2, LEAST_SHARE * total)}
+    languages = sorted(known)
     tables = np.full((BUCKETS, max(1, len(languages))), SMOOTH, dtype=np.float64)
-    for k, language in enumerate(languages):
-        picked = rows.filter(F.col("declared") == language).orderBy(F.xxhash64("text"), "text").limit(per_language).select("text").collect()
-        for text in {r[0] for r in picked}:
+    if languages:
+        # a share of each language by a hash of the text, so that no task sends more than its part of the sample
+        share = F.element_at(F.create_map(*(x for k, n in known.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n))))), F.col("declared"))
+        picked = rows.filter(F.col("declared").isin(*languages)).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).select("declared", "text")
+        for language, text in set(map(tuple, picked.limit(2 * per_language * len(languages)).collect())):
             data = np.frombuffer(_fold(text), dtype=np.uint8)
             if len(data) >= 3:
-                tables[:, k] += np.bincount(_buckets(data), minlength=BUCKETS) / len(data)
+                tables[:, languages.index(language)] += np.bincount(_buckets(data), minlength=BUCKETS) / len(data)
     tables += 1e-4
     return languages, np.log(tables / tables.sum(axis=0)).astype(np.float32)
 
