@@ -8,8 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Option letters by alphabet.
-LATIN_LETTERS = ("A", "B", "C", "D", "E", "F")
-UKRAINIAN_LETTERS = ("А", "Б", "В", "Г", "Д", "Е")
+LATIN_LETTERS = ("A", "B", "C", "D", "E", "F", "G", "H", "I", "J")
+UKRAINIAN_LETTERS = ("А", "Б", "В", "Г", "Д", "Е", "Є", "Ж", "З", "И")
+#: The alphabet that explanations without Є are checked by.
+OLD_UKRAINIAN_LETTERS = ("А", "Б", "В", "Г", "Д", "Е", "Ж", "З")
 
 
 def normalize(text: Column) -> Column:
@@ -58,9 +60,9 @@ def slug(text: Column) -> Column:
     return F.substring(F.regexp_replace(dashed, "^-|-$", ""), 1, 60)
 
 
-def option_letter(subject: Column, index: Column) -> Column:
+def option_letter(subject: Column, index: Column, other: tuple[str, ...] = UKRAINIAN_LETTERS) -> Column:
     """The letter of a zero-based option in the subject's alphabet; its number where letters run out."""
-    latin, ukrainian = (F.array(*map(F.lit, a)) for a in (LATIN_LETTERS, UKRAINIAN_LETTERS))
+    latin, ukrainian = (F.array(*map(F.lit, a)) for a in (LATIN_LETTERS, other))
     letters = F.when(subject == "english", latin).otherwise(ukrainian)
     return F.coalesce(F.try_element_at(letters, (index + 1).cast("int")), (index + 1).cast("string"))
 

@@ -53,3 +53,10 @@ def reason_histogram(rows: DataFrame, key: str, reasons: str = "reasons") -> Dat
 def pivot_reasons(rows: DataFrame, key: str, reason: str, values: list[str]) -> DataFrame:
     """One row a key with a column for each reason, 0 where it has none."""
     return rows.groupBy(key).agg(F.count("*").alias("total"), *(F.count_if(F.col(reason) == v).alias(v) for v in values))
+
+
+def import_categories(questions: DataFrame) -> DataFrame:
+    """Imported questions by category (official demo, or what a tag says, else the source type): all, with answers, for review."""
+    tag = lambda t: F.coalesce(F.array_contains("tags", t), F.lit(False))
+    kind = F.when(F.col("source_type") == "official_demo", "official_demo").when(tag("official_collection"), "official_collection").when(tag("official_past_exam"), "official_past_exam").otherwise(F.col("source_type"))
+    return questions.groupBy("subject", kind.alias("category")).agg(F.count("*").alias("total"), F.count_if(~tag("needs_answer_review")).alias("with_answers"), F.count_if(tag("needs_manual_review")).alias("needs_review"))

@@ -12,7 +12,7 @@ from itemforge.operators.dedup import match_exact, match_near, seen_before
 from itemforge.operators.filters import BLOCKING_TAGS, has_tag
 from itemforge.operators.rules import empty, has_duplicate_options
 
-MALFORMED = r"&(?:[a-z]+|#\d+);|�|\bundefined\b|\bnull\b"
+MALFORMED = r"(?i)<[^>]+>|&(?:[a-z]+|#[0-9]+|#x[0-9a-f]+);|(?<![A-Za-z0-9_])(?:undefined|null)(?![A-Za-z0-9_])"
 
 
 def sanitize(questions: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def _line(kind: Column, item_id: Column, letter: Column, option: Column) -> Colu
     text = F.when(kind == 10, F.concat(F.lit("Тут правильна відповідь — "), letter, F.lit(": "), option, F.lit(". Пояснення українською мовою має бути доволі довгим, щоб перевірка письма знайшла в ньому достатньо літер і не відкинула запис, бо інакше приклад не показав би нічого"))).when(kind == 11, "пояснення в джерелі не наведено").otherwise(good)
     payload = F.to_json(F.struct(F.when(kind == 7, "other").when(kind == 8, "zzz").otherwise(item_id).alias("id"), F.when(kind != 5, text).alias("improvedExplanation"), F.array().cast("array<string>").alias("explanationByOption"), F.array(F.lit("t1")).alias("tagsToAdd"), (F.length(item_id) % 2 == 0).alias("uncertain"), F.lit("").alias("notes")))
     content = F.when(kind == 4, "oops").otherwise(F.concat(F.lit("```json\n"), payload, F.lit("\n```")))
-    body = F.when(kind == 3, "{}").otherwise(F.to_json(F.struct(content.alias("output_text"))))
+    body = F.when(kind == 3, "{}").otherwise(F.when(kind == 9, F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(content.alias("text"))).alias("content")).alias("message"))).alias("choices")))).otherwise(F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")))))
     custom = F.when(kind == 8, "zzz").when(kind != 6, item_id)
     whole = F.to_json(F.struct(custom.alias("custom_id"), F.struct(F.when(kind == 2, 500).otherwise(200).alias("status_code"), body.alias("body")).alias("response"), F.when(kind == 1, "broken").alias("error")))
     return F.when(kind == 0, "not json").otherwise(whole)
@@ -57,7 +57,7 @@ def validated_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _validated(spark, sf_dir).select("chunk", "line", "accepted", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query(f"""WITH {_VALIDATED} SELECT chunk, line, array_to_string(list_sort(list_concat(['t1', 'explanation_ai_improved', 'explanation_style_v2'], CASE WHEN u THEN ['needs_explanation_review'] ELSE [] END, CASE WHEN u AND subject = 'tznk' THEN ['tznk_explanation_uncertain'] ELSE [] END,
+@query(f"""WITH {_VALIDATED} SELECT chunk, line, array_to_string(list_sort(list_concat(['t1', 'explanation_improved', 'explanation_style_v2', 'openai_explanation_batch_1'], CASE WHEN u THEN ['needs_explanation_review'] ELSE [] END, CASE WHEN u AND subject = 'tznk' THEN ['tznk_explanation_uncertain'] ELSE [] END,
 CASE WHEN kind = 10 THEN ['openai_explanation_soft_accepted', 'explanation_validation_warning', 'explanation_warning_missing_required_sections'] ELSE [] END)), ',') AS tags, CASE WHEN u THEN 'manual' ELSE 'accepted' END AS route FROM v WHERE accepted""")
 def soft_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.route(_validated(spark, sf_dir)).filter("accepted").select("chunk", "line", F.array_join("tags", ",").alias("tags"), "route")
@@ -151,3 +151,14 @@ def enrichment_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {QUESTIONS_SQL} SELECT subject, count(*) AS n FROM questions WHERE trim(explanation) = '' GROUP BY 1")
 def placeholder_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roles.questions(spark, sf_dir).filter(quality.is_placeholder(F.col("explanation"))).groupBy("subject").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_VALIDATED}, k AS (SELECT *, kind = 9 AND chunk < 1001 OR kind = 9 AND chunk > 1000 AND position_kind = 11 AS good FROM (SELECT v.*, line % 12 AS position_kind FROM v))
+SELECT chunk, line, good AS earliest, kind = 9 AND chunk < 1001 AS first_parsed FROM k""")
+def output_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines the two other precedences accept: the first acceptable one, and the first that parses."""
+    lines, inputs = _lines(spark, sf_dir), _inputs(spark, sf_dir)
+    strict = {"soft": (), "tags": ()}
+    one = enrichment.validate(lines, inputs, policy=enrichment.Policy(order="earliest", **strict)).select("chunk", "line", F.col("accepted").alias("earliest"))
+    two = enrichment.validate(lines, inputs, policy=enrichment.Policy(order="first_parsed", **strict)).select("chunk", "line", F.col("accepted").alias("first_parsed"))
+    return one.join(two, ["chunk", "line"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from itemforge.functions import quality, text
 from itemforge.operators import metrics, review
-from itemforge.plans import generation, roles
+from itemforge.plans import extraction, generation, roles
 from itemforge.plans.define import Queries
 from itemforge.plans.roles import QUESTIONS_SQL, normal_sql
 
@@ -192,3 +192,23 @@ SELECT row_number() OVER (ORDER BY (i * 37 + 11) % n, i) - 1 AS position, CASE W
 def quota_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = roles.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"))
     return generation.quota_difficulties(parts.count(), parts).withColumn("position", F.col("position").cast("long"))
+
+
+@query(f"""WITH {QUESTIONS_SQL} SELECT subject, CASE WHEN source_type = 'official_demo' THEN 'official_demo' ELSE source_type END AS category, count(*) AS total, count(*) AS with_answers, count(*) FILTER (list_contains(tags, 'needs_manual_review')) AS needs_review FROM questions GROUP BY 1, 2""")
+def import_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.import_categories(roles.questions(spark, sf_dir))
+
+
+@query(f"""WITH {QUESTIONS_SQL} SELECT question_id, CASE subject WHEN 'tznk' THEN 'medium' WHEN 'english' THEN 'easy' ELSE 'medium' END AS recommended, CASE WHEN subject = 'tznk' THEN 'TZNK question lacks self_checked_single_answer tag' ELSE '' END AS reasons FROM questions""")
+def domain_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recommended = quality.recommended_difficulty(*(F.col(c) for c in ("subject", "topic", "subtopic", "question")))
+    return roles.questions(spark, sf_dir).select("question_id", recommended.alias("recommended"), F.array_join(quality.domain_reasons(), ";").alias("reasons"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'What is the main idea of the passage about ' || c || '?' WHEN 1 THEN 'In the passage about ' || c || ', what can be inferred here?' ELSE 'Which colour?' END AS question,
+CASE p_size % 3 WHEN 0 THEN 'Main idea' WHEN 1 THEN 'Inference' ELSE 'Detail understanding' END AS subtopic FROM (SELECT *, CASE WHEN contains(p_name, 'ring') THEN 'rings' WHEN contains(p_name, 'red') THEN 'red things' ELSE 'parts' END AS c FROM part)""")
+def contextual_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size") % 3
+    plain = F.when(size == 0, "What is the passage mainly about?").when(size == 1, "What can be inferred here?").otherwise("Which colour?")
+    made = extraction.with_context(plain, F.col("p_name"), [("ring", "rings"), ("red", "red things")], "parts")
+    return roles.read(spark, sf_dir, "part").select("p_partkey", made.alias("question")).withColumn("subtopic", extraction.generated_reading_subtopic(F.col("question")))
