@@ -15,7 +15,7 @@ from itemforge.streaming import state
 query = Queries()
 
 _EVENTS = "e AS (SELECT user_id AS learner, event_type AS subject, (props->>'$.k') AS question_id, ts AS moment, event_id AS seq, value < 100 AS is_correct FROM events)"
-FILES = 4
+SLICES = 4
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +24,19 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _as_files(rows: DataFrame, folder: str, order: str) -> str:
-    """A folder of files in the order of time: what has come first is in the first batch."""
-    rows.repartitionByRange(FILES, order).sortWithinPartitions(order).write.parquet(f"{folder}/in")
-    return f"{folder}/in"
+def _feed(rows: DataFrame, folder: str, run) -> None:
+    """Hand over rows in slices of time: each is written in full, then run() takes it as one micro-batch."""
+    timed = rows.withColumn("micros", F.unix_micros("moment"))
+    edges = timed.approxQuantile("micros", [i / SLICES for i in range(1, SLICES)], 0.01)
+    place = sum(((F.col("micros") > F.lit(e)).cast("int") for e in edges), F.lit(0))
+    for i in range(SLICES):
+        timed.filter(place == i).drop("micros").write.mode("append").parquet(f"{folder}/in")
+        run()
+
+
+def _stream(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
+    rows.limit(0).write.mode("append").parquet(f"{folder}/in")  # a stream's folder must be there
+    return state.read_folder(spark, f"{folder}/in", rows.schema.simpleString()[7:-1].replace(":", " "), files_per_batch=1_000_000)
 
 
 @query(f"""WITH {_EVENTS}, n AS (SELECT *, count(*) FILTER (is_correct) OVER (PARTITION BY learner, subject, question_id ORDER BY moment DESC, seq DESC) AS closed FROM e)
@@ -35,8 +44,8 @@ SELECT learner, subject, question_id, max(moment) AS last_answered_at, count(*)
 def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{_shared(spark)}/ledger-{uuid.uuid4().hex}"
     rows = _answers(spark, sf_dir)
-    source = state.read_folder(spark, _as_files(rows, folder, "moment"), rows.schema.simpleString()[7:-1].replace(":", " "))
-    state.keep_latest(state.ledger_updates(source), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    updates = state.ledger_updates(_stream(spark, rows, folder))
+    _feed(rows, folder, lambda: state.keep_latest(updates, f"{folder}/out", f"{folder}/checkpoint").awaitTermination())
     return state.open_mistakes(spark, f"{folder}/out").withColumn("last_answered_at", F.col("last_answered_at").cast("timestamp_ntz"))
 
 
@@ -44,14 +53,13 @@ def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def final_answers_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{_shared(spark)}/answers-{uuid.uuid4().hex}"
     rows = roles.read(spark, sf_dir, "events").select(F.col("user_id").alias("attempt_id"), F.get_json_object("props", "$.k").cast("int").alias("question_id"), F.col("event_type").alias("option"), F.col("ts").cast("timestamp").alias("moment"), F.col("event_id").alias("seq"))
-    source = state.read_folder(spark, _as_files(rows, folder, "moment"), rows.schema.simpleString()[7:-1].replace(":", " "))
-    # complete answers, so no watermark may drop state: the batch form of the same aggregate over every micro-batch
-    updates = state.final_answers(source, delay="3650 days")
+    # answers of any age count, so the watermark stays behind all of them
+    updates = state.final_answers(_stream(spark, rows, folder), delay="3650 days")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/part={number:09d}")
 
-    updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    _feed(rows, folder, lambda: updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination())
     rows = spark.read.schema("attempt_id long, question_id int, option string, batch int").parquet(f"{folder}/out")
     return rows.groupBy("attempt_id", "question_id").agg(F.max_by("option", "batch").alias("option"))
 
@@ -64,11 +72,12 @@ def attempt_timeout_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{_shared(spark)}/attempts-{uuid.uuid4().hex}"
     rows = roles.read(spark, sf_dir, "events").select(F.col("user_id").alias("attempt_id"), F.col("ts").cast("timestamp").alias("moment"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "finish").otherwise("answer").alias("kind"), F.lit(2 * 24 * 60).alias("minutes"))
     late = rows.agg(F.max("moment").alias("m")).select(F.lit(-1).cast("long").alias("attempt_id"), (F.col("m") + F.expr("INTERVAL 30 DAYS")).alias("moment"), F.lit(-1).cast("long").alias("seq"), F.lit("answer").alias("kind"), F.lit(1).alias("minutes"))
-    path = _as_files(rows, folder, "moment")
-    source = state.read_folder(spark, path, rows.schema.simpleString()[7:-1].replace(":", " "))
-    closed = state.closed_attempts(source)
-    run = lambda: closed.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    run()
-    late.write.mode("append").parquet(path)
+    closed = state.closed_attempts(_stream(spark, rows, folder))
+
+    def run() -> None:
+        closed.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    _feed(rows, folder, run)
+    late.write.mode("append").parquet(f"{folder}/in")
     run()
     return spark.read.schema("attempt_id long, closed_at timestamp, answered long").parquet(f"{folder}/out").filter("attempt_id >= 0").withColumn("closed_at", F.col("closed_at").cast("timestamp_ntz"))

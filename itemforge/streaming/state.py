@@ -66,30 +66,38 @@ def final_answers(events: DataFrame, exam: bool = True, delay: str = "1 hour") -
     return events.withWatermark("moment", delay).groupBy("attempt_id", "question_id").agg(pick("option", F.struct("moment", "seq")).alias("option"))
 
 
+#: How long a closed attempt is remembered, so that late answers open no second one.
+REMEMBERED_MS = 365 * 24 * 3600 * 1000
+
+
 def _close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
-        (_, end, answered) = state.get
-        state.remove()
+        start, end, answered, closed = state.get
+        if closed:
+            state.remove()
+            return
+        state.update((start, end, answered, True))
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + REMEMBERED_MS)
         yield pd.DataFrame({"attempt_id": [key[0]], "closed_at": [end], "answered": [answered], "reason": ["time"]})
         return
-    start, end, answered = state.get if state.exists else (None, None, 0)
+    start, end, answered, closed = state.get if state.exists else (None, None, 0, False)
     rows = pd.concat(list(batches)).sort_values(["moment", "seq"])
+    if closed:
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + REMEMBERED_MS)
+        return
     if start is None:
         start = rows["moment"].iloc[0]
         end = start + pd.Timedelta(minutes=int(rows["minutes"].iloc[0]))
     inside = rows[rows["moment"] <= end]
     finish = inside[inside["kind"] == "finish"]
     if len(finish):
-        closed = finish["moment"].iloc[0]
-        answered += int(((inside["kind"] == "answer") & (inside["moment"] <= closed)).sum())
-        state.update((start, closed, answered))
-        state.setTimeoutTimestamp(max(int(closed.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        return
-    state.update((start, end, answered + int((inside["kind"] == "answer").sum())))
+        end = finish["moment"].iloc[0]
+    answered += int(((inside["kind"] == "answer") & (inside["moment"] <= end)).sum())
+    state.update((start, end, answered, False))
     state.setTimeoutTimestamp(max(int(end.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
 
 
 def closed_attempts(events: DataFrame, delay: str = "1 minute") -> DataFrame:
     """events (attempt_id, moment, seq, kind, minutes): each attempt once, as the watermark passes its end or its finish."""
     schema = "attempt_id long, closed_at timestamp, answered long, reason string"
-    return events.withWatermark("moment", delay).groupBy("attempt_id").applyInPandasWithState(_close, schema, "start timestamp, end timestamp, answered long", "append", GroupStateTimeout.EventTimeTimeout)
+    return events.withWatermark("moment", delay).groupBy("attempt_id").applyInPandasWithState(_close, schema, "start timestamp, end timestamp, answered long, closed boolean", "append", GroupStateTimeout.EventTimeTimeout)
