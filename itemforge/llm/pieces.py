@@ -12,6 +12,7 @@ ones have an agenda each.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -265,25 +266,44 @@ def encode_documents(docs: DataFrame, model: str = MODEL, seed: int = SEED, drop
     Null text and empty text have no pieces. The key of a document is its doc_id (0 for null), so repeated rows get
     equal pieces. A column named pieces is replaced. The model's tables are read by the driver and broadcast.
     """
+    return _encoded(docs, model, seed, dropout, variants, decoding=False)
+
+
+def _encoded(docs: DataFrame, model: str, seed: int, dropout: float, variants: int, decoding: bool) -> DataFrame:
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-    head = [c for c in docs.columns if c != "pieces"]
+    added = ["pieces", "decoded_sha256", "lossless"] if decoding else ["pieces"]
+    head = [c for c in docs.columns if c not in added]
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, seed, dropout, variants)
         for batch in source:
             texts, keys = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            flat, sizes = [np.empty(0, np.int32)], [0]
+            flat, sizes, digests, same = [np.empty(0, np.int32)], [0], [], []
             for a, b in by_slices(texts, SLICE):
-                for ids in encoder.encode(texts[a:b], keys[a:b]):
+                for text, ids in zip(texts[a:b], encoder.encode(texts[a:b], keys[a:b]), strict=True):
                     flat.append(ids)
                     sizes.append(len(ids))
-            pieces = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pieces], [*batch.schema.names[:-2], "pieces"])
+                    if decoding:
+                        back = decode(shared.value, ids)
+                        digests.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
+                        same.append(back == (text or ""))
+            columns = [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(flat), pa.int32()))]
+            if decoding:
+                columns += [pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], [*batch.schema.names[:-2], *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*head).schema)
     rows = docs.select(*head, F.col("text").alias("__text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__key"))
-    return rows.mapInArrow(batches, f"{schema}, pieces array<int>")
+    return rows.mapInArrow(batches, f"{schema}, pieces array<int>" + (", decoded_sha256 string, lossless boolean" if decoding else ""))
+
+
+def round_trip(docs: DataFrame, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
+    """encode_documents() with `decoded_sha256`, the digest of what its pieces decode to, and `lossless`.
+
+    The task that encodes a text decodes its pieces too, so only one Python worker a task holds the tables.
+    """
+    return _encoded(docs, model, seed, dropout, variants, decoding=True)
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -46,15 +46,8 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: pieces, a digest of their ids, and whether the text came back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = pieces.decode_documents(pieces.encode_documents(docs))
-    return both.select(
-        "doc_id",
-        F.size("pieces").cast("long").alias("n_pieces"),
-        F.sha2(F.array_join("pieces", ","), 256).alias("pieces_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
-    )
+    both = pieces.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return both.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.sha2(F.array_join("pieces", ","), 256).alias("pieces_sha256"), "decoded_sha256", "lossless")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
