@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itemforge.llm.common import bound_batches
+
 WINDOW = 10
 BLOCK_WINDOWS = 2_000_000
 #: Bytes that separate words become a space, A-Z becomes a-z, all other bytes stay.
@@ -88,6 +90,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     nothing. Repeated rows give repeated results. Other columns are ignored.
     """
     spark, parts = docs.sparkSession, []
+    bound_batches(spark)
     for rows in _blocks(benchmark, window, block_windows):
         windows = spark.sparkContext.broadcast(WindowSet(rows, window))
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemforge.llm.common import by_slices, stored
+from itemforge.llm.common import bound_batches, by_slices, stored
 from itemforge.llm.decontaminate import words_of
 
 NGRAM, THRESHOLD = 5, 0.8
@@ -325,6 +325,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
     with a null doc_id are in no class (null) and have no links. Repeated rows count as copies; other columns are
     ignored.
     """
+    bound_batches(docs.sparkSession)
     exact = Fraction(threshold).limit_denominator(1000)
     kind = docs.schema["doc_id"].dataType.simpleString()
     unnamed = docs.filter(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))

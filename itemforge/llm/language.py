@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemforge.llm.common import by_slices, stored
+from itemforge.llm.common import bound_batches, by_slices, stored
 
 PER_LANGUAGE, MOST_CHARS = 400, 20_000
 MOST_LANGUAGES = 64
@@ -121,7 +121,7 @@ def identify(docs: DataFrame, key: str = "doc_id", declared: str | None = None,
     is. Null declarations and hosts are their own value. Ties go to the first language by name. Repeated rows give
     repeated results; other columns are ignored. Without declared rows to learn from every language is 'und'.
     """
-    spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     declared_col = F.lower(F.regexp_replace(F.col(declared), "[-_].*", "")) if declared else F.lit(None).cast("string")
     host_col = F.lower(F.col(host)) if host else F.lit(None).cast("string")
     rows = docs.select(F.col(key).alias("key"), declared_col.alias("declared"), F.coalesce(host_col, F.lit("")).alias("host"), "text")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.llm.common import stored
+from itemforge.llm.common import bound_batches, stored
 
 BATCHES = 4
 FANOUT = 3
@@ -125,6 +125,7 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     Null text counts as one empty line. Rows with a null doc_id own nothing and lose nothing. Rows that repeat a
     doc_id count as one document. Columns named like the results are replaced.
     """
+    bound_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("text", "kept_text", "n_lines", "n_dropped", "drops", "result")]
     drops = repeated_lines(docs.select("doc_id", "text"), batches)
     joined = docs.select(*others, F.coalesce("text", F.lit("")).alias("text")).join(drops, "doc_id", "left")

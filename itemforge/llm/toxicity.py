@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itemforge.llm.common import bound_batches
 from itemforge.llm.labelled import fold, sample
 
 FOLDS, HELD_OUT = 5, 0
@@ -102,6 +103,7 @@ def _terms(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit lexicon, extreme-value rate and calibration. Near copies in the sample (equal minimal shingle) count once."""
+    bound_batches(docs.sparkSession)
     texts = sample(docs, labels, "toxic", FOLDS, HELD_OUT, per_class, MOST_CHARS).select("text", "label")
     rows = texts.mapInArrow(_terms, "sketch long, terms array<string>, tokens long, label int")
     once = rows.groupBy("label", "sketch").agg(F.min_by(F.struct("terms", "tokens"), F.struct("tokens", "terms")).alias("d")).select("label", "d.*").persist()
@@ -177,6 +179,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
                 ends.append([f[1] for f in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array(starts, span), pa.array(ends, span)], ["doc_id", "held_out", "score", "passage_starts", "passage_ends"])
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     held_out = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")
     scored = docs.select("doc_id", held_out, "text").mapInArrow(batches, f"doc_id {kind}, held_out boolean, score double, passage_starts array<long>, passage_ends array<long>")
