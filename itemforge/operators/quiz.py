@@ -85,5 +85,6 @@ def unit_totals(units: DataFrame) -> DataFrame:
 def assemble(eligible: DataFrame, members: DataFrame, questions: DataFrame, budgets: DataFrame, any_member: bool = False) -> DataFrame:
     """Quizzes of requests: units, seeded order (budgets carries seed), selection, flattening."""
     units = build_units(eligible, members, any_member).join(budgets.select("request_id", "seed"), "request_id")
-    shuffled = units.withColumn("unit_position", F.struct(shuffle_key(F.col("seed"), F.coalesce("group_id", "question_id")).alias("key"), F.coalesce("group_id", "question_id").alias("unit")))
+    unit = F.coalesce(F.col("group_id").cast("string"), F.col("question_id").cast("string"))
+    shuffled = units.withColumn("unit_position", F.struct(shuffle_key(F.col("seed"), unit).alias("key"), unit.alias("unit")))
     return flatten(select_units(shuffled, budgets), members, questions)

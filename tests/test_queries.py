@@ -16,3 +16,9 @@ def test_entry_has_rows(spark):
 
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_assembled_quizzes_keep_to_their_budgets(spark):
+    quizzes = registry.QUERIES["quiz_assembly"](spark, SF).groupBy("request_id").count().collect()
+    # a group of three may exceed a budget that nothing fits
+    assert quizzes and all(r["count"] <= max(3, r.request_id % 12) for r in quizzes)
