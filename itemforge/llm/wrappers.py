@@ -4,7 +4,8 @@ A page becomes a tree of block elements with text slots. Runs of equal neighbour
 trees of one host are aligned one after another: text that differs becomes a slot, elements that one side lacks become
 optional, neighbours that meet become repeated. Tasks fold their own pages first and the shuffle carries one wrapper a
 task and host; a host's wrappers meet in two salted steps. What a wrapper says about its host (the region that holds
-the varying text, and the text that every page repeats) guides the extraction where a page does not mark its article.
+the varying text, and the text that every page repeats) guides the extraction on every page: repeated text goes, and
+a mark of the main part multiplies the weight of the varying text inside it.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ MOST_DEPTH = 48  # elements further down count as their ancestor's text
 MOST_CHILDREN = 64  # a wider node folds by name, so a wrapper has a bounded size
 MOST_SLOT_TEXT = 200  # longer text is no template text
 TEMPLATE_SHARE = 0.5
+MARK_WEIGHT = 10  # of varying text inside article or main, against 1 elsewhere
 HOT_SHARE = 0.002  # of the pages, to be a hot host
 
 #: Names of the HTML standard, and words by which pages name their furniture.
@@ -313,13 +315,16 @@ def main_text(html: str | None, guide: dict | None = None) -> str:
 
 def _main_blocks(blocks: list[Block], guide: dict | None) -> list[Block]:
     body = [b for b in blocks if not b.furniture]
+    if guide:
+        repeated = {(tuple(p), t) for p, t in guide["repeated"]}
+        body = [b for b in body if (b.path, b.text) not in repeated] or body
+    total = sum(len(b.text) for b in body)
     for mark in (1, 2):
         marked = [b for b in body if b.marks & mark]
-        if marked:
+        weight = sum(len(b.text) for b in marked)
+        if marked and MARK_WEIGHT * weight >= total - weight:
             return marked
     if guide:
-        repeated = {(tuple(p), t) for p, t in guide["repeated"]}
-        body = [b for b in body if (b.path, b.text) not in repeated]
         main = tuple(guide["main"])
         return [b for b in body if b.path[: len(main)] == main] or body
     return body

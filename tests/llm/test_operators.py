@@ -307,6 +307,14 @@ def test_wrappers_find_the_region_of_an_unmarked_host(spark):
     assert len(inferred) == 1 and inferred[0].pages == 6
 
 
+def test_wrappers_clean_marked_pages_and_weigh_marks(spark):
+    page = lambda i: f"<html><body><article><h1>Title {i}</h1><div class='k'>Follow our site</div><p>Story {i} goes here.</p></article><div class='z'>Note {i}</div></body></html>"
+    teaser = f"<html><body><article><p>Teaser</p></article><div class='t'><p>{'The long story of a page. ' * 9}</p></div></body></html>"
+    rows = [(i, f"http://m.example/{i}", page(i)) for i in range(5)] + [(9, "http://t.example/", teaser)]
+    found = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[3] == "Title 3\n\nStory 3 goes here." and "The long story" in found[9]
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     a = wrappers.wrapper_of(wrappers.read_page("<div><h2>t</h2><p>a<p>b<table><tr><td>1</table></div>")[0])
     b = wrappers.wrapper_of(wrappers.read_page("<div><h2>t</h2><p>c</div>")[0])
