@@ -3,13 +3,14 @@
 A page becomes a tree of block elements with text slots. Runs of equal neighbours fold into repeated groups, and the
 trees of one host are aligned one after another: text that differs becomes a slot, elements that one side lacks become
 optional, neighbours that meet become repeated. Tasks fold their own pages first and the shuffle carries one wrapper a
-task and host; a host's wrappers meet in two salted steps. What a wrapper says about its host (the region that holds
-the varying text, and the text that every page repeats) guides the extraction on every page: repeated text goes, and
-a mark of the main part multiplies the weight of the varying text inside it.
+task and host; a host's wrappers meet in two salted steps. Copies of a page count once a host. What a wrapper says
+about its host (the text that its different pages repeat) guides the extraction on every page: repeated text goes, every
+region with varying text stays, and a mark of the main part multiplies the weight of the varying text inside it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_module
 import json
 import re
@@ -28,6 +29,7 @@ MOST_SLOT_TEXT = 200  # longer text is no template text
 TEMPLATE_SHARE = 0.5
 MARK_WEIGHT = 10  # of varying text inside article or main, against 1 elsewhere
 HOT_SHARE = 0.002  # of the pages, to be a hot host
+HELD_CHARS = 8_000_000  # of wrappers, that a task holds to meet copies before the shuffle
 
 #: Names of the HTML standard, and words by which pages name their furniture.
 BLOCKS = frozenset(
@@ -180,12 +182,13 @@ def read_page(html: str) -> tuple[list, list[Block]]:
 
 
 # ---------------------------------------------------------------- wrappers
-# A node is [key, optional, repeated, children]; a text slot is ["#", optional, repeated, [text or None, chars, uses]].
+# A node is [key, optional, repeated, children]; a text slot is ["#", optional, repeated, [text or None, uses]].
+# Uses count pages: what meets inside one page is used as often as the side with more uses.
 
 
 def wrapper_of(node: list) -> list:
     """The wrapper of one page's tree, equal neighbours folded."""
-    children = [["#", False, False, [c[1] if len(c[1]) <= MOST_SLOT_TEXT else None, len(c[1]), 1]] if c[0] is None else wrapper_of(c) for c in node[1]]
+    children = [["#", False, False, [c[1] if len(c[1]) <= MOST_SLOT_TEXT else None, 1]] if c[0] is None else wrapper_of(c) for c in node[1]]
     return [node[0], False, False, _fold(children)]
 
 
@@ -193,12 +196,12 @@ def _alike(a: list, b: list) -> bool:
     return a[0] == b[0]
 
 
-def _merge(a: list, b: list) -> list:
+def _merge(a: list, b: list, inside: bool = False) -> list:
     if a[0] == "#":
-        (x, m, p), (y, n, q) = a[3], b[3]
-        body = [x if x == y else None, m + n, p + q]
+        (x, p), (y, q) = a[3], b[3]
+        body = [x if x == y else None, max(p, q) if inside else p + q]
     else:
-        body = align(a[3], b[3])
+        body = align(a[3], b[3], inside)
     return [a[0], a[1] or b[1], a[2] or b[2], body]
 
 
@@ -207,7 +210,7 @@ def _fold(children: list) -> list:
     out: list = []
     for child in children:
         if out and _alike(out[-1], child):
-            merged = _merge(out[-1], child)
+            merged = _merge(out[-1], child, True)
             merged[2] = True
             out[-1] = merged
         else:
@@ -217,7 +220,7 @@ def _fold(children: list) -> list:
         while i + 2 * period <= len(out):
             first, second = out[i : i + period], out[i + period : i + 2 * period]
             if all(_alike(a, b) for a, b in zip(first, second, strict=True)):
-                merged = [_merge(a, b) for a, b in zip(first, second, strict=True)]
+                merged = [_merge(a, b, True) for a, b in zip(first, second, strict=True)]
                 for node in merged:
                     node[2] = True
                 out[i : i + 2 * period] = merged
@@ -229,7 +232,7 @@ def _fold(children: list) -> list:
             key = child[0] if len(by_key) < MOST_CHILDREN or child[0] in by_key else child[0].split(".")[0]
             child = [key, *child[1:]]
             if key in by_key:
-                by_key[key] = _merge(by_key[key], child)
+                by_key[key] = _merge(by_key[key], child, True)
                 by_key[key][2] = True
             else:
                 by_key[key] = child
@@ -238,10 +241,10 @@ def _fold(children: list) -> list:
     return out
 
 
-def align(a: list, b: list) -> list:
+def align(a: list, b: list, inside: bool = False) -> list:
     """Align two lists of nodes on their longest common subsequence; what one side lacks becomes optional."""
     if [x[0] for x in a] == [x[0] for x in b]:
-        return [_merge(x, y) for x, y in zip(a, b, strict=True)]
+        return [_merge(x, y, inside) for x, y in zip(a, b, strict=True)]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -250,7 +253,7 @@ def align(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and _alike(a[i], b[j]):
-            out.append(_merge(a[i], b[j]))
+            out.append(_merge(a[i], b[j], inside))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
             out.append([a[i][0], True, *a[i][2:]])
@@ -276,24 +279,15 @@ def expression(node: list) -> str:
     return f"( {body} ){mark}" if mark else body
 
 
-_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th tr tbody table ul ol dl figure figcaption".split())
-
-
 def guide_of(wrapper: list, pages: int) -> dict:
-    """What the wrapper says: the path of the region with the most varying text, and the host's repeated texts."""
-    weight: dict[tuple[str, ...], int] = {}
+    """What the wrapper of that many different pages says: the host's repeated texts and their paths."""
     repeated: list[list] = []
 
     def visit(node: list, path: tuple[str, ...]) -> None:
         if node[0] == "#":
-            text, chars, uses = node[3]
+            text, uses = node[3]
             if text is not None and pages > 1 and uses >= max(2, TEMPLATE_SHARE * pages):
                 repeated.append([list(path), text])
-            else:
-                region = path
-                while region and region[-1].split(".")[0] in _LEAVES:
-                    region = region[:-1]
-                weight[region] = weight.get(region, 0) + chars
             return
         name, _, kind = node[0].partition(".")
         if name in DROPPED or kind and any(w and FURNITURE.fullmatch(w) for w in re.split(r"[^a-z]+", kind.lower())):
@@ -302,8 +296,7 @@ def guide_of(wrapper: list, pages: int) -> dict:
             visit(child, (*path, node[0]) if node[0] else path)
 
     visit(wrapper, ())
-    main = max(sorted(weight), key=lambda p: weight[p], default=())
-    return {"main": list(main), "repeated": sorted(repeated)}
+    return {"repeated": sorted(repeated)}
 
 
 def main_text(html: str | None, guide: dict | None = None) -> str:
@@ -324,9 +317,6 @@ def _main_blocks(blocks: list[Block], guide: dict | None) -> list[Block]:
         weight = sum(len(b.text) for b in marked)
         if marked and MARK_WEIGHT * weight >= total - weight:
             return marked
-    if guide:
-        main = tuple(guide["main"])
-        return [b for b in body if b.path[: len(main)] == main] or body
     return body
 
 
@@ -335,31 +325,59 @@ def _host(url) -> object:
 
 
 def infer_wrappers(pages: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(host, wrapper, pages): one wrapper for each host of pages (url, html)."""
+    """(host, wrapper, pages, copies): one wrapper for each host of pages (url, html), its different pages and all its rows.
+
+    Pages of a host with the same blocks outside of furniture are copies of one page.
+    """
+
+    def read(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, bytes], tuple[str, int]] = {}
+        held = 0
+        for batch in source:
+            for host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                root, blocks = read_page(html)
+                content = json.dumps([[b.path, b.text] for b in blocks if not b.furniture]).encode()
+                key, wrapper = (host, hashlib.blake2b(content, digest_size=16).digest()), json.dumps(wrapper_of(root), ensure_ascii=False)
+                held += len(wrapper) if key not in found else 0
+                least, copies = found.get(key, (wrapper, 0))
+                found[key] = min(least, wrapper), copies + 1
+                if held > HELD_CHARS:
+                    yield contents(found)
+                    found, held = {}, 0
+        yield contents(found)
+
+    def contents(found: dict[tuple[str, bytes], tuple[str, int]]) -> pa.RecordBatch:
+        columns = [pa.array([h for h, _ in found], pa.string()), pa.array([c for _, c in found], pa.binary()), pa.array([w for w, _ in found.values()], pa.string()), pa.array([n for _, n in found.values()], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["host", "content", "wrapper", "copies"])
 
     def fold(source: Iterator[pa.RecordBatch], has_count: bool) -> Iterator[pa.RecordBatch]:
         found: dict[str, list] = {}
+        last = None
         for batch in source:
             columns = [c.to_pylist() for c in batch.columns]
             for row in zip(*columns, strict=True):
-                if has_count:
-                    wrapper, count = json.loads(row[1]), row[2]
-                else:
-                    wrapper, count = wrapper_of(read_page(row[1])[0]), 1
+                if not has_count and row[:2] == last:  # a copy: rows come by host and content
+                    found[row[0]][2] += row[3]
+                    continue
+                wrapper, count = (json.loads(row[1]), row[2]) if has_count else (json.loads(row[2]), 1)
+                last = row[:2]
                 if row[0] in found:
-                    found[row[0]] = [merge_wrappers(found[row[0]][0], wrapper), found[row[0]][1] + count]
+                    wrapper, count, copies = merge_wrappers(found[row[0]][0], wrapper), found[row[0]][1] + count, found[row[0]][2]
                 else:
-                    found[row[0]] = [wrapper, count]
+                    copies = 0
+                found[row[0]] = [wrapper, count, copies + row[3]]
             if len(found) > 2000:  # many hosts in one task: hand on what is there
                 yield out(found)
-                found = {}
+                found, last = {}, None
         yield out(found)
 
     def out(found: dict[str, list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(w, ensure_ascii=False) for w, _ in found.values()], pa.string()), pa.array([n for _, n in found.values()], pa.int64())], ["host", "wrapper", "pages"])
+        columns = [pa.array(list(found), pa.string()), pa.array([json.dumps(w, ensure_ascii=False) for w, *_ in found.values()], pa.string()), pa.array([n for _, n, _ in found.values()], pa.int64()), pa.array([c for *_, c in found.values()], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["host", "wrapper", "pages", "copies"])
 
-    schema = "host string, wrapper string, pages long"
-    partial = pages.filter(F.col("html").isNotNull()).select(_host(F.col("url")).alias("host"), "html").mapInArrow(lambda s: fold(s, False), schema)
+    schema = "host string, wrapper string, pages long, copies long"
+    partial = pages.filter(F.col("html").isNotNull()).select(_host(F.col("url")).alias("host"), "html").mapInArrow(read, "host string, content binary, wrapper string, copies long")
+    partial = partial.repartition("host", "content").sortWithinPartitions("host", "content", "wrapper").mapInArrow(lambda s: fold(s, False), schema)
     for keys in ([F.col("host"), F.pmod(F.xxhash64("wrapper"), F.lit(salts))], [F.col("host")]):
         partial = partial.repartition(*keys).sortWithinPartitions("host", "wrapper").mapInArrow(lambda s: fold(s, True), schema)
     return partial
@@ -374,7 +392,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def guides(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            hosts, wrappers, counts = (c.to_pylist() for c in batch.columns)
+            hosts, wrappers, counts = (c.to_pylist() for c in batch.columns[:3])
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([json.dumps(guide_of(json.loads(w), n), ensure_ascii=False) for w, n in zip(wrappers, counts, strict=True)], pa.string())], ["host", "guide"])
 
     def texts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,10 +410,10 @@ def extract(pages: DataFrame) -> DataFrame:
     bound_batches(pages.sparkSession)
     wrappers = stored(infer_wrappers(pages.select("url", "html")), "wrappers")
     guide = lambda rows: rows.mapInArrow(guides, "host string, guide string")
-    total = wrappers.agg(F.sum("pages")).collect()[0][0] or 0
+    total = wrappers.agg(F.sum("copies")).collect()[0][0] or 0
     # at most 1 / HOT_SHARE hosts are hot: their guides are a bounded broadcast, and their pages stay where they are
-    hot = wrappers.filter(F.col("pages") >= max(1.0, HOT_SHARE * total))
-    cold = wrappers.filter(F.col("pages") < max(1.0, HOT_SHARE * total))
+    hot = wrappers.filter(F.col("copies") >= max(1.0, HOT_SHARE * total))
+    cold = wrappers.filter(F.col("copies") < max(1.0, HOT_SHARE * total))
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     rows = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"))
     rows = rows.join(F.broadcast(guide(hot).withColumnRenamed("guide", "hot_guide")), "host", "left")

@@ -315,6 +315,20 @@ def test_wrappers_clean_marked_pages_and_weigh_marks(spark):
     assert found[3] == "Title 3\n\nStory 3 goes here." and "The long story" in found[9]
 
 
+def test_unmarked_pages_keep_every_varying_region(spark):
+    page = lambda i: f"<html><body><div class='top'>Our Site</div><h1>Title {i}</h1><div class='content'><section class='intro'><p>Intro {i}</p></section><section class='body'><p>The longer story {i} goes here.</p></section></div></body></html>"
+    other = "<html><body><table><tr><td>Another template</td></tr></table></body></html>"
+    one = "<html><body><h1>Only</h1><div class='a'><p>A short article.</p></div></body></html>"
+    yes = "<html><body><ul><li>Same<li>Same</ul><p>End {}</p></body></html>"
+    rows = [(i, f"http://v.example/{i}", page(i)) for i in range(5)] + [(9, "http://v.example/9", other)] + [(i, f"http://c.example/{i}", one) for i in range(20, 26)]
+    rows += [(30, "http://y.example/", yes.format(0)), *((i, "http://y.example/", f"<html><body><p>End {i}</p></body></html>") for i in (31, 32))]
+    found = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[3] == "Title 3\n\nIntro 3\n\nThe longer story 3 goes here." and found[9] == "Another template"
+    assert all(found[i] == "Only\n\nA short article." for i in range(20, 26)) and found[30] == "Same\n\nSame\n\nEnd 0"
+    counts = {r.host: (r.pages, r.copies) for r in wrappers.infer_wrappers(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert counts["c.example"] == (1, 6) and counts["v.example"] == (6, 6)
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     a = wrappers.wrapper_of(wrappers.read_page("<div><h2>t</h2><p>a<p>b<table><tr><td>1</table></div>")[0])
     b = wrappers.wrapper_of(wrappers.read_page("<div><h2>t</h2><p>c</div>")[0])
