@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemforge.llm.common import bound_batches
+from itemforge.llm.common import bound_batches, stored
 
 WINDOW = 10
 BLOCK_WINDOWS = 2_000_000
@@ -83,48 +83,51 @@ def _blocks(benchmark: DataFrame, window: int, limit: int) -> Iterator[list[tupl
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Per input row: doc_id, n_words, the hit word spans and the items with occurring windows.
+    """Per input row: doc_id, n_words, the hit words (starts, and ends one further) and the items with occurring windows.
 
     Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters. An item with fewer than `window`
     words is one window of its own length. Null or empty text has no words; an item or benchmark without words hits
-    nothing. Repeated rows give repeated results. Other columns are ignored.
+    nothing. Repeated rows give repeated results. Other columns are ignored. The number of blocks changes no result: the
+    rows of several passes are stored with a key of their own and meet again by it.
     """
     spark, parts = docs.sparkSession, []
     bound_batches(spark)
-    for rows in _blocks(benchmark, window, block_windows):
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    blocks = _blocks(benchmark, window, block_windows)
+    rows, following = next(blocks), next(blocks, None)
+    source_rows = docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text")
+    several = following is not None
+    if several:
+        source_rows = stored(source_rows.withColumn("row", F.monotonically_increasing_id()), "decontamination-rows")
+    while rows is not None:
         windows = spark.sparkContext.broadcast(WindowSet(rows, window))
 
         def batches(source: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
             for batch in source:
-                texts = batch.column(1)
+                texts = batch.column(2)
                 n_words, starts, ends, items = [], [], [], []
                 for value in texts:
                     words = words_of(value.as_py())
                     hits = windows.value.scan(words)
                     n_words.append(len(words))
-                    spans: list[list[int]] = []
-                    for start, end, _ in sorted(hits):
-                        if spans and start <= spans[-1][1]:
-                            spans[-1][1] = max(end, spans[-1][1])
-                        else:
-                            spans.append([start, end])
-                    starts.append([s for s, _ in spans])
-                    ends.append([e for _, e in spans])
+                    places = sorted({p for start, end, _ in hits for p in range(start, end)})
+                    starts.append(places)
+                    ends.append([p + 1 for p in places])
                     items.append(sorted(set().union(*(windows.value.items[k] for *_, k in hits))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "starts", "ends", "items"])
-
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        parts.append(docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, n_words long, starts array<long>, ends array<long>, items array<string>"))
-    if len(parts) == 1:
-        return parts[0]
+                columns = [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_words", "starts", "ends", "items"])
+
+        found = source_rows.mapInArrow(batches, f"row long, doc_id {kind}, n_words long, starts array<long>, ends array<long>, items array<string>")
+        parts.append(found.filter(F.size("items") > 0) if parts else found)  # the first pass has every row
+        rows, following = following, next(blocks, None)
+    if not several:
+        return parts[0].drop("row")
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    # several passes: rows of one document meet again, spans are united word by word
-    words = F.array_distinct(F.flatten(F.collect_list(F.flatten(F.transform(F.arrays_zip("starts", "ends"), lambda s: F.sequence(s["starts"], s["ends"] - 1))))))
-    return whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(words).alias("starts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).select(
-        "doc_id", "n_words", "starts", F.transform("starts", lambda s: s + 1).alias("ends"), "items"
-    )
+    united = lambda name: F.array_sort(F.array_distinct(F.flatten(F.collect_list(name))))
+    found = whole.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), united("starts").alias("starts"), united("items").alias("items"))
+    return found.select("doc_id", "n_words", "starts", F.transform("starts", lambda s: s + 1).alias("ends"), "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -162,6 +162,14 @@ def test_blocks_and_spans_equal_one_pass(spark):
     assert decontaminate.remove_spans("Ab, c-d é f!", [1, 3], [3, 4]) == "Ab,   f!"
 
 
+def test_blocks_keep_repeated_and_null_rows_apart(spark):
+    items = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 12))) for i in range(0, 40, 5)], "item_id long, text string")
+    hit, other = " ".join(f"w{j}" for j in range(3, 30)), " ".join(f"w{j}" for j in range(26, 52)) + " and more"
+    docs = frame(spark, [hit, hit, other, "clean", hit, None, other], [1, 1, 1, None, None, None, 7])
+    one, many = (rows_of(decontaminate.find_hits(docs, items, block_windows=n)) for n in (2_000_000, 13))
+    assert one == many and len(many) == 7
+
+
 def test_decontamination_edge_cases(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     found = decontaminate.contamination(frame(spark, ODD, ODD_IDS), empty).collect()
