@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from itemforge.llm.common import bound_batches, by_slices, stored
 
-PER_LANGUAGE, MOST_CHARS = 400, 20_000
-MOST_LANGUAGES = 64
-LEAST_SHARE = 0.001  # of the declared rows, to count as a language
-BUCKETS = 1 << 16
+PER_LANGUAGE = 400
+LEAST_TEXTS = 2  # different declared texts with letters, to count as a language
+BUCKETS, LEAST_BUCKETS = 1 << 16, 1 << 12
+MOST_CELLS = BUCKETS * 256  # of the table: with more languages the trigrams share fewer buckets
 SMOOTH = 0.05
 TEMPER = 0.15  # neighbouring trigrams share bytes, so their evidence is not independent
 HOST_WEIGHT, LEVEL_WEIGHT, DECLARED_WEIGHT = 5.0, 10.0, 20.0
@@ -27,10 +27,10 @@ LEAST_LETTERS = 1  # a text without letters has no language
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def _buckets(data: np.ndarray) -> np.ndarray:
+def _buckets(data: np.ndarray, buckets: int) -> np.ndarray:
     """Trigram bucket at every byte but the last two."""
     code = data[:-2].astype(np.uint32) * np.uint32(65599) + data[1:-1].astype(np.uint32) * np.uint32(2654435761) + data[2:].astype(np.uint32) * np.uint32(40503)
-    return ((code ^ code >> np.uint32(15)) & np.uint32(BUCKETS - 1)).astype(np.int64)
+    return ((code ^ code >> np.uint32(15)) & np.uint32(buckets - 1)).astype(np.int64)
 
 
 def _fold(text: str | None) -> bytes:
@@ -48,22 +48,52 @@ def _sides(host: Column) -> tuple[Column, Column]:
     return domain, F.when(n >= 2, F.element_at(labels, -1)).otherwise(F.lit(""))
 
 
+def _profile(text: str, buckets: int) -> np.ndarray:
+    """Shares of the trigram buckets in a text."""
+    data = np.frombuffer(_fold(text), dtype=np.uint8)
+    counts = np.zeros(buckets)
+    for at in range(0, len(data) - 2, 1 << 20):
+        counts += np.bincount(_buckets(data[at : at + (1 << 20) + 2], buckets), minlength=buckets)
+    return counts / max(1, len(data))
+
+
 def train(rows: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """rows (text, declared): the languages, and log-likelihoods by trigram bucket (bounded: BUCKETS x languages)."""
-    rows = rows.filter(F.length("text") <= MOST_CHARS)
-    counts = rows.filter(F.col("declared").isNotNull()).groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES).collect()
-    total = sum(r["count"] for r in counts)
-    known = {r["declared"]: r["count"] for r in counts if r["count"] >= max(2, LEAST_SHARE * total)}
+    """rows (text, declared): the languages, and log-likelihoods by trigram bucket.
+
+    Every declared value with LEAST_TEXTS different texts is a language, whatever its share of the rows. The table has
+    at most MOST_CELLS cells up to MOST_CELLS / LEAST_BUCKETS languages, and LEAST_BUCKETS a language beyond.
+    """
+    rows = rows.filter(F.col("declared").isNotNull() & F.col("text").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]")).withColumn("text_hash", F.xxhash64("text"))
+    texts = rows.select("declared", "text_hash").distinct()  # copies of a text count once
+    known = {r["declared"]: r["count"] for r in texts.groupBy("declared").count().filter(F.col("count") >= LEAST_TEXTS).collect()}
     languages = sorted(known)
-    tables = np.full((BUCKETS, max(1, len(languages))), SMOOTH, dtype=np.float64)
+    buckets = BUCKETS
+    while buckets > LEAST_BUCKETS and buckets * len(languages) > MOST_CELLS:
+        buckets //= 2
+    tables = np.full((buckets, max(1, len(languages))), SMOOTH, dtype=np.float64)
+
+    def profiles(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row a language: rows come by language."""
+        last, total = None, np.zeros(buckets)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([last], pa.string()), pa.array([total.tobytes()], pa.binary())], ["declared", "profile"])
+        for batch in source:
+            for declared, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if declared != last:
+                    if last is not None:
+                        yield out()
+                    last, total = declared, np.zeros(buckets)
+                total += _profile(text.as_py(), buckets)
+        if last is not None:
+            yield out()
+
     if languages:
         # a share of each language by a hash of the text, so that no task sends more than its part of the sample
         share = F.element_at(F.create_map(*(x for k, n in known.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n))))), F.col("declared"))
-        picked = rows.filter(F.col("declared").isin(*languages)).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).select("declared", "text")
-        for language, text in set(map(tuple, picked.limit(2 * per_language * len(languages)).collect())):
-            data = np.frombuffer(_fold(text), dtype=np.uint8)
-            if len(data) >= 3:
-                tables[:, languages.index(language)] += np.bincount(_buckets(data), minlength=BUCKETS) / len(data)
+        picked = rows.filter(F.col("declared").isin(*languages)).filter(F.pmod("text_hash", F.lit(1 << 30)) < share * (1 << 30))
+        picked = picked.groupBy("declared", "text_hash").agg(F.min("text").alias("text"))
+        sample = picked.repartition("declared").sortWithinPartitions("declared", "text_hash").select("declared", "text")
+        for declared, profile in sample.mapInArrow(profiles, "declared string, profile binary").toLocalIterator():
+            tables[:, languages.index(declared)] += np.frombuffer(profile)
     tables += 1e-4
     return languages, np.log(tables / tables.sum(axis=0)).astype(np.float32)
 
@@ -86,7 +116,7 @@ def likelihoods(docs: DataFrame, languages: list[str], tables: np.ndarray, keep:
                         continue
                     total = np.zeros(table.shape[1])
                     for at in range(0, len(data) - 2, 1 << 20):
-                        total += np.add.reduce(table[_buckets(data[at : at + (1 << 20) + 2])], axis=0, dtype=np.float64)
+                        total += np.add.reduce(table[_buckets(data[at : at + (1 << 20) + 2], len(table))], axis=0, dtype=np.float64)
                     out.append((TEMPER * (total - total.max())).tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(letters, pa.int64()), pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names[:-1], "letters", "loglik"])
 

@@ -296,6 +296,17 @@ def test_language_rejects_only_texts_without_letters(spark):
     assert language.identify(frame(spark, []), "doc_id", "lang", "source").count() == 0
 
 
+def test_rare_long_and_many_languages_are_candidates(spark):
+    english = spark.range(6000).selectExpr("id AS doc_id", "concat('the house and the garden of number ', id) AS text", "'en' AS lang")
+    rare = [(10_000 + i, f"talossa on kissa ja järvellä vene {'yksi kaksi kolme neljä viisi kuusi'.split()[i]}", "fi") for i in range(5)]
+    long = [(20_000 + i, f"huset ligger ved sjøen og båten er rød {i} " * 600, "nb") for i in range(3)]
+    docs = english.unionByName(spark.createDataFrame(rare + long, "doc_id long, text string, lang string"))
+    found = {r.doc_id: r.language for r in language.identify(docs, "doc_id", "lang").filter("doc_id >= 10000").collect()}
+    assert found == {i: code for i, _, code in rare + long}
+    many = spark.createDataFrame([(f"word{i} text{j}", f"l{i:03}") for i in range(70) for j in range(2)], "text string, declared string")
+    assert len(language.train(many)[0]) == 70
+
+
 PAGE = """<html><head><title>x</title><script>var a="</p>";</script></head><body><nav><ul><li>menu<li>more</ul></nav><header>site</header>
 <div class="cookie-notice">We use cookies</div><article><h1>A &amp; B</h1><p>One<br>two  <b>three<p class="ad">Buy</p><p>Four <span class="share">tweet</span>five
 <div class="newsletter"><form>mail</form></div><ul><li>x<li>y</ul><section id="comments"><article>No!</article></section></article><aside>side</aside><footer>f</footer>"""
