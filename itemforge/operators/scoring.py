@@ -57,14 +57,18 @@ def option_rows(questions: DataFrame, marked: DataFrame) -> DataFrame:
 
 
 def passage_flags(answers: DataFrame) -> DataFrame:
-    """answers (with group_id) with show_passage (the group differs from the row before), and place and size in the group."""
+    """answers (with group_id) with show_passage (the group differs from the row before), and place and size in the group.
+
+    Rows are numbered once; both results follow that number, so equal rows cannot be ordered in two ways.
+    """
     order = Window.partitionBy("attempt_id").orderBy("position", "question_id", "seq")
     group = Window.partitionBy("attempt_id", "group_id")
-    return answers.withColumns({
-        "show_passage": F.col("group_id").isNotNull() & ~F.col("group_id").eqNullSafe(F.lag("group_id").over(order)),
-        "group_position": F.when(F.col("group_id").isNotNull(), F.row_number().over(group.orderBy("position", "question_id", "seq"))),
+    numbered = answers.withColumns({"row_in_attempt": F.row_number().over(order), "group_before": F.lag("group_id").over(order)})
+    return numbered.withColumns({
+        "show_passage": F.col("group_id").isNotNull() & ~F.col("group_id").eqNullSafe(F.col("group_before")),
+        "group_position": F.when(F.col("group_id").isNotNull(), F.row_number().over(group.orderBy("row_in_attempt"))),
         "group_size": F.when(F.col("group_id").isNotNull(), F.count("*").over(group)),
-    })
+    }).drop("row_in_attempt", "group_before")
 
 
 def mistakes_ledger(events: DataFrame) -> DataFrame:

@@ -88,8 +88,9 @@ def option_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.option_rows(bank, _marked(spark, sf_dir)).select("attempt_id", "position", "question_id", "option_index", "option_text", "option_correct", "option_selected")
 
 
-@query(f"""WITH {ANSWERS_SQL} SELECT attempt_id, position, question_id, coalesce(group_id <> lag(group_id) OVER (PARTITION BY attempt_id ORDER BY position, question_id, seq), true) AS show_passage,
-row_number() OVER (PARTITION BY attempt_id, group_id ORDER BY position, question_id, seq) AS group_position, count(*) OVER (PARTITION BY attempt_id, group_id) AS group_size FROM answers""")
+@query(f"""WITH {ANSWERS_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY attempt_id ORDER BY position, question_id, seq) AS n FROM answers)
+SELECT attempt_id, position, question_id, coalesce(group_id <> lag(group_id) OVER (PARTITION BY attempt_id ORDER BY n), true) AS show_passage,
+row_number() OVER (PARTITION BY attempt_id, group_id ORDER BY n) AS group_position, count(*) OVER (PARTITION BY attempt_id, group_id) AS group_size FROM numbered""")
 def passage_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.passage_flags(roles.answers(spark, sf_dir)).select("attempt_id", "position", "question_id", "show_passage", "group_position", "group_size")
 
