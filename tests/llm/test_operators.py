@@ -349,11 +349,80 @@ def test_unmarked_pages_keep_every_varying_region(spark):
 
 
 def test_alignment_makes_optional_and_repeated_groups():
-    a = wrappers.wrapper_of(wrappers.read_page("<div><h2>t</h2><p>a<p>b<table><tr><td>1</table></div>")[0])
-    b = wrappers.wrapper_of(wrappers.read_page("<div><h2>t</h2><p>c</div>")[0])
+    a = wrappers.wrapper_of(wrappers.read_page("<div><h2>t</h2><p>a<p>b<table><tr><td>1</table></div>"))
+    b = wrappers.wrapper_of(wrappers.read_page("<div><h2>t</h2><p>c</div>"))
     assert wrappers.expression(wrappers.merge_wrappers(a, b)) == '<div> <h2> "t" </h2> ( <p> #TEXT </p> )+ ( <table> <tr> <td> "1" </td> </tr> </table> )? </div>'
 
 
+def tokens_of(node):
+    """A page's tree as the string of its block tags and texts."""
+    return "".join("#" if c[0] is None else f"<{c[0]}>{tokens_of(c)}</{c[0]}>" for c in node[1])
+
+
+def regex_of(node):
+    """The wrapper as a regular expression over such strings."""
+    inner = "#" if node[0] == "#" else "".join(map(regex_of, node[3]))
+    body = f"<{re.escape(node[0])}>{inner}</{re.escape(node[0])}>" if node[0] and node[0][0] not in "(#" else inner
+    return f"(?:{body})" + ("*" if node[1] and node[2] else "+" if node[2] else "?" if node[1] else "")
+
+
+def random_page(r, i):
+    """A page of one template with optional and repeated parts, and its article."""
+    article, out = [f"Title {i}"], [f"<html><body><div class='brand'>The Daily</div><div class='article-header'><h1>Title {i}</h1></div><form action='/'><input name='state'>"]
+    for k in range(r.randint(1, 5)):
+        text = f"Paragraph {k} of story {i} with {r.randrange(10**6)} words."
+        article.append(text)
+        out.append(f"<p>{text}</p>")
+        if r.random() < 0.4:
+            pair = [f"Term {r.randrange(10**6)}", f"Meaning {r.randrange(10**6)}"]
+            for _ in range(r.randint(1, 3)):
+                article += pair
+                out.append(f"<h3>{pair[0]}</h3><blockquote>{pair[1]}</blockquote>")
+    if r.random() < 0.5:
+        article.append(f"Table {i}")
+        out.append(f"<table><tr><td>Table {i}</td></tr></table>")
+    out.append("</form><div class='x1'>Read us daily</div>" + ("<div class='sidebar'>more</div>" if r.random() < 0.5 else "") + "</body></html>")
+    return "".join(out), "\n\n".join(article)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_the_wrapper_matches_every_page_of_its_host(seed):
+    r = random.Random(seed)
+    pages = [random_page(r, i) for i in range(12)]
+    trees = [wrappers.read_page(html) for html, _ in pages]
+    wrapper = wrappers.wrapper_of(trees[0])
+    for tree in trees[1:]:
+        wrapper = wrappers.merge_wrappers(wrapper, wrappers.wrapper_of(tree))
+    expression, guide = re.compile(regex_of(wrapper)), wrappers.Guide(wrappers.guide_of(wrapper, len(pages)))
+    for tree, (html, article) in zip(trees, pages, strict=True):
+        assert expression.fullmatch(tokens_of(tree)) and guide.read(tree, [])
+        assert wrappers.main_text(html, guide) == article
+    wide = wrappers.wrapper_of(wrappers.read_page("".join(f"<div class='{'ab'[i % 7 % 2]}{chr(97 + i % 5)}'>{i}</div><p>{i}" for i in range(200))))
+    assert re.fullmatch(regex_of(wide), tokens_of(wrappers.read_page("<p>x<div class='ac'>y</div>")))
+
+
+def test_names_and_forms_are_weighed():
+    body = "".join(f"<p>Sentence {i} of the body.</p>" for i in range(9))
+    parts = "<div class='article-header'><h1>Head</h1></div>{}<div class='related-work'>Work</div><div class='commentary'>Note</div><div class='search-results'>Hits</div>"
+    wanted = "Head\n\n" + "\n\n".join(f"Sentence {i} of the body." for i in range(9)) + "\n\nWork\n\nNote\n\nHits"
+    assert wrappers.main_text(f"<body><form id='aspnet'>{parts.format(body)}</form></body>") == wanted
+    assert wrappers.main_text(f"<body>{parts.format(body)}<form>Your mail</form><div class='site-footer'>f</div><div id='comments'>{body * 3}</div></body>") == wanted
+    assert wrappers.main_text(f"<article>Teaser</article><main>{body}</main>").startswith("Sentence 0")
+
+
+def test_many_hosts_in_a_task_and_odd_pages(spark):
+    page = "<html><body><div class='z'>Menu</div><h1>T {0}</h1><p>Story {0} of the host.</p></body></html>"
+    many = spark.range(9000).selectExpr("id AS page_id", "concat('http://h', id % 3000, '.example/', id) AS url", f"replace('{page}', '{{0}}', id) AS html".replace("'z'", "\\'z\\'"))
+    found = wrappers.extract(many.coalesce(2))
+    assert found.count() == 9000 and wrappers.infer_wrappers(many).count() == 3000
+    assert rows_of(found.selectExpr("text = concat('T ', page_id, '\n\nStory ', page_id, ' of the host.') AS same").distinct()) == [(True,)]
+    long = "<p>word</p>" * 40_000
+    odd = [(1, None, long), (1, None, long), (None, "http://a", ""), (2, "::", None)]
+    rows = spark.createDataFrame([(*o, "x", "y", "z") for o in odd], "page_id long, url string, html string, host string, guide string, key string")
+    assert sorted(r.n_chars for r in wrappers.extract(rows).collect()) == [0, 0, 239_998, 239_998]
+    assert wrappers.extract(rows.limit(0)).count() == 0
+
+
 def test_media_round_trip_and_carving(spark):
     import gzip
     import struct
