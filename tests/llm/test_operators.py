@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -100,6 +101,61 @@ def test_segments_equal_their_definition():
         assert sorted((a, b) for a, b, _ in toxicity.segments(found)) == brute_segments(scores)
 
 
+def test_segments_with_negative_scores_equal_their_definition_in_linear_time():
+    r = random.Random(3)
+    for _ in range(300):
+        n = r.randint(1, 14)
+        found = [(i, r.choice([-1.3, -0.41, 0.37, 0.9, 2.3])) for i in sorted(r.sample(range(n), r.randint(0, n)))]
+        scores = [toxicity.GAP] * n
+        for i, s in found:
+            scores[i] = s
+        assert sorted((a, b) for a, b, _ in toxicity.segments(found)) == brute_segments(scores)
+    start = time.perf_counter()
+    assert len(toxicity.segments([(9 * i, 0.9) for i in range(100_000)])) == 100_000
+    assert time.perf_counter() - start < 1
+
+
+def test_toxicity_model_equals_brute_force(spark):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(5, 60))) + (" awful vile" if i % 4 == 0 else "") for i in range(240)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    kept = [i for i in range(240) if zlib.crc32(str(i).encode()) % 5]
+    terms = {i: {f"w{t}" for t in texts[i].split()} | {f"s{t[:5]}" for t in texts[i].split() if len(t) > 5} for i in kept}
+    n = [sum(len(terms[i]) for i in kept if (i % 4 == 0) == y) for y in (False, True)]
+    held = lambda w, y: sum(f"w{w}" in terms[i] for i in kept if (i % 4 == 0) == y)
+    wanted = {w: toxicity.log_odds(held(w, True), held(w, False), n[1], n[0]) for w in {*words, "awful", "vile"}}
+    wanted = {w: s for w, s in wanted.items() if s < 0 or s > 0 and held(w, True) >= 4}
+    assert model.words.keys() == wanted.keys() and all(abs(model.words[w] - s) < 1e-9 for w, s in wanted.items())
+    token = lambda w: wanted.get(w, 0.0) + toxicity.GAP
+    clean = [[token(w) for w in texts[i].split()] for i in kept if i % 4]
+    histogram, tail = {}, []
+    for scores in clean:
+        for s in scores:
+            histogram[round(s, 2)] = histogram.get(round(s, 2), 0) + 1
+        tail += [round(sum(scores[a:b]), 2) for a, b in brute_segments_fast(scores) if sum(scores[a:b]) >= toxicity.TAIL]
+    assert np.allclose((model.rate, model.k), toxicity.fit_tail(histogram, tail))
+    for r_ in toxicity.score_toxicity(docs, model).collect()[:60]:
+        scores = [token(w) for w in texts[r_.doc_id].split()]
+        base = np.log(model.k * len(scores) + 1)
+        passages = [(a, b, model.rate * sum(scores[a:b]) - base) for a, b in brute_segments_fast(scores)]
+        big = [p for p in passages if p[2] >= -np.log(toxicity.EXPECTED)]
+        x = sum(p[2] for p in big) if big else min(max((p[2] for p in passages), default=-base - 3), -np.log(toxicity.EXPECTED))
+        assert abs(r_.score - 1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -30, 30)))) < 1e-6
+        assert sorted(zip(r_.passage_starts, r_.passage_ends)) == sorted((a, b) for a, b, _ in big)
+
+
+def brute_segments_fast(scores):
+    """Maximal segments by the textbook recursion: the best segment, then the parts before and behind it."""
+    best = max(((sum(scores[a:b]), -(b - a), a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=(0, 0, 0, 0))
+    if best[0] <= 1e-12:
+        return []
+    a, b = best[2:]
+    return [*brute_segments_fast(scores[:a]), (a, b), *((a2 + b, b2 + b) for a2, b2 in brute_segments_fast(scores[b:]))]
+
+
 def test_classifiers_take_odd_rows_and_missing_labels(spark):
     docs = frame(spark, ODD, ODD_IDS)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
