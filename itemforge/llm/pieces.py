@@ -1,13 +1,15 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 A merge-type model joins the adjacent symbols whose union has the best score, the leftmost of equals, until no union
-is a piece. Each candidate merge is skipped where a keyed hash of (seed, word, variant, span) falls below the dropout
-rate, so a seed and a document settle a segmentation and other seeds and occurrences give other ones. With dropout 0
-the result is the model's own. Characters without a piece, U+2581 among them, become byte pieces, so that decoding
-gives back every text exactly.
-
-Words are segmented once a block and variant. Short words advance together, each by its own next agenda entry; long
-ones have an agenda each.
+is a piece. Each candidate merge is skipped where a keyed hash of (seed, document, span in the document) falls below
+the dropout rate, so a seed and a document settle a segmentation, and every occurrence of a word draws its own. With
+dropout 0 the result is the model's own. Characters without a piece, U+2581 among them, become byte pieces, so that
+decoding gives back every text exactly.
+
+Occurrences share work where they skip alike: every word of a slice is merged once without dropout, and an occurrence
+that skips none of these merges has that result. The others are merged by their own draws. Short words advance
+together, each by its own next agenda entry; long ones have an agenda each. A long word is cut first between characters
+that stand together in no piece, so that text without spaces falls into short words where the model has few pieces.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from itemforge.llm.common import bound_batches, by_slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SEED, DROPOUT, VARIANTS = 13, 0.1, 8
+SEED, DROPOUT = 13, 0.1
 SHORT = 48  # symbols of a word that advances with others
 SLICE = 2_000_000  # characters whose words are segmented together
 SPACE = "▁"
@@ -55,6 +58,7 @@ class Vocabulary:
     pair_merged: list[np.ndarray]
     rank: np.ndarray  # by piece: smaller merges first, equal scores share a rank
     size: int
+    together: np.ndarray  # sorted codes of the neighbouring characters inside pieces
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -88,7 +92,25 @@ class Vocabulary:
                 break
         assert not left, "the pair tables are too small"
         raw = [bytes([int(p[3:-1], 16)]) if b else p.replace(SPACE, " ").encode() for p, b in zip(pieces, is_byte, strict=True)]
-        return cls(raw, char_ids, is_byte.index(True), keys, merged, rank, size)
+        spelled = [p.replace(SPACE, " ") for p in plain if len(p) > 1]
+        together = np.unique(np.array([ord(x) << 21 | ord(y) for p in spelled for x, y in zip(p, p[1:], strict=False)], dtype=np.int64))
+        return cls(raw, char_ids, is_byte.index(True), keys, merged, rank, size, together)
+
+    @cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """(rank, piece) of each pair, for agendas of one word."""
+        found = [(k[k >= 0].tolist(), m[k >= 0].tolist()) for k, m in zip(self.pair_keys, self.pair_merged, strict=True)]
+        rank = self.rank.tolist()
+        return {k: (rank[m], m) for keys, merged in found for k, m in zip(keys, merged, strict=True)}
+
+    def cut(self, word: str) -> list[str]:
+        """The word in parts that no piece reaches across."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        pairs = codes[:-1] << 21 | codes[1:]
+        at = np.searchsorted(self.together, pairs)
+        at[at == len(self.together)] = 0
+        edges = [0, *(np.flatnonzero(self.together[at] != pairs) + 1).tolist(), len(word)]
+        return [word[i:j] for i, j in zip(edges, edges[1:], strict=False)]
 
     @staticmethod
     def _slot(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -116,24 +138,35 @@ def _skipped(keys: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.nd
         return _mix(keys + span * _A) < limit
 
 
-def _agenda(v: Vocabulary, symbols: list[int], key: np.uint64, limit: np.uint64) -> list[int]:
-    """One word by its own agenda of candidate merges."""
-    n = len(symbols)
+_MASK = (1 << 64) - 1
+_INT = tuple(int(c) for c in (_A, _B, _C))
+
+
+def _agenda(v: Vocabulary, symbols: list[int], key: int, offset: int, limit: int) -> list[int]:
+    """One long word by its own agenda of candidate merges."""
+    n, size, pairs, (a, b, c) = len(symbols), v.size, v.pairs, _INT
     symbols, end = list(symbols), list(range(1, n + 1))
     after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-    keys = np.array([key], dtype=np.uint64)
     agenda: list[tuple[int, int, int, int, int]] = []
 
-    def offer(i: int) -> None:
+    def offer(i: int, entries: list) -> None:
         j = after[i] if i >= 0 else -1
-        if j < 0:
+        if j < 0 or symbols[i] < 0 or symbols[j] < 0:
+            return
+        found = pairs.get(symbols[i] * size + symbols[j])
+        if found is None:
             return
-        merged = int(v.merge(np.array([symbols[i]]), np.array([symbols[j]]))[0])
-        if merged >= 0 and not (limit and _skipped(keys, np.array([i]), np.array([j]), np.array([end[j]]), limit)[0]):
-            heapq.heappush(agenda, (int(v.rank[merged]), i, j, end[j], merged))
+        if limit:  # _skipped() of one span
+            x = key + (offset + i << 42 ^ offset + j << 21 ^ offset + end[j]) * a & _MASK
+            x = (x ^ x >> 30) * b & _MASK
+            x = (x ^ x >> 27) * c & _MASK
+            if x ^ x >> 31 < limit:
+                return
+        entries.append((found[0], i, j, end[j], found[1]))
 
     for i in range(n):
-        offer(i)
+        offer(i, agenda)
+    heapq.heapify(agenda)
     alive = [True] * n
     while agenda:
         _, i, j, stop, merged = heapq.heappop(agenda)
@@ -142,13 +175,19 @@ def _agenda(v: Vocabulary, symbols: list[int], key: np.uint64, limit: np.uint64)
         symbols[i], end[i], after[i], alive[j] = merged, stop, after[j], False
         if after[i] >= 0:
             before[after[i]] = i
-        offer(before[i])
-        offer(i)
+        new: list = []
+        offer(before[i], new)
+        offer(i, new)
+        for entry in new:
+            heapq.heappush(agenda, entry)
     return [s for s, a in zip(symbols, alive, strict=True) if a]
 
 
-def _segment(v: Vocabulary, words: list[str], which: np.ndarray, keys: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of item i (word which[i] under keys[i]): a flat array, and its bounds. Negative: code point - 1 - 2**21."""
+def _segment(v: Vocabulary, words: list[str], which: np.ndarray, keys: np.ndarray, offsets: np.ndarray, limit: np.uint64, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of item i (word which[i] at offsets[i] of the text with keys[i]): a flat array, and its bounds.
+
+    A negative symbol is a character without a piece: code point - 1 - 2**21. merges takes arrays (item, start, middle, end) of the merges of short words.
+    """
     lengths = np.array([len(w) for w in words], dtype=np.int64)
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     base = v.char_ids[codes]
@@ -158,7 +197,7 @@ def _segment(v: Vocabulary, words: list[str], which: np.ndarray, keys: np.ndarra
     done: list[tuple[np.ndarray, np.ndarray]] = []  # items, their symbols in order
     for i in np.flatnonzero(n > SHORT).tolist():
         w = which[i]
-        out = _agenda(v, base[starts[w] : starts[w] + lengths[w]].tolist(), keys[i], limit)
+        out = _agenda(v, base[starts[w] : starts[w] + lengths[w]].tolist(), int(keys[i]), int(offsets[i]), int(limit))
         done.append((np.full(len(out), i, np.int32), np.array(out, dtype=np.int32)))
     short = np.flatnonzero(n <= SHORT)
     item = np.repeat(short, n[short]).astype(np.int32)
@@ -172,7 +211,8 @@ def _segment(v: Vocabulary, words: list[str], which: np.ndarray, keys: np.ndarra
         merged[at] = v.merge(symbol[at], symbol[at + 1])
         at = at[merged[at] >= 0]
         if limit and len(at):
-            at = at[~_skipped(keys[item[at]], begin[at], end[at], end[at + 1], limit)]
+            offset = offsets[item[at]]
+            at = at[~_skipped(keys[item[at]], begin[at] + offset, end[at] + offset, end[at + 1] + offset, limit)]
         order = np.full(len(item), _NONE)
         order[at] = v.rank[merged[at]] * SHORT + begin[at]
         first = np.flatnonzero(np.concatenate(([True], ~same)))
@@ -183,6 +223,8 @@ def _segment(v: Vocabulary, words: list[str], which: np.ndarray, keys: np.ndarra
         if over.any():
             done.append((item[over], symbol[over]))
         chosen = np.flatnonzero((order == best) & ~over)
+        if merges is not None and len(chosen):
+            merges.append((item[chosen], begin[chosen], end[chosen], end[chosen + 1]))
         symbol[chosen], end[chosen] = merged[chosen], end[chosen + 1]
         keep = ~over
         keep[chosen + 1] = False
@@ -218,8 +260,8 @@ def _with_bytes(v: Vocabulary, symbols: np.ndarray, bounds: np.ndarray) -> tuple
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS) -> None:
-        self.v, self.seed, self.variants = vocabulary, np.uint64(seed & 0xFFFFFFFFFFFFFFFF), variants if dropout > 0 else 1
+    def __init__(self, vocabulary: Vocabulary, seed: int = SEED, dropout: float = DROPOUT) -> None:
+        self.v, self.seed = vocabulary, np.uint64(seed & 0xFFFFFFFFFFFFFFFF)
         self.limit = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
 
     def encode(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray]:
@@ -228,31 +270,59 @@ class Encoder:
         tokens, counts = [], []
         for text in texts:
             parts = _PARTS.findall(" " + text) if text else []
+            if text and max(map(len, parts)) > SHORT:
+                parts = [q for p in parts for q in (self.v.cut(p) if len(p) > SHORT else [p])]
             tokens += [ids.setdefault(p, len(ids)) for p in parts]
             counts.append(len(parts))
         if not tokens:
             return [np.empty(0, np.int32)] * len(texts)
         words, size = list(ids), np.array(counts)
         token = np.array(tokens, dtype=np.int64)
+        lengths = np.array([len(w) for w in words], dtype=np.int64)[token]
+        ends = np.cumsum(lengths)
         with np.errstate(over="ignore"):
-            document = np.repeat(_mix(np.array([k & 0xFFFFFFFFFFFFFFFF for k in keys], dtype=np.uint64) * _A + self.seed), size)
-            place = (np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint64)
-            variant = (_mix(document + place * _A) % np.uint64(self.variants)).astype(np.int64)
-            items, inverse = np.unique(token * self.variants + variant, return_inverse=True)
-            which, kind = np.divmod(items, self.variants)
-            codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-            lengths = np.array([len(w) for w in words])
-            starts = np.cumsum(lengths) - lengths
-            inside = (np.arange(len(codes)) - np.repeat(starts, lengths)).astype(np.uint64)
-            word_keys = np.add.reduceat(_mix((codes << np.uint64(32)) + inside + _C), starts)
-            item_keys = _mix(word_keys[which] + _mix(self.seed * _B + kind.astype(np.uint64) + np.uint64(1)))
-        symbols, bounds = _with_bytes(self.v, *_segment(self.v, words, which, item_keys, self.limit))
-        begin, length = bounds[:-1][inverse], np.diff(bounds)[inverse]
+            document = _mix(np.array([k & _MASK for k in keys], dtype=np.uint64) * _A + _mix(self.seed * _B + _C))
+        first = np.cumsum(size) - size
+        offsets = ends - lengths - np.repeat((ends - lengths)[np.minimum(first, len(token) - 1)], size)
+        symbols, bounds, item = self._items(words, token, np.repeat(document, size), offsets)
+        begin, length = bounds[:-1][item], np.diff(bounds)[item]
         place = np.cumsum(length) - length
         flat = symbols[np.arange(int(length.sum())) + np.repeat(begin - place, length)]
         edges = np.concatenate(([0], np.cumsum(length)))[np.concatenate(([0], np.cumsum(size)))]
         return [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
+    def _items(self, words: list[str], token: np.ndarray, keys: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Piece ids of each item with their bounds, and the item of each occurrence: first the words, then own draws."""
+        merges: list[tuple] = []
+        every = np.arange(len(words))
+        lengths = np.array([len(w) for w in words])
+        # with dropout a long word has no shared result
+        shared = every if not self.limit else np.flatnonzero(lengths <= SHORT)
+        flat, inner = _segment(self.v, words, shared, np.zeros(len(shared), np.uint64), np.zeros(len(shared), np.int64), np.uint64(0), merges)
+        plain = np.zeros(len(words), np.int64)
+        plain[shared] = np.arange(len(shared))
+        item = plain[token]
+        if self.limit:
+            own = lengths[token] > SHORT
+            if merges:
+                of, start, middle, end = (np.concatenate(c) for c in zip(*merges, strict=True))
+                order = np.argsort(of, kind="stable")
+                of, start, middle, end = of[order], start[order], middle[order], end[order]
+                held = np.bincount(of, minlength=len(shared))
+                first = np.cumsum(held) - held
+                for a in range(0, len(token), 1 << 18):
+                    short = a + np.flatnonzero(~own[a : a + (1 << 18)])
+                    n = held[item[short]]
+                    at = np.arange(int(n.sum())) + np.repeat(first[item[short]] - (np.cumsum(n) - n), n)
+                    offset = np.repeat(offsets[short], n)
+                    skips = _skipped(np.repeat(keys[short], n), start[at] + offset, middle[at] + offset, end[at] + offset, self.limit)
+                    own[np.repeat(short, n)[skips]] = True
+            drawn = np.flatnonzero(own)
+            other, outer = _segment(self.v, words, token[drawn], keys[drawn], offsets[drawn], self.limit)
+            item[drawn] = len(shared) + np.arange(len(drawn))
+            flat, inner = np.concatenate([flat, other]), np.concatenate([inner, inner[-1] + outer[1:]])
+        return (*_with_bytes(self.v, flat, inner), item)
+
 
 def decode(vocabulary: Vocabulary, ids: np.ndarray | list[int] | None) -> str:
     """The text of piece ids; the space that encoding puts in front is taken off."""
@@ -260,23 +330,24 @@ def decode(vocabulary: Vocabulary, ids: np.ndarray | list[int] | None) -> str:
     return b"".join([table[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids or [])])[1:].decode("utf-8", "surrogatepass")
 
 
-def encode_documents(docs: DataFrame, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
     """The columns of docs with `pieces` (array of piece ids).
 
-    Null text and empty text have no pieces. The key of a document is its doc_id (0 for null), so repeated rows get
-    equal pieces. A column named pieces is replaced. The model's tables are read by the driver and broadcast.
+    Null text and empty text have no pieces; a text of any length is encoded whole. The key of a document is its doc_id
+    (0 for null, a hash where it is no integer), so repeated rows get equal pieces. A column named pieces is replaced,
+    others stay; an empty table gives no rows. The model's tables, of fixed size, are read by the driver and broadcast.
     """
-    return _encoded(docs, model, seed, dropout, variants, decoding=False)
+    return _encoded(docs, model, seed, dropout, decoding=False)
 
 
-def _encoded(docs: DataFrame, model: str, seed: int, dropout: float, variants: int, decoding: bool) -> DataFrame:
+def _encoded(docs: DataFrame, model: str, seed: int, dropout: float, decoding: bool) -> DataFrame:
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     added = ["pieces", "decoded_sha256", "lossless"] if decoding else ["pieces"]
     head = [c for c in docs.columns if c not in added]
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, seed, dropout, variants)
+        encoder = Encoder(shared.value, seed, dropout)
         for batch in source:
             texts, keys = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
             flat, sizes, digests, same = [np.empty(0, np.int32)], [0], [], []
@@ -294,16 +365,18 @@ def _encoded(docs: DataFrame, model: str, seed: int, dropout: float, variants: i
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], [*batch.schema.names[:-2], *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*head).schema)
-    rows = docs.select(*head, F.col("text").alias("__text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__key"))
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    key = F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    rows = docs.select(*head, F.col("text").alias("__text"), F.coalesce(key, F.lit(0).cast("long")).alias("__key"))
     return rows.mapInArrow(batches, f"{schema}, pieces array<int>" + (", decoded_sha256 string, lossless boolean" if decoding else ""))
 
 
-def round_trip(docs: DataFrame, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
+def round_trip(docs: DataFrame, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
     """encode_documents() with `decoded_sha256`, the digest of what its pieces decode to, and `lossless`.
 
     The task that encodes a text decodes its pieces too, so only one Python worker a task holds the tables.
     """
-    return _encoded(docs, model, seed, dropout, variants, decoding=True)
+    return _encoded(docs, model, seed, dropout, decoding=True)
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -325,6 +325,54 @@ def test_dropout_is_seeded_varied_and_lossless(monkeypatch):
     assert [o.tolist() for o in one] == [o.tolist() for o in pieces.Encoder(v).encode(texts, [1, 2, 3, 4, 5])]
 
 
+def merged_by_hand(v, text, key, seed, limit):
+    """The whole text as one word: join the best adjacent pair that its span's hash does not skip, until none is left."""
+    mix = lambda x: int(pieces._mix(np.array([x & (2**64 - 1)], dtype=np.uint64))[0])
+    a, b, c = int(pieces._A), int(pieces._B), int(pieces._C)
+    document = mix((key & (2**64 - 1)) * a + mix(seed * b + c))
+    spans = [(i, i + 1, int(v.char_ids[ord(ch)])) for i, ch in enumerate(" " + text)]
+    while True:
+        best = None
+        for k, ((s, m, x), (_, e, y)) in enumerate(zip(spans, spans[1:])):
+            found = int(v.merge(np.array([x]), np.array([y]))[0]) if x >= 0 and y >= 0 else -1
+            if found >= 0 and mix(document + (s << 42 ^ m << 21 ^ e) * a) >= limit and (best is None or (int(v.rank[found]), s) < best[:2]):
+                best = int(v.rank[found]), s, k, found
+        if best is None:
+            return [p for s, e, x in spans for p in ([x] if x >= 0 else [v.byte_base + n for n in (" " + text)[s:e].encode()])]
+        spans[best[2] : best[2] + 2] = [(spans[best[2]][0], spans[best[2] + 1][1], best[3])]
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.6])
+def test_dropout_equals_brute_force(dropout):
+    v, r = pieces.Vocabulary.load(), random.Random(5)
+    texts = ["segmentation of the international everything " * 3, "".join(r.choice("abcdeghinorst") for _ in range(90)), "naïve 日本語の文章 ▁x\n\n\n  b", "the the the the the"]
+    encoder = pieces.Encoder(v, seed=77, dropout=dropout)
+    found = [o.tolist() for o in encoder.encode(texts, [3, -4, 2**40, 9])]
+    assert found == [merged_by_hand(v, t, k, 77, int(encoder.limit)) for t, k in zip(texts, [3, -4, 2**40, 9], strict=True)]
+
+
+def test_occurrences_of_a_word_vary():
+    v = pieces.Vocabulary.load()
+    ids = pieces.Encoder(v, dropout=0.3).encode(["thoughtfulness " * 500], [1])[0]
+    words = {w for w in " ".join(map(str, ids)).split(str(int(v.char_ids[ord(" ")])))}
+    assert len(words) > 20 and pieces.decode(v, ids) == "thoughtfulness " * 500
+
+
+def test_long_parts_are_quick():
+    v, r = pieces.Vocabulary.load(), random.Random(6)
+    pieces.Encoder(v).encode(["warm"], [0])
+    for text in ("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40_000)), "東京都は日本の首都です。" * 3300, "ab" * 20_000):
+        start = time.perf_counter()
+        ids = pieces.Encoder(v).encode([text], [1])[0]
+        assert time.perf_counter() - start < 1 and pieces.decode(v, ids) == text
+
+
+def test_ids_of_any_type(spark):
+    rows = spark.createDataFrame([("a", "some text"), (None, "some text"), ("a", "some text")], "doc_id string, text string")
+    found = pieces.encode_documents(rows).collect()
+    assert len(found) == 3 and found[0].pieces == found[2].pieces
+
+
 def test_piece_documents_edge_cases(spark):
     docs = frame(spark, ODD, ODD_IDS)
     back = pieces.decode_documents(pieces.encode_documents(docs)).collect()
