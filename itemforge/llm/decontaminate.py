@@ -1,24 +1,28 @@
 """Benchmark decontamination: scan token windows against a broadcast hash set of test n-grams, verify, remove.
 
-The test n-grams are broadcast in blocks of at most BLOCK_WINDOWS windows; a larger benchmark takes more passes
-over the training text, so what is broadcast never grows beyond the bound.
+Spark derives the windows of the benchmark's items. They are broadcast in blocks of at most BLOCK_WINDOWS windows and
+BLOCK_BYTES bytes, a block a pass over the training text; the hits of several passes meet by a digest of the text,
+as equal texts have equal hits. So what the driver and a task hold never grows beyond one block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.llm.common import bound_batches, stored
 
 WINDOW = 10
-BLOCK_WINDOWS = 2_000_000
+BLOCK_WINDOWS, BLOCK_BYTES = 1_000_000, 128 << 20
 #: Bytes that separate words become a space, A-Z becomes a-z, all other bytes stay.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -26,114 +30,159 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
+def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """64-bit hashes of words; known keeps those of a batch."""
+    for word in set(words):
+        if word not in known:
+            known[word] = xxhash.xxh64_intdigest(word)
+    return np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
+
+
+def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The hash of each window of that many words."""
+    out = np.zeros(max(0, len(hashes) - width + 1), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(width if len(out) else 0):
+            out = (out + hashes[j : j + len(out)]) * _PRIME
+            out ^= out >> np.uint64(29)
+    return out
+
+
+def windows_of(words: list[bytes], window: int) -> tuple[int, np.ndarray, list[bytes]]:
+    """Width, hashes and words of an item's windows; an item of fewer words is one window."""
+    width = min(window, len(words))
+    spelled = [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] if width else []
+    return width, window_hashes(word_hashes(words, {}), width) if width else np.empty(0, np.uint64), spelled
+
+
 class WindowSet:
-    """Windows of one block of items: the ids of their words, and by length the rolling hash of each window."""
-
-    def __init__(self, rows: list[tuple[str, list[bytes]]], window: int) -> None:
-        self.word_ids: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], set[str]] = {}
-        for item, words in rows:
-            ids = [self.word_ids.setdefault(w, len(self.word_ids)) for w in words]
-            width = min(window, len(ids))
-            for i in range(len(ids) - width + 1 if ids else 0):
-                self.items.setdefault(tuple(ids[i : i + width]), set()).add(item)
-        self.hashes = {n: np.unique(self._hash(np.array([k for k in self.items if len(k) == n], dtype=np.int64))) for n in {len(k) for k in self.items}}
-
-    @staticmethod
-    def _hash(ids: np.ndarray) -> np.ndarray:
-        out = np.zeros(ids.shape[0], dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(ids.shape[1]):
-                out = (out + ids[:, j].astype(np.uint64) + np.uint64(1)) * _PRIME
-                out ^= out >> np.uint64(29)
-        return out
-
-    def scan(self, words: list[bytes]) -> list[tuple[int, int, tuple[int, ...]]]:
-        """Verified hits (start, end, window) in word positions."""
-        get = self.word_ids.get
-        ids = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        known = np.concatenate(([0], np.cumsum(ids >= 0)))
-        hits = []
-        for width, table in self.hashes.items():
-            if len(ids) < width:
+    """A block of (width, hash as signed number, window, item), sorted by hash, in flat arrays."""
+
+    def __init__(self, widths: Sequence[int], hashes: Sequence[int], windows: list[bytes], items: list[str]) -> None:
+        self.tables = {}
+        width, code = np.array(widths, dtype=np.int64), np.array(hashes, dtype=np.int64).view(np.uint64)
+        self.names = sorted(set(items))
+        number = {n: i for i, n in enumerate(self.names)}
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            at = at[np.argsort(code[at], kind="stable")]
+            edges = np.cumsum([0, *(len(windows[i]) for i in at)])
+            self.tables[w] = code[at], edges, b"".join([windows[i] for i in at]), np.array([number[items[i]] for i in at], dtype=np.int32)
+
+    @classmethod
+    def of(cls, items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> WindowSet:
+        rows = [(width, code, spelled, item) for item, words in items for width, codes, windows in [windows_of(words, window)] for code, spelled in zip(codes.view(np.int64).tolist(), windows, strict=True)]
+        return cls(*(list(c) for c in zip(*rows, strict=True))) if rows else cls([], [], [], [])
+
+    def scan(self, words: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, set[str]]:
+        """The words inside verified windows (a flag each), and the items that these windows are from."""
+        hit, items = np.zeros(len(words), dtype=bool), set()
+        hashes = word_hashes(words, known)
+        for width, (table, edges, spelled, item) in self.tables.items():
+            found = window_hashes(hashes, width)
+            if not len(found):
                 continue
-            starts = np.flatnonzero(known[width:] - known[:-width] == width)
-            if not len(starts):
-                continue
-            found = self._hash(ids[starts[:, None] + np.arange(width)])
             near = np.searchsorted(table, found)
-            near[near == len(table)] = 0
-            for start in starts[table[near] == found].tolist():
-                key = tuple(ids[start : start + width].tolist())
-                if key in self.items:  # the words themselves, not their hash
-                    hits.append((start, start + width, key))
-        return hits
-
-
-def _blocks(benchmark: DataFrame, window: int, limit: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    block, held = [], 0
-    for row in benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        words = words_of(row[1])
-        if block and held + len(words) > limit:
-            yield block
-            block, held = [], 0
-        block.append((row[0], words))
-        held += len(words)
-    yield block
+            for start in np.flatnonzero(table[np.minimum(near, len(table) - 1)] == found).tolist():
+                window, k = b" ".join(words[start : start + width]), int(near[start])
+                while k < len(table) and table[k] == found[start]:
+                    if spelled[edges[k] : edges[k + 1]] == window:  # the words themselves, not their hash
+                        hit[start : start + width] = True
+                        items.add(self.names[item[k]])
+                    k += 1
+        return hit, items
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Per input row: doc_id, n_words, the hit words (starts, and ends one further) and the items with occurring windows.
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(width, hash, window, item): the different windows of each item. Items without words or without an id have none."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                width, codes, spelled = windows_of(words_of(text), window)
+                for a in range(0, len(spelled), 100_000):
+                    part = spelled[a : a + 100_000]
+                    columns = [pa.array([width] * len(part), pa.int32()), pa.array(codes[a : a + 100_000].view(np.int64)), pa.array(part, pa.binary()), pa.array([item] * len(part), pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, ["width", "hash", "window", "item"])
+
+    named = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
+    return named.mapInArrow(batches, "width int, hash long, window binary, item string").distinct()
+
+
+_HITS = pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+_HITS_SQL = "struct<n_words: bigint, starts: array<bigint>, ends: array<bigint>, items: array<string>>"
+
+
+def _scanned(rows: DataFrame, windows: WindowSet) -> tuple[DataFrame, object]:
+    """rows with __hits, and the broadcast; the last column is the text and goes."""
+    shared = rows.sparkSession.sparkContext.broadcast(windows)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            known: dict[bytes, int] = {}
+            out = []
+            for value in batch.column(batch.num_columns - 1):
+                words = words_of(value.as_py())
+                hit, items = shared.value.scan(words, known)
+                places = np.flatnonzero(hit)
+                out.append({"n_words": len(words), "starts": places, "ends": places + 1, "items": sorted(items)})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, _HITS)], [*batch.schema.names[:-1], "__hits"])
+
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
+    return rows.mapInArrow(batches, f"{head}, __hits {_HITS_SQL}"), shared
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs (text, others) with __hits: n_words, the hit words (starts, and ends one further), and the items that occur.
 
     Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters. An item with fewer than `window`
     words is one window of its own length. Null or empty text has no words; an item or benchmark without words hits
-    nothing. Repeated rows give repeated results. Other columns are ignored. The number of blocks changes no result: the
-    rows of several passes are stored with a key of their own and meet again by it.
+    nothing. Repeated rows and ids give repeated results; a text of any length is scanned whole; an empty table gives
+    no rows. The number of blocks changes the plan and no result.
     """
-    spark, parts = docs.sparkSession, []
-    bound_batches(spark)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks = _blocks(benchmark, window, block_windows)
-    rows, following = next(blocks), next(blocks, None)
-    source_rows = docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text")
-    several = following is not None
-    if several:
-        source_rows = stored(source_rows.withColumn("row", F.monotonically_increasing_id()), "decontamination-rows")
-    while rows is not None:
-        windows = spark.sparkContext.broadcast(WindowSet(rows, window))
-
-        def batches(source: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
-            for batch in source:
-                texts = batch.column(2)
-                n_words, starts, ends, items = [], [], [], []
-                for value in texts:
-                    words = words_of(value.as_py())
-                    hits = windows.value.scan(words)
-                    n_words.append(len(words))
-                    places = sorted({p for start, end, _ in hits for p in range(start, end)})
-                    starts.append(places)
-                    ends.append([p + 1 for p in places])
-                    items.append(sorted(set().union(*(windows.value.items[k] for *_, k in hits))))
-                columns = [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_words", "starts", "ends", "items"])
-
-        found = source_rows.mapInArrow(batches, f"row long, doc_id {kind}, n_words long, starts array<long>, ends array<long>, items array<string>")
-        parts.append(found.filter(F.size("items") > 0) if parts else found)  # the first pass has every row
-        rows, following = following, next(blocks, None)
-    if not several:
-        return parts[0].drop("row")
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    united = lambda name: F.array_sort(F.array_distinct(F.flatten(F.collect_list(name))))
-    found = whole.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), united("starts").alias("starts"), united("items").alias("items"))
-    return found.select("doc_id", "n_words", "starts", F.transform("starts", lambda s: s + 1).alias("ends"), "items")
+    bound_batches(docs.sparkSession)
+    known = stored(benchmark_windows(benchmark, window), "windows")
+    count, size = known.agg(F.count("*"), F.coalesce(F.sum(F.length("window") + F.length("item")), F.lit(0))).collect()[0]
+    blocks = max(1, math.ceil(count / block_windows), math.ceil(size / block_bytes))
+    # by window and item, so that a window which very many items hold is spread, too
+    dealt = known.withColumn("block", F.pmod(F.xxhash64("window", "item"), F.lit(blocks)))
+    block = lambda k: WindowSet(*(c.to_pylist() for c in dealt.filter(F.col("block") == k).select("width", "hash", "window", "item").toArrow().columns))
+    columns = docs.columns
+    if blocks == 1:
+        return _scanned(docs.select(*columns, F.col("text").alias("__text")), block(0))[0]
+    parts = None
+    for k in range(blocks):
+        found, shared = _scanned(docs.select(F.md5("text").alias("key"), "text"), block(k))
+        part = stored(found.filter(F.size("__hits.items") > 0).groupBy("key").agg(F.first("__hits").alias("h")), "hits")
+        shared.destroy()
+        parts = part if parts is None else parts.unionByName(part)
+    united = lambda name: F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"h.{name}"))))
+    whole = parts.groupBy("key").agg(united("starts").alias("starts"), united("items").alias("items")).withColumnRenamed("key", "__key")
+    none = F.array().cast("array<bigint>")
+    hits = F.struct(
+        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long").alias("n_words"),
+        F.coalesce("starts", none).alias("starts"),
+        F.coalesce(F.transform("starts", lambda s: s + 1), none).alias("ends"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+    )
+    base = docs.select(F.struct(*columns).alias("__row"), "text", F.md5("text").alias("__key"))
+    return base.join(whole, "__key", "left").select("__row.*", hits.alias("__hits"))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """Per input row: doc_id, n_words, starts, ends and items (see with_hits). Other columns are ignored."""
+    return with_hits(docs.select("doc_id", "text"), benchmark, window, block_windows).select("doc_id", "__hits.*")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs without a benchmark window; each row by its own text, whatever its id."""
+    return with_hits(docs, benchmark, window).filter(F.size("__hits.items") == 0).drop("__hits")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated per document (see find_hits)."""
     hits = find_hits(docs, benchmark, window)
-    n_hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+    n_hit = F.size("starts").cast("long")
     return hits.select(
         "doc_id",
         "n_words",

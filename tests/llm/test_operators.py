@@ -226,6 +226,36 @@ def test_blocks_keep_repeated_and_null_rows_apart(spark):
     assert one == many and len(many) == 7
 
 
+def hits_by_hand(text, items, window=10):
+    words, hit, found = decontaminate.words_of(text), set(), set()
+    for item, other in items:
+        own = decontaminate.words_of(other)
+        n = min(window, len(own))
+        for i in range(len(own) - n + 1 if n else 0):
+            for j in range(len(words) - n + 1):
+                if words[j : j + n] == own[i : i + n]:
+                    hit |= set(range(j, j + n))
+                    found.add(str(item))
+    return len(words), sorted(hit), sorted(found)
+
+
+@pytest.mark.parametrize("limit", [10**6, 40, 7])
+def test_hits_equal_brute_force_in_any_number_of_blocks(spark, limit):
+    r = random.Random(8)
+    words = [f"Ж{i}" if i % 5 == 0 else f"w{i}" for i in range(7)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(i, text(r.choice([0, 1, 3, 8, 12]))) for i in range(12)] + [(13, None), (None, "w1 w2"), (1, "w1, W2! w3")]
+    rows = [(r.choice([1, 2, None]), r.choice([text(30), text(3), None, "", "a b c"])) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, "items", 3) for i, t in rows], "doc_id long, text string, starts string, items int")
+    found = decontaminate.find_hits(docs, spark.createDataFrame(items, "item_id long, text string"), window=4, block_windows=limit)
+    known = [(i, t) for i, t in items if i is not None]
+    wanted = sorted(((i, *hits_by_hand(t, known, 4)) for i, t in rows), key=repr)
+    assert sorted(((f.doc_id, f.n_words, f.starts, f.items) for f in found.collect()), key=repr) == wanted
+    clean = decontaminate.clean_documents(docs, spark.createDataFrame(items, "item_id long, text string"), 4)
+    assert clean.columns == docs.columns
+    assert rows_of(clean, "doc_id", "text") == sorted(((i, t) for i, t in rows if not hits_by_hand(t, known, 4)[2]), key=repr)
+
+
 def test_decontamination_edge_cases(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     found = decontaminate.contamination(frame(spark, ODD, ODD_IDS), empty).collect()
