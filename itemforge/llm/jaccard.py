@@ -1,44 +1,54 @@
 """Near-duplicate join on word n-grams: MinHash LSH forest, then exact Jaccard.
 
 1. Every text becomes a set of word n-grams with a MinHash signature; texts with equal sets are one vertex.
-2. Each of TREES tries holds the vertices under its stretch of the signature. The matched prefix starts at full depth
-   and is shortened until the trees together reach TARGET_RECALL at the threshold; a trie node at that depth is a
-   bucket. Buckets of any size are compared in blocks by their whole signatures; what is far from the threshold drops.
-3. Connected survivors are verified exactly, block against block, from the texts. A task's output is a row for each
+2. Each of TREES tries holds the vertices under the signature from its own place on, so that shortest prefixes share no
+   value. Prefixes are matched at LEAST_DEPTH, the shortest, where the trees together find far more than TARGET_RECALL
+   of the pairs at the threshold. That leaves room: where a vertex meets a crowd under a prefix, it keeps a longer one in
+   that tree, as long as its other trees alone reach the target; if they do not, the least crowded of its crowded
+   prefixes are shortened again until they do. A crowd that shares a passage but is not similar so falls apart.
+3. Vertices under one prefix are compared by their whole signatures, in blocks where they are many; what is far from
+   the threshold drops.
+4. Connected survivors are verified exactly, block against block, from the texts. A task's output is a row for each
    of its vertices: its links in the block and one linked vertex, never a row for each pair.
-4. Verified links give the classes.
+5. Verified links give the classes.
 
-Nothing is capped: larger buckets and clusters only make more blocks.
+Nothing is capped: larger crowds and clusters only make more blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemforge.llm.common import bound_batches, by_slices, stored
 from itemforge.llm.decontaminate import words_of
 
 NGRAM, THRESHOLD = 5, 0.8
-TREES, DEPTH, TARGET_RECALL = 16, 8, 0.9999
+VALUES, TARGET_RECALL = 128, 0.9999
+LEAST_DEPTH, LONGER = 4, (6, 8)  # lengths of a matched prefix
+CROWD = 64  # vertices under a prefix
 BUCKET_BLOCK = 1024  # vertices
 VERIFY_BLOCK, VERIFY_ROWS = 200_000, 1000  # n-grams and vertices
 SIGMAS = 5.0
+HUB_EDGES, HUBS = 1000, 2000  # edges that make a hub, and how many hubs there may be: a bounded broadcast
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def matched_depth(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> int:
-    """The longest prefix at which the trees together find a pair at the threshold with the target probability."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
-        depth -= 1
-    return depth
+def recall(trees: int, depth: int, similarity: float = THRESHOLD) -> float:
+    """The probability that so many trees of disjoint prefixes find a pair of that similarity."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def trees_needed(target: float = TARGET_RECALL, depth: int = LEAST_DEPTH, similarity: float = THRESHOLD) -> int:
+    return math.ceil(math.log(1 - target) / math.log(1 - similarity**depth))
 
 
 # ---------------------------------------------------------------- sets and signatures
@@ -93,11 +103,11 @@ def fingerprint(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def _sketches(n: int, trees: int, depth: int) -> Callable:
+def _sketches(n: int) -> Callable:
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _hash_functions(trees * depth)
+        a, b = _hash_functions(VALUES)
         for batch in source:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             prints, counts, signatures, compact = [], [], [], []
             known: dict[bytes, tuple[bytes, bytes]] = {}  # copies in the batch are sketched once
             for i, j in by_slices(texts):
@@ -110,7 +120,7 @@ def _sketches(n: int, trees: int, depth: int) -> Callable:
                     counts.append(len(grams))
                     signatures.append(known[mark][0])
                     compact.append(known[mark][1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(counts, pa.int64()), pa.array(signatures, pa.binary()), pa.array(compact, pa.binary())], ["doc_id", "vertex", "grams", "signature", "compact"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints, pa.binary()), pa.array(counts, pa.int64()), pa.array(signatures, pa.binary()), pa.array(compact, pa.binary())], ["doc_id", "digest", "vertex", "grams", "signature", "compact"])
 
     return batches
 
@@ -291,9 +301,12 @@ def components(edges: DataFrame) -> DataFrame:
     def both(e: DataFrame) -> DataFrame:
         return e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
-    def with_least(e: DataFrame) -> DataFrame:
-        least = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("least"))
-        return e.join(least, "u")
+    def with_least(e: DataFrame, total: int) -> DataFrame:
+        """Edges with the least neighbour of u. Hubs are broadcast, so that no task reads all edges of one."""
+        least = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("least"), F.count("*").alias("held"))
+        hub = F.col("held") > max(HUB_EDGES, total // HUBS)
+        hubs = F.broadcast(least.filter(hub).drop("held"))
+        return e.join(hubs, "u").unionByName(e.join(hubs, "u", "left_anti").join(least.filter(~hub).drop("held"), "u"))
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0])
@@ -301,9 +314,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = state(edges)
     while before[0]:
-        large = with_least(both(edges)).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        large = with_least(both(edges), 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        held = with_least(large)
+        held = with_least(large, before[0])
         small = held.filter("v != least").select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(held.select("u", F.col("least").alias("v"))).distinct()
         edges = stored(small, "edges")
         after = state(edges)
@@ -313,39 +326,63 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("vertex"), F.col("v").alias("root"))).distinct()
 
 
-# ---------------------------------------------------------------- the join
+# ---------------------------------------------------------------- the forest
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> DataFrame:
-    """One row per input row: doc_id, class_id and n_links.
+def _node(tree: Column, depth: int) -> Column:
+    """A key of the prefix of that length in a tree; the signature goes on from its end to its start."""
+    around = F.concat("signature", F.substring("signature", 1, 4 * max(LONGER)))
+    return F.xxhash64(tree, F.lit(depth), F.substring(around, tree * (4 * LEAST_DEPTH) + 1, 4 * depth))
 
-    Two documents are linked if the Jaccard similarity of their word n-gram sets is at least the threshold; n_links
-    counts the other documents a document is linked to, its copies among them. class_id is the smallest doc_id that
-    chains of links reach. Texts without words (null, empty) have the empty set and are copies of each other. Rows
-    with a null doc_id are in no class (null) and have no links. Repeated rows count as copies; other columns are
-    ignored.
-    """
+
+def forest(vertices: DataFrame, target: float = TARGET_RECALL, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, vertex, held) for vertices (vertex, signature): the prefixes matched, held by more than one vertex."""
+    trees = VALUES // LEAST_DEPTH
+    needed = min(trees, trees_needed(target, LEAST_DEPTH, threshold))
+    rows = vertices.select("vertex", F.posexplode(F.array(*(_node(F.lit(t), LEAST_DEPTH) for t in range(trees)))).alias("tree", "node"))
+
+    def shared(rows: DataFrame) -> DataFrame:
+        held = rows.groupBy("node").agg(F.count("*").alias("held")).filter("held > 1")
+        return stored(rows.join(held, "node"), "forest")
+
+    met = shared(rows)
+    found = met.filter(F.col("held") <= CROWD).select("node", "vertex", "held")
+    by_vertex = Window.partitionBy("vertex")
+    crowded = met.filter(F.col("held") > CROWD)
+    crowded = crowded.withColumns({"place": F.row_number().over(by_vertex.orderBy("held", "node")), "crowds": F.count("*").over(by_vertex)})
+    crowded = stored(crowded.withColumn("short", F.col("place") <= needed - trees + F.col("crowds")), "crowded")
+    found = found.unionByName(crowded.filter("short").select("node", "vertex", "held"))
+    long = crowded.filter("NOT short").select("vertex", "tree")
+    for depth in LONGER:
+        longer = shared(long.join(vertices.select("vertex", "signature"), "vertex").select("vertex", "tree", _node(F.col("tree"), depth).alias("node")))
+        # a crowd at full depth has the whole stretch in common: it is matched there
+        found = found.unionByName((longer if depth == LONGER[-1] else longer.filter(F.col("held") <= CROWD)).select("node", "vertex", "held"))
+        long = longer.filter(F.col("held") > CROWD).select("vertex", "tree")
+    return found
+
+
+# ---------------------------------------------------------------- the join
+
+
+def _classes(docs: DataFrame, threshold: float, n: int, target: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, digest, vertex), and vertices (vertex, first_doc, class_id, leader, n_links)."""
     bound_batches(docs.sparkSession)
     exact = Fraction(threshold).limit_denominator(1000)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    unnamed = docs.filter(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
-    rows = stored(docs.mapInArrow(_sketches(n, trees, depth), f"doc_id {kind}, vertex binary, grams long, signature binary, compact binary"), "sketches")
+    rows = stored(docs.select("doc_id", F.md5("text").alias("digest"), "text").mapInArrow(_sketches(n), f"doc_id {kind}, digest string, vertex binary, grams long, signature binary, compact binary"), "sketches")
     vertices = stored(
         rows.groupBy("vertex").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.min("grams").alias("grams"), F.min("signature").alias("signature"), F.min("compact").alias("compact")),
         "vertices",
     )
-    width = matched_depth(trees, depth, threshold, target)
-    forest = vertices.filter("grams > 0").select("vertex", F.posexplode(F.array(*(F.substring("signature", 4 * depth * t + 1, 4 * width) for t in range(trees)))).alias("tree", "prefix"))
-    buckets = forest.groupBy("tree", "prefix").agg(F.count("*").alias("held")).filter("held > 1")
+    met = forest(vertices.filter("grams > 0").select("vertex", "signature"), target, threshold)
     blocks = F.ceil(F.col("held") / BUCKET_BLOCK).cast("int")
-    member = forest.join(buckets, ["tree", "prefix"]).select("tree", "prefix", "vertex", blocks.alias("blocks"), (F.pmod(F.xxhash64("vertex", "tree"), blocks)).alias("block"))
+    member = met.select("node", "vertex", blocks.alias("blocks"), F.pmod(F.xxhash64("vertex", "node"), blocks).alias("block"))
     member = member.join(vertices.select("vertex", "compact"), "vertex")
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
     member = member.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    places = trees * depth
-    least = int(places * threshold - SIGMAS * (places * threshold * (1 - threshold)) ** 0.5)
-    stars = in_groups(member, ["tree", "prefix", "low", "high"], lambda c, b: _similar_in_buckets(c, b, least), "u binary, v binary", ["vertex", "compact"])
+    least = int(VALUES * threshold - SIGMAS * (VALUES * threshold * (1 - threshold)) ** 0.5)
+    stars = in_groups(member, ["node", "low", "high"], lambda c, b: _similar_in_buckets(c, b, least), "u binary, v binary", ["vertex", "compact"])
 
     cluster = components(stars)
     loads = cluster.join(vertices.select("vertex", "grams", "first_doc", "copies"), "vertex")
@@ -376,7 +413,36 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
 
     counts = linked.groupBy("vertex").agg(F.sum("links").alias("links"))
     classes = components(linked.select(F.col("vertex").alias("u"), F.col("u").alias("v")))
-    least_doc = classes.join(vertices.select("vertex", "first_doc"), "vertex").groupBy("root").agg(F.min("first_doc").alias("class_id"))
-    named = vertices.select("vertex", "first_doc", "copies").join(counts, "vertex", "left").join(classes.join(least_doc, "root").select("vertex", "class_id"), "vertex", "left")
-    named = named.select("vertex", F.coalesce("class_id", "first_doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    first = classes.join(vertices.select("vertex", "first_doc"), "vertex").groupBy("root").agg(F.min(F.struct("first_doc", "vertex")).alias("first"))
+    named = vertices.select("vertex", "first_doc", "copies").join(counts, "vertex", "left").join(classes.join(first, "root").select("vertex", "first"), "vertex", "left")
+    named = named.select("vertex", "first_doc", F.coalesce("first.first_doc", "first_doc").alias("class_id"), F.coalesce("first.vertex", "vertex").alias("leader"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return rows.select("doc_id", "digest", "vertex"), named
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, target: float = TARGET_RECALL) -> DataFrame:
+    """One row per input row: doc_id, class_id and n_links.
+
+    Two documents are linked if the Jaccard similarity of their word n-gram sets is at least the threshold; n_links
+    counts the other documents a document is linked to, its copies among them. class_id is the smallest doc_id that
+    chains of links reach. Texts without words (null, empty) have the empty set and are copies of each other. Rows
+    with a null doc_id are in no class (null) and have no links. Repeated rows count as copies, and texts under one
+    doc_id are compared as texts of their own; other columns are ignored. An empty table gives no rows.
+    """
+    rows, named = _classes(docs, threshold, n, target)
+    unnamed = docs.filter(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return rows.select("doc_id", "vertex").join(named, "vertex").select("doc_id", "class_id", "n_links").unionByName(unnamed)
+
+
+def first_of_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, target: float = TARGET_RECALL) -> DataFrame:
+    """The rows of docs (doc_id, text, others) that stay when of each class only its first document does.
+
+    The first has the smallest doc_id of the class and, where that id has several texts in it, one of them; of its
+    repeated rows one stays. Every other text under the same doc_id is judged by its own class. Rows with a null doc_id
+    are in no class and stay.
+    """
+    rows, named = _classes(docs, threshold, n, target)
+    lead = named.filter("vertex = leader").select("vertex", F.col("first_doc").alias("doc_id"))
+    lead = rows.join(lead, ["doc_id", "vertex"]).groupBy("doc_id", "vertex").agg(F.min(F.coalesce("digest", F.lit(""))).alias("__digest")).select("doc_id", "__digest")
+    marked = docs.withColumn("__digest", F.coalesce(F.md5("text"), F.lit("")))
+    kept = marked.join(lead, ["doc_id", "__digest"], "left_semi").dropDuplicates(["doc_id", "__digest"])
+    return kept.unionByName(marked.filter(F.col("doc_id").isNull())).select(*docs.columns)

@@ -266,9 +266,72 @@ def test_decontamination_edge_cases(spark):
 # ---------------------------------------------------------------- Jaccard join
 
 
-def test_depth_meets_the_target():
-    depth = jaccard.matched_depth()
-    assert 1 - (1 - jaccard.THRESHOLD**depth) ** jaccard.TREES >= jaccard.TARGET_RECALL > 1 - (1 - jaccard.THRESHOLD ** (depth + 1)) ** jaccard.TREES
+def test_trees_meet_the_target():
+    needed = jaccard.trees_needed()
+    assert jaccard.recall(needed, jaccard.LEAST_DEPTH) >= jaccard.TARGET_RECALL > jaccard.recall(needed - 1, jaccard.LEAST_DEPTH)
+    assert needed < jaccard.VALUES // jaccard.LEAST_DEPTH
+
+
+def pairs_near_the_threshold(seed, count):
+    """Texts in pairs whose similarity is just at or just below the threshold."""
+    r, rows = random.Random(seed), []
+    for _ in range(count):
+        words = [f"w{r.randrange(10**7)}" for _ in range(104)]  # 100 n-grams
+        other = list(words)
+        other[50 : 50 + r.choice([6, 7, 8])] = [f"v{r.randrange(10**7)}" for _ in range(r.choice([6, 7, 8]))]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    return rows
+
+
+def test_recall_at_the_threshold_and_inside_crowds(spark, monkeypatch):
+    """Linked pairs at 0.80 to 0.85, alone and in a crowd that shares a long passage, are all found."""
+    monkeypatch.setattr(jaccard, "CROWD", 6)
+    r = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(80))
+    rows = pairs_near_the_threshold(7, 150)
+    rows += [(len(rows) + i, f"{passage} {t}") for i, (_, t) in enumerate(pairs_near_the_threshold(8, 60))]
+    r.shuffle(rows)
+    found = jaccard.near_duplicates(frame(spark, [t for _, t in rows], [i for i, _ in rows]))
+    wanted = links_by_hand(rows)
+    assert rows_of(found) == wanted and sum(links for *_, links in wanted) > 150
+
+
+def test_crowds_keep_longer_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CROWD", 3)
+    a, b = jaccard._hash_functions(jaccard.VALUES)
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[:50], r.integers(0, 2**63, 30, dtype=np.uint64)])) for _ in range(40)]
+    rows = [(bytes([i]), jaccard.signature(s, a, b).astype(">u4").tobytes()) for i, s in enumerate(sets)]
+    found = jaccard.forest(spark.createDataFrame([(bytearray(v), bytearray(s)) for v, s in rows], "vertex binary, signature binary")).collect()
+    short = {}
+    for tree in range(jaccard.VALUES // jaccard.LEAST_DEPTH):
+        for v, s in rows:
+            short.setdefault((tree, s[16 * tree : 16 * tree + 16]), set()).add(v)
+    crowds = {v: sum(len(m) > 3 for m in short.values() if v in m) for v, _ in rows}
+    per_node = {}
+    for f in found:
+        per_node.setdefault(f.node, []).append(bytes(f.vertex))
+        assert f.held > 1
+    calm = sum(1 for m in short.values() if 1 < len(m) <= 3)
+    assert calm <= len(per_node) and sum(crowds.values()) > 0
+    kept = {v: sum(v in m for m in per_node.values()) for v, _ in rows}
+    assert all(kept[v] <= sum(len(m) > 1 for m in short.values() if v in m) for v, _ in rows)
+
+
+def test_first_of_classes_keeps_each_text_of_an_id(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
+    rows = [(3, a), (5, a), (5, b), (5, b), (7, b), (None, a), (8, None), (9, ""), (6, "Eight nine ten eleven twelve thirteen fourteen!")]
+    kept = jaccard.first_of_classes(frame(spark, [t for _, t in rows], [i for i, _ in rows]))
+    assert rows_of(kept, "doc_id", "text") == sorted([(3, a), (5, b), (None, a), (8, None)], key=repr)
+    assert set(kept.columns) == {c.split()[0] for c in DOCS.split(", ")}
+
+
+def test_components_split_hubs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HUB_EDGES", 3)
+    edges = [(i, 1000) for i in range(40)] + [(i, i + 1) for i in range(2000, 2030)] + [(5, 5)]
+    found = {(r.vertex, r.root) for r in jaccard.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found == {(i, 0) for i in [*range(40), 1000]} | {(i, 2000) for i in range(2000, 2031)}
 
 
 def test_pair_counts_equal_set_intersections():
