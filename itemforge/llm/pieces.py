@@ -17,9 +17,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +33,15 @@ from itemforge.llm.common import bound_batches, by_slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, DROPOUT = 13, 0.1
 SHORT = 48  # symbols of a word that advances with others
+WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, SHORT)  # of the rows that words are laid in
+ROWS = 1 << 15  # words that advance together
 SLICE = 2_000_000  # characters whose words are segmented together
 SPACE = "▁"
 #: No piece spans these parts of a text: a run of spaces with the word behind it, a word, a run of line ends.
 _PARTS = re.compile(r" +[^ \n]*|[^ \n]+|\n+")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SLOTS = 20
-_NONE = np.iinfo(np.int64).max
+_NONE = np.iinfo(np.int32).max
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -183,12 +187,57 @@ def _agenda(v: Vocabulary, symbols: list[int], key: int, offset: int, limit: int
     return [s for s, a in zip(symbols, alive, strict=True) if a]
 
 
+def _together(v: Vocabulary, base: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int, items: np.ndarray, keys: np.ndarray, offsets: np.ndarray, limit: np.uint64, merges: list | None) -> tuple[np.ndarray, np.ndarray]:
+    """Short words side by side, one a row: every step does the best merge of each row that has one."""
+    column = np.arange(width)
+    alive = column < lengths[:, None]
+    symbol = np.where(alive, base[np.minimum(starts[:, None] + column, len(base) - 1)], -1)
+    after = np.tile((column + 1).astype(np.int16), (len(items), 1))
+    before = np.tile((column - 1).astype(np.int16), (len(items), 1))
+    target = np.full(symbol.shape, -1, np.int32)
+    order = np.full(symbol.shape, _NONE, np.int32)
+
+    def offer(row: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        """The candidate of the symbols at i and j, neighbours."""
+        merged = v.merge(symbol[row, i], symbol[row, j])
+        has = np.flatnonzero(merged >= 0)
+        if limit and len(has):
+            r, offset = row[has], offsets[row[has]]
+            has = has[~_skipped(keys[r], i[has] + offset, j[has] + offset, after[r, j[has]] + offset, limit)]
+        order[row, i] = _NONE
+        r, k, m = row[has], i[has], merged[has]
+        target[r, k], order[r, k] = m, v.rank[m] * SHORT + k
+
+    if width > 1:
+        row, i = np.nonzero(alive[:, 1:])
+        offer(row, i, i + 1)
+    row = np.arange(len(items) if width > 1 else 0)
+    while len(row):
+        held = order[row]
+        i = held.argmin(axis=1)
+        going = held[np.arange(len(row)), i] < _NONE
+        row, i = row[going], i[going]
+        j = after[row, i].astype(np.int64)
+        stop = after[row, j].astype(np.int64)
+        if merges is not None:
+            merges.append((items[row], i, j, stop))
+        symbol[row, i], after[row, i] = target[row, i], stop
+        alive[row, j], order[row, j], order[row, i] = False, _NONE, _NONE
+        more = stop < lengths[row]
+        before[row[more], stop[more]] = i[more]
+        left = before[row, i].astype(np.int64)
+        has = left >= 0
+        # the pairs behind and before the new symbol
+        offer(np.concatenate([row[more], row[has]]), np.concatenate([i[more], left[has]]), np.concatenate([stop[more], i[has]]))
+    return np.repeat(items, alive.sum(axis=1)).astype(np.int32), symbol[alive]
+
+
 def _segment(v: Vocabulary, words: list[str], which: np.ndarray, keys: np.ndarray, offsets: np.ndarray, limit: np.uint64, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of item i (word which[i] at offsets[i] of the text with keys[i]): a flat array, and its bounds.
 
     A negative symbol is a character without a piece: code point - 1 - 2**21. merges takes arrays (item, start, middle, end) of the merges of short words.
     """
-    lengths = np.array([len(w) for w in words], dtype=np.int64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     base = v.char_ids[codes]
     base = np.where(base >= 0, base, codes.astype(np.int32) - (1 << 21) - 1)
@@ -199,36 +248,13 @@ def _segment(v: Vocabulary, words: list[str], which: np.ndarray, keys: np.ndarra
         w = which[i]
         out = _agenda(v, base[starts[w] : starts[w] + lengths[w]].tolist(), int(keys[i]), int(offsets[i]), int(limit))
         done.append((np.full(len(out), i, np.int32), np.array(out, dtype=np.int32)))
-    short = np.flatnonzero(n <= SHORT)
-    item = np.repeat(short, n[short]).astype(np.int32)
-    begin = (np.arange(len(item)) - np.repeat(np.cumsum(n[short]) - n[short], n[short])).astype(np.int32)
-    symbol = base[np.repeat(starts[which[short]], n[short]) + begin]
-    end = begin + 1
-    while len(item):
-        same = item[:-1] == item[1:]
-        merged = np.full(len(item), -1, dtype=np.int32)
-        at = np.flatnonzero(same)
-        merged[at] = v.merge(symbol[at], symbol[at + 1])
-        at = at[merged[at] >= 0]
-        if limit and len(at):
-            offset = offsets[item[at]]
-            at = at[~_skipped(keys[item[at]], begin[at] + offset, end[at] + offset, end[at + 1] + offset, limit)]
-        order = np.full(len(item), _NONE)
-        order[at] = v.rank[merged[at]] * SHORT + begin[at]
-        first = np.flatnonzero(np.concatenate(([True], ~same)))
-        best = np.minimum.reduceat(order, first)
-        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(item))))
-        best = best[run]
-        over = best == _NONE
-        if over.any():
-            done.append((item[over], symbol[over]))
-        chosen = np.flatnonzero((order == best) & ~over)
-        if merges is not None and len(chosen):
-            merges.append((item[chosen], begin[chosen], end[chosen], end[chosen + 1]))
-        symbol[chosen], end[chosen] = merged[chosen], end[chosen + 1]
-        keep = ~over
-        keep[chosen + 1] = False
-        item, begin, symbol, end = item[keep], begin[keep], symbol[keep], end[keep]
+    least = 0
+    for width in WIDTHS:
+        rows = np.flatnonzero((n > least) & (n <= min(width, SHORT)))
+        least = width
+        for a in range(0, len(rows), ROWS):
+            part = rows[a : a + ROWS]
+            done.append(_together(v, base, starts[which[part]], n[part], width, part, keys[part], offsets[part], limit, merges))
     items = np.concatenate([np.empty(0, np.int32), *(d[0] for d in done)])
     symbols = np.concatenate([np.empty(0, np.int32), *(d[1] for d in done)])
     order = np.argsort(items, kind="stable")
@@ -266,19 +292,18 @@ class Encoder:
 
     def encode(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray]:
         """Piece ids of each text; keys (one a text) vary the segmentation of equal texts."""
-        ids: dict[str, int] = {}
+        ids: defaultdict[str, int] = defaultdict(count().__next__)
         tokens, counts = [], []
         for text in texts:
             parts = _PARTS.findall(" " + text) if text else []
-            if text and max(map(len, parts)) > SHORT:
-                parts = [q for p in parts for q in (self.v.cut(p) if len(p) > SHORT else [p])]
-            tokens += [ids.setdefault(p, len(ids)) for p in parts]
+            tokens += map(ids.__getitem__, parts)
             counts.append(len(parts))
         if not tokens:
             return [np.empty(0, np.int32)] * len(texts)
-        words, size = list(ids), np.array(counts)
-        token = np.array(tokens, dtype=np.int64)
-        lengths = np.array([len(w) for w in words], dtype=np.int64)[token]
+        words, size, token = list(ids), np.array(counts), np.array(tokens, dtype=np.int64)
+        token, size = self._cut(ids, words, token, size)
+        words = list(ids)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))[token]
         ends = np.cumsum(lengths)
         with np.errstate(over="ignore"):
             document = _mix(np.array([k & _MASK for k in keys], dtype=np.uint64) * _A + _mix(self.seed * _B + _C))
@@ -291,11 +316,25 @@ class Encoder:
         edges = np.concatenate(([0], np.cumsum(length)))[np.concatenate(([0], np.cumsum(size)))]
         return [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
+    def _cut(self, ids: defaultdict[str, int], words: list[str], token: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Long words replaced by their parts."""
+        parts = {i: [ids[p] for p in self.v.cut(w)] for i, w in enumerate(words) if len(w) > SHORT}
+        if not parts:
+            return token, size
+        long = np.isin(token, np.array(list(parts)))
+        n = np.ones(len(token), dtype=np.int64)
+        n[long] = [len(parts[t]) for t in token[long].tolist()]
+        out, place = np.repeat(token, n), np.cumsum(n) - n
+        for at, t in zip(place[long].tolist(), token[long].tolist(), strict=True):
+            out[at : at + len(parts[t])] = parts[t]
+        edges = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(size)))]
+        return out, np.diff(edges)
+
     def _items(self, words: list[str], token: np.ndarray, keys: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Piece ids of each item with their bounds, and the item of each occurrence: first the words, then own draws."""
         merges: list[tuple] = []
         every = np.arange(len(words))
-        lengths = np.array([len(w) for w in words])
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         # with dropout a long word has no shared result
         shared = every if not self.limit else np.flatnonzero(lengths <= SHORT)
         flat, inner = _segment(self.v, words, shared, np.zeros(len(shared), np.uint64), np.zeros(len(shared), np.int64), np.uint64(0), merges)
