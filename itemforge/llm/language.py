@@ -24,6 +24,7 @@ SMOOTH = 0.05
 TEMPER = 0.15  # neighbouring trigrams share bytes, so their evidence is not independent
 HOST_WEIGHT, LEVEL_WEIGHT, DECLARED_WEIGHT = 5.0, 10.0, 20.0
 LEAST_LETTERS = 1  # a text without letters has no language
+LETTER = r"\p{L}"
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -63,7 +64,7 @@ def train(rows: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
     Every declared value with LEAST_TEXTS different texts is a language, whatever its share of the rows. The table has
     at most MOST_CELLS cells up to MOST_CELLS / LEAST_BUCKETS languages, and LEAST_BUCKETS a language beyond.
     """
-    rows = rows.filter(F.col("declared").isNotNull() & F.col("text").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]")).withColumn("text_hash", F.xxhash64("text"))
+    rows = rows.filter(F.col("declared").isNotNull() & F.col("text").rlike(LETTER)).withColumn("text_hash", F.xxhash64("text"))
     texts = rows.select("declared", "text_hash").distinct()  # copies of a text count once
     known = {r["declared"]: r["count"] for r in texts.groupBy("declared").count().filter(F.col("count") >= LEAST_TEXTS).collect()}
     languages = sorted(known)
@@ -99,18 +100,17 @@ def train(rows: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
 
 
 def likelihoods(docs: DataFrame, languages: list[str], tables: np.ndarray, keep: list[str]) -> DataFrame:
-    """The kept columns with `letters` (bytes of words) and `loglik` (one for each language, tempered)."""
+    """The kept columns with `loglik` (one for each language, tempered)."""
     shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in source:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            letters, out = [], []
+            out = []
             for a, b in by_slices(texts):
                 for text in texts[a:b]:
                     data = np.frombuffer(_fold(text), dtype=np.uint8)
-                    letters.append(max(0, len(data) - 2))
                     if len(data) < 3:
                         out.append([0.0] * table.shape[1])
                         continue
@@ -118,11 +118,11 @@ def likelihoods(docs: DataFrame, languages: list[str], tables: np.ndarray, keep:
                     for at in range(0, len(data) - 2, 1 << 20):
                         total += np.add.reduce(table[_buckets(data[at : at + (1 << 20) + 2], len(table))], axis=0, dtype=np.float64)
                     out.append((TEMPER * (total - total.max())).tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(letters, pa.int64()), pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names[:-1], "letters", "loglik"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names[:-1], "loglik"])
 
     head = docs.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head.schema)
-    return docs.select(*keep, "text").mapInArrow(batches, f"{schema}, letters long, loglik array<double>")
+    return docs.select(*keep, "text").mapInArrow(batches, f"{schema}, loglik array<double>")
 
 
 def _softmax(logs: Column) -> Column:
@@ -147,21 +147,22 @@ def identify(docs: DataFrame, key: str = "doc_id", declared: str | None = None,
     """One row per input row: key, language, probability, text_language, letters and rejected.
 
     declared names the column with the declared language, host the one with the address's host; either may be None.
-    A text without letters (null, empty, digits) has the language 'und', probability 0 and is rejected; no other text
-    is. Null declarations and hosts are their own value. Ties go to the first language by name. Repeated rows give
-    repeated results; other columns are ignored. Without declared rows to learn from every language is 'und'.
+    letters counts the letters of any script. A text without them (null, empty, digits, emoji) has the language 'und',
+    probability 0 and is rejected; no other text is. Null declarations and hosts are their own value. Ties go to the
+    first language by name. Repeated rows give repeated results; other columns are ignored; a text of any length counts
+    whole; an empty table gives no rows. Without declared rows to learn from every language is 'und' with probability 0.
     """
     bound_batches(docs.sparkSession)
     declared_col = F.lower(F.regexp_replace(F.col(declared), "[-_].*", "")) if declared else F.lit(None).cast("string")
     host_col = F.lower(F.col(host)) if host else F.lit(None).cast("string")
-    rows = docs.select(F.col(key).alias("key"), declared_col.alias("declared"), F.coalesce(host_col, F.lit("")).alias("host"), "text")
+    rows = docs.select(F.col(key).alias("key"), declared_col.alias("declared"), F.coalesce(host_col, F.lit("")).alias("host"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(LETTER)).cast("long").alias("letters"), "text")
     languages, tables = train(rows.select("text", "declared"), per_language)
     n = len(languages)
     if not n:
-        return rows.select(F.col("key").alias(key), F.lit("und").alias("language"), F.lit(0.0).alias("probability"), F.lit("und").alias("text_language"), F.lit(0).cast("long").alias("letters"), F.lit(False).alias("rejected"))
+        return rows.select(F.col("key").alias(key), F.lit("und").alias("language"), F.lit(0.0).alias("probability"), F.lit("und").alias("text_language"), "letters", (F.col("letters") < LEAST_LETTERS).alias("rejected"))
     domain, suffix = _sides(F.col("host"))
     # the texts stay behind: what follows moves a few numbers a row
-    scored = likelihoods(rows, languages, tables, ["key", "declared", "host"])
+    scored = likelihoods(rows, languages, tables, ["key", "declared", "host", "letters"])
     scored = scored.select("key", F.coalesce("declared", F.lit("")).alias("declared"), "host", domain.alias("domain"), suffix.alias("suffix"), "letters", "loglik", _softmax(F.col("loglik")).alias("p"))
     scored = stored(scored, "language")
     certain = scored.filter(F.col("letters") >= LEAST_LETTERS)
@@ -206,7 +207,10 @@ def identify(docs: DataFrame, key: str = "doc_id", declared: str | None = None,
 
 
 def identify_pages(pages: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """identify() over raw pages: the declaration is the html tag's lang, the host the address's, the text untagged."""
+    """identify() over raw pages: the declaration is the html tag's lang, the host the address's, the text untagged.
+
+    Null html has no text and is rejected; a page without a lang or with an odd address has null evidence there.
+    """
     text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
     rows = pages.select(
         "page_id",

@@ -54,6 +54,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"), "doc_id", "lang", "source")
 
 
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8 over pages, where markup language, address suffix and domain are evidence, too."""
+    return language.identify_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages"))
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_pieces": op7_pieces,
     "op8_language": op8_language,
+    "page_languages": page_languages,
     "op9_html_extraction": op9_html_extraction,
     "op10_media": op10_media,
 }

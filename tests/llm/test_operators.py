@@ -493,6 +493,50 @@ def test_language_rejects_only_texts_without_letters(spark):
     assert language.identify(frame(spark, []), "doc_id", "lang", "source").count() == 0
 
 
+def test_language_without_declarations(spark):
+    docs = frame(spark, ["some words", "😀 – 12", "", None, "слово"])
+    for found in (language.identify(docs, "doc_id"), language.identify(docs, "doc_id", host="source")):
+        assert sorted((r.doc_id, r.language, r.probability, r.letters, r.rejected) for r in found.collect()) == [(0, "und", 0.0, 9, False), (1, "und", 0.0, 0, True), (2, "und", 0.0, 0, True), (3, "und", 0.0, 0, True), (4, "und", 0.0, 5, False)]
+
+
+def test_fused_posterior_equals_brute_force(spark):
+    r = random.Random(11)
+    vocabulary = {"en": "the and of house garden with that".split(), "de": "der und haus garten nicht mit dass".split(), "fr": "le et maison jardin avec que pas".split()}
+    rows = []
+    for i in range(90):
+        spoken = r.choice(["en", "en", "de", "fr"])
+        declared = spoken if r.random() < 0.7 else r.choice(["en", "de", None, "xx"])
+        host = r.choice({"en": ["a.site.co.uk", "b.site.co.uk", "News.com"], "de": ["x.blatt.de", "y.blatt.de"], "fr": ["z.fr", None, "news.com"]}[spoken])
+        rows.append((i, " ".join(r.choice(vocabulary[spoken]) for _ in range(r.randint(1, 6))) if i % 15 else r.choice(["", "12", None]), declared, host))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    names, table = language.train(docs.select("text", language.F.col("lang").alias("declared")))
+    n, logs = len(names), {}
+    for i, text, _, _ in rows:
+        data = b" " + b" ".join(re.findall(rb"[a-z\x80-\xff]+", (text or "").lower().encode())) + b" "
+        total = sum((table[language._buckets(np.frombuffer(data[k : k + 3], np.uint8), len(table))[0]].astype(np.float64) for k in range(len(data) - 2)), np.zeros(n))
+        logs[i] = language.TEMPER * (total - total.max()) if len(data) > 2 else np.zeros(n)
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    certain = [row for row in rows if row[1] and any(c.isalpha() for c in row[1])]
+    add = lambda f: {k: sum(softmax(logs[i]) for i, _, d, h in certain if f(d, h) == k) for k in {f(d, h) for _, _, d, h in certain}}
+    low = lambda h: (h or "").lower()
+    suffix = lambda h: low(h).split(".")[-1] if low(h).count(".") else ""
+    domain = lambda h: {"a.site.co.uk": "site.co.uk", "b.site.co.uk": "site.co.uk", "x.blatt.de": "blatt.de", "y.blatt.de": "blatt.de"}.get(low(h), low(h))
+    every = add(lambda d, h: 0)[0]
+    root = (every + 1) / (every.sum() + n)
+    smooth = lambda sums, weight, parent: (sums + weight * parent) / (sums.sum() + weight)
+    suffixes, domains, hosts, said = add(lambda d, h: suffix(h)), add(lambda d, h: domain(h)), add(lambda d, h: low(h)), add(lambda d, h: d or "")
+    found = {x.doc_id: x for x in language.identify(docs, "doc_id", "lang", "source").collect()}
+    for i, text, d, h in rows:
+        if (i, text, d, h) not in certain:
+            assert (found[i].language, found[i].probability, found[i].rejected) == ("und", 0.0, True)
+            continue
+        prior = smooth(hosts[low(h)], language.HOST_WEIGHT, smooth(domains[domain(h)], language.LEVEL_WEIGHT, smooth(suffixes[suffix(h)], language.LEVEL_WEIGHT, root)))
+        sums = said[d or ""]
+        reliability = (sums + language.DECLARED_WEIGHT * sums.sum() / every.sum()) / (every + language.DECLARED_WEIGHT)
+        posterior = softmax(logs[i] + np.log(prior) + np.log(reliability))
+        assert found[i].language == names[int(posterior.argmax())] and abs(found[i].probability - posterior.max()) < 1e-6
+
+
 def test_rare_long_and_many_languages_are_candidates(spark):
     english = spark.range(6000).selectExpr("id AS doc_id", "concat('the house and the garden of number ', id) AS text", "'en' AS lang")
     rare = [(10_000 + i, f"talossa on kissa ja järvellä vene {'yksi kaksi kolme neljä viisi kuusi'.split()[i]}", "fi") for i in range(5)]
