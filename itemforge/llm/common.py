@@ -27,21 +27,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only local sessions may do without the setting."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="itemforge-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="itemforge-"))
     return context.getCheckpointDir()
 
 
+#: Folders written by this driver, oldest first.
+_written: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it again."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Cut the lineage: write df to the shared folder and read it again. What reads it must end before remove()."""
+    path = new_folder(df.sparkSession, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many folders there are, for remove()."""
+    return len(_written)
+
+
+def remove(spark: SparkSession, first: int, end: int | None = None) -> None:
+    """Delete the folders written from place `first` to `end`."""
+    for folder in _written[first:end]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _written[first:end]
+
+
 def by_slices(texts: list[str | None], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive rows that hold about `most` characters together (one row at least)."""
     start, held = 0, 0

@@ -14,7 +14,8 @@ def fold(doc_id: Column, folds: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, most_chars: int) -> DataFrame:
     """(doc_id, text, label) of at most per_class documents of either class outside the held-out fold.
 
-    Which ones is settled by a hash of the id, among texts of at most most_chars characters. A document with
+    This is the bound of what a classifier is fitted on: per_class and most_chars are parameters of train(). Which
+    documents is settled by a hash of the id, among texts of at most most_chars characters. A document with
     several label rows counts as 1 if any says so; rows that repeat a doc_id count once.
     """
     known = (

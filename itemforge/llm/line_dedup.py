@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.llm.common import bound_batches, stored
+from itemforge.llm.common import bound_batches, new_folder, stored
 
 BATCHES = 4
 FANOUT = 3
@@ -48,7 +48,8 @@ class LineRuns:
 
     def _write(self, run: DataFrame, level: int) -> None:
         name = f"line_run_{uuid.uuid4().hex}"
-        run.write.format("parquet").bucketBy(self.buckets, "line_hash").sortBy("line_hash").saveAsTable(name)
+        # the files lie in the shared folder, the catalog only knows their buckets and order
+        run.write.format("parquet").option("path", new_folder(self.spark, name)).bucketBy(self.buckets, "line_hash").sortBy("line_hash").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
@@ -69,9 +70,17 @@ class LineRuns:
         for name in names[1:]:
             merged = merged.unionByName(self.spark.table(name))
         self._write(merged.repartition(self.buckets, "line_hash"), level + 1)
+        self._forget(names)
+
+    def _forget(self, names: list[str]) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE {name}")
 
+    def close(self) -> None:
+        """Take the runs out of the catalog; no DataFrame that reads them works any more."""
+        self._forget([name for level in self.levels for name in level])
+        self.levels = [[]]
+
     def owners(self) -> DataFrame:
         first, *rest = self.tables()
         for run in rest:
@@ -95,12 +104,10 @@ def repeated_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     runs = LineRuns(spark)
     for i in range(len(dict.fromkeys(edges)) + 1):
         runs.add(lines.filter(F.col("batch") == i).groupBy("line_hash").agg(F.min("doc_id").alias("owner")))
-    return (
-        lines.join(runs.owners(), "line_hash")
-        .filter(F.col("doc_id") != F.col("owner"))
-        .groupBy("doc_id")
-        .agg(F.collect_set("line_hash").alias("drops"))
-    )
+    found = lines.join(runs.owners(), "line_hash").filter(F.col("doc_id") != F.col("owner")).groupBy("doc_id").agg(F.collect_set("line_hash").alias("drops"))
+    found = stored(found, "drops")
+    runs.close()
+    return found
 
 
 def _keep(text: pd.Series, drops: pd.Series) -> pd.DataFrame:
@@ -123,7 +130,8 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
     A key of ten or more code points that two documents hold loses its lines in all but the smallest doc_id.
     Null text counts as one empty line. Rows with a null doc_id own nothing and lose nothing. Rows that repeat a
-    doc_id count as one document. Columns named like the results are replaced.
+    doc_id count as one document. Columns named like the results are replaced. A text of any length is split whole; an
+    empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("text", "kept_text", "n_lines", "n_dropped", "drops", "result")]

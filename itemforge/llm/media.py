@@ -8,8 +8,10 @@ stored as 8-bit PCM samples in a WAVE container and read back through the same s
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,7 +49,22 @@ class Medium:
     end: int
 
 
-def _wav(d: bytes, s: int) -> int | None:
+class Finder:
+    """Places of byte strings in data, each searched for once."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.places = data, {}
+
+    def first(self, what: bytes, start: int) -> int:
+        """The first place from start on, -1 for none."""
+        if what not in self.places:
+            self.places[what] = [m.start() for m in re.finditer(re.escape(what), self.data)]
+        places = self.places[what]
+        k = bisect_left(places, start)
+        return places[k] if k < len(places) else -1
+
+
+def _wav(d: bytes, s: int, find: Finder) -> int | None:
     if len(d) - s < 44 or d[s + 8 : s + 12] != b"WAVE":
         return None
     end = s + 8 + struct.unpack_from("<I", d, s + 4)[0]
@@ -59,7 +76,7 @@ def _wav(d: bytes, s: int) -> int | None:
     return end if at == end and {b"fmt ", b"data"} <= seen else None
 
 
-def _png(d: bytes, s: int) -> int | None:
+def _png(d: bytes, s: int, find: Finder) -> int | None:
     at = s + 8
     while at + 12 <= len(d):
         size = struct.unpack_from(">I", d, at)[0]
@@ -72,7 +89,7 @@ def _png(d: bytes, s: int) -> int | None:
     return None
 
 
-def _gif(d: bytes, s: int) -> int | None:
+def _gif(d: bytes, s: int, find: Finder) -> int | None:
     if len(d) - s < 14:
         return None
     at = s + 13 + (3 * 2 ** ((d[s + 10] & 7) + 1) if d[s + 10] & 0x80 else 0)
@@ -94,32 +111,32 @@ def _gif(d: bytes, s: int) -> int | None:
     return None
 
 
-def _jpeg(d: bytes, s: int) -> int | None:
+def _jpeg(d: bytes, s: int, find: Finder) -> int | None:
     at = s + 2
     while at + 4 <= len(d) and d[at] == 0xFF:
         if d[at + 1] == 0xDA:
-            end = d.find(b"\xff\xd9", at)
+            end = find.first(b"\xff\xd9", at)
             return end + 2 if end >= 0 else None
         at += 2 + struct.unpack_from(">H", d, at + 2)[0]
     return None
 
 
-def _bmp(d: bytes, s: int) -> int | None:
+def _bmp(d: bytes, s: int, find: Finder) -> int | None:
     if len(d) - s < 54:
         return None
     size, reserved, offset, header = struct.unpack_from("<IIII", d, s + 2)
     return s + size if reserved == 0 and header in (40, 52, 56, 108, 124) and 54 <= offset <= size <= len(d) - s else None
 
 
-def _zip(d: bytes, s: int) -> int | None:
-    end = d.find(b"PK\x05\x06", s)
+def _zip(d: bytes, s: int, find: Finder) -> int | None:
+    end = find.first(b"PK\x05\x06", s)
     if end < 0 or end + 22 > len(d):
         return None
     size, offset, comment = struct.unpack_from("<IIH", d, end + 12)
     return end + 22 + comment if s + offset + size == end and end + 22 + comment <= len(d) else None
 
 
-def _gzip(d: bytes, s: int) -> int | None:
+def _gzip(d: bytes, s: int, find: Finder) -> int | None:
     inflate = zlib.decompressobj(31)
     try:
         for at in range(s, len(d), 65536):
@@ -134,16 +151,71 @@ def _gzip(d: bytes, s: int) -> int | None:
     return None
 
 
-def _pdf(d: bytes, s: int) -> int | None:
-    end = d.find(b"%%EOF", s)
-    return end + 5 if end >= 0 and d.find(b"startxref", s, end) >= 0 else None
+def _pdf(d: bytes, s: int, find: Finder) -> int | None:
+    end = find.first(b"%%EOF", s)
+    return end + 5 if end >= 0 and 0 <= find.first(b"startxref", s) < end else None
+
+
+def _crc_table(polynomial: int, bits: int) -> list[int]:
+    out, top = [], 1 << bits - 1
+    for byte in range(256):
+        value = byte << bits - 8
+        for _ in range(8):
+            value = (value << 1 ^ (polynomial if value & top else 0)) & (1 << bits) - 1
+        out.append(value)
+    return out
+
 
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
 
-def _flac(d: bytes, s: int) -> int | None:
-    return len(d) if len(d) - s >= 42 and d[s + 4] & 0x7F == 0 and d[s + 5 : s + 8] == b"\0\0\x22" else None
+
+def _flac_frame(d: bytes, at: int) -> tuple[int, int] | None:
+    """Samples and header length of the frame header at a place, if its checksum is right."""
+    if len(d) - at < 6 or d[at] != 0xFF or d[at + 1] & 0xFE != 0xF8:
+        return None
+    size, rate = d[at + 2] >> 4, d[at + 2] & 15
+    number = 1 if d[at + 4] < 0x80 else 8 - (~d[at + 4] & 0xFF).bit_length()
+    place = at + 4 + number
+    more = {6: 1, 7: 2}.get(size, 0)
+    end = place + more + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if not size or rate == 15 or number > 7 or end >= len(d):
+        return None
+    samples = int.from_bytes(d[place : place + more], "big") + 1 if more else 192 if size == 1 else 576 << size - 2 if size < 6 else 256 << size - 8
+    check = 0
+    for byte in d[at:end]:
+        check = _CRC8[check ^ byte]
+    return (samples, end + 1 - at) if check == d[end] else None
+
+
+def _flac(d: bytes, s: int, find: Finder) -> int | None:
+    """Metadata blocks, then frames by their checksums until the stream's samples are there."""
+    at, last, total = s + 4, 0, 0
+    while not last:
+        if at + 4 > len(d):
+            return None
+        last, kind, size = d[at] & 0x80, d[at] & 0x7F, int.from_bytes(d[at + 1 : at + 4], "big")
+        if (at == s + 4) != (kind == 0) or kind == 127 or at == s + 4 and size != 34 or at + 4 + size > len(d):
+            return None
+        if kind == 0:
+            total = int.from_bytes(d[at + 17 : at + 22], "big") & (1 << 36) - 1
+        at += 4 + size
+    done, start = 0, at
+    while header := _flac_frame(d, at):
+        check, end = 0, at
+        while end < len(d):
+            check = (check << 8 & 0xFFFF) ^ _CRC16[check >> 8 ^ d[end]]
+            end += 1
+            if not check and end - at > header[1] + 2 and (done + header[0] >= total > 0 or end == len(d) or _flac_frame(d, end)):
+                break
+        if check:
+            return None
+        done, at = done + header[0], end
+        if done >= total > 0:
+            break
+    return at if at > start and done >= total else None
 
 
-def _ogg(d: bytes, s: int) -> int | None:
+def _ogg(d: bytes, s: int, find: Finder) -> int | None:
     at = s
     while at + 27 <= len(d) and d[at : at + 5] == b"OggS\0":
         lacing = d[at + 27 : at + 27 + d[at + 26]]
@@ -156,7 +228,7 @@ def _ogg(d: bytes, s: int) -> int | None:
     return None
 
 
-def _mp4(d: bytes, s: int) -> int | None:
+def _mp4(d: bytes, s: int, find: Finder) -> int | None:
     at, names = s, []
     while at + 8 <= len(d):
         size, name = struct.unpack_from(">I4s", d, at)
@@ -183,10 +255,10 @@ def _automaton() -> ahocorasick.Automaton:
 
 def sniff(data: bytes) -> list[Medium]:
     """Confirmed media in data, by start; a medium inside another one is listed after it."""
-    found = []
+    found, find = [], Finder(data)
     for last, (kind, length, offset) in _automaton().iter(data.decode("latin-1")):
         start = last + 1 - length - offset
-        end = _VALIDATORS[kind](data, start) if start >= 0 else None
+        end = _VALIDATORS[kind](data, start, find) if start >= 0 else None
         if end is not None:
             found.append(Medium(kind, start, end))
     return sorted(found, key=lambda m: (m.start, -m.end, m.type))

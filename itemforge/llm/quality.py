@@ -146,8 +146,9 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
-    rows = sample(docs, labels, "quality", FOLDS, HELD_OUT, per_class, MOST_CHARS).select("doc_id", "text", "label").collect()
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> Network:
+    """Fit the network on the driver, on at most per_class documents of either class of at most most_chars characters."""
+    rows = sample(docs, labels, "quality", FOLDS, HELD_OUT, per_class, most_chars).select("doc_id", "text", "label").collect()
     texts: dict[str, int] = {}
     for row in sorted(rows, key=lambda r: r[0]):
         texts.setdefault(row[1], row[2])  # copies count once
@@ -158,7 +159,8 @@ def score_quality(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, held_out, score and predicted of every row, by the text alone.
 
     Null text scores as the empty text. A null doc_id is not held out. Repeated rows give repeated results; other
-    columns are ignored. With no labelled rows the network is untrained and its score says nothing.
+    columns are ignored; an empty table gives no rows. A text of any length is read whole. With no labelled rows the
+    network is untrained and its score says nothing.
     """
     model = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand numbers
 

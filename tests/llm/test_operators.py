@@ -70,6 +70,28 @@ def test_quality_covers_the_whole_document():
     assert together[0] != together[1]
 
 
+def plain_quality(net, text):
+    """The network by its definition: every filter at every step, the maximum in every chunk, the mean of the chunks."""
+    half, step, wide = quality.HALF, quality.STEP, 2 * quality.STEP
+    size = -(-(len(text) + step) // half) * half
+    vectors = [net.embedding[b].astype(np.float64) for b in text.ljust(size, b"\0")] + [np.zeros(quality.EMBEDDING)] * step
+    maxima = []
+    for h in range(0, size, half):
+        values = [[sum(float(vectors[at + j] @ net.filters[j * quality.EMBEDDING : (j + 1) * quality.EMBEDDING, f]) for j in range(wide)) for f in range(quality.FILTERS)] for at in range(h, h + half, step)]
+        maxima.append([max(0.0, max(v[f] for v in values) + float(net.filter_bias[f])) for f in range(quality.FILTERS)])
+    chunks = [[max(x) for x in zip(a, b, strict=True)] for a, b in zip(maxima, maxima[1:])] or maxima
+    mean = [sum(c[f] for c in chunks) / len(chunks) for f in range(quality.FILTERS)]
+    return 1 / (1 + np.exp(-(sum(m * float(w) for m, w in zip(mean, net.weights, strict=True)) + float(net.bias[0]))))
+
+
+def test_quality_equals_a_plain_convolution():
+    r = np.random.default_rng(2)
+    net = quality.Network.start(5)
+    net.filter_bias[:] = r.normal(0, 0.1, quality.FILTERS)
+    texts = [b"", b"abc", r.integers(1, 256, 508, dtype=np.uint8).tobytes(), r.integers(1, 256, 509, dtype=np.uint8).tobytes(), r.integers(1, 256, 1700, dtype=np.uint8).tobytes()]
+    assert np.allclose(quality.scores(net, texts), [plain_quality(net, t) for t in texts], atol=1e-5)
+
+
 def test_quality_gradient_lowers_the_loss():
     texts, labels = [b"good words here " * 20, b"BAD!! BAD!! " * 25] * 40, np.array([1.0, 0.0] * 40)
     assert np.all((quality.scores(quality.fit(texts, labels), texts) > 0.5) == (labels == 1))
@@ -683,3 +705,57 @@ def test_media_round_trip_and_carving(spark):
         raw = (text or "").encode()
         padded = raw + bytes(-len(raw) % 64 if raw else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+
+
+def test_media_columns_equal_plain_ones(spark):
+    import io
+    import wave
+
+    texts = ["", "some text", "é" * 77, "x" * 64, "PK\x03\x04 %PDF-1 RIFF", None, "some text"]
+    for row in media.media_digests(frame(spark, texts)).collect():
+        raw = (texts[row.doc_id] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setparams((1, 1, media.SAMPLE_RATE, 0, "NONE", ""))
+            w.writeframes(payload)
+        assert (row.media_bytes, row.media_sha256) == (len(out.getvalue()), hashlib.sha256(out.getvalue()).hexdigest())
+        samples = [b - 128 for b in payload]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:]))
+        assert row.feature == f"type=audio/wav|declared=text/plain|n={len(samples)}|sum={sum(samples)}|energy={sum(s * s for s in samples)}|crossings={crossings}|peak={max(map(abs, samples))}|carved="
+    assert media.media_digests(frame(spark, [])).count() == 0
+
+
+def flac_file(blocks):
+    """A FLAC stream of constant mono blocks of 16 bits."""
+    crc = lambda table, bits, data: __import__("functools").reduce(lambda c, b: (c << 8 & (1 << bits) - 1) ^ table[(c >> bits - 8) ^ b], data, 0)
+    info = bytes(10) + ((44100 << 44) | (15 << 36) | sum(n for n, _ in blocks)).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC" + b"\0\0\0\x22" + info + b"\x81\0\0\x05" + b"\0" * 5
+    for i, (n, value) in enumerate(blocks):
+        head = bytes([0xFF, 0xF8, 0x60, 0x00, i, n - 1])
+        head += bytes([crc(media._CRC8, 8, head)])
+        frame_ = head + b"\0" + value.to_bytes(2, "big")
+        out += frame_ + crc(media._CRC16, 16, frame_).to_bytes(2, "big")
+    return out
+
+
+def test_flac_is_carved_to_its_length_and_signatures_stay_linear():
+    stream = flac_file([(192, 5), (100, 77), (17, 4242)])
+    found = media.sniff(b"ab" + stream + b"behind it fLaC\0\0\0\x22")
+    assert [(m.type, m.start, m.end) for m in found] == [("audio/flac", 2, 2 + len(stream))]
+    assert not media.sniff(stream[:-1]) and not media.sniff(stream[:60] + b"!" + stream[61:])
+    start = time.perf_counter()
+    media.sniff(b"%PDF-PK\x03\x04 " * 40_000)
+    assert time.perf_counter() - start < 2
+
+
+def test_shared_folders_are_removed(spark):
+    first = common.written()
+    path = common.stored(spark.range(3), "gone").inputFiles()[0]
+    common.remove(spark, first)
+    assert common.written() == first and not __import__("os").path.exists(path.removeprefix("file://"))
+
+
+def test_line_runs_leave_the_catalog(spark):
+    line_dedup.dedup_lines(frame(spark, ["one long line\nand more", "one long line"])).collect()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
