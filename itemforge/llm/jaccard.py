@@ -365,7 +365,7 @@ def forest(vertices: DataFrame, target: float = TARGET_RECALL, threshold: float
 
 
 def _classes(docs: DataFrame, threshold: float, n: int, target: float) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, digest, vertex), and vertices (vertex, first_doc, class_id, leader, n_links)."""
+    """Rows (doc_id, digest, vertex), and vertices (vertex, first_doc, copies, class_id, leader, n_links)."""
     bound_batches(docs.sparkSession)
     exact = Fraction(threshold).limit_denominator(1000)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -415,7 +415,7 @@ def _classes(docs: DataFrame, threshold: float, n: int, target: float) -> tuple[
     classes = components(linked.select(F.col("vertex").alias("u"), F.col("u").alias("v")))
     first = classes.join(vertices.select("vertex", "first_doc"), "vertex").groupBy("root").agg(F.min(F.struct("first_doc", "vertex")).alias("first"))
     named = vertices.select("vertex", "first_doc", "copies").join(counts, "vertex", "left").join(classes.join(first, "root").select("vertex", "first"), "vertex", "left")
-    named = named.select("vertex", "first_doc", F.coalesce("first.first_doc", "first_doc").alias("class_id"), F.coalesce("first.vertex", "vertex").alias("leader"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = named.select("vertex", "first_doc", "copies", F.coalesce("first.first_doc", "first_doc").alias("class_id"), F.coalesce("first.vertex", "vertex").alias("leader"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return rows.select("doc_id", "digest", "vertex"), named
 
 
@@ -430,7 +430,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRA
     """
     rows, named = _classes(docs, threshold, n, target)
     unnamed = docs.filter(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return rows.select("doc_id", "vertex").join(named, "vertex").select("doc_id", "class_id", "n_links").unionByName(unnamed)
+    # texts with very many copies are few: they are broadcast, so that no task reads all copies of one
+    named = stored(named.select("vertex", "copies", "class_id", "n_links"), "named")
+    hot = F.col("copies") > max(HUB_EDGES, rows.count() // HUBS)
+    hubs = F.broadcast(named.filter(hot))
+    copies = rows.select("doc_id", "vertex")
+    met = copies.join(hubs, "vertex").unionByName(copies.join(hubs, "vertex", "left_anti").join(named.filter(~hot), "vertex"))
+    return met.select("doc_id", "class_id", "n_links").unionByName(unnamed)
 
 
 def first_of_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, target: float = TARGET_RECALL) -> DataFrame:

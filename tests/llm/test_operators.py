@@ -403,7 +403,8 @@ def near_copies(seed, groups=12, size=9):
 
 @pytest.mark.parametrize("blocks", [False, True])
 def test_join_equals_brute_force(spark, monkeypatch, blocks):
-    if blocks:  # buckets and clusters fall into many blocks
+    if blocks:  # buckets and clusters fall into many blocks, copies and edges have hubs
+        monkeypatch.setattr(jaccard, "HUB_EDGES", 1)
         monkeypatch.setattr(jaccard, "BUCKET_BLOCK", 4)
         monkeypatch.setattr(jaccard, "VERIFY_ROWS", 3)
     rows = [*near_copies(4), (500, ""), (501, None), (502, "one two"), (503, "One, two!")]
