@@ -55,6 +55,16 @@ def is_imported_candidate() -> Column:
     return F.coalesce(F.col("reviewed"), F.lit(False)) & (F.col("source_type") == "public_source") & (F.trim(F.coalesce("source_url", F.lit(""))) != "") & ~is_blocked()
 
 
+def is_included() -> Column:
+    """Sources (status) that are taken in."""
+    return F.col("status").eqNullSafe("include")
+
+
+def question_source_type(raw: Column) -> Column:
+    """The source type of questions by that of the source they come from: only official demos keep theirs."""
+    return F.when(raw == "official_demo", "official_demo").otherwise("public_source")
+
+
 def lacks_tag(tag: str) -> Column:
     return ~has_tag(tag)
 

@@ -114,6 +114,13 @@ def primary_sets(units: DataFrame, members: DataFrame) -> DataFrame:
     return alone.unionByName(units.filter("type = 'group'").select("group_id", "set_id").join(members.select("group_id", "question_id"), "group_id").select("question_id", "set_id"))
 
 
+def set_sizes(units: DataFrame, members: DataFrame) -> DataFrame:
+    """By set: its questions (a missing group has none) and its group units."""
+    sizes = members.groupBy("group_id").agg(F.count("*").alias("held"))
+    held = F.when(F.col("type") == "question", 1).otherwise(F.coalesce("held", F.lit(0)))
+    return units.join(sizes, "group_id", "left").groupBy("set_id").agg(F.sum(held).cast("long").alias("questions"), F.count_if(F.col("type") == "group").alias("groups"))
+
+
 def migration_totals(questions: DataFrame, members: DataFrame, units: DataFrame) -> DataFrame:
     """By subject: groups, grouped and standalone rows, and sets."""
     placed = primary_sets(units, members)

@@ -6,63 +6,47 @@ bank: question_id, subject, text, and an id of its own.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.operators.dedup import match_exact, match_near, similar_pairs, text_key
+from itemforge.sources.scratch import cut
 
 REASONS = ("not_reviewed_or_blocked", "invalid_structure", "duplicate_id", "duplicate_question_text", "near_duplicate_question_text")
 
 
-def _shared(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="itemforge-"))
-    return context.getCheckpointDir()
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again, so that a lost executor costs one round at most."""
-    path = f"{_shared(df.sparkSession)}/merge-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def greedy_accept(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, accepted): the lexicographically first independent set of nodes (id) under edges (low, high).
 
     Equal to walking the ids upwards and accepting each that no accepted one blocks. A round accepts what has no
     undecided smaller neighbour, and rejects the larger neighbours of what is accepted; few rounds settle all.
     """
-    edges = _cut(edges.select("low", "high").distinct())
+    edges = cut(edges.select("low", "high").distinct())
     blocked = edges.select(F.col("high").alias("id")).distinct()
-    decided = _cut(nodes.select("id").distinct().join(blocked, "id", "left_anti").withColumn("accepted", F.lit(True)))
-    open_ids = _cut(blocked)
+    decided = cut(nodes.select("id").distinct().join(blocked, "id", "left_anti").withColumn("accepted", F.lit(True)))
+    open_ids = cut(blocked)
     while open_ids.limit(1).count():
         taken = decided.filter("accepted").select(F.col("id").alias("low"))
         rejected = open_ids.join(edges.join(taken, "low", "left_semi").select(F.col("high").alias("id")).distinct(), "id", "left_semi")
-        rejected = _cut(rejected)
+        rejected = cut(rejected)
         rest = open_ids.join(rejected, "id", "left_anti")
         waiting = edges.join(rest.select(F.col("id").alias("low")), "low", "left_semi").select(F.col("high").alias("id")).distinct()
-        accepted = _cut(rest.join(waiting, "id", "left_anti"))
-        decided = _cut(decided.unionByName(rejected.withColumn("accepted", F.lit(False))).unionByName(accepted.withColumn("accepted", F.lit(True))))
-        open_ids = _cut(rest.join(accepted, "id", "left_anti"))
+        accepted = cut(rest.join(waiting, "id", "left_anti"))
+        decided = cut(decided.unionByName(rejected.withColumn("accepted", F.lit(False))).unionByName(accepted.withColumn("accepted", F.lit(True))))
+        open_ids = cut(rest.join(accepted, "id", "left_anti"))
     return decided
 
 
-def _chain(rows: DataFrame, key: str) -> DataFrame:
-    """Edges between each row of a key and the first of it, and between neighbours: enough for one row to block all.
+def _claims(rows: DataFrame, key: str) -> DataFrame:
+    """Edges (low, high) between the rows of a key, the earlier row first.
 
-    Within one key every accepted row blocks all later ones, so at most one is accepted; which one depends on other
-    reasons, so each row needs an edge to each possible earlier one. Rows of a key are few unless they are copies of
-    one text, and those are settled by their number in the key before edges are made.
+    Within a key every accepted row blocks all later ones, and any earlier row may turn out to be the accepted one, so
+    each pair is an edge. Callers pass one row for each (subject, id, normal text): what meets here are different texts
+    that claim one id, or one text under different ids. A key with n such claims gives n * (n - 1) / 2 edges.
     """
-    a = rows.select(F.col("id").alias("low"), key)
-    b = rows.select(F.col("id").alias("high"), key)
-    return a.join(b, key).filter("low < high").select("low", "high")
+    claims = rows.groupBy(key).agg(F.count("*").alias("held")).filter("held > 1")
+    shared = rows.join(claims.select(key), key)
+    return shared.select(F.col("id").alias("low"), key).join(shared.select(F.col("id").alias("high"), key), key).filter("low < high").select("low", "high")
 
 
 def merge_decisions(staged: DataFrame, bank: DataFrame, near: bool = True) -> DataFrame:
@@ -76,13 +60,13 @@ def merge_decisions(staged: DataFrame, bank: DataFrame, near: bool = True) -> Da
     near_bank = match_near(staged, bank) if near else staged.select("id", F.lit(None).alias("near_id")).limit(0)
     found = found.join(near_bank, "id", "left")
     early = F.when(~F.col("candidate"), REASONS[0]).when(~F.col("valid"), REASONS[1]).when(F.col("id_known"), REASONS[2]).when(F.col("text_match").isNotNull(), REASONS[3]).when(F.col("near_id").isNotNull(), REASONS[4])
-    found = _cut(found.withColumn("early", early).select("id", "subject", "question_id", "text", "form", "candidate", "valid", "early"))
+    found = cut(found.withColumn("early", early).select("id", "subject", "question_id", "text", "form", "candidate", "valid", "early"))
     open_rows = found.filter("early IS NULL")
     first = open_rows.groupBy("subject", "question_id", "form").agg(F.min("id").alias("lead"))
     led = open_rows.join(first, ["subject", "question_id", "form"])
     leads = led.filter("id = lead")
-    by_id = _chain(leads.select("id", "question_id"), "question_id").withColumn("why", F.lit(0))
-    by_text = _chain(leads.select("id", F.concat_ws("|", "subject", "form").alias("text_key")), "text_key").withColumn("why", F.lit(1))
+    by_id = _claims(leads.select("id", "question_id"), "question_id").withColumn("why", F.lit(0))
+    by_text = _claims(leads.select("id", F.concat_ws("|", "subject", "form").alias("text_key")), "text_key").withColumn("why", F.lit(1))
     edges = by_id.unionByName(by_text)
     if near:
         pairs = similar_pairs(leads.select("id", "subject", "text")).select(F.col("left_id").alias("x"), F.col("right_id").alias("y"))
@@ -91,7 +75,7 @@ def merge_decisions(staged: DataFrame, bank: DataFrame, near: bool = True) -> Da
         of = lambda side, rep, name: pairs.select(rep).distinct().join(forms.withColumnRenamed("id", rep), rep).join(forms.withColumnRenamed("id", name), ["subject", "form"]).select(rep, name)
         wide = pairs.join(of("x", "x", "p"), "x").join(of("y", "y", "q"), "y").select(F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"))
         edges = edges.unionByName(wide.withColumn("why", F.lit(2)))
-    edges = _cut(edges.groupBy("low", "high").agg(F.min("why").alias("why")))
+    edges = cut(edges.groupBy("low", "high").agg(F.min("why").alias("why")))
     decided = greedy_accept(leads, edges)
     why = edges.join(decided.filter("accepted").select(F.col("id").alias("low")), "low", "left_semi").groupBy(F.col("high").alias("id")).agg(F.min("why").alias("why"))
     late = decided.join(why, "id", "left").select(F.col("id").alias("lead"), "accepted", "why")
@@ -119,6 +103,18 @@ def retained(decisions: DataFrame, drop_duplicates: bool = False) -> DataFrame:
     return skipped.filter(~F.col("reason").isin(*REASONS[2:4])) if drop_duplicates else skipped
 
 
+def file_stats(decisions: DataFrame, staged: DataFrame, file: str = "file") -> DataFrame:
+    """By staging file: rows before, merged, and what is left."""
+    rows = decisions.join(staged.select("id", file), "id")
+    return rows.groupBy(file).agg(F.count("*").alias("before"), F.count_if(F.col("reason").isNull()).alias("merged"), F.count("reason").alias("left"))
+
+
+def merged_bank(decisions: DataFrame, staged: DataFrame, bank: DataFrame) -> DataFrame:
+    """The bank with the merged rows behind it; columns that one side lacks are null."""
+    taken = staged.join(decisions.filter("reason IS NULL").select("id"), "id", "left_semi")
+    return bank.unionByName(taken, allowMissingColumns=True)
+
+
 def merge_stats(decisions: DataFrame, before: DataFrame) -> DataFrame:
     """By subject: bank rows before, candidates, merged, skipped, rows after, and rows by reason."""
     merged = F.col("reason").isNull()

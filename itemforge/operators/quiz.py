@@ -38,22 +38,22 @@ def select_units(units: DataFrame, budgets: DataFrame, order: str = "unit_positi
     """units that fit the budget (request_id, budget): each is taken if it still fits, else passed over.
 
     Units without questions are no units; a budget of 0 takes none; where nothing fits the first one is taken.
-    The fold runs over one ordered array a request.
+    A request is one row, its units an ordered array. The fold carries the sum and the numbers of the units taken.
     """
     item = F.struct(order, "type", "question_id", "group_id", "size")
     lists = units.filter("size > 0").groupBy("request_id").agg(F.sort_array(F.collect_list(item)).alias("units"))
     rows = lists.join(budgets.select("request_id", F.col("budget").cast("long").alias("budget")), "request_id").filter("budget > 0")
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("picked"), F.lit(0).alias("i"))
+    # only what fits the budget alone can be taken, and at most `budget` units are: the fold walks these sizes only
+    numbered = F.transform("units", lambda u, i: F.struct(u["size"].alias("size"), i.alias("i")))
+    fitting = F.filter(numbered, lambda u: u["size"] <= F.col("budget"))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("picked"))
 
     def step(state: Column, unit: Column) -> Column:
         fits = state["sum"] + unit["size"] <= F.col("budget")
-        return F.struct(
-            (state["sum"] + F.when(fits, unit["size"]).otherwise(0)).alias("sum"),
-            F.when(fits, F.concat(state["picked"], F.array(state["i"]))).otherwise(state["picked"]).alias("picked"),
-            (state["i"] + 1).alias("i"),
-        )
+        # a full budget leaves the state as it is, so the array is copied at most `budget` times
+        return F.when(fits, F.struct((state["sum"] + unit["size"]).alias("sum"), F.array_append(state["picked"], unit["i"]).alias("picked"))).otherwise(state)
 
-    picked = F.aggregate("units", start, step, lambda s: s["picked"])
+    picked = F.aggregate(fitting, start, step, lambda s: s["picked"])
     chosen = rows.withColumn("picked", picked).withColumn("picked", F.when(F.size("picked") == 0, F.array(F.lit(0))).otherwise(F.col("picked")))
     return chosen.select("request_id", F.explode(F.transform("picked", lambda i: F.element_at("units", i + 1))).alias("unit")).select("request_id", "unit.*")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.functions import quality
@@ -10,6 +10,7 @@ from itemforge.functions.html import REVIEW_ENTITIES, decode_entities
 from itemforge.functions.text import normalize, reasons
 from itemforge.operators.dedup import match_exact, match_near, seen_before
 from itemforge.operators.filters import BLOCKING_TAGS, has_tag
+from itemforge.operators.order import with_numbers
 from itemforge.operators.rules import empty, has_duplicate_options
 
 MALFORMED = r"(?i)<[^>]+>|&(?:[a-z]+|#[0-9]+|#x[0-9a-f]+);|(?<![A-Za-z0-9_])(?:undefined|null)(?![A-Za-z0-9_])"
@@ -135,16 +136,64 @@ def review_generated(questions: DataFrame, bank: DataFrame, id_pattern: str, top
     return rows.withColumn("reasons", more).withColumn("reviewed", F.size("reasons") == 0)
 
 
+def review_rewritten(questions: DataFrame, patch: DataFrame, patched_columns: list[str], bank: DataFrame, id_pattern: str, topics: list[str], anchors: list[tuple[str, str, str]]) -> DataFrame:
+    """A batch patched, its difficulties set, reviewed by general and domain rules; with rewritten, reviewed and tags.
+
+    rewritten tells whether the patch or the recommended difficulty changed the row. A row that fails gets the tag
+    needs_manual_review, which others lose.
+    """
+    before = questions.withColumn("before", F.struct(*patched_columns, "difficulty"))
+    rows = apply_patch(before, patch, "question_id", patched_columns)
+    rows = rows.withColumn("difficulty", quality.recommended_difficulty(*(F.col(c) for c in ("subject", "topic", "subtopic", "question"))))
+    rows = rows.withColumn("rewritten", ~F.col("before").eqNullSafe(F.struct(*patched_columns, "difficulty"))).drop("before")
+    decisions = review_generated(rows, bank, id_pattern, topics, anchors)
+    reason = F.concat("reasons", quality.domain_reasons())
+    plain = remove_tags(F.col("tags"), ("needs_manual_review",))
+    return decisions.withColumn("reasons", reason).withColumns({"reviewed": F.size("reasons") == 0, "tags": F.when(F.size("reasons") == 0, plain).otherwise(add_tags(plain, F.lit("needs_manual_review")))})
+
+
+def review_first_batch(questions: DataFrame, patch: DataFrame, patched_columns: list[str], subtopic: Column, topic: str, order: str) -> DataFrame:
+    """A batch patched, subtopics of one topic derived anew, reviewed unless tagged for review, answers rebalanced.
+
+    rewritten tells of a patch, subtopic_changed and changed (the order of options) of the others.
+    """
+    rows = apply_patch(questions.join(patch.select("question_id", F.lit(True).alias("rewritten")), "question_id", "left"), patch, "question_id", patched_columns)
+    rows = rows.withColumns({"rewritten": F.coalesce("rewritten", F.lit(False)), "old_subtopic": F.col("subtopic")})
+    rows = rows.withColumn("subtopic", F.when(F.col("topic") == topic, subtopic).otherwise(F.col("subtopic")))
+    rows = rows.withColumns({"subtopic_changed": ~F.col("subtopic").eqNullSafe(F.col("old_subtopic")), "reviewed": ~has_tag("needs_manual_review")}).drop("old_subtopic")
+    return rebalance_answers(rows, order)
+
+
+def with_gate(decisions: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Decisions of a batch whose distribution must hold: with any gap every row needs a manual review."""
+    failed = gaps.agg((F.count("*") > 0).alias("gate_failed"))  # one row
+    rows = decisions.join(F.broadcast(failed))
+    return rows.withColumns({
+        "reviewed": F.col("reviewed") & ~F.col("gate_failed"),
+        "tags": F.when(F.col("reviewed") & ~F.col("gate_failed"), remove_tags(F.col("tags"), ("needs_manual_review",))).otherwise(add_tags(F.col("tags"), F.lit("needs_manual_review"))),
+    })
+
+
+def tag_totals(decisions: DataFrame, tags: list[str]) -> DataFrame:
+    """By source tag: rows with it, those reviewed, and those that need review."""
+    rows = decisions.select("reviewed", F.explode(F.array_intersect(F.array(*map(F.lit, tags)), F.coalesce("tags", F.array().cast("array<string>")))).alias("tag"))
+    return rows.groupBy("tag").agg(F.count("*").alias("total"), F.count_if("reviewed").alias("reviewed"), F.count_if(~F.col("reviewed")).alias("needs_review"))
+
+
 def review_summary(decisions: DataFrame) -> DataFrame:
-    """By subject, and over all under a null subject: total, reviewed, needing review, and duplicates by type."""
+    """By subject, and over all under a null subject: total, reviewed, needing review, and duplicates by type.
+
+    Decisions with a `rewritten` flag are counted by it, too.
+    """
     kind = lambda t: F.count_if(F.col("duplicate_type") == t).alias(f"{t}_duplicates")
-    return decisions.rollup("subject").agg(F.count("*").alias("total"), F.count_if("reviewed").alias("reviewed"), F.count_if(~F.col("reviewed")).alias("needs_review"), kind("exact"), kind("batch"), kind("near"))
+    more = [F.count_if("rewritten").alias("rewritten")] if "rewritten" in decisions.columns else []
+    return decisions.rollup("subject").agg(*more, F.count("*").alias("total"), F.count_if("reviewed").alias("reviewed"), F.count_if(~F.col("reviewed")).alias("needs_review"), kind("exact"), kind("batch"), kind("near"))
 
 
 def rebalance_answers(questions: DataFrame, order: str) -> DataFrame:
     """The correct option of row i stands at i mod the number of options; the others keep their order."""
-    place = F.row_number().over(Window.partitionBy("subject").orderBy(order)) - 1
-    rows = questions.withColumn("target", F.pmod(place, F.size("options")).cast("int"))
+    numbered = with_numbers(questions, "subject", order, name="row_in_subject")
+    rows = numbered.withColumn("target", F.pmod("row_in_subject", F.size("options")).cast("int")).drop("row_in_subject")
     others = F.filter("options", lambda o, i: i != F.col("correct"))
     moved = F.array_insert(others, F.col("target") + 1, F.element_at("options", F.col("correct").cast("int") + 1))
     return rows.withColumns({"options": moved, "changed": F.col("correct") != F.col("target"), "correct": F.col("target")}).drop("target")

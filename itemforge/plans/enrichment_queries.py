@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemforge.functions import quality
-from itemforge.operators import filters
+from itemforge.operators import filters, order
 from itemforge.plans import enrichment, roles
 from itemforge.plans.define import Queries
 from itemforge.plans.roles import QUESTIONS_SQL
@@ -99,7 +99,7 @@ def request_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS place FROM orders) SELECT (place - 1) // 350 + 1 AS chunk, count(*) AS requests, min(place) AS first_place, max(place) AS last_place, 'created' AS status FROM r GROUP BY 1""")
 def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = enrichment.with_places(roles.read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    placed = order.with_places(roles.read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
     return enrichment.chunk_index(placed.select((F.floor(F.col("place") / 350) + 1).alias("chunk"), (F.col("place") + 1).alias("place")))
 
 

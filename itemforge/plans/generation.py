@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemforge.functions.text import first_true, zero_padded
+from itemforge.operators.order import with_places
 
 VARIANTS = 5
 
@@ -93,8 +94,8 @@ def quota_difficulties(total: int, spark_range: DataFrame) -> DataFrame:
     """
     easy, hard = int(total * 0.25 + 0.5), int(total * 0.2 + 0.5)
     value = first_true((F.col("i") < easy, "easy"), (F.col("i") < total - hard, "medium"), otherwise="hard")
-    key = (F.col("i") * 37 + 11) % total
-    return spark_range.select((F.row_number().over(Window.orderBy(key, "i")) - 1).alias("position"), value.alias("difficulty"))
+    keyed = spark_range.select("i", ((F.col("i") * 37 + 11) % total).alias("key"), value.alias("difficulty"))
+    return with_places(keyed, "key", "i", name="position").select("position", "difficulty")
 
 
 def seed_rows(items: DataFrame, prefix: str, width: int = 3) -> DataFrame:

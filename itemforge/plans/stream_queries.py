@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.operators.merge import _shared
+from itemforge.sources.scratch import shared
 from itemforge.plans import roles
 from itemforge.plans.define import Queries
 from itemforge.streaming import state
@@ -42,7 +42,7 @@ def _stream(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
 @query(f"""WITH {_EVENTS}, n AS (SELECT *, count(*) FILTER (is_correct) OVER (PARTITION BY learner, subject, question_id ORDER BY moment DESC, seq DESC) AS closed FROM e)
 SELECT learner, subject, question_id, max(moment) AS last_answered_at, count(*) AS times_wrong FROM n WHERE closed = 0 GROUP BY 1, 2, 3""")
 def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{_shared(spark)}/ledger-{uuid.uuid4().hex}"
+    folder = f"{shared(spark)}/ledger-{uuid.uuid4().hex}"
     rows = _answers(spark, sf_dir)
     updates = state.ledger_updates(_stream(spark, rows, folder))
     _feed(rows, folder, lambda: state.keep_latest(updates, f"{folder}/out", f"{folder}/checkpoint").awaitTermination())
@@ -51,7 +51,7 @@ def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id AS attempt_id, (props->>'$.k')::INT AS question_id, arg_max(event_type, {'a': ts, 'b': event_id}) AS option FROM events GROUP BY 1, 2")
 def final_answers_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{_shared(spark)}/answers-{uuid.uuid4().hex}"
+    folder = f"{shared(spark)}/answers-{uuid.uuid4().hex}"
     rows = roles.read(spark, sf_dir, "events").select(F.col("user_id").alias("attempt_id"), F.get_json_object("props", "$.k").cast("int").alias("question_id"), F.col("event_type").alias("option"), F.col("ts").cast("timestamp").alias("moment"), F.col("event_id").alias("seq"))
     # answers of any age count, so the watermark stays behind all of them
     updates = state.final_answers(_stream(spark, rows, folder), delay="3650 days")
@@ -69,7 +69,7 @@ c AS (SELECT s.attempt_id, coalesce(finish, start + INTERVAL 2 DAY) AS closed_at
 SELECT attempt_id, closed_at, (SELECT count(*) FROM events WHERE user_id = attempt_id AND ts <= closed_at AND event_type <> 'purchase') AS answered FROM c""")
 def attempt_timeout_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts of two days that end by time or by a purchase; a closing event far ahead moves the watermark past all."""
-    folder = f"{_shared(spark)}/attempts-{uuid.uuid4().hex}"
+    folder = f"{shared(spark)}/attempts-{uuid.uuid4().hex}"
     rows = roles.read(spark, sf_dir, "events").select(F.col("user_id").alias("attempt_id"), F.col("ts").cast("timestamp").alias("moment"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "finish").otherwise("answer").alias("kind"), F.lit(2 * 24 * 60).alias("minutes"))
     late = rows.agg(F.max("moment").alias("m")).select(F.lit(-1).cast("long").alias("attempt_id"), (F.col("m") + F.expr("INTERVAL 30 DAYS")).alias("moment"), F.lit(-1).cast("long").alias("seq"), F.lit("answer").alias("kind"), F.lit(1).alias("minutes"))
     closed = state.closed_attempts(_stream(spark, rows, folder))
