@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from itemforge.functions.text import strip
+
 # Three tables of named entities, from the narrowest to the widest.
 BASIC_ENTITIES = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "nbsp": " "}
 ARCHIVE_ENTITIES = BASIC_ENTITIES | {"ndash": "-", "mdash": "-", "hellip": "...", "rsquo": "'", "lsquo": "'", "rdquo": '"', "ldquo": '"'}
@@ -77,12 +79,12 @@ def strip_answer(explanation: Column) -> Column:
     text = F.regexp_replace(explanation, r"(?iu)^\s*Пояснення\s*", "")
     text = F.regexp_replace(text, r"(?iu)Правильна відповідь\s*[-:]\s*[A-DА-Г](?:\.[^\n]*)?", "")
     text = F.regexp_replace(text, r"(?iu)Правильна відповідь\s*[-:]\s*[A-DА-Г][^.\n]*(?:\.|\n)?", "")
-    return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
 def lines_of(text: Column) -> Column:
     """Trimmed lines without a final bar."""
-    return F.transform(F.split(text, "\n"), lambda l: F.regexp_replace(F.trim(l), r"\|$", ""))
+    return F.transform(F.split(text, "\n"), lambda l: F.regexp_replace(strip(l), r"\|$", ""))
 
 
 def first_line(passage: Column, skipped: tuple[str, ...] = ("Cafes Around the World",), default: str = "the passage") -> Column:
@@ -94,13 +96,25 @@ def first_line(passage: Column, skipped: tuple[str, ...] = ("Cafes Around the Wo
 
 
 def clean_passage(passage: Column) -> Column:
-    return F.trim(F.regexp_replace(F.array_join(lines_of(passage), "\n"), r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.array_join(lines_of(passage), "\n"), r"\n{3,}", "\n\n"))
+
+
+def fix_options(options: Column, typos: dict[str, str]) -> Column:
+    """The options with known typos of a source replaced, and whether one was: a struct of options and fixed."""
+    table = F.create_map(*(F.lit(x) for pair in typos.items() for x in pair))
+    fixed = F.transform(options, lambda o: F.coalesce(F.try_element_at(table, o), o))
+    return F.struct(fixed.alias("options"), (~fixed.eqNullSafe(options)).alias("fixed"))
+
+
+def fix_words(text: Column, words: dict[str, str]) -> Column:
+    """Known misspelt words of a source, as whole words."""
+    return reduce(lambda t, w: F.regexp_replace(t, rf"(?<![A-Za-z0-9_]){w[0]}(?![A-Za-z0-9_])", w[1]), words.items(), text)
 
 
 def strip_noise(line: Column) -> Column:
     """A line of a printed page without form feeds, copyright tails and the legend of marks."""
     line = F.regexp_replace(F.replace(line, F.lit("\f"), F.lit("")), r"©.*$", "")
-    return F.trim(F.replace(line, F.lit("(x) – правильний варіант відповіді на завдання"), F.lit("")))
+    return strip(F.replace(line, F.lit("(x) – правильний варіант відповіді на завдання"), F.lit("")))
 
 
 def between(text: Column, start: str, end: str) -> Column:
@@ -108,4 +122,4 @@ def between(text: Column, start: str, end: str) -> Column:
     at = F.instr(text, start)
     rest = F.substr(text, at)
     stop = F.locate(end, rest, len(start) + 1)
-    return F.when(at > 0, F.trim(F.when(stop > 0, F.substr(rest, F.lit(1), stop - 1)).otherwise(rest)))
+    return F.when(at > 0, strip(F.when(stop > 0, F.substr(rest, F.lit(1), stop - 1)).otherwise(rest)))

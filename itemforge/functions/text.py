@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -29,6 +30,11 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def clean_option(text: Column) -> Column:
     """Without a leading (x) mark (Latin or Cyrillic letter, either bracket optional)."""
     return collapse_spaces(F.regexp_replace(text, r"(?iu)^\(?[xх]?\)?\s*", ""))
@@ -112,3 +118,9 @@ def zero_padded(number: Column, width: int) -> Column:
     """The number with leading zeros up to the width; longer numbers stay whole."""
     digits = number.cast("string")
     return F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)
+
+
+def fill(template: str, **values: Column) -> Column:
+    """A caller's sentence with {name} replaced by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if i % 2 or p))

@@ -167,8 +167,8 @@ _BANK = f"b AS (SELECT lang AS subject, {normal_sql('text')} AS n, min(doc_id) A
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every document is either a candidate (odd id) or in the bank (even id)."""
-    rows = roles.texts(spark, sf_dir).withColumns({"passage": F.substring("text", 1, 200), "options": F.array("subject", "site")})
+    """Every document is either a candidate (odd id) or in the bank (even id); its first line is its passage."""
+    rows = roles.texts(spark, sf_dir).withColumns({"passage": F.element_at(F.split("text", "\n"), 1), "options": F.array("subject", "site")})
     return rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0")
 
 
@@ -190,7 +190,7 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.similar_pairs(roles.texts(spark, sf_dir))
 
 
-_IMPORT = f"""WITH {_TOKENS}, x AS (SELECT d.*, substr(text, 1, 200) AS p, text, source FROM d JOIN documents USING (doc_id, lang)),
+_IMPORT = f"""WITH {_TOKENS}, x AS (SELECT d.*, string_split(text, chr(10))[1] AS p, text, source FROM d JOIN documents USING (doc_id, lang)),
 odd AS (SELECT * FROM x WHERE doc_id % 2 = 1), even AS (SELECT * FROM x WHERE doc_id % 2 = 0),
 e AS (SELECT o.doc_id, min(v.doc_id) AS m FROM odd o JOIN even v ON o.lang = v.lang AND o.n = v.n GROUP BY 1),
 p AS (SELECT o.doc_id, min(v.doc_id) AS m FROM odd o JOIN even v ON o.lang = v.lang AND o.source = v.source AND {normal_sql('o.p')} = {normal_sql('v.p')} AND {normal_sql('o.p')} <> '' GROUP BY 1),

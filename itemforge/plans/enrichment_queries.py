@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemforge.functions import quality
+from itemforge.functions.text import strip
 from itemforge.operators import filters, order
 from itemforge.plans import enrichment, roles
 from itemforge.plans.define import Queries
@@ -115,17 +116,39 @@ def chunk_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {QUESTIONS_SQL} SELECT subject, count(*) AS scanned, count(*) FILTER (explanation = '') AS placeholders, count(*) FILTER (explanation = '' AND subject <> 'tznk') AS filled, count(*) FILTER (explanation <> '') AS unchanged,
 count(*) FILTER (explanation = '' AND subject = 'tznk') AS needs_review FROM questions GROUP BY 1""")
 def explanation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrichment.explanation_stats(enrichment.explain(roles.questions(spark, sf_dir), {"management": [("(?i)widget", "A hint.")]}, "fallback"))
-
-
-@query(f"""WITH {QUESTIONS_SQL} SELECT question_id, CASE WHEN subject = 'english' THEN 'fallback' WHEN subject = 'tznk' THEN explanation
-WHEN subject = 'management' AND contains(lower(question), 'widget') THEN 'Правильна відповідь: «' || o || '». A hint. Інші варіанти описують суміжні управлінські, маркетингові або фінансові поняття, але не відповідають ключовій ознаці запитання.'
-WHEN subject = 'management' THEN 'Правильна відповідь: «' || o || '». У запитанні ключовою є ознака: ' || question || '. Саме цей варіант називає відповідне управлінське, маркетингове або фінансове поняття. Інші варіанти описують суміжні управлінські, маркетингові або фінансові поняття, але не відповідають ключовій ознаці запитання.'
-ELSE 'Правильна відповідь: «' || o || '». Ключова ознака у формулюванні: ' || question || '. Саме цей варіант найточніше називає відповідне психологічне або соціологічне явище. Інші варіанти стосуються інших психологічних або соціологічних явищ і не пояснюють наведену ознаку так точно.' END AS explanation
-FROM (SELECT *, options[(correct + 1)::INT] AS o FROM questions)""")
+    return enrichment.explanation_stats(enrichment.explain(roles.questions(spark, sf_dir), {"management": [("(?i)widget", "A hint.")]}, _SENTENCES))
+
+
+#: Short sentences by subject, and questions that bring each of them about.
+_SENTENCES = {
+    "management": {"plain": "«{answer}» fits {focus}.", "long": "Довге: «{answer}» ({focus}).", "hinted": "«{answer}». {hint}"},
+    "psychology-sociology": {"plain": "Так: {answer} / {focus}", "author": "Автор: {answer}"},
+    "english": {"plain": "See the passage."},
+}
+_ASKED = f"""{QUESTIONS_SQL}, asked AS (SELECT * REPLACE (CASE position % 7 WHEN 1 THEN 'На думку кого це ' || passage || '?' WHEN 2 THEN 'Скільки точок зображено на рисунку?' WHEN 3 THEN 'Термін «визначення поняття ' || passage || '» це?' WHEN 4 THEN 'Оберіть: визначення поняття номер ' || position || ' так' ELSE question END AS question,
+CASE WHEN position % 2 = 0 THEN '' ELSE passage END AS passage, CASE WHEN position % 10 = 0 THEN ['дуже довге правильне формулювання цього варіанта, яке має понад сімдесят знаків ' || position || '.', 'b', 'c', 'd'] ELSE options END AS options, CASE WHEN position % 10 = 0 THEN 0 ELSE correct END AS correct), passage AS p FROM questions)"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, p = F.col("position"), F.col("passage")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    long = F.array(text("дуже довге правильне формулювання цього варіанта, яке має понад сімдесят знаків ", k.cast("string"), "."), F.lit("b"), F.lit("c"), F.lit("d"))
+    return roles.questions(spark, sf_dir).withColumns({
+        "question": F.when(k % 7 == 1, text("На думку кого це ", p, "?")).when(k % 7 == 2, "Скільки точок зображено на рисунку?").when(k % 7 == 3, text("Термін «визначення поняття ", p, "» це?")).when(k % 7 == 4, text("Оберіть: визначення поняття номер ", k.cast("string"), " так")).otherwise(F.col("question")),
+        "options": F.when(k % 10 == 0, long).otherwise(F.col("options")), "correct": F.when(k % 10 == 0, 0).otherwise(F.col("correct")),
+        "passage": F.when(k % 2 == 0, "").otherwise(p),
+    })
+
+
+@query(f"""WITH {_ASKED}, f AS (SELECT *, regexp_replace(options[(correct + 1)::INT], '\\.$', '') AS o,
+CASE position % 7 WHEN 3 THEN 'опис «визначення поняття ' || p || '»' WHEN 4 THEN 'визначення поняття номер ' || position || ' так' ELSE regexp_replace(question, '\\?$', '') END AS focus,
+regexp_matches(concat_ws(' ', question, passage, options[(correct + 1)::INT]), '(?i)widget') AS hinted, position % 7 = 2 AND passage = '' AS unseen FROM asked)
+SELECT question_id, CASE WHEN unseen OR subject = 'tznk' THEN explanation WHEN subject = 'english' THEN 'See the passage.'
+WHEN subject = 'management' THEN CASE WHEN hinted THEN '«' || o || '». A hint.' WHEN length(o) > 70 THEN 'Довге: «' || o || '» (' || focus || ').' ELSE '«' || o || '» fits ' || focus || '.' END
+WHEN position % 7 = 1 THEN 'Автор: ' || o ELSE 'Так: ' || o || ' / ' || focus END AS explanation, NOT unseen AND subject <> 'tznk' AS generated FROM f""")
 def hinted_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = enrichment.explain(roles.questions(spark, sf_dir), {"management": [("(?i)widget", "A hint.")]}, "fallback")
-    return rows.select("question_id", F.col("new_explanation").alias("explanation"))
+    rows = enrichment.explain(_asked(spark, sf_dir), {"management": [("(?i)widget", "A hint.")]}, _SENTENCES)
+    return rows.select("question_id", F.col("new_explanation").alias("explanation"), "generated")
 
 
 @query("""SELECT event_id, (props->>'$.k')::BIGINT AS k, (props->>'$.k')::BIGINT % 2 = 0 AS even FROM events""")
@@ -162,3 +185,84 @@ def output_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = enrichment.validate(lines, inputs, policy=enrichment.Policy(order="earliest", **strict)).select("chunk", "line", F.col("accepted").alias("earliest"))
     two = enrichment.validate(lines, inputs, policy=enrichment.Policy(order="first_parsed", **strict)).select("chunk", "line", F.col("accepted").alias("first_parsed"))
     return one.join(two, ["chunk", "line"])
+
+
+# ---------------------------------------------------------------- the sectioned variants
+
+_FILL = "Тут міститься доволі довгий український текст про умову задачі та про правильний спосіб її розв'язання"
+_RULE = "Спочатку прочитайте умову, тоді випишіть відомі величини, перевірте кожен варіант за ними та оберіть той, що відповідає всім умовам"
+
+
+def _wrapped(item_id: Column, text: Column, by_option: Column, uncertain: Column, notes: Column, mode: Column) -> Column:
+    """A good output line around an explanation."""
+    payload = F.to_json(F.struct(item_id.alias("id"), text.alias("improvedExplanation"), by_option.alias("explanationByOption"), F.array().cast("array<string>").alias("tagsToAdd"), uncertain.alias("uncertain"), notes.alias("notes"), mode.alias("rulesSectionMode")))
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(payload.alias("content")).alias("message"))).alias("choices")))
+    return F.to_json(F.struct(item_id.alias("custom_id"), F.struct(F.lit(200).alias("status_code"), body.alias("body")).alias("response")))
+
+
+def _text(*parts: str | Column) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
+def _subject_lines(spark: SparkSession, sf_dir: str, subject: str, line) -> tuple[DataFrame, DataFrame]:
+    """Inputs of one subject, and a line for each; every eighth has a second one, always good."""
+    inputs = enrichment.prepare(roles.questions(spark, sf_dir), "no such tag").filter(F.col("subject") == subject)
+    k = F.floor(F.col("position") / 4)
+    rows = inputs.select("position", "id", "correct_letter", "correct_option", (k % 8).alias("kind"))
+    first = rows.select(F.lit(1).cast("long").alias("chunk"), F.col("position").alias("line"), line(F.col("kind")).alias("raw"))
+    second = rows.filter("kind = 7").select(F.lit(2).cast("long").alias("chunk"), F.col("position").alias("line"), line(F.lit(0)).alias("raw"))
+    return inputs, first.unionByName(second)
+
+
+def _english_line(kind: Column) -> Column:
+    named = F.when(kind == 2, F.lit(" ")).otherwise(_text(" — ", F.col("correct_letter"), ": "))
+    option = F.when(kind == 3, "цей варіант").otherwise(F.col("correct_option"))
+    fill = F.when(kind == 4, F.repeat(F.lit("plain latin words "), 60)).otherwise(F.lit(_FILL))
+    last = F.when(kind == 1, "П'яте").otherwise("5. Як запам’ятати")
+    more = F.when(kind == 5, " Як мовна модель.").otherwise("")
+    text = _text("Тут правильна відповідь", named, option, "\n1. Ключова ідея\n", fill, "\n2. Чому правильна відповідь\n3. Чому не інші варіанти\n4. Які правила треба знати, щоб не допустити тут помилок на іспиті\n", last, "\nКоротко: так.", more)
+    by_option = F.when(kind == 6, F.array(F.lit("one"))).otherwise(F.array().cast("array<string>"))
+    return _wrapped(F.col("id"), text, by_option, F.length("id") % 2 == 0, F.lit("n"), F.lit(None).cast("string"))
+
+
+@query(f"""WITH {QUESTIONS_SQL}, w AS (SELECT *, position // 4 % 8 AS kind FROM questions WHERE subject = 'english'),
+v AS (SELECT 1 AS chunk, position AS line, kind, question_id FROM w UNION ALL SELECT 2, position, 8, question_id FROM w WHERE kind = 7)
+SELECT chunk::BIGINT AS chunk, line, kind IN (0, 7) AS accepted, ['', 'missing_section:5. Як запам’ятати', 'missing_correct_option_letter', 'missing_correct_option_text', 'explanation_not_mostly_ukrainian', 'forbidden_meta_language', 'explanation_by_option_length_mismatch', '', 'duplicate_output_id'][(kind + 1)::INT] AS reasons,
+CASE WHEN kind NOT IN (0, 7) THEN 'rejected' WHEN length(question_id) % 2 = 0 THEN 'manual' ELSE 'accepted' END AS route,
+CASE WHEN kind IN (0, 7) THEN 'english_exam_rules_section,explanation_improved,explanation_style_v2,explanation_style_v3' || CASE WHEN length(question_id) % 2 = 0 THEN ',needs_explanation_review,needs_explanation_style_v3' ELSE '' END || ',openai_english_explanation_batch_1' END AS tags FROM v""")
+def english_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The English variant: sections, no soft reasons, the earliest acceptable line of an id."""
+    inputs, lines = _subject_lines(spark, sf_dir, "english", _english_line)
+    found = enrichment.route(enrichment.validate(lines, inputs, enrichment.sectioned_reasons(), enrichment.ENGLISH_V3))
+    return found.select("chunk", "line", "accepted", F.array_join("reasons", ",").alias("reasons"), "route", F.array_join("tags", ",").alias("tags"))
+
+
+def _tznk_line(kind: Column) -> Column:
+    """Kinds: good, no fifth section, no general rule, short rules, marked headings, no summary, uncertain without notes, unsound at first."""
+    h = enrichment.HEADINGS
+    heading = lambda n: F.when(kind == 4, f"**{n}. інший заголовок**").otherwise(h[n])
+    rule = F.when(kind == 3, "коротке правило").otherwise(F.lit(_RULE))
+    fifth = F.when(kind == 1, "").otherwise(_text("\n", heading(5), "\nповторити"))
+    summary = F.when(kind == 5, "").otherwise("\nКоротко:\nтак.")
+    key = F.when(kind == 7, "Ключ").otherwise(heading(1))
+    text = _text("Тут правильна відповідь — ", F.col("correct_letter"), ": ", F.col("correct_option"), "\n", key, "\n", _FILL, "\n", heading(2), "\nбо так сказано в умові\n", heading(3), "\nне відповідають\n", heading(4), "\n", rule, fifth, summary)
+    uncertain = (kind == 6) | (kind == 0) & (F.length("id") % 2 == 0)
+    mode = F.when(kind == 2, "no_general_rule").otherwise("reusable_rules")
+    return _wrapped(F.col("id"), text, F.array().cast("array<string>"), uncertain, F.when(kind == 6, " ").otherwise("n"), mode)
+
+
+@query(f"""WITH {QUESTIONS_SQL}, w AS (SELECT *, position // 4 % 8 AS kind FROM questions WHERE subject = 'tznk'),
+v AS (SELECT 1 AS chunk, position AS line, kind, question_id FROM w UNION ALL SELECT 2, position, 8, question_id FROM w WHERE kind = 7)
+SELECT chunk::BIGINT AS chunk, line, kind IN (0, 1, 2, 4, 5) AS accepted, ['', '', '', 'reusable_rules_too_short', '', '', 'uncertain_missing_notes', 'missing_section:1_key_concept', 'duplicate_output_id'][(kind + 1)::INT] AS reasons,
+CASE WHEN kind NOT IN (0, 1, 2, 4, 5) THEN 'rejected' WHEN kind = 0 AND length(question_id) % 2 = 0 THEN 'manual' ELSE 'accepted' END AS route,
+CASE kind WHEN 1 THEN '{enrichment.MEMORY_HINT}' WHEN 8 THEN 'повторити' WHEN 7 THEN 'повторити' ELSE 'повторити' END AS memory, CASE WHEN kind = 2 THEN 'none' WHEN kind = 3 THEN 'short' ELSE 'rule' END AS rule, kind = 2 AS tagged FROM v""")
+def reasoning_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reasoning variant: repaired, then checked; the first line of an id that parses counts; uncertain ones go to a person."""
+    inputs, lines = _subject_lines(spark, sf_dir, "tznk", _tznk_line)
+    fixed = enrichment.repair(F.col("improved"), F.col("mode"), F.col("correct_letter"), F.col("correct_option"), enrichment.NO_GENERAL_RULE)
+    found = enrichment.route(enrichment.validate(lines, inputs, enrichment.reasoning_reasons(), enrichment.TZNK_V3, fixed))
+    memory = strip(F.regexp_extract("improved", r"(?su)5\. Як запам’ятати\n(.*?)\n\s*Коротко:", 1))
+    rule = enrichment.section(F.col("improved"), 4)
+    named = F.when(rule == enrichment.NO_GENERAL_RULE, "none").when(F.length(rule) < 30, "short").otherwise("rule")
+    tagged = F.coalesce(F.array_contains("tags", "tznk_no_general_rule"), F.lit(False))
+    return found.select("chunk", "line", "accepted", F.array_join("reasons", ",").alias("reasons"), "route", memory.alias("memory"), named.alias("rule"), tagged.alias("tagged"))

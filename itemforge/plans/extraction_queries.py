@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.functions import html, urls
+from itemforge.functions import html, quality, urls
 from itemforge.plans import extraction, roles
 from itemforge.plans.define import Queries
 
@@ -102,18 +102,21 @@ def choice_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' lines as a printed test: every fifth line opens an item, the next four are options, some marked."""
-    lines = roles.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), lambda l: F.substring(F.trim(F.translate(l, "©\f", "")), 1, 60))).alias("line_number", "line")).filter("line <> '' AND NOT line RLIKE '^[0-9(]'")
+    lines = roles.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), lambda l: F.trim(F.translate(l, "©\f\r", "")))).alias("line_number", "line")).filter("line <> ''")
     n = F.col("line_number")
     dressed = F.when(n % 6 == 0, F.concat((n % 997 + 1).cast("string"), F.lit(". "), "line")).when(n % 6 < 5, F.concat(F.when((n + F.col("doc_id")) % 7 == 0, "(x) ").otherwise("() "), "line")).otherwise(F.col("line"))
     return lines.select("doc_id", "line_number", dressed.alias("line"), F.lit(1).alias("page"))
 
 
-_LINES = """l0 AS (SELECT doc_id, unnest(range(0, len(s)))::INT AS n, unnest(s) AS line FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: substr(trim(translate(l, '©' || chr(12), '')), 1, 60)) AS s FROM documents)),
-l AS (SELECT doc_id, n, line, sum(CASE WHEN n % 6 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS item FROM l0 WHERE line <> '' AND NOT regexp_matches(line, '^[0-9(]')),
-m AS (SELECT *, sum(CASE WHEN n % 6 BETWEEN 1 AND 4 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, item ORDER BY n) AS opt FROM l WHERE item > 0),
-parts AS (SELECT doc_id, item, opt, trim(regexp_replace(string_agg(line, ' ' ORDER BY n), '\\s+', ' ', 'g')) AS text, max(CASE WHEN n % 6 = 0 THEN n % 997 + 1 END) AS number, bool_or(n % 6 BETWEEN 1 AND 4 AND (n + doc_id) % 7 = 0) AS marked FROM m GROUP BY 1, 2, 3),
-o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item ORDER BY opt) - 1 AS i FROM (SELECT * REPLACE (trim(regexp_replace(text, '^[xXхХ]\\)?\\s*', '')) AS text) FROM parts WHERE opt > 0) WHERE text <> ''),
-items AS (SELECT p.doc_id, p.item, p.number, p.text AS question, (SELECT string_agg(o.text, '|' ORDER BY o.i) FROM o WHERE o.doc_id = p.doc_id AND o.item = p.item) AS options,
+_LINES = r"""l0 AS (SELECT doc_id, unnest(range(0, len(s)))::INT AS n, unnest(s) AS raw FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: trim(translate(l, '©' || chr(12) || chr(13), ''))) AS s FROM documents)),
+l1 AS (SELECT doc_id, n, CASE WHEN n % 6 = 0 THEN (n % 997 + 1) || '. ' || raw WHEN n % 6 < 5 THEN CASE WHEN (n + doc_id) % 7 = 0 THEN '(x) ' ELSE '() ' END || raw ELSE raw END AS line FROM l0 WHERE raw <> ''),
+l2 AS (SELECT *, regexp_matches(line, '^\d{1,3}\.\s+') AS starts, regexp_matches(line, '(?i)^\((x\s*)?\)') AND NOT regexp_matches(line, '^\d{1,3}\.\s+') AS opts FROM l1 WHERE NOT regexp_matches(line, '^\d+$')),
+l AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS item FROM l2),
+m AS (SELECT *, sum(CASE WHEN opts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, item ORDER BY n) AS opt FROM l WHERE item > 0),
+parts AS (SELECT doc_id, item, opt, trim(regexp_replace(string_agg(CASE WHEN starts THEN regexp_replace(line, '^\d{1,3}\.\s+', '') WHEN opts THEN regexp_replace(line, '(?i)^\((x\s*)?\)\s*', '') ELSE line END, ' ' ORDER BY n), '\s+', ' ', 'g')) AS text,
+  max(CASE WHEN starts THEN regexp_extract(line, '^(\d{1,3})\.', 1)::INT END) AS number, bool_or(opts AND regexp_matches(line, '(?i)^\(x')) AS marked FROM m GROUP BY 1, 2, 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item ORDER BY opt) - 1 AS i FROM (SELECT * REPLACE (trim(regexp_replace(text, '^\(?[xXхХ]?\)?\s*', '')) AS text) FROM parts WHERE opt > 0) WHERE text <> ''),
+items AS (SELECT p.doc_id, p.item, p.number, p.text AS question, (SELECT string_agg(o.text, '|' ORDER BY o.i) FROM o WHERE o.doc_id = p.doc_id AND o.item = p.item AND o.i < 4) AS options,
   (SELECT min(o.i) FROM o WHERE o.doc_id = p.doc_id AND o.item = p.item AND marked) AS correct, (SELECT count(*) FROM o WHERE o.doc_id = p.doc_id AND o.item = p.item) AS k FROM parts p WHERE p.opt = 0)"""
 
 
@@ -156,3 +159,88 @@ def text_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, k = F.col("text"), F.col("doc_id")
     subject = F.when(F.col("lang") == "de", "management").otherwise(F.col("lang"))
     return roles.read(spark, sf_dir, "documents").select("doc_id", extraction.reading_subtopic(text).alias("reading"), extraction.reasoning_topic(text).alias("reasoning"), extraction.english_topic(k % 40, text).alias("english"), extraction.difficulty_of(subject, k).alias("difficulty"))
+
+
+# ---------------------------------------------------------------- two columns, clean-up, explanations
+
+
+def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents printed in two columns: the line's first 54 characters at the left, the whole line as test text at the right."""
+    lines = roles.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), lambda l: F.trim(F.translate(l, "©\f\r\t", "")))).alias("line_number", "line")).filter("line <> ''")
+    n = F.col("line_number")
+    right = F.when(n % 6 == 0, F.concat((n % 99 + 1).cast("string"), F.lit(" "), "line")).when(n % 6 < 5, F.concat(F.substring(F.lit("DABCD"), n % 6 + 1, F.lit(1)), F.lit(" "), "line")).otherwise(F.col("line"))
+    return lines.select("doc_id", "line_number", F.concat(F.rpad(F.substring("line", 1, 54), 54, " "), right).alias("line"), F.lit(1).alias("page"))
+
+
+_COLUMNS = r"""c0 AS (SELECT doc_id, unnest(range(0, len(s)))::INT AS n, unnest(s) AS raw FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: trim(translate(l, '©' || chr(12) || chr(13) || chr(9), ''))) AS s FROM documents)),
+c1 AS (SELECT doc_id, n, trim(substr(raw, 1, 54)) AS left_line, CASE WHEN n % 6 = 0 THEN (n % 99 + 1) || ' ' || raw WHEN n % 6 < 5 THEN substr('DABCD', n % 6 + 1, 1) || ' ' || raw ELSE raw END AS line FROM c0 WHERE raw <> ''),
+passages AS (SELECT doc_id, trim(regexp_replace(string_agg(left_line, ' ' ORDER BY n), '\s+', ' ', 'g')) AS passage FROM c1 WHERE left_line <> '' GROUP BY 1),
+c2 AS (SELECT *, regexp_matches(line, '^\d{1,2}\s') AS starts, regexp_matches(line, '^[A-D]\s.') AS opts FROM c1 WHERE NOT regexp_matches(line, '^\d+$')),
+c3 AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS item FROM c2),
+c4 AS (SELECT *, sum(CASE WHEN opts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, item ORDER BY n) AS opt FROM c3 WHERE item > 0),
+c5 AS (SELECT doc_id, item, opt, trim(regexp_replace(string_agg(CASE WHEN starts THEN regexp_replace(line, '^\d{1,2}\s+', '') WHEN opts THEN regexp_replace(line, '^[A-D]\s+', '') ELSE line END, ' ' ORDER BY n), '\s+', ' ', 'g')) AS text, max(CASE WHEN starts THEN regexp_extract(line, '^(\d{1,2})', 1)::INT END) AS number FROM c4 GROUP BY 1, 2, 3),
+c6 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item ORDER BY opt) AS i FROM c5 WHERE opt > 0),
+c7 AS (SELECT q.doc_id, q.item, q.number, q.text AS question, (SELECT string_agg(text, '|' ORDER BY i) FROM c6 o WHERE o.doc_id = q.doc_id AND o.item = q.item AND i <= 4) AS options, (SELECT count(*) FROM c6 o WHERE o.doc_id = q.doc_id AND o.item = q.item) AS held FROM c5 q WHERE q.opt = 0)"""
+
+
+@query(f"""WITH {_COLUMNS} SELECT doc_id, item, number, question, options, CASE WHEN (number + doc_id) % 3 = 0 THEN ((number + doc_id) % 4)::INT END AS correct, CASE WHEN (number + doc_id) % 3 = 0 THEN 'medium' ELSE 'low' END AS confidence, sha256(passage) AS passage
+FROM c7 JOIN passages USING (doc_id) WHERE held >= 4 AND question <> ''""")
+def column_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of two-column pages with answers from a key that knows every third number."""
+    n = F.col("number")
+    numbers = roles.read(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(99))).alias("number")).filter((n + F.col("doc_id")) % 3 == 0)
+    key = extraction.answer_key(numbers.select("doc_id", n.alias("line_number"), F.concat(n.cast("string"), F.lit(".  "), F.substring(F.lit("ABCD"), ((n + F.col("doc_id")) % 4 + 1).cast("int"), F.lit(1))).alias("line")))
+    items = extraction.column_items(extraction.two_columns(_columns(spark, sf_dir)), key)
+    return items.select("doc_id", "item", "number", "question", F.array_join("options", "|").alias("options"), "correct", "confidence", F.sha2("passage", 256).alias("passage"))
+
+
+_HEADS = ("Пояснення Правильна відповідь - B. ", "Правильна відповідь: Г, бо так.\n", "ПОЯСНЕННЯ\n\n\n\n", "", "правильна відповідь - a")
+
+
+@query(r"""WITH h AS (SELECT doc_id, ['Пояснення Правильна відповідь - B. ', 'Правильна відповідь: Г, бо так.' || chr(10), 'ПОЯСНЕННЯ' || chr(10) || chr(10) || chr(10) || chr(10), '', 'правильна відповідь - a'][(doc_id % 5 + 1)::INT] || text AS t FROM documents),
+a AS (SELECT doc_id, regexp_replace(t, '^\s*Пояснення\s*', '', 'i') AS t FROM h), b AS (SELECT doc_id, regexp_replace(t, 'Правильна відповідь\s*[-:]\s*[A-DА-Г](?:\.[^
+]*)?', '', 'gi') AS t FROM a)
+SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(t, 'Правильна відповідь\s*[-:]\s*[A-DА-Г][^.
+]*(?:\.|
+)?', '', 'gi'), '
+{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS stripped FROM b""")
+def stripped_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explanations without what gives the answer away, over every document behind one of five beginnings."""
+    head = F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return roles.read(spark, sf_dir, "documents").select("doc_id", F.sha2(html.strip_answer(F.concat(head, "text")), 256).alias("stripped"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Known Title' || chr(10) WHEN doc_id % 3 = 1 THEN ' |' || chr(10) ELSE '' END || replace(text, chr(10), '|' || chr(10)) AS t FROM documents),
+l AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '\|$', '')) AS ls FROM p), k AS (SELECT *, list_filter(ls, lambda x: x <> '') AS held FROM l)
+SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(array_to_string(ls, chr(10)), '\bth\b', 'the', 'g'), '
+{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS passage, CASE WHEN held[1] = 'Known Title' AND len(held) > 1 THEN held[2] ELSE coalesce(held[1], 'nothing') END AS first_line,
+CASE WHEN doc_id % 4 = 1 THEN 'They are.|b' ELSE 'one|b' END AS options, doc_id % 4 = 1 AS fixed, CASE WHEN doc_id % 2 = 0 THEN trim('[[' || substr(string_split(t, ']]')[1], 1)) END AS marked FROM k JOIN p USING (doc_id)""")
+def cleaned_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages and options of an import cleaned, the first line that names a passage, and a part between marks."""
+    k = F.col("doc_id")
+    text = F.concat(F.when(k % 3 == 0, "Known Title\n").when(k % 3 == 1, " |\n").otherwise(""), F.replace("text", F.lit("\n"), F.lit("|\n")))
+    options = html.fix_options(F.array(F.when(k % 4 == 1, "hey are.").otherwise("one"), F.lit("b")), {"hey are.": "They are."})
+    marked = html.between(F.when(k % 2 == 0, F.concat(F.lit("x [["), "t", F.lit("]] y"))).otherwise("none"), "[[", "]]")
+    rows = roles.read(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
+    return rows.select(
+        "doc_id", F.sha2(html.fix_words(html.clean_passage(F.col("t")), {"th": "the"}), 256).alias("passage"), html.first_line(F.col("t"), ("Known Title",), "nothing").alias("first_line"),
+        F.array_join(options["options"], "|").alias("options"), options["fixed"].alias("fixed"), marked.alias("marked"),
+    )
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'By the passage: ' || lang || '.' WHEN 1 THEN lang || ' fills the gap.' ELSE text || ' - ' || lang END AS explanation FROM documents""")
+def answer_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    topic = F.when(F.col("doc_id") % 3 == 0, "Reading comprehension").when(F.col("doc_id") % 3 == 1, "Cloze tests").otherwise("Use of English")
+    made = extraction.answer_explanation(F.col("text"), F.col("lang"), topic, {"Reading comprehension": "By the passage: {option}.", "Cloze tests": "{option} fills the gap."}, "{question} - {option}")
+    return roles.read(spark, sf_dir, "documents").select("doc_id", made.alias("explanation"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(range(0, len(s)))::INT AS n, unnest(s) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))
+SELECT doc_id, n AS line_number, trim(CASE n % 3 WHEN 0 THEN x WHEN 1 THEN trim(x) ELSE trim(x) END) AS line FROM l WHERE n % 3 <> 0 OR true""")
+def line_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines dressed as headings and list items, and cleaned again."""
+    n = F.col("line_number")
+    lines = roles.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_number", "x"))
+    plain = lines.withColumn("x", F.trim("x"))
+    dressed = F.when(n % 3 == 1, quality.clean_heading(F.concat(F.lit(" **"), "x", F.lit("** ")))).when(n % 3 == 2, F.trim(F.regexp_replace(quality.strip_marker(F.concat(F.lit(" 12) \u0001"), "x")), "\u0001", ""))).otherwise(F.col("x"))
+    return plain.select("doc_id", "line_number", dressed.alias("line"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemforge.functions.text import first_true, zero_padded
+from itemforge.functions.text import fill, first_true, zero_padded
 from itemforge.operators.order import with_places
 
 VARIANTS = 5
@@ -28,26 +28,14 @@ def expand_concepts(concepts: DataFrame, targets: DataFrame) -> DataFrame:
     return items.join(ranked, ["topic", "ring"])
 
 
-def fill_template(subject: Column) -> dict[str, Column]:
-    """question, answer and explanation of an expanded concept, by its variant."""
-    v, c = F.col("variant"), F.col
-    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    actor = F.when(subject == "management", "Менеджер").otherwise("Дослідник")
-    question = first_true(
-        (v == 0, text("У завданні наведено опис: «", c("definition"), "». Яке поняття відповідає цьому опису?")),
-        (v == 1, text("Проаналізуйте ситуацію: ", c("scenario"), ". Яке поняття найточніше її описує?")),
-        (v == 2, text("Яке твердження найточніше розкриває поняття «", c("term"), "»?")),
-        (v == 3, text(actor, " має практичну ситуацію: ", c("scenario"), ". Яка дія найкраще відповідає поняттю «", c("term"), "»?")),
-        otherwise=text("Чому поняття «", c("term"), "» важливе для аналізу цієї ситуації: ", c("scenario"), "?"),
-    )
-    explanation = first_true(
-        (v == 0, text("Правильна відповідь - «", c("term"), "», бо це ", c("definition"), ".")),
-        (v == 1, text("Ситуація ілюструє «", c("term"), "», оскільки йдеться про ", c("definition"), ".")),
-        (v == 2, text("Поняття «", c("term"), "» означає саме ", c("definition"), ". Інші варіанти описують інші явища.")),
-        (v == 3, text("Найкраща дія - ", c("action"), ", бо для поняття «", c("term"), "» ключовим є: ", c("rationale"), ".")),
-        otherwise=text("Саме ця відповідь правильна, бо «", c("term"), "» пояснює ситуацію через ознаку: ", c("definition"), "."),
-    )
-    return {"question": question, "answer": answer_field(), "explanation": explanation}
+def fill_template(questions: list[str], explanations: list[str]) -> dict[str, Column]:
+    """question, answer and explanation of an expanded concept: the caller's sentences of its variant, filled.
+
+    Sentences name the concept's fields in braces: {term}, {definition}, {scenario}, {action}, {rationale}.
+    """
+    fields = {c: F.col(c) for c in ("term", "definition", "scenario", "action", "rationale")}
+    of = lambda sentences: first_true(*((F.col("variant") == i, fill(s, **fields)) for i, s in enumerate(sentences[:-1])), otherwise=fill(sentences[-1], **fields))
+    return {"question": of(questions), "answer": answer_field(), "explanation": of(explanations)}
 
 
 def answer_field() -> Column:

@@ -201,11 +201,11 @@ domain AS (SELECT *, question <> old OR difficulty <> wanted AS rewritten, list_
   CASE WHEN len(list_distinct(list_transform(options, lambda x: {normal_sql('x')}))) < 4 THEN 'duplicate options inside question' END,
   CASE WHEN trim(explanation) = '' THEN 'explanation is empty' WHEN length(explanation) < 45 THEN 'explanation is too weak or does not clearly justify the answer' END,
   CASE WHEN p IS NOT NULL THEN 'batch duplicate of ' || p END,
-  CASE WHEN subject = 'tznk' AND NOT list_contains(tags, 'self_checked_single_answer') THEN 'TZNK question lacks self_checked_single_answer tag' END,
-  CASE WHEN subject = 'tznk' AND type = 'passage_single_choice' AND trim(passage) = '' THEN 'passage_single_choice TZNK question has no passage' END,
-  CASE WHEN subject = 'english' AND type = 'passage_single_choice' AND trim(passage) = '' THEN 'passage-based English question has no passage' END,
-  CASE WHEN subject = 'english' AND regexp_matches(question, '[А-ЯІЇЄҐа-яіїєґ]') THEN 'English question contains Ukrainian/Cyrillic text' END,
-  CASE WHEN subject IN ('management', 'psychology-sociology') AND starts_with(question, 'Чому поняття') THEN 'rationale-template item has weak cross-concept distractors and needs editorial review' END], lambda r: r IS NOT NULL) AS reasons FROM lagged)"""
+  CASE WHEN subject = 'tznk' AND NOT list_contains(tags, 'self_checked_single_answer') THEN 'not checked for a single answer' END,
+  CASE WHEN subject = 'tznk' AND type = 'passage_single_choice' AND trim(passage) = '' THEN 'reasoning question without its passage' END,
+  CASE WHEN subject = 'english' AND type = 'passage_single_choice' AND trim(passage) = '' THEN 'reading question without its passage' END,
+  CASE WHEN subject = 'english' AND regexp_matches(question, '[А-ЯІЇЄҐа-яіїєґ]') THEN 'Cyrillic letters in an English question' END,
+  CASE WHEN subject IN ('management', 'psychology-sociology') AND starts_with(question, 'Чому поняття') THEN 'distractors of a rationale item need an editor' END], lambda r: r IS NOT NULL) AS reasons FROM lagged)"""
 
 
 def _rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:

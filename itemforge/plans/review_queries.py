@@ -152,6 +152,13 @@ i AS (SELECT topic, before, unnest(range(0, count)) AS i FROM t),
 items AS (SELECT c.*, before + i AS serial, (i // n) % 5 AS variant FROM i JOIN c ON i.topic = c.topic AND i.i % c.n = c.ring)"""
 
 
+#: Questions and explanations by variant.
+_SENTENCES = (
+    ["What is «{definition}»?", "Що це: {scenario}?", "What does {term} mean?", "In {scenario}, what does {term} ask for?", "Why {term}?"],
+    ["{definition} is {term}", "{term}.", "{term}.", "{action}: {rationale}", "{term}."],
+)
+
+
 def _concepts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     k = F.col("p_partkey")
     concepts = roles.read(spark, sf_dir, "part").select(
@@ -165,20 +172,19 @@ def _concepts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(f"""WITH {_CONCEPTS}, total AS (SELECT count(*) AS m FROM part), k AS (SELECT unnest([0, 1, 2]) AS k),
 d AS (SELECT serial, k, (serial + variant + k) % (m - 1) + CASE WHEN (serial + variant + k) % (m - 1) >= all_place THEN 1 ELSE 0 END AS p, variant FROM items, k, total),
 x AS (SELECT serial, string_agg(CASE WHEN variant <= 1 THEN o.term WHEN variant = 2 THEN o.definition WHEN variant = 3 THEN o.action ELSE o.rationale END, '|' ORDER BY k) AS distractors FROM d JOIN c o ON d.p = o.all_place GROUP BY 1)
-SELECT items.serial, items.variant, term, CASE variant WHEN 0 THEN 'У завданні наведено опис: «' || definition || '». Яке поняття відповідає цьому опису?' WHEN 1 THEN 'Проаналізуйте ситуацію: ' || scenario || '. Яке поняття найточніше її описує?'
-WHEN 2 THEN 'Яке твердження найточніше розкриває поняття «' || term || '»?' WHEN 3 THEN 'Дослідник має практичну ситуацію: ' || scenario || '. Яка дія найкраще відповідає поняттю «' || term || '»?' ELSE 'Чому поняття «' || term || '» важливе для аналізу цієї ситуації: ' || scenario || '?' END AS question,
-distractors FROM items JOIN x ON items.serial = x.serial""")
+SELECT items.serial, items.variant, term, CASE variant WHEN 0 THEN 'What is «' || definition || '»?' WHEN 1 THEN 'Що це: ' || scenario || '?' WHEN 2 THEN 'What does ' || term || ' mean?' WHEN 3 THEN 'In ' || scenario || ', what does ' || term || ' ask for?' ELSE 'Why ' || term || '?' END AS question,
+CASE variant WHEN 0 THEN definition || ' is ' || term WHEN 3 THEN action || ': ' || rationale ELSE term || '.' END AS explanation, distractors FROM items JOIN x ON items.serial = x.serial""")
 def concept_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     concepts, targets = _concepts(spark, sf_dir)
-    items = generation.expand_concepts(concepts, targets).withColumns(generation.fill_template(F.lit("psychology-sociology")))
-    return generation.distractors(items, concepts).select("serial", "variant", "term", "question", F.array_join("distractors", "|").alias("distractors"))
+    items = generation.expand_concepts(concepts, targets).withColumns(generation.fill_template(*_SENTENCES))
+    return generation.distractors(items, concepts).select("serial", "variant", "term", "question", "explanation", F.array_join("distractors", "|").alias("distractors"))
 
 
 @query(f"""WITH {_CONCEPTS} SELECT 'gen-' || CASE WHEN serial + 1 < 1000 THEN lpad((serial + 1)::VARCHAR, 3, '0') ELSE (serial + 1)::VARCHAR END AS question_id, serial, 'single_choice' AS type, ((4 - serial % 4) % 4)::INT AS correct,
 CASE WHEN serial % 5 = 4 THEN 'hard' WHEN serial % 4 = 0 OR serial % 20 = 1 THEN 'easy' ELSE 'medium' END AS difficulty FROM items WHERE variant <> 2""")
 def generated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     concepts, targets = _concepts(spark, sf_dir)
-    items = generation.expand_concepts(concepts, targets).withColumns(generation.fill_template(F.lit("management"))).filter("variant <> 2")
+    items = generation.expand_concepts(concepts, targets).withColumns(generation.fill_template(*_SENTENCES)).filter("variant <> 2")
     return generation.seed_rows(generation.distractors(items, concepts), "gen").select("question_id", "serial", "type", "correct", "difficulty")
 
 
@@ -199,7 +205,7 @@ def import_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.import_categories(roles.questions(spark, sf_dir))
 
 
-@query(f"""WITH {QUESTIONS_SQL} SELECT question_id, CASE subject WHEN 'tznk' THEN 'medium' WHEN 'english' THEN 'easy' ELSE 'medium' END AS recommended, CASE WHEN subject = 'tznk' THEN 'TZNK question lacks self_checked_single_answer tag' ELSE '' END AS reasons FROM questions""")
+@query(f"""WITH {QUESTIONS_SQL} SELECT question_id, CASE subject WHEN 'tznk' THEN 'medium' WHEN 'english' THEN 'easy' ELSE 'medium' END AS recommended, CASE WHEN subject = 'tznk' THEN 'not checked for a single answer' ELSE '' END AS reasons FROM questions""")
 def domain_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     recommended = quality.recommended_difficulty(*(F.col(c) for c in ("subject", "topic", "subtopic", "question")))
     return roles.questions(spark, sf_dir).select("question_id", recommended.alias("recommended"), F.array_join(quality.domain_reasons(), ";").alias("reasons"))
