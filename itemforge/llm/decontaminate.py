@@ -160,7 +160,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     whole = parts.groupBy("key").agg(united("starts").alias("starts"), united("items").alias("items")).withColumnRenamed("key", "__key")
     none = F.array().cast("array<bigint>")
     hits = F.struct(
-        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long").alias("n_words"),
+        F.length(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), _WORD, "\u0001"), "[^\u0001]+", "")).cast("long").alias("n_words"),
         F.coalesce("starts", none).alias("starts"),
         F.coalesce(F.transform("starts", lambda s: s + 1), none).alias("ends"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),

@@ -24,7 +24,7 @@ SMOOTH = 0.05
 TEMPER = 0.15  # neighbouring trigrams share bytes, so their evidence is not independent
 HOST_WEIGHT, LEVEL_WEIGHT, DECLARED_WEIGHT = 5.0, 10.0, 20.0
 LEAST_LETTERS = 1  # a text without letters has no language
-LETTER = r"\p{L}"
+LETTER, NO_LETTERS = r"\p{L}", r"\P{L}+"
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, key: str = "doc_id", declared: str | None = None,
     bound_batches(docs.sparkSession)
     declared_col = F.lower(F.regexp_replace(F.col(declared), "[-_].*", "")) if declared else F.lit(None).cast("string")
     host_col = F.lower(F.col(host)) if host else F.lit(None).cast("string")
-    rows = docs.select(F.col(key).alias("key"), declared_col.alias("declared"), F.coalesce(host_col, F.lit("")).alias("host"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(LETTER)).cast("long").alias("letters"), "text")
+    rows = docs.select(F.col(key).alias("key"), declared_col.alias("declared"), F.coalesce(host_col, F.lit("")).alias("host"), F.length(F.regexp_replace(F.coalesce("text", F.lit("")), NO_LETTERS, "")).cast("long").alias("letters"), "text")
     languages, tables = train(rows.select("text", "declared"), per_language)
     n = len(languages)
     if not n:
