@@ -6,6 +6,7 @@ a new file is a new micro-batch.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,27 +21,57 @@ def read_folder(spark: SparkSession, folder: str, schema: str, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-STATE = "correct long, correct_seq long, wrong array<long>, wrong_seq array<long>"
-NEVER = -(2**62)
+#: Parts that a learner's entries are split into, so that a learner of very many answers is several keys.
+SLOTS = 2
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The state is the last correct answer's time and the wrong answers behind it, so late files change nothing."""
-    correct, correct_seq, wrong, wrong_seq = state.get if state.exists else (NEVER, NEVER, [], [])
-    rows = pd.concat(list(batches))
-    times = rows["moment"].astype("datetime64[ns]").astype("int64")
-    good = rows["is_correct"].to_numpy()
-    right = [*zip(times[good], rows["seq"][good], strict=True), (correct, correct_seq)]
-    correct, correct_seq = max((int(a), int(b)) for a, b in right)
-    kept = sorted({(int(a), int(b)) for a, b in [*zip(wrong, wrong_seq, strict=True), *zip(times[~good], rows["seq"][~good], strict=True)] if (int(a), int(b)) > (correct, correct_seq)})
-    state.update((correct, correct_seq, [a for a, _ in kept], [b for _, b in kept]))
-    last = pd.Timestamp(kept[-1][0]) if kept else None
-    yield pd.DataFrame({"learner": [key[0]], "subject": [key[1]], "question_id": [key[2]], "last_answered_at": pd.Series([last], dtype="datetime64[ns]"), "times_wrong": [len(kept)]})
-
-
-def ledger_updates(answers: DataFrame) -> DataFrame:
-    """A stream of the entries that changed; times_wrong 0 tells that an entry closed."""
-    return answers.groupBy("learner", "subject", "question_id").applyInPandasWithState(_fold, LEDGER, STATE, "update", GroupStateTimeout.NoTimeout)
+    """The state of a learner's slot is a JSON object: for each subject and question the last correct answer's place, the
+    settled wrong answers behind it (their number and the last time), and the places of the others.
+
+    A wrong answer is settled when the watermark has passed it: nothing that is still to come can precede it. Entries
+    without wrong answers go as soon as their correct answer is settled. So the state holds open mistakes, and single
+    answers only as far back as late data may reach.
+    """
+    entries = json.loads(state.get[0]) if state.exists else {}
+    settled = state.getCurrentWatermarkMs() * 1000
+    changed = set()
+    for rows in batches:
+        times = rows["moment"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+        for subject, question, time, seq, right in zip(rows["subject"].tolist(), rows["question_id"].tolist(), times, rows["seq"].tolist(), rows["is_correct"].tolist(), strict=True):
+            if time < settled:
+                continue  # later than the watermark allows
+            name = json.dumps([subject, question])
+            entry = entries.setdefault(name, [[-(2**62), -(2**62)], 0, None, []])
+            changed.add(name)
+            if right:
+                entry[0] = max(entry[0], [time, seq])
+            elif [time, seq] not in entry[3]:
+                entry[3].append([time, seq])
+    found = []
+    for name, entry in list(entries.items()):
+        if name in changed:
+            if entry[1] and entry[0][0] >= settled:
+                entry[1], entry[2] = 0, None  # a correct answer behind all settled ones
+            entry[3] = [place for place in entry[3] if place > entry[0]]
+            last = max([place[0] for place in entry[3]] + ([entry[2]] if entry[1] else []), default=None)
+            found.append((key[0], *json.loads(name), None if last is None else pd.Timestamp(last, unit="us"), entry[1] + len(entry[3])))
+        old = [place for place in entry[3] if place[0] < settled]
+        if old:
+            entry[1], entry[2], entry[3] = entry[1] + len(old), max(p[0] for p in old), [p for p in entry[3] if p[0] >= settled]
+        if not entry[1] and not entry[3] and entry[0][0] < settled:
+            del entries[name]
+    state.update((json.dumps(entries),))
+    if found:
+        out = pd.DataFrame(found, columns=["learner", "subject", "question_id", "last_answered_at", "times_wrong"])
+        yield out.astype({"last_answered_at": "datetime64[ns]"})
+
+
+def ledger_updates(answers: DataFrame, delay: str = "2 days", slots: int = SLOTS) -> DataFrame:
+    """A stream of the entries that changed; times_wrong 0 tells that an entry closed. Answers may be late by the delay."""
+    slot = F.pmod(F.xxhash64("subject", "question_id"), F.lit(slots))
+    rows = answers.withWatermark("moment", delay).withColumn("slot", slot)
+    return rows.groupBy("learner", "slot").applyInPandasWithState(_fold, LEDGER, "entries string", "update", GroupStateTimeout.NoTimeout)
 
 
 def keep_latest(updates: DataFrame, folder: str, checkpoint: str):
@@ -71,33 +102,40 @@ REMEMBERED_MS = 365 * 24 * 3600 * 1000
 
 
 def _close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The state holds an attempt's events (time, seq, kind, minutes) until the watermark passes its end; only then are
+    its start, its end and its answers settled, whatever order the events came in."""
+    events, closed = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], False)
     if state.hasTimedOut:
-        start, end, answered, closed = state.get
         if closed:
             state.remove()
             return
-        state.update((start, end, answered, True))
+        _, end, finish = _bounds(events)
+        last = end if finish is None else finish
+        answered = sum(kind == "answer" and time <= last for time, _, kind, _ in events)
+        state.update(("[]", True))
         state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + REMEMBERED_MS)
-        yield pd.DataFrame({"attempt_id": [key[0]], "closed_at": [end], "answered": [answered], "reason": ["time"]})
+        yield pd.DataFrame({"attempt_id": [key[0]], "closed_at": [pd.Timestamp(last, unit="us")], "answered": [answered], "reason": ["time" if finish is None else "finish"]})
         return
-    start, end, answered, closed = state.get if state.exists else (None, None, 0, False)
-    rows = pd.concat(list(batches)).sort_values(["moment", "seq"])
     if closed:
         state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + REMEMBERED_MS)
         return
-    if start is None:
-        start = rows["moment"].iloc[0]
-        end = start + pd.Timedelta(minutes=int(rows["minutes"].iloc[0]))
-    inside = rows[rows["moment"] <= end]
-    finish = inside[inside["kind"] == "finish"]
-    if len(finish):
-        end = finish["moment"].iloc[0]
-    answered += int(((inside["kind"] == "answer") & (inside["moment"] <= end)).sum())
-    state.update((start, end, answered, False))
-    state.setTimeoutTimestamp(max(int(end.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+    for rows in batches:
+        times = rows["moment"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+        events += [list(e) for e in zip(times, rows["seq"].tolist(), rows["kind"].tolist(), rows["minutes"].tolist(), strict=True)]
+    _, end, finish = _bounds(events)
+    events = [e for e in events if e[0] <= end]  # an earlier start can only move the end forward
+    state.update((json.dumps(events), False))
+    state.setTimeoutTimestamp(max((end if finish is None else finish) // 1000, state.getCurrentWatermarkMs()) + 1)
+
+
+def _bounds(events: list) -> tuple[int, int, int | None]:
+    """Start, end by duration, and the first finish in between (microseconds)."""
+    start, _, _, minutes = min(events)
+    end = start + int(minutes) * 60_000_000
+    return start, end, min((time for time, _, kind, _ in events if kind == "finish" and time <= end), default=None)
 
 
 def closed_attempts(events: DataFrame, delay: str = "1 minute") -> DataFrame:
     """events (attempt_id, moment, seq, kind, minutes): each attempt once, as the watermark passes its end or its finish."""
     schema = "attempt_id long, closed_at timestamp, answered long, reason string"
-    return events.withWatermark("moment", delay).groupBy("attempt_id").applyInPandasWithState(_close, schema, "start timestamp, end timestamp, answered long, closed boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return events.withWatermark("moment", delay).groupBy("attempt_id").applyInPandasWithState(_close, schema, "events string, closed boolean", "append", GroupStateTimeout.EventTimeTimeout)
