@@ -30,14 +30,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
-def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """64-bit hashes of words; known keeps those of a batch."""
-    for word in set(words):
-        if word not in known:
-            known[word] = xxhash.xxh64_intdigest(word)
-    return np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
-
-
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """The hash of each window of that many words."""
     out = np.zeros(max(0, len(hashes) - width + 1), dtype=np.uint64)
@@ -52,7 +44,7 @@ def windows_of(words: list[bytes], window: int) -> tuple[int, np.ndarray, list[b
     """Width, hashes and words of an item's windows; an item of fewer words is one window."""
     width = min(window, len(words))
     spelled = [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] if width else []
-    return width, window_hashes(word_hashes(words, {}), width) if width else np.empty(0, np.uint64), spelled
+    return width, window_hashes(np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)), width) if width else np.empty(0, np.uint64), spelled
 
 
 class WindowSet:
@@ -60,6 +52,11 @@ class WindowSet:
 
     def __init__(self, widths: Sequence[int], hashes: Sequence[int], windows: list[bytes], items: list[str]) -> None:
         self.tables = {}
+        self.words: dict[bytes, int] = {}  # of the windows, with their hashes
+        for window in windows:
+            for word in window.split(b" "):
+                if word not in self.words:
+                    self.words[word] = xxhash.xxh64_intdigest(word)
         width, code = np.array(widths, dtype=np.int64), np.array(hashes, dtype=np.int64).view(np.uint64)
         self.names = sorted(set(items))
         number = {n: i for i, n in enumerate(self.names)}
@@ -74,18 +71,23 @@ class WindowSet:
         rows = [(width, code, spelled, item) for item, words in items for width, codes, windows in [windows_of(words, window)] for code, spelled in zip(codes.view(np.int64).tolist(), windows, strict=True)]
         return cls(*(list(c) for c in zip(*rows, strict=True))) if rows else cls([], [], [], [])
 
-    def scan(self, words: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, set[str]]:
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """The words inside verified windows (a flag each), and the items that these windows are from."""
         hit, items = np.zeros(len(words), dtype=bool), set()
-        hashes = word_hashes(words, known)
+        get = self.words.get
+        known = [i for i, w in enumerate(words) if w in self.words]
+        if not known:
+            return hit, items
+        places = np.array(known)
+        hashes = np.fromiter((get(words[i]) for i in known), dtype=np.uint64, count=len(known))
         for width, (table, edges, spelled, item) in self.tables.items():
             found = window_hashes(hashes, width)
-            if not len(found):
-                continue
+            whole = places[width - 1 :] - places[: len(found)] == width - 1  # words of the block, one behind the other
             near = np.searchsorted(table, found)
-            for start in np.flatnonzero(table[np.minimum(near, len(table) - 1)] == found).tolist():
-                window, k = b" ".join(words[start : start + width]), int(near[start])
-                while k < len(table) and table[k] == found[start]:
+            for at in np.flatnonzero(whole & (table[np.minimum(near, len(table) - 1)] == found)).tolist():
+                start, k = known[at], int(near[at])
+                window = b" ".join(words[start : start + width])
+                while k < len(table) and table[k] == found[at]:
                     if spelled[edges[k] : edges[k + 1]] == window:  # the words themselves, not their hash
                         hit[start : start + width] = True
                         items.add(self.names[item[k]])
@@ -119,11 +121,10 @@ def _scanned(rows: DataFrame, windows: WindowSet) -> tuple[DataFrame, object]:
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            known: dict[bytes, int] = {}
             out = []
             for value in batch.column(batch.num_columns - 1):
                 words = words_of(value.as_py())
-                hit, items = shared.value.scan(words, known)
+                hit, items = shared.value.scan(words)
                 places = np.flatnonzero(hit)
                 out.append({"n_words": len(words), "starts": places, "ends": places + 1, "items": sorted(items)})
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, _HITS)], [*batch.schema.names[:-1], "__hits"])
