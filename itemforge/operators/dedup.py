@@ -5,10 +5,12 @@ rows carry id, subject and text, and where they come in batches an order by id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.functions.text import jaccard, normalize, tokens
+from itemforge.operators.order import with_places
+from itemforge.sources.scratch import cut
 
 LEAST_CHARS, LENGTH_RATIO, SIMILARITY = 80, 0.9, 0.94
 
@@ -46,8 +48,11 @@ def first_in_batch(rows: DataFrame, form: Column) -> DataFrame:
 
 def seen_before(rows: DataFrame, form: Column) -> DataFrame:
     """rows with previous_id: the row before with the same subject and form, null for the first."""
-    order = Window.partitionBy("subject", "form").orderBy("id")
-    return rows.withColumn("form", F.sha2(form, 256)).withColumn("previous_id", F.lag("id").over(order)).drop("form")
+    placed = cut(with_places(rows.withColumn("form", F.sha2(form, 256)), "subject", "form", "id"), "placed")
+    before = placed.select((F.col("place") + 1).alias("place"), F.struct("subject", "form").alias("key_before"), F.col("id").alias("id_before"))
+    # places are unique, so a text that very many rows share meets in no single task
+    same = F.col("key_before").eqNullSafe(F.struct("subject", "form"))
+    return placed.join(before, "place", "left").withColumn("previous_id", F.when(same, F.col("id_before"))).drop("form", "place", "key_before", "id_before")
 
 
 def _forms(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -65,7 +70,8 @@ def similar_forms(left: DataFrame, right: DataFrame, threshold: float, ratio: fl
     Exact, by prefix filtering: tokens are ranked by how rare they are, and two sets that similar share one of the
     first n - ceil(threshold * n) + 1 of that order. A token that many texts hold comes late, so it is in few prefixes.
     """
-    every = left.unionByName(right).distinct()
+    every = left if left is right else left.unionByName(right).distinct()
+    every = cut(every, "forms")  # read four times
     frequency = every.select("subject", F.explode("tokens").alias("token")).groupBy("subject", "token").agg(F.count("*").alias("held"))
     ranked = (
         every.select("subject", "form", "chars", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
@@ -74,11 +80,13 @@ def similar_forms(left: DataFrame, right: DataFrame, threshold: float, ratio: fl
         .agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("order"))
     )
     kept = (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = ranked.select("subject", "form", "chars", F.explode(F.slice("order", F.lit(1), kept)["token"]).alias("token"))
-    of = lambda side, forms: prefix.join(forms.select("subject", "form"), ["subject", "form"], "left_semi").select("subject", "token", F.col("form").alias(f"{side}_form"), F.col("chars").alias(f"{side}_chars"))
-    near = (F.col("left_form") != F.col("right_form")) & (F.least("left_chars", "right_chars") >= ratio * F.greatest("left_chars", "right_chars"))
+    prefix = cut(ranked.select("subject", "form", "chars", "n", F.explode(F.slice("order", F.lit(1), kept)["token"]).alias("token")), "prefixes")
+    one_side = lambda forms: prefix if left is right else prefix.join(forms.select("subject", "form"), ["subject", "form"], "left_semi")
+    of = lambda side, forms: one_side(forms).select("subject", "token", *(F.col(c).alias(f"{side}_{c}") for c in ("form", "chars", "n")))
+    # similar sets have sizes within the threshold of each other, and texts lengths within the ratio
+    near = (F.col("left_form") != F.col("right_form")) & (F.least("left_chars", "right_chars") >= ratio * F.greatest("left_chars", "right_chars")) & (F.least("left_n", "right_n") >= (threshold - 1e-9) * F.greatest("left_n", "right_n"))
     candidates = of("left", left).join(of("right", right), ["subject", "token"]).filter(near).select("subject", "left_form", "right_form").distinct()
-    sets = lambda side, forms: forms.select("subject", F.col("form").alias(f"{side}_form"), F.col("tokens").alias(f"{side}_tokens"))
+    sets = lambda side, forms: every.select("subject", F.col("form").alias(f"{side}_form"), F.col("tokens").alias(f"{side}_tokens"))
     checked = candidates.join(sets("left", left), ["subject", "left_form"]).join(sets("right", right), ["subject", "right_form"])
     return checked.withColumn("similarity", jaccard(F.col("left_tokens"), F.col("right_tokens"))).filter(F.col("similarity") >= threshold).select("subject", "left_form", "right_form", "similarity")
 

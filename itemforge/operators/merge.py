@@ -18,23 +18,20 @@ REASONS = ("not_reviewed_or_blocked", "invalid_structure", "duplicate_id", "dupl
 def greedy_accept(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, accepted): the lexicographically first independent set of nodes (id) under edges (low, high).
 
-    Equal to walking the ids upwards and accepting each that no accepted one blocks. A round accepts what has no
-    undecided smaller neighbour, and rejects the larger neighbours of what is accepted; few rounds settle all.
+    Equal to walking the ids upwards and accepting each that no accepted one blocks. A round rejects what has an
+    accepted smaller neighbour and accepts what has no undecided one; only its states are written. A chain of n rows
+    that each block the next takes n rounds.
     """
-    edges = cut(edges.select("low", "high").distinct())
-    blocked = edges.select(F.col("high").alias("id")).distinct()
-    decided = cut(nodes.select("id").distinct().join(blocked, "id", "left_anti").withColumn("accepted", F.lit(True)))
-    open_ids = cut(blocked)
-    while open_ids.limit(1).count():
-        taken = decided.filter("accepted").select(F.col("id").alias("low"))
-        rejected = open_ids.join(edges.join(taken, "low", "left_semi").select(F.col("high").alias("id")).distinct(), "id", "left_semi")
-        rejected = cut(rejected)
-        rest = open_ids.join(rejected, "id", "left_anti")
-        waiting = edges.join(rest.select(F.col("id").alias("low")), "low", "left_semi").select(F.col("high").alias("id")).distinct()
-        accepted = cut(rest.join(waiting, "id", "left_anti"))
-        decided = cut(decided.unionByName(rejected.withColumn("accepted", F.lit(False))).unionByName(accepted.withColumn("accepted", F.lit(True))))
-        open_ids = cut(rest.join(accepted, "id", "left_anti"))
-    return decided
+    edges = cut(edges.select("low", "high").distinct(), "edges")
+    blocked = edges.select(F.col("high").alias("id")).distinct().withColumn("accepted", F.lit(None).cast("boolean"))
+    states = cut(nodes.select("id").distinct().join(blocked.select("id"), "id", "left_anti").withColumn("accepted", F.lit(True)).unionByName(blocked), "states")
+    while states.filter("accepted IS NULL").limit(1).count():
+        open_ids = states.filter("accepted IS NULL").select(F.col("id").alias("high"))
+        before = edges.join(open_ids, "high", "left_semi").join(states.select(F.col("id").alias("low"), "accepted"), "low")
+        seen = before.groupBy(F.col("high").alias("id")).agg(F.coalesce(F.bool_or("accepted"), F.lit(False)).alias("taken"), F.bool_or(F.col("accepted").isNull()).alias("waits"))
+        now = F.when(F.col("taken"), False).when(~F.col("waits"), True)
+        states = cut(states.join(seen, "id", "left").select("id", F.coalesce("accepted", now).alias("accepted")), "states")
+    return states
 
 
 def _claims(rows: DataFrame, key: str) -> DataFrame:
