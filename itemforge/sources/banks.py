@@ -28,15 +28,16 @@ def read_json(spark: SparkSession, path: str, schema: str, optional: bool = Fals
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def read_bank(spark: SparkSession, path: str, schema: str = QUESTIONS, staged: str | None = None) -> DataFrame:
+def read_bank(spark: SparkSession, path: str, schema: str = QUESTIONS, staged: str | None = None, one_array: bool = True) -> DataFrame:
     """All files of a bank, public ones first, then staged ones; file, file_rank and position tell a row's place.
 
-    Files rank by name within their part. A file is one JSON array and so one task's work; banks beyond that are Parquet.
+    Files rank by name within their part. A file of one JSON array is one task's work; without one_array files hold JSON
+    lines and are split among tasks.
     """
     parts = [(0, path)] + ([(1, staged)] if staged and path_exists(spark, staged) else [])
     rows = None
     for part, place in parts:
-        read = spark.read.schema(schema).json(place, multiLine=True).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("position"), F.lit(part).alias("part"))
+        read = spark.read.schema(schema).json(place, multiLine=one_array).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("position"), F.lit(part).alias("part"))
         rows = read if rows is None else rows.unionByName(read)
     files = rows.select("part", "file").distinct()
     from pyspark.sql import Window
@@ -70,13 +71,14 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_chunks(spark: SparkSession, index: DataFrame, pattern: str, legacy: str | None = None) -> DataFrame:
     """(chunk, line, raw) of the output files of the index's chunks; a single old file where no chunk has one.
 
-    pattern holds one * for the chunk number.
+    pattern holds one * for the chunk number, in a file's name or in a folder chunk=*.
     """
     if not path_exists(spark, pattern):
         if legacy and path_exists(spark, legacy):
             return spark.read.text(legacy).select(F.lit(0).cast("long").alias("chunk"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("raw")).filter("raw <> ''")
         return spark.createDataFrame([], "chunk long, line long, raw string")
-    number = F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)[^/\d]*$", 1).cast("long")
+    path = F.col("_metadata.file_path")
+    number = F.coalesce(F.nullif(F.regexp_extract(path, r"/chunk=(\d+)/[^/]*$", 1), F.lit("")), F.regexp_extract(path, r"(\d+)[^/\d]*$", 1)).cast("long")
     lines = spark.read.text(pattern).select(number.alias("chunk"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("raw")).filter("raw <> ''")
     return lines.join(F.broadcast(index.select("chunk")), "chunk", "left_semi")
 

@@ -1,10 +1,11 @@
 import pytest
 
 import corpus_pipeline
-from itemforge.llm import decontaminate, line_dedup
+from itemforge.llm import common, decontaminate, line_dedup
 from itemforge.llm.common import table
 from itemforge.llm.queries import ORACLES, QUERIES
-from tests.llm.test_operators import dedup_by_hand, links_by_hand
+from tests.conftest import rows_of
+from tests.llm.test_operators import ODD, ODD_IDS, dedup_by_hand, frame, links_by_hand, near_copies
 from tests.oracle import differences
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +50,35 @@ def test_stages_equal_brute_force(spark, tmp_path):
 
 def test_run_applies_every_stage(spark):
     assert 0 < corpus_pipeline.run(spark, SF).count() <= table(spark, SF, "documents").count()
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark):
+    docs = frame(spark, [*ODD, "some words here", "some words here"], [*ODD_IDS, 20, None])
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    pairs = lambda df: rows_of(df, "doc_id", "text")
+    wanted = {
+        "language_id": [(i, t) for i, t in rows if t and any(c.isalpha() for c in t)],
+        "line_dedup": [(i, t) for i, t, _, dropped in dedup_by_hand(rows) if not dropped or t.strip(line_dedup.SPACES)],
+        "decontamination": rows,
+    }
+    for name, left in wanted.items():
+        assert pairs(stages[name](spark, docs, SF)) == sorted(left, key=repr)
+    kept = pairs(stages["jaccard_join"](spark, docs, SF))
+    assert [r for r in kept if r[0] is None] == sorted((r for r in rows if r[0] is None), key=repr)
+    assert {i for i, _ in kept if i is not None} == {c for _, c, _ in links_by_hand([r for r in rows if r[0] is not None])}
+    pieces = stages["sentence_pieces"](spark, docs, SF).collect()
+    assert len(pieces) == len(rows) and all(r.lossless for r in pieces)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        assert name == "sentence_pieces" or set(stage(spark, docs.limit(0), SF).columns) == set(corpus_pipeline.COLUMNS)
+
+
+def test_near_copies_left_by_the_pipeline(spark):
+    """Of planted groups of near copies, exact copies and texts of their own, one row a group stays, whatever line dedup took."""
+    rows = near_copies(12, groups=8, size=6)
+    docs = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        docs = common.stored(stage(spark, docs, SF), name)
+    left = {r.doc_id for r in docs.collect()}
+    assert left == {c for _, c, _ in links_by_hand(rows)}
