@@ -31,7 +31,7 @@ def build_units(eligible: DataFrame, members: DataFrame, any_member: bool = Fals
 
 def shuffle_key(seed: Column, unit: Column) -> Column:
     """A reproducible random order: sort by this key, then by the unit."""
-    return F.xxhash64(seed, unit)
+    return F.md5(F.concat_ws("|", seed.cast("string"), unit))
 
 
 def select_units(units: DataFrame, budgets: DataFrame, order: str = "unit_position") -> DataFrame:

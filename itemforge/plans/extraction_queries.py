@@ -154,11 +154,11 @@ _TOPIC = "CASE WHEN contains(low, 'скільки') OR regexp_matches(low, '[0-9
 
 @query(f"""SELECT doc_id, CASE WHEN contains(low, 'main idea') OR contains(low, 'main purpose') OR contains(low, 'main topic') THEN 'Main idea' WHEN contains(low, 'infer') OR contains(low, 'suggest') OR contains(low, 'imply') THEN 'Inference'
 WHEN contains(low, 'mean') OR contains(low, 'refer') THEN 'Vocabulary in context' ELSE 'Detail understanding' END AS reading, {_TOPIC} AS reasoning,
-CASE WHEN doc_id % 40 <= 11 THEN 'Reading comprehension' ELSE 'Use of English' END AS english, CASE WHEN lang = 'de' THEN 'medium' WHEN doc_id % 10 IN (0, 9) THEN 'hard' WHEN doc_id % 10 <= 2 THEN 'easy' ELSE 'medium' END AS difficulty FROM (SELECT *, lower(text) AS low FROM documents)""")
+CASE WHEN doc_id % 40 <= 11 THEN 'Reading comprehension' WHEN doc_id % 4 = 0 THEN 'Cloze tests' ELSE 'Use of English' END AS english, CASE WHEN lang = 'de' THEN 'medium' WHEN doc_id % 10 IN (0, 9) THEN 'hard' WHEN doc_id % 10 <= 2 THEN 'easy' ELSE 'medium' END AS difficulty FROM (SELECT *, lower(text) AS low FROM documents)""")
 def text_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, k = F.col("text"), F.col("doc_id")
     subject = F.when(F.col("lang") == "de", "management").otherwise(F.col("lang"))
-    return roles.read(spark, sf_dir, "documents").select("doc_id", extraction.reading_subtopic(text).alias("reading"), extraction.reasoning_topic(text).alias("reasoning"), extraction.english_topic(k % 40, text).alias("english"), extraction.difficulty_of(subject, k).alias("difficulty"))
+    return roles.read(spark, sf_dir, "documents").select("doc_id", extraction.reading_subtopic(text).alias("reading"), extraction.reasoning_topic(text).alias("reasoning"), extraction.english_topic(k % 40, F.when(k % 4 == 0, F.concat(text, F.lit(" ______"))).otherwise(F.lit("none"))).alias("english"), extraction.difficulty_of(subject, k).alias("difficulty"))
 
 
 # ---------------------------------------------------------------- two columns, clean-up, explanations
@@ -236,7 +236,7 @@ def answer_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(range(0, len(s)))::INT AS n, unnest(s) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))
-SELECT doc_id, n AS line_number, trim(CASE n % 3 WHEN 0 THEN x WHEN 1 THEN trim(x) ELSE trim(x) END) AS line FROM l WHERE n % 3 <> 0 OR true""")
+SELECT doc_id, n AS line_number, trim(x) AS line FROM l""")
 def line_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines dressed as headings and list items, and cleaned again."""
     n = F.col("line_number")

@@ -28,25 +28,43 @@ def text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.withColumn("new", new.cast("int")).select("doc_id", "line_number", "kind", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("segment"))
 
 
-@query("""SELECT doc_id, length(regexp_replace(text, '[^\\p{Cyrillic}]', '', 'g')) AS cyrillic, length(regexp_replace(text, '[^\\p{Latin}]', '', 'g')) AS latin,
-length(regexp_replace(text, '[^\\p{Cyrillic}]', '', 'g')) >= 120 AND length(regexp_replace(text, '[^\\p{Cyrillic}]', '', 'g')) >= 0.35 * (length(regexp_replace(text, '[^\\p{Cyrillic}]', '', 'g')) + length(regexp_replace(text, '[^\\p{Latin}]', '', 'g'))) AS mostly_cyrillic FROM documents""")
+_MIXED = "text || CASE doc_id % 3 WHEN 0 THEN repeat('Їжак живе у лісі. ', 20) WHEN 1 THEN repeat('Слово ', 400) ELSE '' END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_MIXED} AS text FROM documents), n AS (SELECT doc_id, length(regexp_replace(text, '[^\\p{{Cyrillic}}]', '', 'g')) AS cyrillic, length(regexp_replace(text, '[^\\p{{Latin}}]', '', 'g')) AS latin FROM d)
+SELECT *, cyrillic >= 120 AND cyrillic >= 0.35 * (cyrillic + latin) AS mostly_cyrillic FROM n""")
 def script_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
+    k = F.col("doc_id") % 3
+    t = F.concat("text", F.when(k == 0, F.repeat(F.lit("Їжак живе у лісі. "), 20)).when(k == 1, F.repeat(F.lit("Слово "), 400)).otherwise(""))
     return roles.read(spark, sf_dir, "documents").select("doc_id", text.script_letters(t, "Cyrillic").cast("long").alias("cyrillic"), text.script_letters(t, "Latin").cast("long").alias("latin"), text.mostly_cyrillic(t).alias("mostly_cyrillic"))
 
 
-@query(f"""WITH {QUESTIONS_SQL}, e AS (SELECT *, trim(explanation) AS t FROM questions)
-SELECT question_id, array_to_string(list_filter([CASE WHEN t = '' THEN 'empty_explanation' END, 'not_style_v2', 'too_short_for_style_v2', 'missing_option_by_option_explanation',
-CASE WHEN subject = 'english' AND regexp_matches(t, '^(The|This|Correct|Option|Because|In this)') THEN 'english_explanation_not_ukrainian_first' END, CASE WHEN type = 'passage_single_choice' AND passage = '' THEN 'passage_question_without_passage' END], lambda x: x IS NOT NULL), ',') AS reasons FROM e""")
+#: Explanations of several kinds in place of the parts' own: empty, in full style, placeholders, general phrases, English.
+_STYLE = "Тут правильна відповідь: перша. Чому правильна відповідь саме ця. Чому не інші варіанти: А. ні. Б. ні. В. ні. Г. ні. A. no. B. no. C. no. D. no. Як запам’ятати: повторити. Коротко: так. "
+_KINDS = ("", _STYLE + "Додатковий текст. " * 40, "Офіційне джерело позначає цей варіант як правильний.", "Інші варіанти описують інше і не відповідають умові.", "The answer is here. A. B. C. D.", _STYLE)
+_EXPLAINED = f"""{QUESTIONS_SQL}, told AS (SELECT * REPLACE (CASE WHEN position % 7 = 6 THEN explanation ELSE [{', '.join("'" + k + "'" for k in _KINDS)}][(position % 7 + 1)::INT] END AS explanation, CASE WHEN position % 5 = 0 THEN '' ELSE passage END AS passage) FROM questions),
+weak AS (SELECT question_id, subject, list_filter([CASE WHEN trim(explanation) = '' THEN 'empty_explanation' END, CASE WHEN contains(explanation, 'Офіційне джерело позначає цей варіант як правильний') THEN 'placeholder_explanation' END,
+CASE WHEN NOT (contains(explanation, 'Тут правильна відповідь') AND contains(explanation, 'Чому правильна відповідь') AND contains(explanation, 'Чому не інші варіанти') AND contains(explanation, 'Як запам’ятати') AND contains(explanation, 'Коротко:')) THEN 'not_style_v2' END,
+CASE WHEN length(trim(explanation)) < 700 THEN 'too_short_for_style_v2' END, CASE WHEN regexp_matches(explanation, '(?i)Інші варіанти (описують|стосуються).+не (відповідають|пояснюють)') THEN 'generic_distractor_explanation' END,
+CASE WHEN NOT CASE WHEN subject = 'english' THEN contains(explanation, 'A.') AND contains(explanation, 'B.') AND contains(explanation, 'C.') AND contains(explanation, 'D.') ELSE contains(explanation, 'А.') AND contains(explanation, 'Б.') AND contains(explanation, 'В.') AND contains(explanation, 'Г.') END THEN 'missing_option_by_option_explanation' END,
+CASE WHEN subject = 'english' AND regexp_matches(trim(explanation), '^(The|This|Correct|Option|Because|In this)') THEN 'english_explanation_not_ukrainian_first' END, CASE WHEN type = 'passage_single_choice' AND passage = '' THEN 'passage_question_without_passage' END], lambda x: x IS NOT NULL) AS reasons FROM told)"""
+
+
+def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("position")
+    kind = F.element_at(F.array(*map(F.lit, (*_KINDS, ""))), (k % 7 + 1).cast("int"))
+    rows = roles.questions(spark, sf_dir).withColumns({"explanation": F.when(k % 7 == 6, F.col("explanation")).otherwise(kind), "passage": F.when(k % 5 == 0, "").otherwise(F.col("passage"))})
+    return rows.withColumn("reasons", quality.weak_reasons(*(F.col(c) for c in ("subject", "type", "passage", "options", "explanation"))))
+
+
+@query(f"WITH {_EXPLAINED} SELECT question_id, array_to_string(reasons, ',') AS reasons FROM weak")
 def weak_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.weak_reasons(*(F.col(c) for c in ("subject", "type", "passage", "options", "explanation")))
-    return roles.questions(spark, sf_dir).select("question_id", F.array_join(found, ",").alias("reasons"))
+    return _explained(spark, sf_dir).select("question_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query(f"""WITH {QUESTIONS_SQL} SELECT subject, reason, count(*) AS n FROM (SELECT subject, unnest([CASE WHEN trim(explanation) = '' THEN 'empty_explanation' END, 'not_style_v2', 'too_short_for_style_v2', 'missing_option_by_option_explanation']) AS reason FROM questions) WHERE reason IS NOT NULL GROUP BY 1, 2""")
+@query(f"WITH {_EXPLAINED} SELECT subject, reason, count(*) AS n FROM (SELECT subject, unnest(reasons) AS reason FROM weak) GROUP BY 1, 2")
 def reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.weak_reasons(*(F.col(c) for c in ("subject", "type", "passage", "options", "explanation")))
-    return metrics.reason_histogram(roles.questions(spark, sf_dir).withColumn("reasons", found), "subject")
+    return metrics.reason_histogram(_explained(spark, sf_dir), "subject")
 
 
 @query(f"""SELECT doc_id, regexp_matches(text, '(?i)&(?:[a-z]+|#[0-9]+|#x[0-9a-f]+);') OR regexp_matches(text, '(?i)(Facebook|Twitter)') AS artifact, regexp_matches(text, '(?i)source[^.]{{0,120}}does not provide') OR trim(text) = '' AS placeholder,
@@ -200,9 +218,13 @@ def quota_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generation.quota_difficulties(parts.count(), parts).withColumn("position", F.col("position").cast("long"))
 
 
-@query(f"""WITH {QUESTIONS_SQL} SELECT subject, CASE WHEN source_type = 'official_demo' THEN 'official_demo' ELSE source_type END AS category, count(*) AS total, count(*) AS with_answers, count(*) FILTER (list_contains(tags, 'needs_manual_review')) AS needs_review FROM questions GROUP BY 1, 2""")
+@query(f"""WITH {QUESTIONS_SQL}, t AS (SELECT *, list_concat(tags, list_filter([CASE WHEN position % 7 = 0 THEN 'official_collection' END, CASE WHEN position % 3 = 0 THEN 'official_past_exam' END, CASE WHEN position % 5 = 0 THEN 'needs_answer_review' END], lambda x: x IS NOT NULL)) AS all_tags FROM questions)
+SELECT subject, CASE WHEN source_type = 'official_demo' THEN 'official_demo' WHEN position % 7 = 0 THEN 'official_collection' WHEN position % 3 = 0 THEN 'official_past_exam' ELSE source_type END AS category, count(*) AS total,
+count(*) FILTER (NOT list_contains(all_tags, 'needs_answer_review')) AS with_answers, count(*) FILTER (list_contains(all_tags, 'needs_manual_review')) AS needs_review FROM t GROUP BY 1, 2""")
 def import_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.import_categories(roles.questions(spark, sf_dir))
+    k = F.col("position")
+    more = F.array_compact(F.array(F.when(k % 7 == 0, "official_collection"), F.when(k % 3 == 0, "official_past_exam"), F.when(k % 5 == 0, "needs_answer_review")))
+    return metrics.import_categories(roles.questions(spark, sf_dir).withColumn("tags", F.concat("tags", more)))
 
 
 @query(f"""WITH {QUESTIONS_SQL} SELECT question_id, CASE subject WHEN 'tznk' THEN 'medium' WHEN 'english' THEN 'easy' ELSE 'medium' END AS recommended, CASE WHEN subject = 'tznk' THEN 'not checked for a single answer' ELSE '' END AS reasons FROM questions""")
