@@ -13,7 +13,7 @@ SLICE_CHARS = 4_000_000
 
 
 #: Bytes of an Arrow batch, where the session sets no other bound.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

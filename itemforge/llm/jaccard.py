@@ -36,7 +36,7 @@ VALUES, TARGET_RECALL = 128, 0.9999
 LEAST_DEPTH, LONGER = 4, (6, 8)  # lengths of a matched prefix
 CROWD = 64  # vertices under a prefix
 BUCKET_BLOCK = 1024  # vertices
-VERIFY_BLOCK, VERIFY_ROWS = 200_000, 1000  # n-grams and vertices
+VERIFY_BLOCK, VERIFY_ROWS = 200_000, 500  # n-grams and vertices
 SIGMAS = 5.0
 HUB_EDGES, HUBS = 1000, 2000  # edges that make a hub, and how many hubs there may be: a bounded broadcast
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -303,10 +303,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     def with_least(e: DataFrame, total: int) -> DataFrame:
         """Edges with the least neighbour of u. Hubs are broadcast, so that no task reads all edges of one."""
+        most = max(HUB_EDGES, total // HUBS)
         least = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("least"), F.count("*").alias("held"))
-        hub = F.col("held") > max(HUB_EDGES, total // HUBS)
-        hubs = F.broadcast(least.filter(hub).drop("held"))
-        return e.join(hubs, "u").unionByName(e.join(hubs, "u", "left_anti").join(least.filter(~hub).drop("held"), "u"))
+        if total <= most:
+            return e.join(least.drop("held"), "u")
+        least = stored(least, "least")
+        hubs = least.filter(F.col("held") > most).drop("held")
+        if not hubs.limit(1).count():
+            return e.join(least.drop("held"), "u")
+        return e.join(F.broadcast(hubs), "u").unionByName(e.join(F.broadcast(hubs), "u", "left_anti").join(least.filter(F.col("held") <= most).drop("held"), "u"))
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0])
