@@ -63,6 +63,7 @@ def structural_reasons() -> Column:
     """Reasons that a review of imported questions checks within one row."""
     tagged = [(has_tag(t), f"blocking tag present: {t}") for t in BLOCKING_TAGS]
     fields = F.concat(F.array("question", "explanation", F.coalesce("passage", F.lit(""))), F.col("options"))
+    # The labels of these reasons.
     return reasons(
         (F.col("source_type") != "public_source", "sourceType is not public_source"),
         (empty("source_url"), "missing sourceUrl"),
@@ -115,6 +116,7 @@ def review_generated(questions: DataFrame, bank: DataFrame, id_pattern: str, top
     target = F.concat_ws(" ", option, F.col("explanation")) if whole_target else option
     fields = [F.col("question"), F.col("explanation"), F.coalesce("passage", F.lit("")), F.array_join("options", "\n")]
     anchor = failed_anchor(F.concat_ws(" ", "question", "explanation"), target, anchors)
+    # The labels of these reasons.
     rule = reasons(
         (~F.col("question_id").rlike(id_pattern), "id does not match the batch pattern"),
         (F.col("source_type") != "generated", "sourceType is not generated"),
