@@ -23,6 +23,7 @@ MOST_CELLS = BUCKETS * 256  # of the table: with more languages the trigrams sha
 SMOOTH = 0.05
 TEMPER = 0.15  # neighbouring trigrams share bytes, so their evidence is not independent
 HOST_WEIGHT, LEVEL_WEIGHT, DECLARED_WEIGHT = 5.0, 10.0, 20.0
+CHUNK = 1 << 17  # bytes of a text whose trigrams are counted at once
 LEAST_LETTERS = 1  # a text without letters has no language
 LETTER, NO_LETTERS = r"\p{L}", r"\P{L}+"
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -53,8 +54,8 @@ def _profile(text: str, buckets: int) -> np.ndarray:
     """Shares of the trigram buckets in a text."""
     data = np.frombuffer(_fold(text), dtype=np.uint8)
     counts = np.zeros(buckets)
-    for at in range(0, len(data) - 2, 1 << 20):
-        counts += np.bincount(_buckets(data[at : at + (1 << 20) + 2], buckets), minlength=buckets)
+    for at in range(0, len(data) - 2, CHUNK):
+        counts += np.bincount(_buckets(data[at : at + (CHUNK) + 2], buckets), minlength=buckets)
     return counts / max(1, len(data))
 
 
@@ -115,8 +116,8 @@ def likelihoods(docs: DataFrame, languages: list[str], tables: np.ndarray, keep:
                         out.append([0.0] * table.shape[1])
                         continue
                     total = np.zeros(table.shape[1])
-                    for at in range(0, len(data) - 2, 1 << 20):
-                        total += np.add.reduce(table[_buckets(data[at : at + (1 << 20) + 2], len(table))], axis=0, dtype=np.float64)
+                    for at in range(0, len(data) - 2, CHUNK):
+                        total += np.add.reduce(table[_buckets(data[at : at + (CHUNK) + 2], len(table))], axis=0, dtype=np.float64)
                     out.append((TEMPER * (total - total.max())).tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names[:-1], "loglik"])
 

@@ -35,7 +35,7 @@ SEED, DROPOUT = 13, 0.1
 SHORT = 48  # symbols of a word that advances with others
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, SHORT)  # of the rows that words are laid in
 ROWS = 1 << 15  # words that advance together
-SLICE = 1_000_000  # characters whose words are segmented together
+SLICE = 500_000  # characters whose words are segmented together
 SPACE = "▁"
 #: No piece spans these parts of a text: a run of spaces with the word behind it, a word, a run of line ends.
 _PARTS = re.compile(r" +[^ \n]*|[^ \n]+|\n+")
