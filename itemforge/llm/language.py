@@ -55,7 +55,7 @@ def _profile(text: str, buckets: int) -> np.ndarray:
     data = np.frombuffer(_fold(text), dtype=np.uint8)
     counts = np.zeros(buckets)
     for at in range(0, len(data) - 2, CHUNK):
-        counts += np.bincount(_buckets(data[at : at + (CHUNK) + 2], buckets), minlength=buckets)
+        counts += np.bincount(_buckets(data[at : at + CHUNK + 2], buckets), minlength=buckets)
     return counts / max(1, len(data))
 
 
@@ -117,7 +117,7 @@ def likelihoods(docs: DataFrame, languages: list[str], tables: np.ndarray, keep:
                         continue
                     total = np.zeros(table.shape[1])
                     for at in range(0, len(data) - 2, CHUNK):
-                        total += np.add.reduce(table[_buckets(data[at : at + (CHUNK) + 2], len(table))], axis=0, dtype=np.float64)
+                        total += np.add.reduce(table[_buckets(data[at : at + CHUNK + 2], len(table))], axis=0, dtype=np.float64)
                     out.append((TEMPER * (total - total.max())).tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names[:-1], "loglik"])
 
