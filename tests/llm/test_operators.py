@@ -227,6 +227,7 @@ def test_runs_are_compacted_by_level(spark):
         runs.add(spark.createDataFrame([(bytes([j]), i) for j in range(i, i + 3)], "line_hash binary, owner long"))
     assert [len(level) for level in runs.levels] == [0, 0, 1]
     assert rows_of(runs.owners()) == [(bytes([j]), max(0, j - 2)) for j in range(6)]
+    runs.close()
 
 
 # ---------------------------------------------------------------- decontamination
