@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemforge.functions.text import normalize, slug, stable_hash
+from itemforge.functions.text import normalize, slug
 from itemforge.functions.urls import exam_set_id, exam_set_title, exam_set_variant, infer_year, source_order, source_site
 
 LEAST_PASSAGE = 80
