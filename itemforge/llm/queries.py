@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.llm import language, pieces, quality, toxicity, wrappers
+from itemforge.llm import byte_bpe, language, pieces, quality, toxicity, wrappers
 from itemforge.llm.common import table
 from itemforge.llm.decontaminate import contamination
 from itemforge.llm.jaccard import near_duplicates
@@ -67,6 +67,15 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as ids of the public byte-level vocabulary, and the bytes that they decode to."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    encoded = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -81,4 +90,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_languages": page_languages,
     "op9_html_extraction": op9_html_extraction,
     "op10_media": op10_media,
+    "op13_byte_bpe": op13_byte_bpe,
 }
