@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.llm import byte_bpe, language, pieces, quality, toxicity, wrappers
+from itemforge.llm import byte_bpe, language, periods, pieces, quality, toxicity, wrappers
 from itemforge.llm.common import table
 from itemforge.llm.decontaminate import contamination
 from itemforge.llm.jaccard import near_duplicates
@@ -67,6 +67,14 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words, with stretches planted by id; the strongest one, and digests of all and of the text without repeats."""
+    found = periods.find_runs(periods.with_planted_runs(table(spark, sf_dir, "documents"))).withColumn("best", periods.strongest(F.col("runs")))
+    exponent = F.expr("(1000 * best.length) div best.period").alias("exponent_milli")
+    digests = [F.sha2(periods.run_lines(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")]
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent, *digests)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as ids of the public byte-level vocabulary, and the bytes that they decode to."""
     import public_tokenizers
@@ -90,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_languages": page_languages,
     "op9_html_extraction": op9_html_extraction,
     "op10_media": op10_media,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_byte_bpe": op13_byte_bpe,
 }
