@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.llm import byte_bpe, language, periods, pieces, quality, toxicity, wrappers
+from itemforge.llm import byte_bpe, language, negatives, periods, pieces, quality, toxicity, wrappers
 from itemforge.llm.common import table
 from itemforge.llm.decontaminate import contamination
 from itemforge.llm.jaccard import near_duplicates
@@ -75,6 +75,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent, *digests)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every hundredth vector, the first rows of other labels whose score is 30 to 90 hundredths of a positive's; a seventh of the labels are shifted."""
+    rows = negatives.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 256.0)
+    shifted = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", shifted.cast("int")), F.col("id") % 100 == 0)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as ids of the public byte-level vocabulary, and the bytes that they decode to."""
     import public_tokenizers
@@ -99,5 +106,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_media": op10_media,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_byte_bpe": op13_byte_bpe,
 }
