@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -19,6 +20,8 @@ from itemforge.llm.common import SLICE_CHARS, bound_batches, by_slices
 
 #: Words of one text that are handled together, if the text is longer than a slice.
 WORDS_AT_ONCE = 500_000
+#: Distinct words whose ids a task remembers; beyond that it starts anew.
+WORDS_KNOWN = 500_000
 #: Keys that share a displacement in the perfect hash, on average.
 BUCKET_KEYS = 2
 _STEP, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -78,46 +81,58 @@ class PerfectHash:
 
 
 class Vocabulary:
-    """Tokens and their ranks, which are their ids, with the perfect hash over the tokens."""
+    """Tokens and their ranks, which are their ids, with the perfect hash over the tokens.
+
+    known remembers the ids of words met before: place of a word, and the ids of all places one after the other.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = pattern
         self.tokens = list(ranks)
-        self.ids = np.array([ranks[t] for t in self.tokens], np.int64)
+        self.ids = [ranks[t] for t in self.tokens]
         self.rank = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, self.tokens), default=0)
         self.hash = PerfectHash(self.tokens)
-
-    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.sizes = array("i"), array("i")
+
+    def learn(self, words: list[str]) -> None:
+        """Look up words that are not known: the perfect hash first, the heap for what it does not hold."""
+        raw = [w.encode("utf-8") for w in words]
+        for word, key, k in zip(words, raw, self.hash.places(raw).tolist(), strict=True):
+            self.known[word] = len(self.sizes)
+            ids = (self.ids[k],) if k >= 0 and self.tokens[k] == key else merge(key, self.rank, self.longest)
+            self.flat.extend(ids)
+            self.sizes.append(len(ids))
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after the other, and how many each has."""
-        found = self.hash.places(words)
-        parts, sizes = [], np.ones(len(words), np.int64)
-        for w, (word, k) in enumerate(zip(words, found.tolist(), strict=True)):
-            if k >= 0 and self.tokens[k] == word:
-                parts.append(self.ids[k])
-            else:
-                merged = merge(word, self.rank, self.longest)
-                parts.extend(merged)
-                sizes[w] = len(merged)
-        return np.array(parts, np.int64), sizes
+        if len(self.known) > WORDS_KNOWN:
+            self.forget()
+        codes = list(map(self.known.get, words))
+        if fresh := [w for w, c in zip(words, codes, strict=True) if c is None]:
+            self.learn(list(dict.fromkeys(fresh)))
+            codes = list(map(self.known.get, words))
+        places, each = np.array(codes, np.int64), np.array(self.sizes, np.int64)
+        count = each[places]
+        begin = np.cumsum(count) - count
+        return np.array(self.flat, np.int32)[np.repeat((np.cumsum(each) - each)[places] - begin, count) + np.arange(int(count.sum()))], count
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.bytes_of[i] for i in ids])
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 def merge(word: bytes, rank: dict[bytes, int], longest: int) -> list[int]:
     """Ids of a word by merging its bytes: always the neighbours of the lowest joint rank, the leftmost of equals."""
-    n = len(word)
+    n, joint = len(word), rank.get
     stop = list(range(1, n + 1))  # where the token that starts here ends; 0 if none starts here
     before = list(range(-1, n))  # where the token in front of this one starts
-    agenda = [(r, i, i + 2) for i in range(n - 1) if (r := rank.get(word[i : i + 2])) is not None]
+    agenda = [(r, i, i + 2) for i in range(n - 1) if (r := joint(word[i : i + 2])) is not None]
     heapify(agenda)
-
-    def offer(i: int, end: int) -> None:
-        if end - i <= longest and (r := rank.get(word[i:end])) is not None:
-            heappush(agenda, (r, i, end))
-
     while agenda:
         _, i, end = heappop(agenda)
         middle = stop[i]
@@ -125,10 +140,13 @@ def merge(word: bytes, rank: dict[bytes, int], longest: int) -> list[int]:
             continue  # one of the two has been merged meanwhile
         stop[i], stop[middle] = end, 0
         if end < n:
-            before[end] = i
-            offer(i, stop[end])
+            before[end], after = i, stop[end]
+            if after - i <= longest and (r := joint(word[i:after])) is not None:
+                heappush(agenda, (r, i, after))
         if i:
-            offer(before[i], end)
+            first = before[i]
+            if end - first <= longest and (r := joint(word[first:end])) is not None:
+                heappush(agenda, (r, first, end))
     ids, i = [], 0
     while i < n:
         ids.append(rank[word[i : stop[i]]])
@@ -160,20 +178,15 @@ def _words(text: str, pattern: regex.Pattern) -> Iterator[list[str]]:
 
 
 def encode_texts(texts: list[str], words_of: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after the other, and how many each has. Distinct words are looked up once."""
+    """Ids of all texts one after the other, and how many each has."""
     pattern = regex.compile(words_of.pattern)
-    out, sizes = [], np.zeros(len(texts), np.int64)
+    out, sizes = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
     words: list[str] = []
     owners: list[tuple[int, int]] = []
 
     def settle() -> None:
-        place: dict[str, int] = {}
-        codes = np.array([place.setdefault(w, len(place)) for w in words], np.int64)
-        flat, each = words_of.encode_words([w.encode("utf-8") for w in place])
-        count = each[codes]
-        total = int(count.sum())
-        within = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-        out.append(flat[np.repeat((np.cumsum(each) - each)[codes], count) + within])
+        ids, count = words_of.encode_words(words)
+        out.append(ids)
         ends = np.concatenate([[0], np.cumsum(count)])
         at = 0
         for t, k in owners:
@@ -190,7 +203,7 @@ def encode_texts(texts: list[str], words_of: Vocabulary) -> tuple[np.ndarray, np
                 settle()
     if words:
         settle()
-    return (np.concatenate(out) if out else np.zeros(0, np.int64)), sizes
+    return np.concatenate(out), sizes
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", decoded: bool = False) -> DataFrame:
