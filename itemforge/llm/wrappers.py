@@ -6,9 +6,12 @@ elements that one side lacks become optional, neighbours that meet become repeat
 Tasks fold the pages of a host that they hold, and the wrappers of a host meet in two salted steps.
 
 Every page is read through its host's wrapper: its tree is matched with the expression, and the slot that a text falls
-into decides on it. Slots with one text on most pages are template. What is left is weighed over all pages of the host:
+into decides on it. Slots with one text on most pages may be template. What is left is weighed over all pages of the host:
 names of furniture, forms, and marks of the main part are priors against that weight. A page that its host's wrapper
 does not match, or leaves without text, is read through the wrapper of itself alone.
+
+Headings, paragraphs, list items and cells that repeat are template only outside of marks of the main part, and there only if
+no texts that vary stand before and behind them in one container; what repeats in a bare block is template everywhere.
 """
 
 from __future__ import annotations
@@ -49,6 +52,7 @@ DROPPED = frozenset("head nav header footer aside button select menu dialog sear
 FORMS = frozenset("form fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 html body main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+FLOW = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd th td caption figcaption blockquote pre".split())
 COMMENTS = frozenset("comment comments commentlist disqus reply replies".split())
 TOPS = frozenset("header headers head masthead banner".split())
 FURNITURE = COMMENTS | TOPS | frozenset(
@@ -184,7 +188,8 @@ def read_page(html: str) -> list:
         if name in VOID:
             continue
         _, _, hard, node = stack[-1]
-        kind = _kind(name, attrs)
+        # a header inside of the main part is that part's own
+        kind = _kind("div" if name == "header" and any("@" in e[3][0] for e in stack) else name, attrs)
         if name in BLOCKS:
             deep = len(stack) > MOST_DEPTH
             if not hard and not deep:
@@ -325,21 +330,32 @@ def guide_of(wrapper: list, pages: int) -> list:
     """
     slots: list[tuple[list, tuple[int, ...], str]] = []  # body, weighed blocks around it, marks around it
     weighed: list[tuple[bool, tuple[int, ...]]] = []  # is a form; the weighed blocks around
+    flow: list[int | None] = []  # of slots in paragraphs, headings and the like: their container's number
 
-    def visit(node: list, around: tuple[int, ...], marks: str) -> None:
+    def visit(node: list, around: tuple[int, ...], marks: str, containers: tuple[int, int] = (0, 0), name: str = "") -> None:
         if node[0] == "#":
             slots.append((node[3], around, marks))
+            flow.append(containers[0] if name in FLOW else None)
             return
         own = node[0].split(".")[0] if node[0][:1] != "(" else ""
+        if own:
+            name, containers = re.split("[?@!]", own)[0], (containers[1], id(node))
         if "?" in own:
             weighed.append(("?f" in own, around))
             around = (*around, len(weighed) - 1)
         marks += "a" * ("@a" in own) + "m" * ("@m" in own)
         for child in node[3]:
-            visit(child, around, marks)
+            visit(child, around, marks, containers, name)
 
     visit(wrapper, (), "")
     constant = [pages > 1 and b[0] is not None and b[1] >= max(2, TEMPLATE_SHARE * pages) for b, _, _ in slots]
+    # headings and paragraphs that repeat are the article's own inside of its marks, and between texts that vary
+    spread: dict[int, list[int]] = {}
+    for i, container in enumerate(flow):
+        if container is not None and not constant[i]:
+            spread.setdefault(container, []).append(i)
+    own = lambda i, marks: bool(marks) or flow[i] in spread and spread[flow[i]][0] < i < spread[flow[i]][-1]
+    constant = [c and not (flow[i] is not None and own(i, marks)) for i, (c, (_, _, marks)) in enumerate(zip(constant, slots, strict=True))]
     chars = lambda want, free: sum(b[2] for (b, around, _), c in zip(slots, constant, strict=True) if c == want and (not around or not free and all(weighed[k][0] for k in around)))
     if chars(True, False) > chars(False, False):  # pages that mostly repeat each other are versions of one text
         constant = [False] * len(slots)

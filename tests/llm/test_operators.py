@@ -600,6 +600,15 @@ def test_wrappers_clean_marked_pages_and_weigh_marks(spark):
     assert found[3] == "Title 3\n\nStory 3 goes here." and "The long story" in found[9]
 
 
+def test_repeated_headings_and_paragraphs_of_an_article_stay(spark):
+    marked = "<html><body><nav>Menu</nav><article><header><h1>Headline {0}</h1><nav>Up</nav></header><h2>Summary</h2><p>Story {0} goes here.</p><p>All rights are with the author.</p><footer>Foot</footer></article><header>Site</header><p>Read us daily</p></body></html>"
+    bare = "<html><body><div class='top'><p>Our Site</p></div><div class='text'><p>Intro {0}.</p><h2>Summary</h2><p>Story {0} goes here.</p></div><div class='low'><p>Read on</p></div></body></html>"
+    rows = [(i, f"http://{host}.example/{i}", page.format(i)) for host, page, first in (("m", marked, 0), ("b", bare, 10)) for i in range(first, first + 6)]
+    found = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"Headline {i}\n\nSummary\n\nStory {i} goes here.\n\nAll rights are with the author." for i in range(6))
+    assert all(found[i] == f"Intro {i}.\n\nSummary\n\nStory {i} goes here." for i in range(10, 16))
+
+
 def test_unmarked_pages_keep_every_varying_region(spark):
     page = lambda i: f"<html><body><div class='top'>Our Site</div><h1>Title {i}</h1><div class='content'><section class='intro'><p>Intro {i}</p></section><section class='body'><p>The longer story {i} goes here.</p></section></div></body></html>"
     other = "<html><body><table><tr><td>Another template</td></tr></table></body></html>"
