@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from itemforge.llm.common import bound_batches, new_folder, stored
 
 BATCHES = 4
+#: Ids that settle where the batches part; the parting changes no result.
+EDGE_SAMPLE = 1000
 FANOUT = 3
 MIN_KEY_CHARS = 10
 SPACES = " \t\n\x0b\x0c\r"
@@ -58,7 +60,7 @@ class LineRuns:
         """batch (line_hash, owner), unique in line_hash: keep what no run holds as a new run, compacting full levels."""
         fresh = batch
         for run in self.tables():
-            fresh = fresh.join(run.select("line_hash"), "line_hash", "left_anti")
+            fresh = fresh.join(run.select("line_hash").hint("merge"), "line_hash", "left_anti")
         self._write(fresh, 0)
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
@@ -88,11 +90,18 @@ class LineRuns:
         return first
 
 
+def batch_edges(docs: DataFrame, batches: int) -> list:
+    """Ids that part the documents into about equal batches by ascending id, of any type that has an order."""
+    picked = docs.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id")).limit(EDGE_SAMPLE)
+    ids = picked.agg(F.sort_array(F.collect_list("doc_id"))).first()[0]
+    return list(dict.fromkeys(ids[len(ids) * i // batches] for i in range(1, batches))) if ids else []
+
+
 def repeated_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(doc_id, drops array<binary>): for each document the hashes of its lines that a smaller doc_id owns."""
     spark = docs.sparkSession
-    edges = [e for e in docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.02)] if batches > 1 else []
-    batch = sum(((F.col("doc_id") > F.lit(e)).cast("int") for e in dict.fromkeys(edges)), F.lit(0))
+    edges = batch_edges(docs, batches)
+    batch = sum(((F.col("doc_id") > F.lit(e)).cast("int") for e in edges), F.lit(0))
     key = line_key(F.col("line"))
     lines = (
         docs.filter(F.col("doc_id").isNotNull())
@@ -102,7 +111,7 @@ def repeated_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     )
     lines = stored(lines, "lines", ["batch"])
     runs = LineRuns(spark)
-    for i in range(len(dict.fromkeys(edges)) + 1):
+    for i in range(len(edges) + 1):
         runs.add(lines.filter(F.col("batch") == i).groupBy("line_hash").agg(F.min("doc_id").alias("owner")))
     found = lines.join(runs.owners(), "line_hash").filter(F.col("doc_id") != F.col("owner")).groupBy("doc_id").agg(F.collect_set("line_hash").alias("drops"))
     found = stored(found, "drops")
@@ -129,7 +138,7 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """docs (doc_id, text, others) with kept_text, n_lines and n_dropped in place of text.
 
     A key of ten or more code points that two documents hold loses its lines in all but the smallest doc_id.
-    Null text counts as one empty line. Rows with a null doc_id own nothing and lose nothing. Rows that repeat a
+    Ids may be of any type that has an order. Null text counts as one empty line. Rows with a null doc_id own nothing and lose nothing. Rows that repeat a
     doc_id count as one document. Columns named like the results are replaced. A text of any length is split whole; an
     empty table gives no rows.
     """

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from itemforge.llm import common, decontaminate, jaccard, language, line_dedup, media, pieces, quality, secrets, toxicity, wrappers
 from tests.conftest import rows_of
@@ -221,6 +222,15 @@ def test_line_dedup_edge_cases(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_takes_ids_of_any_type(spark):
+    texts = ["a shared line here\nfirst", "a shared line here\nsecond", "other", "a shared line here"]
+    docs = frame(spark, texts, [3, 20, 100, None])
+    days = F.date_add(F.lit("2020-01-01").cast("date"), F.col("doc_id").cast("int"))
+    for ids, loser in ((F.col("doc_id").cast("string"), "3"), (days, "2020-01-21")):  # "20" is before "3"
+        rows = line_dedup.dedup_lines(docs.withColumn("doc_id", ids)).collect()
+        assert len(rows) == 4 and {str(r.doc_id): r.n_dropped for r in rows if r.n_dropped} == {loser: 1}
+
+
 def test_runs_are_compacted_by_level(spark):
     runs = line_dedup.LineRuns(spark, buckets=2, fanout=2)
     for i in range(4):
