@@ -53,15 +53,10 @@ def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def final_answers_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared(spark)}/answers-{uuid.uuid4().hex}"
     rows = roles.read(spark, sf_dir, "events").select(F.col("user_id").alias("attempt_id"), F.get_json_object("props", "$.k").cast("int").alias("question_id"), F.col("event_type").alias("option"), F.col("ts").cast("timestamp").alias("moment"), F.col("event_id").alias("seq"))
-    # answers of any age count, so the watermark stays behind all of them
-    updates = state.final_answers(_stream(spark, rows, folder), delay="3650 days")
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/part={number:09d}")
-
-    _feed(rows, folder, lambda: updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination())
-    rows = spark.read.schema("attempt_id long, question_id int, option string, batch int").parquet(f"{folder}/out")
-    return rows.groupBy("attempt_id", "question_id").agg(F.max_by("option", "batch").alias("option"))
+    # answers of any age count: the stream keeps no state, a keyed table takes its batches
+    table = state.final_answers(spark, f"{folder}/out", changes=2)
+    _feed(rows, folder, lambda: _stream(spark, rows, folder).writeStream.foreachBatch(table.write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    return table.read().select("attempt_id", "question_id", "option")
 
 
 @query("""WITH s AS (SELECT user_id AS attempt_id, min(ts) AS start FROM events GROUP BY 1), f AS (SELECT user_id AS attempt_id, min(ts) AS finish FROM events JOIN s ON user_id = attempt_id WHERE event_type = 'purchase' AND ts <= start + INTERVAL 2 DAY GROUP BY 1),
@@ -75,7 +70,8 @@ def attempt_timeout_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     closed = state.closed_attempts(_stream(spark, rows, folder))
 
     def run() -> None:
-        closed.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        with state.rocks(spark):
+            closed.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
     _feed(rows, folder, run)
     late.write.mode("append").parquet(f"{folder}/in")

@@ -1,4 +1,4 @@
-"""Writers of question banks: versions with a pointer, replacement by source, chunks of requests, files in order."""
+"""Writers of question banks: versions with a commit log, replacement by source, chunks of requests, files in order."""
 
 from __future__ import annotations
 
@@ -7,29 +7,42 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from itemforge.sources.commits import CommitLog, Conflict
 
-def _pointer(spark: SparkSession, folder: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/CURRENT")
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
+def write_version(rows: DataFrame, folder: str, version: str | None = None, after: int | None = None) -> str:
+    """Write a new version beside the old ones, then commit it; returns the version's path.
 
-def write_version(rows: DataFrame, folder: str, version: str | None = None) -> str:
-    """Write a new version beside the old ones, then move the pointer; returns the version's path."""
+    `after` is the number of the commit that the rows were made from (see last_commit): if another version has been
+    committed since, this one is not and Conflict is raised. Without it the version follows whatever is last, again and again
+    if others come in between. A writer that dies before its commit leaves a folder that no commit names.
+    """
     version = version or uuid.uuid4().hex
     target = f"{folder}/version={version}"
     rows.write.parquet(target)
-    path, fs = _pointer(rows.sparkSession, folder)
-    stream = fs.create(path, True)
-    stream.write(bytearray(version.encode()))
-    stream.close()
-    return target
+    log = CommitLog(rows.sparkSession, folder)
+    while True:
+        try:
+            log.commit(log.latest()[0] if after is None else after, {"version": version})
+            return target
+        except Conflict:
+            if after is not None:
+                raise
+
+
+def last_commit(spark: SparkSession, folder: str) -> int:
+    """The number of the last commit, 0 if there is none."""
+    return CommitLog(spark, folder).latest()[0]
 
 
 def current_version(spark: SparkSession, folder: str) -> str | None:
-    path, fs = _pointer(spark, folder)
-    if not fs.exists(path):
-        return None
-    return spark.read.text(f"{folder}/CURRENT").collect()[0][0]  # one short line
+    return CommitLog(spark, folder).latest()[1].get("version")
+
+
+def versions(spark: SparkSession, folder: str) -> list[str]:
+    """Every version committed, in order: the snapshots that can be read."""
+    log = CommitLog(spark, folder)
+    return [log.read(n)["version"] for n in log.numbers()]
 
 
 def read_version(spark: SparkSession, folder: str, version: str | None = None) -> DataFrame:

@@ -1,77 +1,130 @@
-"""Streaming forms of the mistakes ledger, of final answers and of timed attempts.
+"""Streaming forms of the mistakes ledger, of final answers and of timed attempts, on typed state in RocksDB.
 
 answers: learner, subject, question_id, moment (timestamp), seq (long), is_correct. Sources are folders of Parquet files;
-a new file is a new micro-batch.
+a new file is a new micro-batch. Times in the state are microseconds.
 """
 
 from __future__ import annotations
 
-import json
+from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from itemforge.sources.keyed import KeyedTable, latest_by
 
 LEDGER = "learner long, subject string, question_id string, last_answered_at timestamp, times_wrong long"
+NEVER = -(2**62)
+#: Entries that may be settled at about the same time share a timer.
+BUCKET_MS = 3_600_000
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, whose checkpoints are the changes of a batch."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def read_folder(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def _micros(rows: pd.DataFrame) -> list[int]:
+    return rows["moment"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+
+
 #: Parts that a learner's entries are split into, so that a learner of very many answers is several keys.
 SLOTS = 2
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The state of a learner's slot is a JSON object: for each subject and question the last correct answer's place, the
-    settled wrong answers behind it (their number and the last time), and the places of the others.
+class Ledger(StatefulProcessor):
+    """entries holds, by subject and question, the place of the last correct answer, the settled wrong answers behind it (their
+    number and the last time), and the places of the others; a batch reads and writes the entries that it touches.
 
-    A wrong answer is settled when the watermark has passed it: nothing that is still to come can precede it. Entries
-    without wrong answers go as soon as their correct answer is settled. So the state holds open mistakes, and single
-    answers only as far back as late data may reach.
+    A wrong answer is settled when the watermark has passed it: nothing that is still to come can precede it. due names
+    the entries to look at when the watermark passes an hour; an entry without wrong answers goes as soon as its correct
+    answer is settled. So the state holds open mistakes, and single answers only as far back as late data may reach.
     """
-    entries = json.loads(state.get[0]) if state.exists else {}
-    settled = state.getCurrentWatermarkMs() * 1000
-    changed = set()
-    for rows in batches:
-        times = rows["moment"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
-        for subject, question, time, seq, right in zip(rows["subject"].tolist(), rows["question_id"].tolist(), times, rows["seq"].tolist(), rows["is_correct"].tolist(), strict=True):
-            if time < settled:
-                continue  # later than the watermark allows
-            name = json.dumps([subject, question])
-            entry = entries.setdefault(name, [[-(2**62), -(2**62)], 0, None, []])
-            changed.add(name)
-            if right:
-                entry[0] = max(entry[0], [time, seq])
-            elif [time, seq] not in entry[3]:
-                entry[3].append([time, seq])
-    found = []
-    for name, entry in list(entries.items()):
-        if name in changed:
-            if entry[1] and entry[0][0] >= settled:
-                entry[1], entry[2] = 0, None  # a correct answer behind all settled ones
-            entry[3] = [place for place in entry[3] if place > entry[0]]
-            last = max([place[0] for place in entry[3]] + ([entry[2]] if entry[1] else []), default=None)
-            found.append((key[0], *json.loads(name), None if last is None else pd.Timestamp(last, unit="us"), entry[1] + len(entry[3])))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entries = handle.getMapState("entries", "subject string, question_id string", "closed_at long, closed_seq long, settled long, settled_at long, open array<struct<at: long, seq: long>>")
+        self.due = handle.getMapState("due", "at long", "names array<struct<subject: string, question_id: string>>")
+
+    def _load(self, name: tuple) -> list | None:
+        if not self.entries.containsKey(name):
+            return None
+        closed_at, closed_seq, settled, settled_at, places = self.entries.getValue(name)
+        return [(closed_at, closed_seq), settled, settled_at, [tuple(p) for p in places]]
+
+    def _save(self, name: tuple, entry: list, settled: int) -> None:
+        """Count what the watermark has passed; an entry of which nothing can matter any more goes."""
         old = [place for place in entry[3] if place[0] < settled]
         if old:
-            entry[1], entry[2], entry[3] = entry[1] + len(old), max(p[0] for p in old), [p for p in entry[3] if p[0] >= settled]
-        if not entry[1] and not entry[3] and entry[0][0] < settled:
-            del entries[name]
-    state.update((json.dumps(entries),))
-    if found:
-        out = pd.DataFrame(found, columns=["learner", "subject", "question_id", "last_answered_at", "times_wrong"])
-        yield out.astype({"last_answered_at": "datetime64[ns]"})
+            entry[1:] = entry[1] + len(old), max(p[0] for p in old), [p for p in entry[3] if p[0] >= settled]
+        if entry[1] or entry[3] or entry[0][0] >= settled:
+            self.entries.updateValue(name, (*entry[0], entry[1], entry[2], entry[3]))
+        elif self.entries.containsKey(name):
+            self.entries.removeKey(name)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        settled = timerValues.getCurrentWatermarkInMs() * 1000
+        touched: dict[tuple, list[tuple[int, int, bool]]] = defaultdict(list)
+        for part in rows:
+            for subject, question, time, seq, right in zip(part["subject"].tolist(), part["question_id"].tolist(), _micros(part), part["seq"].tolist(), part["is_correct"].tolist(), strict=True):
+                if time >= settled:  # else later than the watermark allows
+                    touched[subject, question].append((time, seq, right))
+        found, due = [], defaultdict(list)
+        for name, answers in touched.items():
+            entry = self._load(name) or [(NEVER, NEVER), 0, None, []]
+            if correct := [answer[:2] for answer in answers if answer[2]]:
+                entry[0], entry[1], entry[2] = max(entry[0], *correct), 0, None  # behind all settled ones
+            entry[3] = sorted({p for p in [*entry[3], *(answer[:2] for answer in answers if not answer[2])] if p > entry[0]})
+            last = entry[3][-1][0] if entry[3] else entry[2]
+            found.append((key[0], *name, None if last is None else pd.Timestamp(last, unit="us"), entry[1] + len(entry[3])))
+            due[(max(answer[0] for answer in answers) // 1000 // BUCKET_MS + 1) * BUCKET_MS].append(name)
+            self._save(name, entry, settled)
+        for at, names in due.items():
+            if self.due.containsKey((at,)):
+                names = list(dict.fromkeys([*map(tuple, self.due.getValue((at,))[0]), *names]))
+            else:
+                self.handle.registerTimer(at)
+            self.due.updateValue((at,), (names,))
+        if found:
+            yield pd.DataFrame(found, columns=["learner", "subject", "question_id", "last_answered_at", "times_wrong"]).astype({"last_answered_at": "datetime64[ns]"})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at, settled = (expiredTimerInfo.getExpiryTimeInMs(),), timerValues.getCurrentWatermarkInMs() * 1000
+        for name in map(tuple, self.due.getValue(at)[0]):
+            if entry := self._load(name):
+                self._save(name, entry, settled)
+        self.due.removeKey(at)
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def ledger_updates(answers: DataFrame, delay: str = "2 days", slots: int = SLOTS) -> DataFrame:
-    """A stream of the entries that changed; times_wrong 0 tells that an entry closed. Answers may be late by the delay."""
+    """A stream of the entries that changed; times_wrong 0 tells that an entry closed. Answers may be late by the delay.
+
+    Start it inside of rocks(). Equal (moment, seq) of a question are one answer.
+    """
     slot = F.pmod(F.xxhash64("subject", "question_id"), F.lit(slots))
     rows = answers.withWatermark("moment", delay).withColumn("slot", slot)
-    return rows.groupBy("learner", "slot").applyInPandasWithState(_fold, LEDGER, "entries string", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("learner", "slot").transformWithStateInPandas(Ledger(), LEDGER, "update", "EventTime")
 
 
 def keep_latest(updates: DataFrame, folder: str, checkpoint: str):
@@ -80,7 +133,8 @@ def keep_latest(updates: DataFrame, folder: str, checkpoint: str):
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/batch={number:09d}")
 
-    return updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with rocks(updates.sparkSession):
+        return updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def open_mistakes(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,51 +145,82 @@ def open_mistakes(spark: SparkSession, folder: str) -> DataFrame:
     return newest.select(*key, "e.*").filter("times_wrong > 0")
 
 
-def final_answers(events: DataFrame, exam: bool = True, delay: str = "1 hour") -> DataFrame:
-    """events (attempt_id, question_id, option, moment, seq): the last answer of an exam, the first of practice."""
-    pick = F.max_by if exam else F.min_by
-    return events.withWatermark("moment", delay).groupBy("attempt_id", "question_id").agg(pick("option", F.struct("moment", "seq")).alias("option"))
+def final_answers(spark: SparkSession, folder: str, exam: bool = True, id_type: str = "int", changes: int = 8) -> KeyedTable:
+    """A table of the last answers of exams, or the first ones of practice, for events (attempt_id, question_id, option, moment, seq) of any age.
+
+    Its write() takes micro-batches; read() gives attempt_id, question_id, option, moment and seq.
+    """
+    schema = f"attempt_id long, question_id {id_type}, option string, moment timestamp, seq long"
+    return KeyedTable(spark, folder, schema, latest_by(["attempt_id", "question_id"], "option", first=not exam), changes)
 
 
 #: How long a closed attempt is remembered, so that late answers open no second one.
 REMEMBERED_MS = 365 * 24 * 3600 * 1000
 
 
-def _close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The state holds an attempt's events (time, seq, kind, minutes) until the watermark passes its end; only then are
-    its start, its end and its answers settled, whatever order the events came in."""
-    events, closed = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], False)
-    if state.hasTimedOut:
-        if closed:
-            state.remove()
+class TimedAttempt(StatefulProcessor):
+    """bounds holds an attempt's first event, the first finish and the timer that is set; answers a list of times that only grows.
+
+    When the watermark passes the end or the finish, start, end and answers are settled, whatever order the events came in;
+    only then is the list read, once.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bounds = handle.getValueState("bounds", "start long, seq long, minutes long, finish long, timer long, closed boolean")
+        self.answers = handle.getListState("answers", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.bounds.get() if self.bounds.exists() else None
+        now = timerValues.getCurrentWatermarkInMs()
+        if known and known[5]:  # nothing changes a closed attempt, but it is remembered for longer
+            self._set((*known[:4], now + REMEMBERED_MS, True), known[4])
             return
-        _, end, finish = _bounds(events)
-        last = end if finish is None else finish
-        answered = sum(kind == "answer" and time <= last for time, _, kind, _ in events)
-        state.update(("[]", True))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + REMEMBERED_MS)
-        yield pd.DataFrame({"attempt_id": [key[0]], "closed_at": [pd.Timestamp(last, unit="us")], "answered": [answered], "reason": ["time" if finish is None else "finish"]})
-        return
-    if closed:
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + REMEMBERED_MS)
+        first, finish = (tuple(known[:3]), known[3]) if known else (None, None)
+        times = []
+        for part in rows:
+            for time, seq, kind, minutes in zip(_micros(part), part["seq"].tolist(), part["kind"].tolist(), part["minutes"].tolist(), strict=True):
+                first = min(first, (time, seq, int(minutes))) if first else (time, seq, int(minutes))
+                if kind == "finish":
+                    finish = time if finish is None else min(finish, time)
+                elif kind == "answer":
+                    times.append(time)
+        end = first[0] + first[2] * 60_000_000
+        if times := [(time,) for time in times if time <= end]:  # an earlier start can only move the end forward
+            self.answers.appendList(times)
+        last = min(end, finish) if finish is not None else end
+        self._set((*first, finish, max(last // 1000, now) + 1, False), known[4] if known else None)
         return
-    for rows in batches:
-        times = rows["moment"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
-        events += [list(e) for e in zip(times, rows["seq"].tolist(), rows["kind"].tolist(), rows["minutes"].tolist(), strict=True)]
-    _, end, finish = _bounds(events)
-    events = [e for e in events if e[0] <= end]  # an earlier start can only move the end forward
-    state.update((json.dumps(events), False))
-    state.setTimeoutTimestamp(max((end if finish is None else finish) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield
 
+    def _set(self, bounds: tuple, timer: int | None) -> None:
+        if bounds[4] != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(bounds[4])
+        self.bounds.update(bounds)
 
-def _bounds(events: list) -> tuple[int, int, int | None]:
-    """Start, end by duration, and the first finish in between (microseconds)."""
-    start, _, _, minutes = min(events)
-    end = start + int(minutes) * 60_000_000
-    return start, end, min((time for time, _, kind, _ in events if kind == "finish" and time <= end), default=None)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        start, seq, minutes, finish, _, closed = self.bounds.get()
+        if closed:
+            self.bounds.clear()
+            return
+        end = start + minutes * 60_000_000
+        by_finish = finish is not None and finish <= end
+        last = finish if by_finish else end
+        answered = sum(at <= last for (at,) in self.answers.get())
+        self.answers.clear()
+        self._set((start, seq, minutes, finish, timerValues.getCurrentWatermarkInMs() + REMEMBERED_MS, True), None)
+        yield pd.DataFrame({"attempt_id": [key[0]], "closed_at": [pd.Timestamp(last, unit="us")], "answered": [answered], "reason": ["finish" if by_finish else "time"]}).astype({"closed_at": "datetime64[ns]"})
+
+    def close(self) -> None:
+        pass
 
 
 def closed_attempts(events: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """events (attempt_id, moment, seq, kind, minutes): each attempt once, as the watermark passes its end or its finish."""
+    """events (attempt_id, moment, seq, kind, minutes): each attempt once, as the watermark passes its end or its finish.
+
+    kind is answer, finish or anything else (which only counts as the attempt's start). Start it inside of rocks().
+    """
     schema = "attempt_id long, closed_at timestamp, answered long, reason string"
-    return events.withWatermark("moment", delay).groupBy("attempt_id").applyInPandasWithState(_close, schema, "events string, closed boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return events.withWatermark("moment", delay).groupBy("attempt_id").transformWithStateInPandas(TimedAttempt(), schema, "append", "EventTime")

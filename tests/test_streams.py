@@ -22,6 +22,11 @@ def in_slices(rows, count, late, r):
     return [arrived[i : i + size] for i in range(0, len(arrived), size)]
 
 
+def run_closed(closed, folder):
+    with state.rocks(closed.sparkSession):
+        closed.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
 def test_late_answers_give_the_batch_ledger(spark):
     r = random.Random(3)
     answers = [(r.randint(1, 5), r.choice("ab"), f"q{r.randint(1, 6)}", t, i, r.random() < 0.4) for i, t in enumerate(r.randint(0, 4000) for _ in range(400))]
@@ -48,7 +53,7 @@ def test_late_events_settle_attempts(spark):
     parts = in_slices([(*e, e[1]) for e in events], 5, 90, r)
     for part in [*([p[:-1] for p in part] for part in parts), [(-1, 10**6, -1, "answer", 1)]]:
         frame(spark, part, EVENTS).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        closed.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        run_closed(closed, folder)
     found = spark.read.schema("attempt_id long, closed_at timestamp, answered long, reason string").parquet(f"{folder}/out").filter("attempt_id >= 0")
     wanted = []
     for attempt in range(12):
@@ -58,3 +63,69 @@ def test_late_events_settle_attempts(spark):
         last = end if finish is None else finish
         wanted.append((attempt, last * 60, sum(e[3] == "answer" and e[1] <= last for e in own), "time" if finish is None else "finish"))
     assert rows_of(found.selectExpr("attempt_id", "unix_seconds(closed_at)", "answered", "reason")) == sorted(wanted, key=repr)
+
+
+def held(spark, checkpoint, variable):
+    return spark.read.format("statestore").option("stateVarName", variable).load(checkpoint).count()
+
+
+def test_the_ledger_holds_open_entries_only(spark):
+    """Closed entries leave the state when the watermark has passed their correct answer; open ones keep numbers, not places."""
+    rows = [(i % 40, "a", f"q{j}", i, 10 * i + j, (i + j) % 3 > 0) for i in range(240) for j in range(3)]
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    frame(spark, [], ANSWERS).write.parquet(f"{folder}/in")
+    updates = state.ledger_updates(state.read_folder(spark, f"{folder}/in", ANSWERS, 1000), "10 minutes", slots=1)
+    far = (99, "a", "q", 10**6, 10**6, False)
+    for part in (rows[:360], rows[360:], [far]):
+        frame(spark, part, ANSWERS).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        state.keep_latest(updates, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    wanted = scoring.mistakes_ledger(frame(spark, [*rows, far], ANSWERS))
+    columns = ["learner", "subject", "question_id", "last_answered_at", "times_wrong"]
+    assert rows_of(state.open_mistakes(spark, f"{folder}/out"), *columns) == rows_of(wanted, *columns)
+    assert held(spark, f"{folder}/checkpoint", "entries") == wanted.count() < 120
+    places = spark.read.format("statestore").option("stateVarName", "entries").load(f"{folder}/checkpoint").selectExpr("sum(size(user_map_value.open)) AS n").first().n
+    assert places == 1  # of the last answer alone; all others are settled
+
+
+def test_long_attempts_append_and_are_read_once(spark):
+    """An attempt of very many events over several batches is counted at its end; what was held then goes."""
+    n = 40_000
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    frame(spark, [], EVENTS).write.parquet(f"{folder}/in")
+    closed = state.closed_attempts(state.read_folder(spark, f"{folder}/in", EVENTS, 1000), "1 minute")
+    for k in range(4):
+        own = spark.range(k * n // 4, (k + 1) * n // 4).selectExpr("7L AS attempt_id", "timestamp_micros((id + 1) * 1000) AS moment", "id AS seq", "'answer' AS kind", "60 AS minutes")
+        own.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        run_closed(closed, folder)
+        assert held_list(spark, folder) == (k + 1) * n // 4
+    frame(spark, [(-1, 10**6, -1, "answer", 1)], EVENTS).write.mode("append").parquet(f"{folder}/in")
+    run_closed(closed, folder)
+    found = spark.read.schema("attempt_id long, closed_at timestamp, answered long, reason string").parquet(f"{folder}/out").filter("attempt_id >= 0")
+    assert rows_of(found.selectExpr("attempt_id", "unix_seconds(closed_at)", "answered", "reason")) == [(7, 3600, n, "time")]
+    assert held_list(spark, folder) == 1  # the event that moved the watermark
+
+
+def held_list(spark, folder):
+    return spark.read.format("statestore").option("stateVarName", "answers").load(f"{folder}/checkpoint").count()
+
+
+def test_final_answers_of_any_age(spark):
+    """Batches out of order, a batch that is replayed, and changes combined to a base give the batch form for exams and practice."""
+    r = random.Random(8)
+    schema = "attempt_id long, question_id int, option string, moment timestamp, seq long"
+    events = [(r.randint(1, 9), r.randint(1, 12), r.choice("abcd"), r.randint(0, 10**6), i) for i in range(600)]
+    rows = lambda part: spark.createDataFrame(part, schema.replace("moment timestamp", "at long")).selectExpr("attempt_id", "question_id", "option", "timestamp_micros(at) AS moment", "seq")
+    for exam in (True, False):
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        table = state.final_answers(spark, folder, exam, changes=3)
+        for number in range(9):
+            table.write(rows(events[number::9]), number)
+            if number % 4 == 0:
+                table.write(rows(events[:50]), number)  # taken already, as after a failure
+        wanted = rows_of(scoring.last_answers(rows(events), exam), "attempt_id", "question_id", "option")
+        assert rows_of(table.read(), "attempt_id", "question_id", "option") == wanted
+        parts = table.log.latest()[1]["parts"]
+        assert len(parts) <= 4 and parts[0].startswith("base-")
+        table.clean()
+        assert rows_of(table.read(), "attempt_id", "question_id", "option") == wanted
+        assert spark.read.schema(schema).parquet(*(f"{folder}/{p}" for p in parts)).count() < 4 * len(wanted)
