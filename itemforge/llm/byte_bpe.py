@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -87,11 +88,16 @@ class Vocabulary:
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.pattern = pattern
+        self.pattern, self.plain = pattern, plain_pattern(pattern)
         self.tokens = list(ranks)
         self.ids = [ranks[t] for t in self.tokens]
         self.rank = ranks
-        self.bytes_of = {i: t for t, i in ranks.items()}
+        places = np.full(max(self.ids, default=-1) + 2, -1, np.int64)  # the last one is of ids that are too large
+        places[self.ids] = np.arange(len(self.tokens))
+        self.place_of_id = places
+        self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.token_bytes = np.array([len(t) for t in self.tokens], np.int32)
+        self.token_begin = np.cumsum(self.token_bytes, dtype=np.int32) - self.token_bytes
         self.longest = max(map(len, self.tokens), default=0)
         self.hash = PerfectHash(self.tokens)
         self.forget()
@@ -122,19 +128,35 @@ class Vocabulary:
         begin = np.cumsum(count) - count
         return np.array(self.flat, np.int32)[np.repeat((np.cumsum(each) - each)[places] - begin, count) + np.arange(int(count.sum()))], count
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The bytes of texts whose ids stand one after the other, so many of each."""
+        places = self.place_of_id[np.clip(ids, -1, len(self.place_of_id) - 1)]
+        if len(places) and places.min() < 0:
+            raise KeyError("the vocabulary lacks an id")
+        count = self.token_bytes[places]
+        ends = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+        shift = self.token_begin[places] - ends[:-1]
+        kept = np.int32 if ends[-1] < 1 << 31 else np.int64
+        data = self.blob[np.repeat(shift.astype(kept), count) + np.arange(ends[-1], dtype=kept)].tobytes()
+        edges = ends[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        return [data[a:b] for a, b in zip(edges, edges[1:])]  # noqa: B905
 
 
 def merge(word: bytes, rank: dict[bytes, int], longest: int) -> list[int]:
-    """Ids of a word by merging its bytes: always the neighbours of the lowest joint rank, the leftmost of equals."""
+    """Ids of a word by merging its bytes: always the neighbours of the lowest joint rank, the leftmost of equals.
+
+    An entry of the agenda is rank, begin and end in one number.
+    """
     n, joint = len(word), rank.get
+    bits = n.bit_length()
+    low = (1 << bits) - 1
     stop = list(range(1, n + 1))  # where the token that starts here ends; 0 if none starts here
     before = list(range(-1, n))  # where the token in front of this one starts
-    agenda = [(r, i, i + 2) for i in range(n - 1) if (r := joint(word[i : i + 2])) is not None]
+    agenda = [(r << bits | i) << bits | i + 2 for i in range(n - 1) if (r := joint(word[i : i + 2])) is not None]
     heapify(agenda)
     while agenda:
-        _, i, end = heappop(agenda)
+        entry = heappop(agenda)
+        i, end = entry >> bits & low, entry & low
         middle = stop[i]
         if not middle or middle >= n or stop[middle] != end:
             continue  # one of the two has been merged meanwhile
@@ -142,11 +164,11 @@ def merge(word: bytes, rank: dict[bytes, int], longest: int) -> list[int]:
         if end < n:
             before[end], after = i, stop[end]
             if after - i <= longest and (r := joint(word[i:after])) is not None:
-                heappush(agenda, (r, i, after))
+                heappush(agenda, (r << bits | i) << bits | after)
         if i:
             first = before[i]
             if end - first <= longest and (r := joint(word[first:end])) is not None:
-                heappush(agenda, (r, first, end))
+                heappush(agenda, (r << bits | first) << bits | end)
     ids, i = [], 0
     while i < n:
         ids.append(rank[word[i : stop[i]]])
@@ -154,6 +176,19 @@ def merge(word: bytes, rank: dict[bytes, int], longest: int) -> list[int]:
     return ids
 
 
+def plain_pattern(pattern: str) -> str:
+    """The pattern for the standard re module and texts of the basic plane: letters, digits and white space as ranges of code points."""
+    every = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+    code = lambda c: f"\\u{ord(c):04x}"
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        ranges = "".join(f"{code(m[0][0])}-{code(m[0][-1])}" for m in regex.finditer(f"{name}+", every))
+        parts = re.split(r"(\[\^?[^]]*\])", pattern)  # sets and what is between them
+        pattern = "".join(part.replace(name, ranges) if k % 2 else part.replace(name, f"[{ranges}]") for k, part in enumerate(parts))
+        if name == r"\s":
+            pattern = pattern.replace(r"\S", f"[^{ranges}]")
+    return pattern
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Lines of base64 token and rank. Every single byte must be a token, so that any text can be encoded."""
     with open(path, "rb") as file:
@@ -168,7 +203,11 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(read_ranks(path), pattern)
 
 
-def _words(text: str, pattern: regex.Pattern) -> Iterator[list[str]]:
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _words(text: str, plain: re.Pattern, full: regex.Pattern) -> Iterator[list[str]]:
+    pattern = full if _BEYOND.search(text) else plain
     if len(text) <= SLICE_CHARS:
         yield pattern.findall(text)
         return
@@ -179,7 +218,7 @@ def _words(text: str, pattern: regex.Pattern) -> Iterator[list[str]]:
 
 def encode_texts(texts: list[str], words_of: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, and how many each has."""
-    pattern = regex.compile(words_of.pattern)
+    plain, full = re.compile(words_of.plain), regex.compile(words_of.pattern)
     out, sizes = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
     words: list[str] = []
     owners: list[tuple[int, int]] = []
@@ -196,7 +235,7 @@ def encode_texts(texts: list[str], words_of: Vocabulary) -> tuple[np.ndarray, np
         owners.clear()
 
     for t, text in enumerate(texts):
-        for block in _words(text, pattern):
+        for block in _words(text, plain, full):
             words += block
             owners.append((t, len(block)))
             if len(words) >= WORDS_AT_ONCE:
@@ -227,8 +266,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
                 places = np.concatenate([[0], np.cumsum(sizes)])
                 columns = [batch.column(0).slice(start, end - start), pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(ids, pa.int32()))]
                 if decoded:
-                    every = ids.tolist()
-                    columns.append(pa.array([words_of.decode(every[a:b]) for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)], pa.binary()))
+                    columns.append(pa.array(words_of.decode(ids, sizes), pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     picked = docs.select(F.col(id_column), F.col(text_column))
@@ -245,8 +283,10 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_column: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [None if ids is None else sent.value.decode(ids) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=[id_column, "decoded"])
+            lists = batch.column(1)
+            sizes = np.array([len(v) if v.is_valid else 0 for v in lists], np.int64)
+            found = sent.value.decode(lists.flatten().to_numpy(zero_copy_only=False), sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d if v.is_valid else None for d, v in zip(found, lists, strict=True)], pa.binary())], names=[id_column, "decoded"])
 
     picked = encoded.select(F.col(id_column), F.col("ids"))
     return picked.mapInArrow(run, f"`{id_column}` {picked.schema[0].dataType.simpleString()}, decoded binary")

@@ -5,6 +5,7 @@ import random
 import sys
 import unicodedata
 
+import numpy as np
 import public_tokenizers as public
 import pytest
 import tiktoken
@@ -62,7 +63,11 @@ def test_random_texts_equal_the_library(library, words_of, monkeypatch):
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 120))) for _ in range(400)]
     found = ids_of(texts, words_of)
     assert found == [library.encode_ordinary(t) for t in texts]
-    assert [words_of.decode(ids).decode() for ids in found] == texts
+    flat, sizes = byte_bpe.encode_texts(texts, words_of)
+    assert [d.decode() for d in words_of.decode(flat, sizes)] == texts
+    for wrong in (-1, 10**6):
+        with pytest.raises(KeyError):
+            words_of.decode(np.array([wrong]), np.array([1]))
 
 
 def test_long_words_take_time_in_proportion(library, words_of):
