@@ -15,35 +15,54 @@ from itemforge.sources.scratch import cut
 REASONS = ("not_reviewed_or_blocked", "invalid_structure", "duplicate_id", "duplicate_question_text", "near_duplicate_question_text")
 
 
-def greedy_accept(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, accepted): the lexicographically first independent set of nodes (id) under edges (low, high).
-
-    Equal to walking the ids upwards and accepting each that no accepted one blocks. A round rejects what has an
-    accepted smaller neighbour and accepts what has no undecided one; only its states are written. A chain of n rows
-    that each block the next takes n rounds.
-    """
-    edges = cut(edges.select("low", "high").distinct(), "edges")
-    blocked = edges.select(F.col("high").alias("id")).distinct().withColumn("accepted", F.lit(None).cast("boolean"))
-    states = cut(nodes.select("id").distinct().join(blocked.select("id"), "id", "left_anti").withColumn("accepted", F.lit(True)).unionByName(blocked), "states")
-    while states.filter("accepted IS NULL").limit(1).count():
-        open_ids = states.filter("accepted IS NULL").select(F.col("id").alias("high"))
-        before = edges.join(open_ids, "high", "left_semi").join(states.select(F.col("id").alias("low"), "accepted"), "low")
-        seen = before.groupBy(F.col("high").alias("id")).agg(F.coalesce(F.bool_or("accepted"), F.lit(False)).alias("taken"), F.bool_or(F.col("accepted").isNull()).alias("waits"))
-        now = F.when(F.col("taken"), False).when(~F.col("waits"), True)
-        states = cut(states.join(seen, "id", "left").select("id", F.coalesce("accepted", now).alias("accepted")), "states")
-    return states
-
-
-def _claims(rows: DataFrame, key: str) -> DataFrame:
-    """Edges (low, high) between the rows of a key, the earlier row first.
-
-    Within a key every accepted row blocks all later ones, and any earlier row may turn out to be the accepted one, so
-    each pair is an edge. Callers pass one row for each (subject, id, normal text): what meets here are different texts
-    that claim one id, or one text under different ids. A key with n such claims gives n * (n - 1) / 2 edges.
+def greedy_accept(nodes: DataFrame, claims: DataFrame) -> DataFrame:
+    """(id, accepted): walking the ids upwards and accepting each that shares no key with an accepted one.
+
+    nodes (id), claims (key, id): a key is anything that only one accepted row may hold; an edge is a key of two rows.
+    A round finds, by key, the first accepted row and the first two undecided ones. A row behind an accepted one is rejected,
+    one without undecided rows before it is accepted, and one with a single undecided row before it has the opposite fate of
+    that row, whatever it is: its pointer. Pointers are doubled until they end at rows without one, so that a chain of n rows takes
+    about log2(n) steps; a key of n rows costs n rows a round, not their pairs.
     """
-    claims = rows.groupBy(key).agg(F.count("*").alias("held")).filter("held > 1")
-    shared = rows.join(claims.select(key), key)
-    return shared.select(F.col("id").alias("low"), key).join(shared.select(F.col("id").alias("high"), key), key).filter("low < high").select("low", "high")
+    ids = nodes.select("id").distinct()
+    open_claims = cut(claims.select("key", "id").distinct(), "claims")
+    shared = open_claims.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1").select("key")
+    open_claims = cut(open_claims.join(shared, "key"), "claims")
+    free = ids.join(open_claims.select("id").distinct(), "id", "left_anti").withColumn("accepted", F.lit(True))
+    decided = [free]
+    taken = open_claims.select("key").limit(0)  # keys that an accepted row holds
+    while open_claims.limit(1).count():
+        first = open_claims.groupBy("key").agg(F.min("id").alias("first"))
+        marked = open_claims.join(first, "key").join(taken.withColumn("is_taken", F.lit(True)), "key", "left")
+        second = marked.filter("id > first").groupBy("key").agg(F.min("id").alias("second"))
+        marked = marked.join(second, "key", "left")
+        before = F.when(F.col("id") == F.col("first"), 0).when(F.col("id") == F.col("second"), 1).otherwise(2)
+        seen = marked.groupBy("id").agg(F.bool_or(F.coalesce("is_taken", F.lit(False))).alias("blocked"), F.max(before).alias("most"), F.min(F.when(before == 1, F.col("first"))).alias("low"), F.max(F.when(before == 1, F.col("first"))).alias("high"))
+        state = F.when(F.col("blocked"), False).when(F.col("most") == 0, True)
+        only = F.when(state.isNull() & (F.col("most") == 1) & (F.col("low") == F.col("high")), F.col("low"))
+        seen = cut(seen.select("id", state.alias("accepted"), only.alias("target")), "seen")
+        states = _followed(seen)
+        settled = cut(states.filter("accepted IS NOT NULL"), "settled")
+        decided.append(settled)
+        taken = cut(open_claims.join(settled.filter("accepted").select("id"), "id", "left_semi").select("key").unionByName(taken).distinct(), "taken")
+        open_claims = cut(open_claims.join(settled.select("id"), "id", "left_anti"), "claims")
+    out = decided[0]
+    for part in decided[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _followed(seen: DataFrame) -> DataFrame:
+    """(id, accepted) of rows (id, accepted, target): what points to a decided row, also over others, has a state by its distance."""
+    rows = seen.select("id", "accepted", "target", F.lit(True).alias("opposite"))
+    while rows.filter("target IS NOT NULL").limit(1).count():
+        ahead = rows.select(F.col("id").alias("target"), F.col("accepted").alias("fate"), F.col("target").alias("next"), F.col("opposite").alias("turned"))
+        step = rows.join(ahead, "target", "left")
+        state = F.coalesce("accepted", F.when(F.col("fate").isNotNull(), F.col("fate") != F.col("opposite")))
+        follow = F.when(state.isNull(), F.col("next"))
+        # over two opposites fates are equal again; what ends at a row that waits for others waits, too
+        rows = cut(step.select("id", state.alias("accepted"), follow.alias("target"), F.when(follow.isNotNull(), F.col("opposite") != F.col("turned")).otherwise(F.col("opposite")).alias("opposite")), "pointers")
+    return rows.select("id", "accepted")
 
 
 def merge_decisions(staged: DataFrame, bank: DataFrame, near: bool = True) -> DataFrame:
@@ -62,19 +81,18 @@ def merge_decisions(staged: DataFrame, bank: DataFrame, near: bool = True) -> Da
     first = open_rows.groupBy("subject", "question_id", "form").agg(F.min("id").alias("lead"))
     led = open_rows.join(first, ["subject", "question_id", "form"])
     leads = led.filter("id = lead")
-    by_id = _claims(leads.select("id", "question_id"), "question_id").withColumn("why", F.lit(0))
-    by_text = _claims(leads.select("id", F.concat_ws("|", "subject", "form").alias("text_key")), "text_key").withColumn("why", F.lit(1))
-    edges = by_id.unionByName(by_text)
+    claims = leads.select(F.concat(F.lit("i|"), "question_id").alias("key"), "id", F.lit(0).alias("why"))
+    claims = claims.unionByName(leads.select(F.concat_ws("|", F.lit("t"), "subject", "form").alias("key"), "id", F.lit(1).alias("why")))
     if near:
-        pairs = similar_pairs(leads.select("id", "subject", "text")).select(F.col("left_id").alias("x"), F.col("right_id").alias("y"))
-        # a pair stands for its forms: every lead of the one form against every lead of the other
-        forms = leads.select("id", "subject", "form")
-        of = lambda side, rep, name: pairs.select(rep).distinct().join(forms.withColumnRenamed("id", rep), rep).join(forms.withColumnRenamed("id", name), ["subject", "form"]).select(rep, name)
-        wide = pairs.join(of("x", "x", "p"), "x").join(of("y", "y", "q"), "y").select(F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"))
-        edges = edges.unionByName(wide.withColumn("why", F.lit(2)))
-    edges = cut(edges.groupBy("low", "high").agg(F.min("why").alias("why")))
-    decided = greedy_accept(leads, edges)
-    why = edges.join(decided.filter("accepted").select(F.col("id").alias("low")), "low", "left_semi").groupBy(F.col("high").alias("id")).agg(F.min("why").alias("why"))
+        pairs = similar_pairs(leads.select("id", "subject", "text")).select(F.concat_ws("|", F.lit("n"), "left_id", "right_id").alias("key"), F.explode(F.array("left_id", "right_id")).alias("rep"))
+        # a pair stands for its forms; leads of one form share their text's key as well
+        forms = leads.select(F.col("id").alias("rep"), "subject", "form")
+        near_claims = pairs.join(forms, "rep").join(leads.select("id", "subject", "form"), ["subject", "form"]).select("key", "id", F.lit(2).alias("why"))
+        claims = claims.unionByName(near_claims)
+    claims = cut(claims, "why")
+    decided = cut(greedy_accept(leads, claims), "decided")
+    holders = claims.join(decided.filter("accepted").select("id"), "id", "left_semi").groupBy("key").agg(F.min("id").alias("holder"))
+    why = claims.join(holders, "key").filter("id > holder").groupBy("id").agg(F.min("why").alias("why"))
     late = decided.join(why, "id", "left").select(F.col("id").alias("lead"), "accepted", "why")
     followed = led.select("id", "lead").join(late, "lead")
     reason = F.when(F.col("id") == F.col("lead"), F.when(~F.col("accepted"), F.element_at(F.array(*map(F.lit, REASONS[2:])), F.col("why") + 1)))

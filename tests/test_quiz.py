@@ -4,7 +4,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from itemforge.operators import filters, grouping, merge, quiz, scoring
+from itemforge.sources import scratch
 from tests.conftest import rows_of
 
 QUESTIONS = ["eng-1", "eng-2", "eng-3", "eng-standalone", "m-1", "m-2", "m-3", "m-4"]
@@ -93,10 +96,34 @@ def test_greedy_acceptance_equals_the_sequential_walk(spark):
             wanted[base + i] = not any(wanted[base + a] for a, b in own if b == i)
         edges += [(base + a, base + b) for a, b in own]
         base += n
-    found = merge.greedy_accept(spark.range(base), spark.createDataFrame(edges, "low long, high long"))
+    claims = [(f"{a}-{b}", i) for a, b in edges for i in (a, b)]
+    found = merge.greedy_accept(spark.range(base), spark.createDataFrame(claims, "key string, id long"))
+    assert {r.id: r.accepted for r in found.collect()} == wanted and found.count() == base
+
+
+def test_greedy_acceptance_of_shared_keys_equals_the_sequential_walk(spark):
+    r = random.Random(6)
+    claims = {(f"{part}:{r.randint(0, 7)}", 20 * part + i) for part in range(30) for i in range(20) for _ in range(r.randint(0, 3))}
+    held, wanted = set(), {}
+    for i in range(600):
+        own = {k for k, j in claims if j == i}
+        wanted[i] = not own & held
+        held |= own if wanted[i] else set()
+    found = merge.greedy_accept(spark.range(600), spark.createDataFrame(sorted(claims), "key string, id long"))
     assert {r.id: r.accepted for r in found.collect()} == wanted
 
 
+def test_long_chains_take_few_rounds_and_crowds_no_pairs(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(merge, "cut", lambda df, name="cut": written.append(name) or scratch.cut(df, name))
+    n = 10_000
+    chain = spark.range(n - 1).selectExpr("concat('c', id) AS key", "explode(array(id, id + 1)) AS id")
+    crowd = spark.range(n, n + 100_000).selectExpr("'one' AS key", "id")
+    found = merge.greedy_accept(spark.range(n + 100_000), chain.unionByName(crowd))
+    assert found.filter("accepted").agg(F.count("*"), F.sum("id")).first()[:] == (n // 2 + 1, sum(range(0, n, 2)) + n)
+    assert written.count("pointers") <= 20 and written.count("seen") <= 3
+
+
 def test_a_row_rejected_by_id_leaves_its_text_free(spark):
     text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
     staged = spark.createDataFrame([(1, "s", "known", text, True, True), (2, "s", "fresh", text, True, True), (3, "s", "late", text, True, True)], "id long, subject string, question_id string, text string, candidate boolean, valid boolean")
