@@ -5,6 +5,8 @@ rows carry id, subject and text, and where they come in batches an order by id.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,29 +66,45 @@ def _forms(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     return keyed.select("id", "subject", "form"), forms
 
 
+#: Tokens that come last in the order of all tokens, the most frequent one at the end.
+FREQUENT = 1000
+
+
+def _prefixes(forms: DataFrame, frequent: list[int], threshold: float, width: float) -> DataFrame:
+    """The first tokens of each form in the order of all tokens: those two similar sets share one of them, with its place."""
+    common = F.array(*map(F.lit, frequent)).cast("array<bigint>")
+    order = F.concat(F.array_sort(F.array_except("tokens", common)), F.array_intersect(common, F.col("tokens")))
+    n = F.size("tokens")
+    kept = (n - F.ceil(threshold * n - 1e-9) + 1).cast("int")
+    rows = forms.filter(n > 0).select("subject", "form", "chars", n.alias("n"), F.floor(F.ln(n.cast("double")) / width).cast("int").alias("class"), F.slice(order, F.lit(1), kept).alias("prefix"))
+    return rows.select("subject", "form", "chars", "n", "class", F.posexplode("prefix").alias("place", "token"))
+
+
 def similar_forms(left: DataFrame, right: DataFrame, threshold: float, ratio: float) -> DataFrame:
     """(subject, left_form, right_form, similarity) of different forms whose token sets reach the threshold.
 
-    Exact, by prefix filtering: tokens are ranked by how rare they are, and two sets that similar share one of the
-    first n - ceil(threshold * n) + 1 of that order. A token that many texts hold comes late, so it is in few prefixes.
+    Exact, by prefix filtering: in an order of all tokens that puts frequent ones last, two sets that similar share one of
+    the first n - ceil(threshold * n) + 1 of each. Any order will do, so only the most frequent tokens are counted out (a
+    bounded list) and no token is joined with its frequency. Lists of a token are split by classes of set size, whose width is the
+    threshold's; and a token that two sets share first leaves min(n - place) tokens at most to share, which must
+    reach what the threshold asks for. Of one table with itself each pair comes once, the smaller set on the left.
     """
-    every = left if left is right else left.unionByName(right).distinct()
-    every = cut(every, "forms")  # read four times
-    frequency = every.select("subject", F.explode("tokens").alias("token")).groupBy("subject", "token").agg(F.count("*").alias("held"))
-    ranked = (
-        every.select("subject", "form", "chars", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-        .join(frequency, ["subject", "token"])
-        .groupBy("subject", "form", "chars", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("order"))
-    )
-    kept = (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = cut(ranked.select("subject", "form", "chars", "n", F.explode(F.slice("order", F.lit(1), kept)["token"]).alias("token")), "prefixes")
-    one_side = lambda forms: prefix if left is right else prefix.join(forms.select("subject", "form"), ["subject", "form"], "left_semi")
-    of = lambda side, forms: one_side(forms).select("subject", "token", *(F.col(c).alias(f"{side}_{c}") for c in ("form", "chars", "n")))
-    # similar sets have sizes within the threshold of each other, and texts lengths within the ratio
-    near = (F.col("left_form") != F.col("right_form")) & (F.least("left_chars", "right_chars") >= ratio * F.greatest("left_chars", "right_chars")) & (F.least("left_n", "right_n") >= (threshold - 1e-9) * F.greatest("left_n", "right_n"))
-    candidates = of("left", left).join(of("right", right), ["subject", "token"]).filter(near).select("subject", "left_form", "right_form").distinct()
-    sets = lambda side, forms: every.select("subject", F.col("form").alias(f"{side}_form"), F.col("tokens").alias(f"{side}_tokens"))
+    same = left is right
+    left = cut(left, "forms")
+    right = left if same else cut(right, "forms")
+    both = left if same else left.unionByName(right)
+    counted = both.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count > 1").orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
+    frequent, width = [r.token for r in reversed(counted)], 1e-9 - 1.000001 * math.log(threshold)
+    of = lambda side, forms: _prefixes(forms, frequent, threshold, width).withColumnsRenamed({c: f"{side}_{c}" for c in ("form", "chars", "n", "place")})
+    near_classes = F.array(*(F.col("class") + F.lit(k) for k in ((0, 1) if same else (-1, 0, 1))))
+    lists = of("left", left).withColumn("class", F.explode(near_classes))
+    fits = (F.col("left_form") != F.col("right_form")) & (F.least("left_chars", "right_chars") >= ratio * F.greatest("left_chars", "right_chars")) & (F.least("left_n", "right_n") >= (threshold - 1e-9) * F.greatest("left_n", "right_n"))
+    # as many tokens must be shared as threshold / (1 + threshold) of both sets together
+    fits &= F.least(F.col("left_n") - F.col("left_place"), F.col("right_n") - F.col("right_place")) >= threshold / (1 + threshold) * (F.col("left_n") + F.col("right_n")) - 1e-6
+    if same:
+        fits &= F.struct("left_n", "left_form") < F.struct("right_n", "right_form")
+    candidates = lists.join(of("right", right), ["subject", "class", "token"]).filter(fits).select("subject", "left_form", "right_form").distinct()
+    sets = lambda side, forms: forms.select("subject", F.col("form").alias(f"{side}_form"), F.col("tokens").alias(f"{side}_tokens"))
     checked = candidates.join(sets("left", left), ["subject", "left_form"]).join(sets("right", right), ["subject", "right_form"])
     return checked.withColumn("similarity", jaccard(F.col("left_tokens"), F.col("right_tokens"))).filter(F.col("similarity") >= threshold).select("subject", "left_form", "right_form", "similarity")
 
@@ -97,7 +115,8 @@ def similar_pairs(rows: DataFrame, threshold: float = SIMILARITY, least: int = L
     first = keyed.groupBy("subject", "form").agg(F.min("id").alias("id"))
     name = lambda side: first.select("subject", F.col("form").alias(f"{side}_form"), F.col("id").alias(f"{side}_id"))
     pairs = similar_forms(forms, forms, threshold, ratio)
-    return pairs.join(name("left"), ["subject", "left_form"]).join(name("right"), ["subject", "right_form"]).filter("left_id < right_id").select("left_id", "right_id", F.round("similarity", 9).alias("similarity"))
+    named = pairs.join(name("left"), ["subject", "left_form"]).join(name("right"), ["subject", "right_form"])
+    return named.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), F.round("similarity", 9).alias("similarity"))
 
 
 def match_near(rows: DataFrame, bank: DataFrame, threshold: float = SIMILARITY, least: int = LEAST_CHARS, ratio: float = LENGTH_RATIO) -> DataFrame:
