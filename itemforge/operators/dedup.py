@@ -66,13 +66,13 @@ def _forms(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     return keyed.select("id", "subject", "form"), forms
 
 
-#: Tokens that come last in the order of all tokens, the most frequent one at the end.
-FREQUENT = 1000
+#: Tokens that come last in the order of all tokens, the most frequent one at the end, and the forms in which they are counted.
+FREQUENT, ORDER_SAMPLE = 1000, 2000
 
 
 def _prefixes(forms: DataFrame, frequent: list[int], threshold: float, width: float) -> DataFrame:
     """The first tokens of each form in the order of all tokens: those two similar sets share one of them, with its place."""
-    common = F.array(*map(F.lit, frequent)).cast("array<bigint>")
+    common = (F.split(F.lit(",".join(map(str, frequent))), ",") if frequent else F.array()).cast("array<bigint>")  # one constant
     order = F.concat(F.array_sort(F.array_except("tokens", common)), F.array_intersect(common, F.col("tokens")))
     n = F.size("tokens")
     kept = (n - F.ceil(threshold * n - 1e-9) + 1).cast("int")
@@ -84,8 +84,8 @@ def similar_forms(left: DataFrame, right: DataFrame, threshold: float, ratio: fl
     """(subject, left_form, right_form, similarity) of different forms whose token sets reach the threshold.
 
     Exact, by prefix filtering: in an order of all tokens that puts frequent ones last, two sets that similar share one of
-    the first n - ceil(threshold * n) + 1 of each. Any order will do, so only the most frequent tokens are counted out (a
-    bounded list) and no token is joined with its frequency. Lists of a token are split by classes of set size, whose width is the
+    the first n - ceil(threshold * n) + 1 of each. Any order gives the same pairs, so the frequent tokens are
+    those of a bounded sample of forms, and no token is joined with its frequency. Lists of a token are split by classes of set size, whose width is the
     threshold's; and a token that two sets share first leaves min(n - place) tokens at most to share, which must
     reach what the threshold asks for. Of one table with itself each pair comes once, the smaller set on the left.
     """
@@ -93,7 +93,8 @@ def similar_forms(left: DataFrame, right: DataFrame, threshold: float, ratio: fl
     left = cut(left, "forms")
     right = left if same else cut(right, "forms")
     both = left if same else left.unionByName(right)
-    counted = both.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count > 1").orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
+    sample = both.select("form", "tokens").orderBy("form").limit(ORDER_SAMPLE)  # forms are digests
+    counted = sample.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count > 1").orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
     frequent, width = [r.token for r in reversed(counted)], 1e-9 - 1.000001 * math.log(threshold)
     of = lambda side, forms: _prefixes(forms, frequent, threshold, width).withColumnsRenamed({c: f"{side}_{c}" for c in ("form", "chars", "n", "place")})
     near_classes = F.array(*(F.col("class") + F.lit(k) for k in ((0, 1) if same else (-1, 0, 1))))
