@@ -572,6 +572,16 @@ def test_fused_posterior_equals_brute_force(spark):
         assert found[i].language == names[int(posterior.argmax())] and abs(found[i].probability - posterior.max()) < 1e-6
 
 
+def test_blocks_of_languages_equal_one_table(spark, monkeypatch):
+    docs = common.table(spark, SF, "documents")
+    whole = rows_of(language.identify(docs, "doc_id", "lang", "source"), "doc_id", "language", "probability", "text_language")
+    monkeypatch.setattr(language, "BLOCK", 1)
+    monkeypatch.setattr(language, "HELD_CELLS", 4)
+    found = rows_of(language.identify(docs, "doc_id", "lang", "source"), "doc_id", "language", "probability", "text_language")
+    assert [(i, a, t) for i, a, _, t in found] == [(i, a, t) for i, a, _, t in whole]
+    assert all(abs(p - q) < 1e-8 for (_, _, p, _), (_, _, q, _) in zip(found, whole, strict=True))
+
+
 def test_rare_long_and_many_languages_are_candidates(spark):
     english = spark.range(6000).selectExpr("id AS doc_id", "concat('the house and the garden of number ', id) AS text", "'en' AS lang")
     rare = [(10_000 + i, f"talossa on kissa ja järvellä vene {'yksi kaksi kolme neljä viisi kuusi'.split()[i]}", "fi") for i in range(5)]
