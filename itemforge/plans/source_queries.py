@@ -82,6 +82,22 @@ def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(none)
 
 
+@query("""WITH e AS (SELECT event_id % 5 + 1 AS chunk, event_id % 7 = 0 AS broken FROM events WHERE event_id % 5 <> 2)
+SELECT 'chunks' AS source, i.chunk, count(e.chunk) AS lines, count(*) FILTER (broken) AS errors, count(e.chunk) = 0 AS missing FROM range(1, 7) i(chunk) LEFT JOIN e ON e.chunk = i.chunk GROUP BY i.chunk
+UNION ALL SELECT 'legacy', 0, count(*), count(*) FILTER (event_id % 7 = 0), false FROM events WHERE event_id % 3 = 0""")
+def chunk_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as output lines in chunks, one of which has no file and one is not there at all; every seventh line is broken. The same of one old file."""
+    folder, k = _folder(spark, "outputs"), F.col("event_id")
+    line = F.when(k % 7 == 0, F.concat(F.lit('{"custom_id": '), k.cast("string"))).otherwise(F.to_json(F.struct(k.cast("string").alias("custom_id"))))
+    lines = roles.read(spark, sf_dir, "events").select((k % 5 + 1).alias("chunk"), k, line.alias("value"))
+    lines.filter("chunk <> 3").select("chunk", "value").write.partitionBy("chunk").text(f"{folder}/chunks")
+    lines.filter("event_id % 3 = 0").select("value").write.text(f"{folder}/old")
+    index = spark.range(1, 7).withColumnRenamed("id", "chunk")
+    new = banks.chunk_report(index, banks.read_chunks(spark, index, f"{folder}/chunks/chunk=*"))
+    old = banks.chunk_report(spark.range(1).withColumnRenamed("id", "chunk"), banks.read_chunks(spark, index, f"{folder}/none/chunk=*", legacy=f"{folder}/old"))
+    return new.withColumn("source", F.lit("chunks")).unionByName(old.withColumn("source", F.lit("legacy")))
+
+
 @query("SELECT event_id, (props->>'$.k')::INT AS k, event_id % 10 <> 0 AS sound FROM events WHERE event_id % 7 <> 0 AND event_id % 10 <> 0 UNION ALL SELECT NULL, NULL, false FROM events WHERE event_id % 7 <> 0 AND event_id % 10 = 0")
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as JSON lines, some blank and some broken; blank ones go, broken ones have no fields."""

@@ -43,7 +43,7 @@ def read_bank(spark: SparkSession, path: str, schema: str = QUESTIONS, staged: s
     from pyspark.sql import Window
 
     ranks = files.withColumn("file_rank", F.row_number().over(Window.orderBy("part", "file")) - 1)  # one row a file
-    return rows.join(F.broadcast(ranks.drop("part")), "file").drop("part")
+    return rows.join(ranks.drop("part"), "file").drop("part")  # adaptive execution broadcasts the ranks if they are small
 
 
 def comparison_bank(banks: list[DataFrame], without_tag: str | None = None) -> DataFrame:
@@ -80,7 +80,18 @@ def read_chunks(spark: SparkSession, index: DataFrame, pattern: str, legacy: str
     path = F.col("_metadata.file_path")
     number = F.coalesce(F.nullif(F.regexp_extract(path, r"/chunk=(\d+)/[^/]*$", 1), F.lit("")), F.regexp_extract(path, r"(\d+)[^/\d]*$", 1)).cast("long")
     lines = spark.read.text(pattern).select(number.alias("chunk"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("raw")).filter("raw <> ''")
-    return lines.join(F.broadcast(index.select("chunk")), "chunk", "left_semi")
+    return lines.join(index.select("chunk"), "chunk", "left_semi")
+
+
+def chunk_report(index: DataFrame, lines: DataFrame, schema: str = "custom_id string") -> DataFrame:
+    """(chunk, lines, errors, missing) of every chunk of the index, of lines as read_chunks gives them.
+
+    errors counts the lines that are no JSON of the schema; a chunk without any line is missing. Combined before the shuffle.
+    """
+    parsed = F.from_json("raw", f"{schema}, broken string", {"columnNameOfCorruptRecord": "broken"})
+    held = lines.groupBy("chunk").agg(F.count("*").alias("lines"), F.count_if(parsed["broken"].isNotNull()).alias("errors"))
+    report = index.select("chunk").distinct().join(held, "chunk", "left")
+    return report.select("chunk", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("errors", F.lit(0)).alias("errors"), F.col("lines").isNull().alias("missing"))
 
 
 def keyed_index(index: DataFrame, required: list[str]) -> DataFrame:
