@@ -25,6 +25,30 @@ def availability(questions: DataFrame) -> DataFrame:
     return rows.cube("subject", "source", "topic", "site", "year").agg(F.count("*").alias("available"), F.grouping_id().alias("level")).filter("level < 16").select("subject", "source", "topic", "site", "year", "available")
 
 
+def facet_bitmaps(rows: DataFrame, facets: list[str], number: str) -> DataFrame:
+    """(facet, value, bucket, bits): which rows hold each value of each facet, as bitmaps over the rows' numbers (from 1).
+
+    A null value counts as ''. A bitmap is of fixed size and covers 32,768 numbers, so the table grows with the values and the rows,
+    and not with the combinations; tasks combine bitmaps before the shuffle.
+    """
+    held = F.explode(F.array(*(F.struct(F.lit(f).alias("facet"), F.coalesce(F.col(f).cast("string"), F.lit("")).alias("value")) for f in facets))).alias("held")
+    n = F.col(number).cast("bigint")
+    pairs = rows.select(held, F.bitmap_bucket_number(n).alias("bucket"), F.bitmap_bit_position(n).alias("bit"))
+    return pairs.groupBy("held.facet", "held.value", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def available(bitmaps: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, available): the rows that hold all values a request names; requests (request_id, facet, value), a row a value.
+
+    Any combination of facets is an AND of their bitmaps, bucket by bucket; two values of one facet are held by no row.
+    """
+    wanted = requests.select("request_id", "facet", "value").distinct()
+    asked = wanted.groupBy("request_id").agg(F.count("*").alias("asked"))
+    met = wanted.join(bitmaps, ["facet", "value"]).groupBy("request_id", "bucket").agg(F.count("*").alias("met"), F.bitmap_count(F.bitmap_and_agg("bits")).alias("n"))
+    counts = met.join(asked, "request_id").filter("met = asked").groupBy("request_id").agg(F.sum("n").alias("n"))
+    return asked.select("request_id").join(counts, "request_id", "left").select("request_id", F.coalesce("n", F.lit(0)).alias("available"))
+
+
 def facet(rows: DataFrame, column: str, order: str | None = None) -> DataFrame:
     """Distinct values of a column with their rank: numbers first by value, then text; or by first place in `order`."""
     values = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value"))

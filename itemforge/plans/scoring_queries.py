@@ -181,6 +181,24 @@ def availability_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.availability(roles.questions(spark, sf_dir))
 
 
+@query(f"""WITH {QUESTIONS_SQL}, q AS (SELECT *, CASE WHEN source_type = 'generated' THEN 'generated' ELSE 'imported' END AS source FROM questions),
+r AS (SELECT c_custkey AS request_id, ['tznk','english','management','psychology-sociology'][(c_custkey % 4 + 1)::INT] AS subject, CASE c_custkey % 3 WHEN 1 THEN 'imported' WHEN 2 THEN 'generated' END AS source,
+  CASE WHEN c_custkey % 2 = 0 THEN p_type END AS topic, CASE WHEN c_custkey % 5 = 0 THEN 2000 + c_custkey % 25 END AS year FROM customer LEFT JOIN part ON p_partkey = c_custkey)
+SELECT r.request_id, count(q.position) AS available FROM r LEFT JOIN q ON q.subject = r.subject AND coalesce(r.source, q.source) = q.source AND coalesce(r.topic, q.topic) = q.topic AND coalesce(r.year, q.source_year) = q.source_year GROUP BY 1""")
+def availability_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as requests for questions of a subject and, some of them, of a source, topic or year; counted by bitmaps."""
+    questions = roles.questions(spark, sf_dir).withColumn("source", F.when(F.col("source_type") == "generated", "generated").otherwise("imported"))
+    bitmaps = metrics.facet_bitmaps(questions.withColumnRenamed("source_year", "year"), ["subject", "source", "topic", "year"], "position")
+    k = F.col("c_custkey")
+    topics = roles.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("c_custkey"), "p_type")
+    subject = F.element_at(F.array(*map(F.lit, roles.SUBJECTS)), (k % 4 + 1).cast("int"))
+    wanted = {"subject": subject, "source": F.when(k % 3 == 1, "imported").when(k % 3 == 2, "generated"), "topic": F.when(k % 2 == 0, F.col("p_type")), "year": F.when(k % 5 == 0, (2000 + k % 25).cast("string"))}
+    rows = roles.read(spark, sf_dir, "customer").select("c_custkey").join(topics, "c_custkey", "left")
+    pairs = F.explode(F.array(*(F.struct(F.lit(name).alias("facet"), value.alias("value")) for name, value in wanted.items())))
+    requests = rows.select(k.alias("request_id"), pairs.alias("p")).select("request_id", "p.*").filter("value IS NOT NULL")
+    return metrics.available(bitmaps, requests)
+
+
 @query(f"""WITH {QUESTIONS_SQL} SELECT 'topic' AS facet, topic AS value, min(position) AS rank FROM questions GROUP BY 1, 2
 UNION ALL SELECT 'site', source_site, count(*) FROM questions GROUP BY 1, 2
 UNION ALL SELECT 'year', source_year::VARCHAR, row_number() OVER (ORDER BY source_year) FROM questions GROUP BY source_year""")
