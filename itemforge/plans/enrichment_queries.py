@@ -53,6 +53,11 @@ def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.validate(_lines(spark, sf_dir), _inputs(spark, sf_dir))
 
 
+def validated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What validation says of every line, with the line's id."""
+    return _validated(spark, sf_dir)
+
+
 @query(f"WITH {_VALIDATED} SELECT chunk, line, accepted, reasons FROM v")
 def validated_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _validated(spark, sf_dir).select("chunk", "line", "accepted", F.array_join("reasons", ",").alias("reasons"))
