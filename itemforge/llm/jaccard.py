@@ -1,11 +1,11 @@
 """Near-duplicate join on word n-grams: MinHash LSH forest, then exact Jaccard.
 
 1. Every text becomes a set of word n-grams with a MinHash signature; texts with equal sets are one vertex.
-2. Each of TREES tries holds the vertices under the signature from its own place on, so that shortest prefixes share no
-   value. Prefixes are matched at LEAST_DEPTH, the shortest, where the trees together find far more than TARGET_RECALL
-   of the pairs at the threshold. That leaves room: where a vertex meets a crowd under a prefix, it keeps a longer one in
-   that tree, as long as its other trees alone reach the target; if they do not, the least crowded of its crowded
-   prefixes are shortened again until they do. A crowd that shares a passage but is not similar so falls apart.
+2. Each trie holds the vertices under the signature from its own place on, as one sorted run; shortest prefixes share no
+   value between tries. Neighbours in a run tell the longest prefix that a vertex shares with any other. Matches are
+   shortened to LEAST_DEPTH values, where the tries together find far more than TARGET_RECALL of the pairs at the threshold.
+   That leaves room: where a crowd holds the shortest prefix, a vertex keeps a longer one, in as many tries as the target
+   allows, the most crowded ones. A crowd that shares a passage but is not similar so falls apart.
 3. Vertices under one prefix are compared by their whole signatures, in blocks where they are many; what is far from
    the threshold drops.
 4. Connected survivors are verified exactly, block against block, from the texts. A task's output is a row for each
@@ -334,36 +334,100 @@ def components(edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the forest
 
 
-def _node(tree: Column, depth: int) -> Column:
-    """A key of the prefix of that length in a tree; the signature goes on from its end to its start."""
-    around = F.concat("signature", F.substring("signature", 1, 4 * max(LONGER)))
-    return F.xxhash64(tree, F.lit(depth), F.substring(around, tree * (4 * LEAST_DEPTH) + 1, 4 * depth))
+def _places(column: pa.Array) -> np.ndarray:
+    """The rows of a binary column of one length as a matrix of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
 
 
-def forest(vertices: DataFrame, target: float = TARGET_RECALL, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, vertex, held) for vertices (vertex, signature): the prefixes matched, held by more than one vertex."""
+def shared_lengths(keys: np.ndarray) -> np.ndarray:
+    """For sorted keys, a byte for the tree and four for each value: the values that each has in common with the key after it, -1 in another tree."""
+    equal = keys[1:] == keys[:-1]
+    values = equal[:, 1:].reshape(len(equal), (keys.shape[1] - 1) // 4, 4).all(axis=2)
+    return np.where(equal[:, 0], np.cumprod(values, axis=1).sum(axis=1), -1)
+
+
+def _matched(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted run (key, vertex), the rows that share LEAST_DEPTH values or more with a neighbour, and how many.
+
+    The first and the last row of a run may have a neighbour in another one: they count as matched to the end.
+    """
+    deepest = LONGER[-1]
+    held: tuple[bytes, bytes] | None = None
+    above = deepest  # what the held row shares with the row before it
+
+    def rows(keys: list[bytes], vertices: list[bytes], shared: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(vertices, pa.binary()), pa.array(shared, pa.int32())], ["key", "vertex", "shared"])
+
+    for batch in source:
+        if not batch.num_rows:
+            continue
+        keys, vertices = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        if held:
+            keys, vertices = [held[0], *keys], [held[1], *vertices]
+        lengths = shared_lengths(_places(pa.array(keys, pa.binary())))
+        around = np.append(above, lengths)
+        most = np.maximum(around[:-1], lengths)
+        keep = np.flatnonzero(most >= LEAST_DEPTH).tolist()
+        if keep:
+            yield rows([keys[i] for i in keep], [vertices[i] for i in keep], most[keep].tolist())
+        held, above = (keys[-1], vertices[-1]), int(around[-1])
+    if held:
+        yield rows([held[0]], [held[1]], [deepest])
+
+
+def _node(depth: int) -> Column:
+    """A key of a prefix of that many values; the tree is the first byte."""
+    return F.xxhash64(F.lit(depth), F.substring("key", 1, 1 + 4 * depth))
+
+
+def long_trees(target: float = TARGET_RECALL, threshold: float = THRESHOLD) -> int:
+    """In how many trees a vertex may keep a longer prefix: those of both vertices of a pair leave enough others for the target."""
     trees = VALUES // LEAST_DEPTH
-    needed = min(trees, trees_needed(target, LEAST_DEPTH, threshold))
-    rows = vertices.select("vertex", F.posexplode(F.array(*(_node(F.lit(t), LEAST_DEPTH) for t in range(trees)))).alias("tree", "node"))
+    return max(0, trees - trees_needed(target, LEAST_DEPTH, threshold)) // 2
 
-    def shared(rows: DataFrame) -> DataFrame:
-        held = rows.groupBy("node").agg(F.count("*").alias("held")).filter("held > 1")
-        return stored(rows.join(held, "node"), "forest")
 
-    met = shared(rows)
+def forest(vertices: DataFrame, target: float = TARGET_RECALL, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, vertex, held) for vertices (vertex, signature): the prefixes matched, held by more than one vertex.
+
+    The tries are sorted runs: prefixes of up to LONGER[-1] values, in ranges of their order, so that neighbours share the
+    longest prefix there is. Rows that share less than LEAST_DEPTH values with both neighbours leave at once, without a
+    further shuffle. A match is shortened to LEAST_DEPTH where no crowd holds that prefix; elsewhere to the shortest that
+    no crowd holds, in long_trees() trees of a vertex at most, the most crowded ones, and to LEAST_DEPTH in its others. A
+    vertex stays listed under the longer prefixes that others keep, so that a pair meets at the longer of its two.
+    """
+    trees, deepest = VALUES // LEAST_DEPTH, LONGER[-1]
+    around = F.concat("signature", F.substring("signature", 1, 4 * deepest))  # a prefix that begins near the end goes on from the start
+    key = [F.concat(F.lit(bytes([t])), F.substring(around, t * 4 * LEAST_DEPTH + 1, 4 * deepest)) for t in range(trees)]
+    runs = vertices.select(F.explode(F.array(*key)).alias("key"), "vertex")
+    runs = runs.repartitionByRange("key", "vertex").sortWithinPartitions("key", "vertex")
+    trie = stored(runs.mapInArrow(_matched, "key binary, vertex binary, shared int"), "trie")
+
+    def sized(rows: DataFrame, depth: int) -> DataFrame:
+        """Rows with their node at that depth and how many rows it has."""
+        rows = rows.withColumn("node", _node(depth))
+        return rows.join(rows.groupBy("node").agg(F.count("*").alias("held")), "node")
+
+    met = stored(sized(trie, LEAST_DEPTH).filter("held > 1"), "forest")
     found = met.filter(F.col("held") <= CROWD).select("node", "vertex", "held")
-    by_vertex = Window.partitionBy("vertex")
-    crowded = met.filter(F.col("held") > CROWD)
-    crowded = crowded.withColumns({"place": F.row_number().over(by_vertex.orderBy("held", "node")), "crowds": F.count("*").over(by_vertex)})
-    crowded = stored(crowded.withColumn("short", F.col("place") <= needed - trees + F.col("crowds")), "crowded")
-    found = found.unionByName(crowded.filter("short").select("node", "vertex", "held"))
-    long = crowded.filter("NOT short").select("vertex", "tree")
-    for depth in LONGER:
-        longer = shared(long.join(vertices.select("vertex", "signature"), "vertex").select("vertex", "tree", _node(F.col("tree"), depth).alias("node")))
-        # a crowd at full depth has the whole stretch in common: it is matched there
-        found = found.unionByName((longer if depth == LONGER[-1] else longer.filter(F.col("held") <= CROWD)).select("node", "vertex", "held"))
-        long = longer.filter(F.col("held") > CROWD).select("vertex", "tree")
-    return found
+    crowded = stored(met.filter(F.col("held") > CROWD).select("key", "vertex", "shared", F.col("held").alias("crowd")), "crowded")
+    if not crowded.limit(1).count():
+        return found
+    crowded = crowded.withColumn("depth", F.lit(deepest))
+    for depth in reversed(LONGER[:-1]):
+        # a row alone under its prefix has no row in the count and keeps it: longer prefixes have no other row either
+        counts = crowded.filter(F.col("shared") >= depth).groupBy(_node(depth).alias("node")).agg(F.count("*").alias("n"))
+        counts = counts.filter(F.col("n") > CROWD).withColumn("full", F.lit(True)).drop("n")
+        full = (F.col("shared") >= depth) & F.coalesce("full", F.lit(False))
+        crowded = crowded.withColumn("node", _node(depth)).join(counts, "node", "left").withColumn("depth", F.when(full, F.col("depth")).otherwise(F.lit(depth))).drop("node", "full")
+    place = F.row_number().over(Window.partitionBy("vertex").orderBy(F.desc("crowd"), "key"))
+    crowded = crowded.withColumn("depth", F.when(place > long_trees(target, threshold), F.lit(LEAST_DEPTH)).otherwise(F.col("depth")))
+    lengths = F.filter(F.array(*(F.lit(d) for d in (LEAST_DEPTH, *LONGER))), lambda d: (d >= F.col("depth")) & (d <= F.col("shared")))
+    listed = crowded.select("key", "vertex", "depth", F.explode(lengths).alias("length"))
+    node = F.coalesce(*(F.when(F.col("length") == d, _node(d)) for d in (LEAST_DEPTH, *LONGER)))
+    listed = stored(listed.select(node.alias("node"), "vertex", (F.col("length") == F.col("depth")).alias("own")), "listed")
+    # a longer prefix that is nobody's own has all its vertices together under a shorter one
+    wanted = listed.groupBy("node").agg(F.count("*").alias("held"), F.bool_or("own").alias("own")).filter("own AND held > 1").drop("own")
+    return found.unionByName(listed.drop("own").join(wanted, "node").select("node", "vertex", "held"))
 
 
 # ---------------------------------------------------------------- the join

@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -353,6 +354,54 @@ def test_crowds_keep_longer_prefixes(spark, monkeypatch):
     assert all(kept[v] <= sum(len(m) > 1 for m in short.values() if v in m) for v, _ in rows)
 
 
+def common_values(x, y):
+    """Values that two prefixes of tries share, -1 in different ones."""
+    if x[0] != y[0]:
+        return -1
+    same = [x[i : i + 4] == y[i : i + 4] for i in range(1, len(x), 4)]
+    return same.index(False) if False in same else len(same)
+
+
+@pytest.mark.parametrize("rows_a_batch", [1, 3, 1000])
+def test_sorted_runs_keep_what_shares_a_prefix_with_a_neighbour(rows_a_batch):
+    r = random.Random(rows_a_batch)
+    keys = sorted(bytes([r.randrange(2)]) + b"".join(bytes([0, 0, 0, r.choice([1, 1, 1, 2])]) for _ in range(jaccard.LONGER[-1])) for _ in range(120))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + rows_a_batch], pa.binary()), pa.array([b"%d" % j for j in range(i, min(120, i + rows_a_batch))], pa.binary())], ["key", "vertex"]) for i in range(0, 120, rows_a_batch)]
+    found = [tuple(row.values()) for b in jaccard._matched(iter(batches)) for row in b.to_pylist()]
+    wanted = []
+    for i, key in enumerate(keys):
+        most = max(common_values(key, keys[j]) if 0 <= j < 120 else jaccard.LONGER[-1] for j in (i - 1, i + 1))
+        # no other key of the run shares more than the neighbours do
+        assert 0 < i < 119 and most == max(common_values(key, k) for j, k in enumerate(keys) if j != i) or i in (0, 119)
+        if most >= jaccard.LEAST_DEPTH:
+            wanted.append((key, b"%d" % i, most))
+    assert found == wanted and len(wanted) < 120
+    assert list(jaccard._matched(iter([]))) == []
+
+
+def test_pairs_of_many_shared_prefixes_meet_in_the_forest(spark, monkeypatch):
+    """Whatever prefixes crowds lengthen: a pair that shares more short ones than both may lengthen is under one node."""
+    monkeypatch.setattr(jaccard, "CROWD", 2)
+    r, width = random.Random(4), 4 * jaccard.LEAST_DEPTH
+    parts = [[bytes(r.randrange(256) for _ in range(width)) for _ in range(3)] for _ in range(jaccard.VALUES // jaccard.LEAST_DEPTH)]
+    rows = [(bytes([v]), b"".join(r.choice(p) if r.random() < 0.9 else bytes(r.randrange(256) for _ in range(width)) for p in parts)) for v in range(40)]
+    found = jaccard.forest(spark.createDataFrame([(bytearray(v), bytearray(s)) for v, s in rows], "vertex binary, signature binary")).collect()
+    nodes = {}
+    for f in found:
+        nodes.setdefault(f.node, []).append(bytes(f.vertex))
+    assert all(f.held == len(nodes[f.node]) == len(set(nodes[f.node])) for f in found)
+    met = {(u, v) for members in nodes.values() for u in members for v in members}
+    many = 0
+    for u, s in rows:
+        for v, t in rows:
+            shared = sum(s[i : i + width] == t[i : i + width] for i in range(0, len(s), width))
+            assert shared > 0 or (u, v) not in met
+            if u < v and shared > 2 * jaccard.long_trees():
+                many += 1
+                assert (u, v) in met
+    assert many and jaccard.VALUES // jaccard.LEAST_DEPTH - 2 * jaccard.long_trees() >= jaccard.trees_needed()
+
+
 def test_first_of_classes_keeps_each_text_of_an_id(spark):
     a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
     rows = [(3, a), (5, a), (5, b), (5, b), (7, b), (None, a), (8, None), (9, ""), (6, "Eight nine ten eleven twelve thirteen fourteen!")]
