@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itemforge.functions import text
@@ -34,13 +34,12 @@ def _bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {QUESTIONS_SQL}, p AS (SELECT *, CASE WHEN subject IN ('tznk', 'english') THEN 'public' ELSE 'staged' END AS part FROM questions)
 SELECT part, question_id AS id, subject, len(options) AS options, list_contains(tags, 'needs_manual_review') AS flagged, dense_rank() OVER (ORDER BY part, subject) - 1 AS file_rank FROM p""")
 def bank_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON banks written by subject, two of them public and two staged; read with the rank of their file."""
+    """JSON banks written by subject, two of them public and two staged; read with the rank of their bank."""
     folder, bank = _folder(spark, "bank"), _bank(spark, sf_dir)
     for subject in roles.SUBJECTS:
         part = "public" if subject in ("tznk", "english") else "staged"
-        # one file a subject, as its rank is that of its file; a bank's file is one task's work
-        sinks.write_json(bank.filter(F.col("subject") == subject).coalesce(1), f"{folder}/{part}/{subject}")
-    read = banks.read_bank(spark, f"{folder}/public/*/*.json", staged=f"{folder}/staged/*/*.json", one_array=False)
+        sinks.write_json(bank.filter(F.col("subject") == subject), f"{folder}/{part}/{subject}")
+    read = banks.read_bank(spark, f"{folder}/public/*", staged=f"{folder}/staged/*", one_array=False)
     part = F.regexp_extract("file", "/(public|staged)/", 1)
     return read.select(part.alias("part"), "id", "subject", F.size("options").cast("long").alias("options"), filters.has_tag("needs_manual_review").alias("flagged"), F.col("file_rank").cast("long").alias("file_rank"))
 
@@ -127,11 +126,11 @@ def written_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows written back to a folder for each topic; the order of each file is that of its rows."""
     folder = _folder(spark, "files")
     sinks.write_files(roles.questions(spark, sf_dir).select(F.col("topic").alias("file"), "position"), folder)
-    read = spark.read.schema("position long, file string").parquet(folder).select("file", "position", F.monotonically_increasing_id().alias("row"), F.col("_metadata.file_path").alias("path"))
-    pairs = F.sort_array(F.collect_list(F.struct("row", "position")))
-    held = read.groupBy("file", "path").agg(F.transform(pairs, lambda p: p["position"]).alias("positions"))
-    held = held.select("file", F.size("positions").alias("n"), F.array_min("positions").alias("first"), (F.array_sort("positions") == F.col("positions")).alias("ordered"))
-    return held.groupBy("file").agg(F.sum("n").alias("n"), F.min("first").alias("first_row"), F.bool_and("ordered").alias("in_order"))
+    read = spark.read.schema("position long, file string").parquet(folder).select("file", "position", F.col("_metadata.row_index").alias("row"), F.col("_metadata.file_path").alias("path"))
+    inside = F.lag("position").over(Window.partitionBy("path").orderBy("row"))  # a part is a range, one task's work when written
+    parts = read.withColumn("before", inside).groupBy("file", "path").agg(F.count("*").alias("n"), F.min("position").alias("first"), F.max("position").alias("last"), F.bool_and(F.coalesce(F.col("before") < F.col("position"), F.lit(True))).alias("ordered"))
+    parts = parts.withColumn("before", F.lag("last").over(Window.partitionBy("file").orderBy("path")))  # one row a part
+    return parts.groupBy("file").agg(F.sum("n").alias("n"), F.min("first").alias("first_row"), F.bool_and(F.col("ordered") & F.coalesce(F.col("before") < F.col("first"), F.lit(True))).alias("in_order"))
 
 
 @query("""SELECT s_suppkey AS id, s_name AS path, 'duplicate id' AS rule FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier) WHERE n > 1

@@ -31,13 +31,14 @@ def read_json(spark: SparkSession, path: str, schema: str, optional: bool = Fals
 def read_bank(spark: SparkSession, path: str, schema: str = QUESTIONS, staged: str | None = None, one_array: bool = True) -> DataFrame:
     """All files of a bank, public ones first, then staged ones; file, file_rank and position tell a row's place.
 
-    Files rank by name within their part. A file of one JSON array is one task's work; without one_array files hold JSON
-    lines and are split among tasks.
+    Files rank by name within their part. A file of one JSON array is one task's work. Without one_array a bank is a folder of
+    JSON lines, as write_json leaves it: its parts are many tasks' work and have the folder's name and rank.
     """
     parts = [(0, path)] + ([(1, staged)] if staged and path_exists(spark, staged) else [])
-    rows = None
+    path_of = F.col("_metadata.file_path")
+    file, rows = path_of if one_array else F.regexp_replace(path_of, "/[^/]*$", ""), None
     for part, place in parts:
-        read = spark.read.schema(schema).json(place, multiLine=one_array).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("position"), F.lit(part).alias("part"))
+        read = spark.read.schema(schema).json(place, multiLine=one_array).select("*", file.alias("file"), F.monotonically_increasing_id().alias("position"), F.lit(part).alias("part"))
         rows = read if rows is None else rows.unionByName(read)
     files = rows.select("part", "file").distinct()
     from pyspark.sql import Window

@@ -71,5 +71,8 @@ def write_chunks(requests: DataFrame, folder: str) -> None:
 
 
 def write_files(rows: DataFrame, folder: str, file: str = "file", order: str = "position") -> None:
-    """Rows back to a folder for each source file, in their original order."""
-    rows.repartition(file).sortWithinPartitions(file, order).write.partitionBy(file).parquet(folder)
+    """Rows back to a folder for each source file, in their original order.
+
+    A folder holds parts whose names sort as their rows do, so that a file of very many rows is many tasks' work.
+    """
+    rows.repartitionByRange(file, order).sortWithinPartitions(file, order).write.partitionBy(file).parquet(folder)
