@@ -145,18 +145,36 @@ def merge_file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- reviews of generated batches as a whole
 
 _TOPIC_LIST = ["SMALL", "LARGE", "PROMO"]
-_RULES = f"""CASE WHEN source_type <> 'generated' THEN 'sourceType is not generated' END, CASE WHEN source_url IS NOT NULL THEN 'sourceUrl must be null for generated questions' END,
+#: Every fifth row is dressed as one that passes all rules, so that rows are accepted, too.
+_SOUND_TEXTS = {"source_type": "generated", "topic": "SMALL", "passage": "a short text", "explanation": "The text names the first of them, and the other three belong to different groups."}
+_SOUND_OPTIONS = ("first answer", "second answer", "third answer", "fourth answer")
+_SOUND = f"""* REPLACE ({", ".join(f"CASE WHEN position % 5 = 1 THEN '{v}' ELSE {c} END AS {c}" for c, v in _SOUND_TEXTS.items())}, CASE WHEN position % 5 = 1 THEN NULL ELSE source_url END AS source_url,
+CASE WHEN position % 5 = 1 THEN {list(_SOUND_OPTIONS)} ELSE options END AS options, CASE WHEN position % 5 = 1 THEN 'sound question ' || position ELSE question END AS question)"""
+
+
+def _sound(rows: DataFrame) -> DataFrame:
+    fifth = F.col("position") % 5 == 1
+    dressed = {c: F.when(fifth, v).otherwise(F.col(c)) for c, v in _SOUND_TEXTS.items()}
+    return rows.withColumns(dressed | {
+        "source_url": F.when(~fifth, F.col("source_url")), "options": F.when(fifth, F.array(*map(F.lit, _SOUND_OPTIONS))).otherwise(F.col("options")),
+        "question": F.when(fifth, F.concat(F.lit("sound question "), F.col("position").cast("string"))).otherwise(F.col("question")),
+    })
+
+
+_IDS = "^[a-z-]+[0-9]*[1-8]$"  # ids that end in 0 or 9 are not of the batch
+_RULES = f"""CASE WHEN NOT regexp_matches(question_id, '{_IDS}') THEN 'id does not match the batch pattern' END, CASE WHEN source_type <> 'generated' THEN 'sourceType is not generated' END, CASE WHEN source_url IS NOT NULL THEN 'sourceUrl must be null for generated questions' END,
 CASE WHEN topic NOT IN ('SMALL', 'LARGE', 'PROMO') THEN 'topic is outside expected subject coverage' END,
 CASE WHEN len(list_distinct(list_transform(options, lambda x: {normal_sql('x')}))) < 4 THEN 'duplicate options inside question' END,
 CASE WHEN trim(explanation) = '' THEN 'explanation is empty' WHEN length(explanation) < 45 THEN 'explanation is too weak or does not clearly justify the answer' END,
 CASE WHEN regexp_matches(question || ' ' || explanation, '(?i)widget') AND NOT regexp_matches(options[(correct + 1)::INT], '(?i)small') THEN 'a widget is small' WHEN regexp_matches(question || ' ' || explanation, '(?i)ring') AND NOT regexp_matches(options[(correct + 1)::INT], '(?i)ring|red') THEN 'a ring is a ring' END"""
-_DUPLICATES = f"""known AS (SELECT subject, {normal_sql('question')} AS n, max('k' || position) AS m FROM questions WHERE position % 10 = 0 GROUP BY 1, 2),
-batch AS (SELECT * FROM questions WHERE position % 10 <> 0)"""
+_DUPLICATES = f"""sound AS (SELECT {_SOUND} FROM questions),
+known AS (SELECT subject, {normal_sql('question')} AS n, max('k' || position) AS m FROM sound WHERE position % 10 = 0 GROUP BY 1, 2),
+batch AS (SELECT * FROM sound WHERE position % 10 <> 0)"""
 
 
 def _known_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """One part in ten as the bank, the others as the batch under review."""
-    rows = roles.questions(spark, sf_dir)
+    rows = _sound(roles.questions(spark, sf_dir))
     known = rows.filter("position % 10 = 0").select(F.concat(F.lit("k"), F.col("position").cast("string")).alias("id"), "subject", F.col("question").alias("text"))
     return known, rows.filter("position % 10 <> 0")
 
@@ -164,14 +182,18 @@ def _known_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 @query(f"""WITH {QUESTIONS_SQL}, {_DUPLICATES},
 d AS (SELECT b.*, k.m, lag(question_id) OVER (PARTITION BY b.subject, {normal_sql('question')} ORDER BY question_id) AS p FROM batch b LEFT JOIN known k ON b.subject = k.subject AND {normal_sql('question')} = k.n),
 r AS (SELECT *, list_filter([{_RULES}, CASE WHEN m IS NOT NULL THEN 'exact duplicate of ' || m WHEN p IS NOT NULL THEN 'batch duplicate of ' || p END], lambda r: r IS NOT NULL) AS reasons FROM d)
-SELECT question_id, array_to_string(reasons, ';') AS reasons, false AS reviewed, list_contains(tags, 'needs_manual_review') OR true AS flagged FROM r""")
+SELECT question_id, array_to_string(reasons, ';') AS reasons, subject <> 'english' AND len(reasons) = 0 AS reviewed, subject = 'english' OR len(reasons) > 0 AS flagged FROM r""")
 def generated_batch_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules, anchors and duplicates of a batch, and the gate over its difficulties, which this batch does not pass."""
+    """Rules, anchors and duplicates of a batch a subject, each with a gate over its difficulties: one row too many is expected of english, which so does not pass."""
     known, batch = _known_and_batch(spark, sf_dir)
-    expected = spark.createDataFrame([("easy", 1), ("medium", 2), ("hard", 3)], "difficulty string, expected long")
-    decisions = review.review_generated(batch, known, "^[a-z-]+[0-9]+$", _TOPIC_LIST, _ANCHORS)
-    gated = review.with_gate(decisions, metrics.distribution_gaps(batch, "difficulty", expected))
-    return gated.select("question_id", F.array_join("reasons", ";").alias("reasons"), "reviewed", F.array_contains("tags", "needs_manual_review").alias("flagged"))
+    decisions = review.review_generated(batch, known, _IDS, _TOPIC_LIST, _ANCHORS)
+    expected = batch.groupBy("subject", "difficulty").agg(F.count("*").alias("n")).select("subject", "difficulty", (F.col("n") + (F.col("subject") == "english").cast("long")).alias("expected"))
+    out = None
+    for subject in roles.SUBJECTS:
+        of = F.col("subject") == subject
+        gated = review.with_gate(decisions.filter(of), metrics.distribution_gaps(batch.filter(of), "difficulty", expected.filter(of).drop("subject")))
+        out = gated if out is None else out.unionByName(gated)
+    return out.select("question_id", F.array_join("reasons", ";").alias("reasons"), "reviewed", F.array_contains("tags", "needs_manual_review").alias("flagged"))
 
 
 _DOMAIN = """uk0 AS (SELECT * REPLACE (CASE WHEN position % 3 = 0 THEN 'Чому поняття «' || passage || '» важливе' WHEN position % 3 = 1 THEN 'У завданні наведено опис: ' || passage ELSE question END AS question,
@@ -191,16 +213,26 @@ def _domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-_REWRITTEN = f"""{_DOMAIN}, patched AS (SELECT * REPLACE (CASE WHEN position % 50 = 0 THEN 'a better question ' || position ELSE question END AS question), question AS old FROM uk0),
+#: A text of 40 words, so that two that differ in one more word are near duplicates.
+_LONG = " ".join(f"w{i}" for i in range(40))
+
+_REWRITTEN = f"""{_DOMAIN}, uk1 AS (SELECT {_SOUND} FROM uk0), patched AS (SELECT * REPLACE (CASE WHEN position % 50 = 0 THEN '{_LONG} ' || position ELSE question END AS question), question AS old FROM uk1),
+known AS (SELECT *, list_filter(list_distinct(string_split(n, ' ')), lambda t: t <> '') AS t FROM (SELECT subject, id, {normal_sql('text')} AS n FROM
+  (SELECT subject, 'k' || position AS id, question AS text FROM uk1 WHERE position % 7 = 0 UNION ALL SELECT subject, 'n' || position, '{_LONG} old' || position FROM uk1 WHERE position % 100 = 0))),
+exact AS (SELECT subject, n, max(id) AS m FROM known GROUP BY 1, 2),
+forms AS (SELECT *, list_filter(list_distinct(string_split(n, ' ')), lambda t: t <> '') AS t FROM (SELECT question_id, subject, {normal_sql('question')} AS n FROM patched)),
+near AS (SELECT question_id, min(b.id) AS near_id FROM forms a JOIN known b ON a.subject = b.subject AND least(length(a.n), length(b.n)) >= 80 AND least(length(a.n), length(b.n)) >= 0.9 * greatest(length(a.n), length(b.n))
+  WHERE len(list_intersect(a.t, b.t))::DOUBLE / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.94 GROUP BY 1),
 hard AS (SELECT *, CASE subject WHEN 'tznk' THEN CASE WHEN topic = 'Послідовності' THEN 'easy' WHEN topic = 'Критичне читання' THEN 'hard' ELSE 'medium' END
   WHEN 'english' THEN CASE WHEN topic = 'Vocabulary' THEN 'easy' WHEN topic = 'Grammar' OR subtopic = 'Purpose' THEN 'medium' ELSE 'easy' END
   ELSE CASE WHEN starts_with(question, 'У завданні наведено опис') THEN 'easy' WHEN starts_with(question, 'Чому поняття') THEN 'hard' ELSE 'medium' END END AS wanted FROM patched),
-lagged AS (SELECT *, lag(question_id) OVER (PARTITION BY subject, {normal_sql('question')} ORDER BY question_id) AS p FROM hard),
-domain AS (SELECT *, question <> old OR difficulty <> wanted AS rewritten, list_filter([CASE WHEN source_type <> 'generated' THEN 'sourceType is not generated' END, CASE WHEN source_url IS NOT NULL THEN 'sourceUrl must be null for generated questions' END,
+lagged AS (SELECT hard.*, m, near_id, lag(question_id) OVER (PARTITION BY hard.subject, {normal_sql('question')} ORDER BY question_id) AS p FROM hard
+  LEFT JOIN exact ON hard.subject = exact.subject AND {normal_sql('question')} = exact.n LEFT JOIN near USING (question_id)),
+domain AS (SELECT *, question <> old OR difficulty <> wanted AS rewritten, list_filter([CASE WHEN NOT regexp_matches(question_id, '{_IDS}') THEN 'id does not match the batch pattern' END, CASE WHEN source_type <> 'generated' THEN 'sourceType is not generated' END, CASE WHEN source_url IS NOT NULL THEN 'sourceUrl must be null for generated questions' END,
   CASE WHEN topic NOT IN ('SMALL', 'Послідовності', 'Vocabulary') THEN 'topic is outside expected subject coverage' END,
   CASE WHEN len(list_distinct(list_transform(options, lambda x: {normal_sql('x')}))) < 4 THEN 'duplicate options inside question' END,
   CASE WHEN trim(explanation) = '' THEN 'explanation is empty' WHEN length(explanation) < 45 THEN 'explanation is too weak or does not clearly justify the answer' END,
-  CASE WHEN p IS NOT NULL THEN 'batch duplicate of ' || p END,
+  CASE WHEN m IS NOT NULL THEN 'exact duplicate of ' || m WHEN p IS NOT NULL THEN 'batch duplicate of ' || p WHEN near_id IS NOT NULL THEN 'near duplicate of ' || near_id END,
   CASE WHEN subject = 'tznk' AND NOT list_contains(tags, 'self_checked_single_answer') THEN 'not checked for a single answer' END,
   CASE WHEN subject = 'tznk' AND type = 'passage_single_choice' AND trim(passage) = '' THEN 'reasoning question without its passage' END,
   CASE WHEN subject = 'english' AND type = 'passage_single_choice' AND trim(passage) = '' THEN 'reading question without its passage' END,
@@ -209,10 +241,12 @@ domain AS (SELECT *, question <> old OR difficulty <> wanted AS rewritten, list_
 
 
 def _rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _domain(spark, sf_dir)
-    patch = rows.filter("position % 50 = 0").select("question_id", F.concat(F.lit("a better question "), F.col("position").cast("string")).alias("question"))
-    bank = spark.createDataFrame([], "id string, subject string, text string")
-    return review.review_rewritten(rows, patch, ["question"], bank, "^[a-z-]+[0-9]+$", ["SMALL", "Послідовності", "Vocabulary"], [])
+    rows = _sound(_domain(spark, sf_dir))
+    k = F.col("position").cast("string")
+    patch = rows.filter("position % 50 = 0").select("question_id", F.concat(F.lit(f"{_LONG} "), k).alias("question"))
+    known = rows.filter("position % 7 = 0").select(F.concat(F.lit("k"), k).alias("id"), "subject", F.col("question").alias("text"))
+    known = known.unionByName(rows.filter("position % 100 = 0").select(F.concat(F.lit("n"), k).alias("id"), "subject", F.concat(F.lit(f"{_LONG} old"), k).alias("text")))
+    return review.review_rewritten(rows, patch, ["question"], known, _IDS, ["SMALL", "Послідовності", "Vocabulary"], [])
 
 
 @query(f"""WITH {QUESTIONS_SQL}, {_REWRITTEN} SELECT question_id, wanted AS difficulty, rewritten, array_to_string(reasons, ';') AS reasons, len(reasons) = 0 AS reviewed,
@@ -222,7 +256,7 @@ def rewritten_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {QUESTIONS_SQL}, {_REWRITTEN} SELECT subject, count(*) FILTER (rewritten) AS rewritten, count(*) AS total, count(*) FILTER (len(reasons) = 0) AS reviewed, count(*) FILTER (len(reasons) > 0) AS needs_review,
-0::BIGINT AS exact_duplicates, count(p) AS batch_duplicates, 0::BIGINT AS near_duplicates FROM domain GROUP BY ROLLUP (subject)""")
+count(m) AS exact_duplicates, count(p) FILTER (m IS NULL) AS batch_duplicates, count(near_id) FILTER (m IS NULL AND p IS NULL) AS near_duplicates FROM domain GROUP BY ROLLUP (subject)""")
 def rewritten_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.review_summary(_rewritten(spark, sf_dir))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from itemforge.functions import text
 from itemforge.operators import filters, rules
 from itemforge.plans import enrichment, roles
+from itemforge.plans.bank_queries import _CONVERSATIONS, _conversations
 from itemforge.plans.define import Queries
 from itemforge.plans.roles import QUESTIONS_SQL
 from itemforge.sources import banks, sinks
@@ -63,6 +64,21 @@ def bank_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query(f"""WITH {_CONVERSATIONS} SELECT 'group' AS kind, g.group_id AS id, string_agg(m.question_id, ',' ORDER BY m.member_order) AS members, g.passage AS text FROM groups g JOIN members m USING (group_id) WHERE g.subject = 'english' GROUP BY g.group_id, g.passage
+UNION ALL SELECT 'exam_set', set_id, string_agg(group_id, ',' ORDER BY group_id), CASE WHEN set_id = 's7' THEN '' ELSE 't' END FROM units GROUP BY set_id""")
+def bank_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and exam sets written as JSON and read back: those of one subject with their members in order."""
+    folder, (groups, sets, _) = _folder(spark, "groups"), _conversations(spark, sf_dir)
+    sinks.write_json(groups.withColumnsRenamed({"group_id": "id", "question_ids": "questionIds"}), f"{folder}/groups")
+    units = F.transform("units", lambda u: F.struct(u["type"].alias("type"), u["question_id"].alias("questionId"), u["group_id"].alias("groupId")))
+    sinks.write_json(sets.withColumn("units", units).withColumnRenamed("set_id", "id"), f"{folder}/sets")
+    read = lambda name, schema: banks.read_json(spark, f"{folder}/{name}", schema, optional=True, one_array=False)
+    subjects = spark.createDataFrame([(s,) for s in roles.SUBJECTS], "id string")
+    bundle = banks.subject_bundle(spark, subjects, read("none", banks.QUESTIONS), read("groups", banks.GROUPS), read("sets", banks.EXAM_SETS), "english")
+    held = bundle["groups"].select(F.lit("group").alias("kind"), "id", F.array_join("questionIds", ",").alias("members"), F.col("passage").alias("text"))
+    return held.unionByName(bundle["exam_sets"].select(F.lit("exam_set").alias("kind"), "id", F.array_join("units.groupId", ",").alias("members"), F.col("title").alias("text")))
+
+
 @query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS place FROM customer), c AS (SELECT *, (place - 1) // 350 + 1 AS chunk FROM r)
 SELECT chunk, count(*) AS lines, min(c_custkey) AS first_id, max(c_custkey) AS last_id, false AS missing FROM c WHERE chunk % 3 <> 0 GROUP BY 1
 UNION ALL SELECT chunk, 0, NULL, NULL, true FROM (SELECT DISTINCT chunk FROM c WHERE chunk % 3 = 0) UNION ALL SELECT max(chunk) + 1, 0, NULL, NULL, true FROM c""")

@@ -21,11 +21,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_json(spark: SparkSession, path: str, schema: str, optional: bool = False) -> DataFrame:
-    """A JSON array by an explicit schema, nothing inferred; an optional source that is missing is empty."""
+def read_json(spark: SparkSession, path: str, schema: str, optional: bool = False, one_array: bool = True) -> DataFrame:
+    """A JSON array (or a folder of JSON lines) by an explicit schema, nothing inferred; an optional source that is missing is empty."""
     if optional and not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path, multiLine=True)
+    return spark.read.schema(schema).json(path, multiLine=one_array)
 
 
 def read_bank(spark: SparkSession, path: str, schema: str = QUESTIONS, staged: str | None = None, one_array: bool = True) -> DataFrame:
