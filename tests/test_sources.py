@@ -1,6 +1,7 @@
 import json
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow.parquet as pq
 import pytest
 
 from itemforge.sources import banks, commits, sinks
@@ -50,6 +51,28 @@ def test_versions_sources_and_chunks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 2
 
 
+def test_parts_of_a_bank_and_of_a_file_keep_rank_and_order(spark, tmp_path):
+    """A bank of several parts has one rank; the parts of a file, by name, hold its rows in order."""
+    rows = spark.range(4000).selectExpr("cast(id as string) AS id", "'english' AS subject")
+    for folder in ("public/b", "public/a", "staged/c"):
+        sinks.write_json(rows.repartition(3), f"{tmp_path}/{folder}")
+    bank = banks.read_bank(spark, f"{tmp_path}/public/*", staged=f"{tmp_path}/staged/*", one_array=False)
+    held = bank.selectExpr("regexp_extract(file, '[^/]*$', 0) AS name", "file_rank", "position").groupBy("name", "file_rank").agg({"*": "count"})
+    assert rows_of(held) == [("a", 0, 4000), ("b", 1, 4000), ("c", 2, 4000)]
+    # each stays several parts: no task writes a bank alone
+    assert len(list((tmp_path / "public" / "a").glob("part-*.json"))) == 3
+    files = spark.range(4000).selectExpr("if(id % 10 = 0, 'small', 'big') AS file", "4000 - id AS position")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_files(files, str(tmp_path / "files"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "files" / "file=big").glob("part-*.parquet"))
+    found = [r for part in parts for r in pq.read_table(part, partitioning=None)["position"].to_pylist()]
+    assert len(parts) > 1 and found == sorted(4000 - i for i in range(4000) if i % 10)
+    assert banks.read_json(spark, f"{tmp_path}/public/a", banks.GROUPS, optional=True, one_array=False).count() == 4000
+
+
 def test_one_of_two_writers_wins(spark, tmp_path):
     """Both read the same version; the second to commit learns of it, and nothing of the first is lost."""
     rows, folder = spark.createDataFrame([(1, "x")], "id int, source string"), str(tmp_path / "bank")
