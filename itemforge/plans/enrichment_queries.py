@@ -181,8 +181,8 @@ def placeholder_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roles.questions(spark, sf_dir).filter(quality.is_placeholder(F.col("explanation"))).groupBy("subject").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_VALIDATED}, k AS (SELECT *, kind = 9 AND chunk < 1001 OR kind = 9 AND chunk > 1000 AND position_kind = 11 AS good FROM (SELECT v.*, line % 12 AS position_kind FROM v))
-SELECT chunk, line, good AS earliest, kind = 9 AND chunk < 1001 AS first_parsed FROM k""")
+@query(f"""WITH {_VALIDATED}, k AS (SELECT *, kind = 9 AND reasons <> '' AS first FROM (SELECT v.*, line % 12 AS position_kind FROM v))
+SELECT chunk, line, first OR kind = 9 AND position_kind = 11 AS earliest, first AS first_parsed FROM k""")
 def output_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which lines the two other precedences accept: the first acceptable one, and the first that parses."""
     lines, inputs = _lines(spark, sf_dir), _inputs(spark, sf_dir)
