@@ -1,11 +1,14 @@
 """What changes with the size of the tables: constants, growth of joins, work in one task."""
 
 import os
+import random
 
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 
+from itemforge.operators import dedup
 from itemforge.plans import registry
+from tests.conftest import rows_of
 from tests.oracle import TABLES, differences
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +27,29 @@ def test_precedence_of_outputs_in_chunks_behind_the_thousandth(spark, tmp_path):
     shift = lambda t: t.set_column(t.schema.get_field_index("p_partkey"), "p_partkey", pc.add(t["p_partkey"], 420_000))
     folder = with_table(tmp_path, "part", shift)
     assert not differences(spark, registry.QUERIES["output_precedence"], registry.ORACLES["output_precedence"], folder)
+
+
+def test_texts_of_few_frequent_words_meet_only_if_similar(spark):
+    """Texts of 60 of 90 words share most first tokens, whatever their order; links bring together near copies only."""
+    r = random.Random(5)
+    words = [f"word{i}" for i in range(90)]
+    rows = [(i, "s", " ".join(r.sample(words, 60))) for i in range(300)]
+    rows += [(300 + i, "s", f"{rows[i][2]} more") for i in range(20)]
+    forms = dedup._forms(spark.createDataFrame(rows, "id long, subject string, text string"), 1)[1].cache()
+    candidates = dedup._by_parts(forms, forms, 0.94, 0.9, True).count()
+    assert 20 <= candidates < 1000  # of 51,040 pairs
+    assert dedup.similar_forms(forms, forms, 0.94, 0.9).count() == 20
+
+
+def test_first_of_very_many_near_copies_is_found_without_all_pairs(spark, monkeypatch):
+    base = " ".join(f"w{i}" for i in range(40))
+    table = lambda rows: spark.createDataFrame(rows, "id long, subject string, text string")
+    # 1 to 5 share links with every row and resemble only one; behind them all 200 are near
+    bank = table([(i, "s", f"{base} {'x' * 20} {'y' * 20} {i} z{i}") for i in range(1, 6)] + [(i, "s", f"{base} old{i}") for i in range(10, 210)])
+    rows = table([(1000 + i, "s", f"{base} new{i}") for i in range(300)])
+    tried = []
+    keep = dedup._verified
+    monkeypatch.setattr(dedup, "_verified", lambda candidates, *more: tried.append(candidates.count()) or keep(candidates, *more))
+    found = dedup.match_near(rows, bank)
+    assert rows_of(found) == [(1000 + i, 10) for i in range(300)]
+    assert sum(tried) < 300 * 60  # of 300 * 205 pairs
