@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from itemforge.sources.scratch import cut
+
 
 def source_counts(questions: DataFrame, by: list[str] | None = None) -> DataFrame:
     """All, imported and generated questions."""
@@ -37,16 +41,43 @@ def facet_bitmaps(rows: DataFrame, facets: list[str], number: str) -> DataFrame:
     return pairs.groupBy("held.facet", "held.value", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
+#: Combinations of values that one task counts in a bucket.
+COMBINATIONS = 50_000
+
+
+def _held_by_all(key: tuple, combinations: pa.Table, bitmaps: pa.Table) -> pa.Table:
+    """Rows of a bucket that each combination (number, positions of its values) finds: its values' bitmaps, one after the other, by AND."""
+    place = {pair: i for i, pair in enumerate(zip(bitmaps.column("facet").to_pylist(), bitmaps.column("value").to_pylist(), strict=True))}
+    bits = np.frombuffer(b"".join(bitmaps.column("bits").to_pylist()), np.uint64).reshape(len(place), -1) if place else None
+    numbers, counts = [], []
+    for combination, named in zip(combinations.column("combination").to_pylist(), combinations.column("named").to_pylist(), strict=True):
+        places = [place.get((n["facet"], n["value"])) for n in named]
+        if None not in places:
+            numbers.append(combination)
+            counts.append(int(np.bitwise_count(np.bitwise_and.reduce(bits[places])).sum()))
+    return pa.table({"combination": pa.array(numbers, pa.string()), "n": pa.array(counts, pa.int64())})
+
+
 def available(bitmaps: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, available): the rows that hold all values a request names; requests (request_id, facet, value), a row a value.
 
     Any combination of facets is an AND of their bitmaps, bucket by bucket; two values of one facet are held by no row.
+    Each combination is counted once, however many requests name it. Bitmaps stay whole in a bucket's task, where the
+    combinations come to them; they move once for every COMBINATIONS combinations.
     """
-    wanted = requests.select("request_id", "facet", "value").distinct()
-    asked = wanted.groupBy("request_id").agg(F.count("*").alias("asked"))
-    met = wanted.join(bitmaps, ["facet", "value"]).groupBy("request_id", "bucket").agg(F.count("*").alias("met"), F.bitmap_count(F.bitmap_and_agg("bits")).alias("n"))
-    counts = met.join(asked, "request_id").filter("met = asked").groupBy("request_id").agg(F.sum("n").alias("n"))
-    return asked.select("request_id").join(counts, "request_id", "left").select("request_id", F.coalesce("n", F.lit(0)).alias("available"))
+    named = F.sort_array(F.collect_set(F.struct("facet", "value")))
+    asked = requests.groupBy("request_id").agg(named.alias("named")).withColumn("combination", F.sha2(F.to_json("named"), 256))
+    asked = cut(asked, "asked")
+    combinations = cut(asked.groupBy("combination").agg(F.first("named").alias("named")), "combinations")
+    shards = combinations.count() // COMBINATIONS + 1
+    shard = F.pmod(F.xxhash64("combination"), F.lit(shards))
+    bitmaps = cut(bitmaps, "bitmaps")
+    buckets = bitmaps.select(F.col("bucket").alias("at")).distinct()
+    left = combinations.select("combination", "named", shard.alias("shard")).join(F.broadcast(buckets))  # a row for 32,768 rows
+    right = bitmaps.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
+    counted = left.groupBy("at", "shard").cogroup(right.groupBy("bucket", "shard")).applyInArrow(_held_by_all, "combination string, n long")
+    counts = counted.groupBy("combination").agg(F.sum("n").alias("n"))
+    return asked.select("request_id", "combination").join(counts, "combination", "left").select("request_id", F.coalesce("n", F.lit(0)).alias("available"))
 
 
 def facet(rows: DataFrame, column: str, order: str | None = None) -> DataFrame:

@@ -2,11 +2,12 @@
 
 import os
 import random
+import tempfile
 
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 
-from itemforge.operators import dedup
+from itemforge.operators import dedup, metrics
 from itemforge.plans import registry
 from tests.conftest import rows_of
 from tests.oracle import TABLES, differences
@@ -53,3 +54,22 @@ def test_first_of_very_many_near_copies_is_found_without_all_pairs(spark, monkey
     found = dedup.match_near(rows, bank)
     assert rows_of(found) == [(1000 + i, 10) for i in range(300)]
     assert sum(tried) < 300 * 60  # of 300 * 205 pairs
+
+
+def test_bitmaps_move_once_for_all_requests_of_a_combination(spark, monkeypatch):
+    rows = spark.range(1, 70_001).selectExpr("id", "cast(id % 3 AS string) a", "cast(id % 5 AS string) b")
+    asked = [(i, f, v) for i in range(600) for f, v in (("a", str(i % 3)), ("b", str(i % 4)))] + [(600, "a", "0"), (600, "a", "1"), (601, "a", "no")]
+    keep = metrics._held_by_all
+    folder = tempfile.mkdtemp(prefix="counted-", dir="/tmp")
+
+    def noting(key, combinations, bitmaps):
+        with open(f"{folder}/{key[0].as_py()}-{key[1].as_py()}", "a") as out:
+            print(combinations.num_rows, bitmaps.num_rows, file=out)
+        return keep(key, combinations, bitmaps)
+
+    monkeypatch.setattr(metrics, "_held_by_all", noting)
+    found = metrics.available(metrics.facet_bitmaps(rows, ["a", "b"], "id"), spark.createDataFrame(asked, "request_id long, facet string, value string"))
+    by_hand = [(i, sum(1 for n in range(1, 70_001) if n % 3 == i % 3 and n % 5 == i % 4)) for i in range(12)]
+    assert rows_of(found) == sorted([(i, by_hand[i % 12][1]) for i in range(600)] + [(600, 0), (601, 0)], key=repr)
+    counted = [tuple(map(int, line.split())) for name in os.listdir(folder) for line in open(f"{folder}/{name}")]
+    assert sum(c for c, _ in counted) == 3 * 14 and sum(b for _, b in counted) == 3 * 8  # three buckets, 14 combinations, 8 values
