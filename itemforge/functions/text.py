@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +15,9 @@ UKRAINIAN_LETTERS = ("А", "Б", "В", "Г", "Д", "Е", "Є", "Ж", "З", "И")
 #: The alphabet that explanations without Є are checked by.
 OLD_UKRAINIAN_LETTERS = ("А", "Б", "В", "Г", "Д", "Е", "Ж", "З")
 
+#: Fixed value: every character of Unicode's White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def normalize(text: Column) -> Column:
     """Lower case; what is no letter, digit or space becomes a space; runs of spaces become one; trimmed."""
@@ -31,8 +35,8 @@ def collapse_spaces(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at both ends. Only the ends are looked at, so a long text costs no more than a short one."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def clean_option(text: Column) -> Column:
@@ -114,6 +118,11 @@ def contains_all(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a & b, (F.contains(text, F.lit(w)) for w in words))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def zero_padded(number: Column, width: int) -> Column:
     """The number with leading zeros up to the width; longer numbers stay whole."""
     digits = number.cast("string")

@@ -11,6 +11,7 @@ from itemforge.operators import filters, order
 from itemforge.plans import enrichment, roles
 from itemforge.plans.define import Queries
 from itemforge.plans.roles import QUESTIONS_SQL
+from itemforge.sources.scratch import cut
 
 query = Queries()
 
@@ -33,13 +34,15 @@ def _line(kind: Column, item_id: Column, letter: Column, option: Column) -> Colu
     return F.when(kind == 0, "not json").otherwise(whole)
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line for each question, and a good second one in a later chunk for kinds 9 and 11."""
-    rows = _inputs(spark, sf_dir).select("position", "id", "correct_letter", "correct_option")
+def _batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Output lines, and the inputs: a line for each, and a good second one in a later chunk for kinds 9 and 11."""
+    inputs = cut(_inputs(spark, sf_dir).select("position", "id", "subject", "options", "correct_letter", "correct_option"), "inputs")  # checked once
     k = F.col("position")
-    first = rows.select((F.floor(k / 350) + 1).alias("chunk"), k.alias("line"), _line(k % 12, F.col("id"), F.col("correct_letter"), F.col("correct_option")).alias("raw"))
-    second = rows.filter((k % 12).isin(9, 11)).select((F.floor(k / 350) + 1001).alias("chunk"), k.alias("line"), _line(F.lit(9), F.col("id"), F.col("correct_letter"), F.col("correct_option")).alias("raw"))
-    return first.unionByName(second)
+    line = lambda chunk, kind: F.struct((F.floor(k / 350) + chunk).alias("chunk"), k.alias("line"), _line(kind, F.col("id"), F.col("correct_letter"), F.col("correct_option")).alias("raw"))
+    rows = roles.spread(inputs, "position")
+    first = rows.select(line(1, k % 12).alias("l")).select("l.*")
+    second = rows.filter((k % 12).isin(9, 11)).select(line(1001, F.lit(9)).alias("l")).select("l.*")
+    return first.unionByName(second), inputs
 
 
 _VALIDATED = f"""{QUESTIONS_SQL}, w AS (SELECT *, position % 12 AS kind, length(question_id) % 2 = 0 AS u FROM questions),
@@ -50,7 +53,7 @@ v AS (SELECT position // 350 + 1 AS chunk, position AS line, kind, question_id,
 
 
 def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrichment.validate(_lines(spark, sf_dir), _inputs(spark, sf_dir))
+    return enrichment.validate(*_batch(spark, sf_dir))
 
 
 def validated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +188,7 @@ def placeholder_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT chunk, line, first OR kind = 9 AND position_kind = 11 AS earliest, first AS first_parsed FROM k""")
 def output_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which lines the two other precedences accept: the first acceptable one, and the first that parses."""
-    lines, inputs = _lines(spark, sf_dir), _inputs(spark, sf_dir)
+    lines, inputs = _batch(spark, sf_dir)
     strict = {"soft": (), "tags": ()}
     one = enrichment.validate(lines, inputs, policy=enrichment.Policy(order="earliest", **strict)).select("chunk", "line", F.col("accepted").alias("earliest"))
     two = enrichment.validate(lines, inputs, policy=enrichment.Policy(order="first_parsed", **strict)).select("chunk", "line", F.col("accepted").alias("first_parsed"))

@@ -14,6 +14,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str, tasks: int = 4) -> DataFrame:
+    """rows dealt over all cores, `tasks` a core: a small file is read by one or two tasks, whatever its rows cost later."""
+    return rows.repartition(tasks * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as questions: the topic is the type, the site the brand, the passage the name."""
     k, size = F.col("p_partkey"), F.col("p_size")
@@ -21,7 +26,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     source_type = F.element_at(F.array(*map(F.lit, ("official_demo", "public_source", "generated", "manually_added"))), (size % 4 + 1).cast("int"))
     brand = F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
     url = F.when(source_type == "generated", F.lit(None)).otherwise(F.concat(F.lit("https://www."), brand, F.lit(".example.org/all/"), (k % 7 * 15).cast("string"), F.lit("/")))
-    rows = read(spark, sf_dir, "part").select(
+    rows = spread(read(spark, sf_dir, "part"), "p_partkey").select(
         k.alias("position"),
         F.concat(subject, F.lit("-"), k.cast("string")).alias("question_id"),
         subject.alias("subject"),

@@ -7,8 +7,11 @@ import tempfile
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 
+from pyspark.sql import functions as F
+
+from itemforge.functions import text
 from itemforge.operators import dedup, metrics
-from itemforge.plans import registry
+from itemforge.plans import enrichment, enrichment_queries, registry, roles
 from tests.conftest import rows_of
 from tests.oracle import TABLES, differences
 
@@ -73,3 +76,28 @@ def test_bitmaps_move_once_for_all_requests_of_a_combination(spark, monkeypatch)
     assert rows_of(found) == sorted([(i, by_hand[i % 12][1]) for i in range(600)] + [(600, 0), (601, 0)], key=repr)
     counted = [tuple(map(int, line.split())) for name in os.listdir(folder) for line in open(f"{folder}/{name}")]
     assert sum(c for c, _ in counted) == 3 * 14 and sum(b for _, b in counted) == 3 * 8  # three buckets, 14 combinations, 8 values
+
+
+def test_questions_are_dealt_over_all_cores(spark):
+    assert roles.questions(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_output_lines_are_parsed_and_checked_once(spark):
+    lines, inputs = enrichment_queries._batch(spark, SF)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(raw):
+        read.add(1)
+        return raw
+
+    found = enrichment.validate(lines.withColumn("raw", F.udf(seen, "string")("raw")), inputs)
+    assert found.filter("accepted").count() > 0 and read.value == lines.count()
+
+
+def test_strip_takes_every_white_space_from_both_ends_only(spark):
+    spaces = [chr(i) for i in range(1, 0x10000) if chr(i).isspace() and not 0x1C <= i <= 0x1F]
+    rows = spark.createDataFrame([(f"{c}{c}a{c}b {c}\n",) for c in spaces] + [("",), (None,), (" \n",)], "t string")
+    stripped = rows_of(rows.select(text.strip(F.col("t"))))
+    assert stripped == sorted([(f"a{c}b",) for c in spaces] + [("",), (None,), ("",)], key=repr)
+    plan = rows.select(text.strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan  # a pattern walks through the whole text
