@@ -145,6 +145,37 @@ def open_mistakes(spark: SparkSession, folder: str) -> DataFrame:
     return newest.select(*key, "e.*").filter("times_wrong > 0")
 
 
+def combined_ledger(rows: DataFrame) -> DataFrame:
+    """One row a question of a learner: the place of the last correct answer, and those of the wrong ones behind it.
+
+    May be applied to its own results, in any order and more than once: equal places are one answer.
+    """
+    both = rows.groupBy("learner", "subject", "question_id").agg(F.max("closed").alias("closed"), F.array_distinct(F.flatten(F.collect_list("open"))).alias("open"))
+    return both.withColumn("open", F.filter("open", lambda place: F.col("closed").isNull() | (place > F.col("closed"))))
+
+
+def ledger_table(spark: SparkSession, folder: str, changes: int = 8) -> KeyedTable:
+    """The ledger of answers of any age as a keyed table, for streams whose batches touch many learners: its work is joins and
+    groups of a batch, without calls to a state for each entry. It keeps the places of open wrong answers; a learner of very
+    many is many keys. write_answers() takes micro-batches, open_entries() reads.
+    """
+    place = "struct<moment: timestamp, seq: long>"
+    return KeyedTable(spark, folder, f"learner long, subject string, question_id string, closed {place}, open array<{place}>", combined_ledger, changes)
+
+
+def write_answers(table: KeyedTable, batch: DataFrame, number: int) -> None:
+    """A micro-batch of answers; for foreachBatch."""
+    place = F.struct("moment", "seq")
+    none = F.array().cast("array<struct<moment: timestamp, seq: long>>")
+    table.write(batch.select("learner", "subject", "question_id", F.when(F.col("is_correct"), place).alias("closed"), F.when(F.col("is_correct"), none).otherwise(F.array(place)).alias("open")), number)
+
+
+def open_entries(table: KeyedTable) -> DataFrame:
+    """LEDGER of the questions with wrong answers behind the last correct one."""
+    rows = table.read().filter(F.size("open") > 0)
+    return rows.select("learner", "subject", "question_id", F.array_max("open")["moment"].alias("last_answered_at"), F.size("open").cast("long").alias("times_wrong"))
+
+
 def final_answers(spark: SparkSession, folder: str, exam: bool = True, id_type: str = "int", changes: int = 8) -> KeyedTable:
     """A table of the last answers of exams, or the first ones of practice, for events (attempt_id, question_id, option, moment, seq) of any age.
 

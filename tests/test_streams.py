@@ -129,3 +129,16 @@ def test_final_answers_of_any_age(spark):
         table.clean()
         assert rows_of(table.read(), "attempt_id", "question_id", "option") == wanted
         assert spark.read.schema(schema).parquet(*(f"{folder}/{p}" for p in parts)).count() < 4 * len(wanted)
+
+
+def test_the_keyed_ledger_takes_answers_of_any_age_and_replayed_batches(spark):
+    r = random.Random(8)
+    answers = [(r.randint(1, 5), r.choice("ab"), f"q{r.randint(1, 6)}", r.randint(0, 4000), i, r.random() < 0.4) for i in range(400)]
+    table = state.ledger_table(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp"), changes=1)
+    for number in range(4):
+        batch = frame(spark, answers[number * 100 : number * 100 + 100], ANSWERS)
+        state.write_answers(table, batch, number)
+        state.write_answers(table, batch, number)
+    wanted = scoring.mistakes_ledger(frame(spark, answers, ANSWERS))
+    columns = ("learner", "subject", "question_id", "last_answered_at", "times_wrong")
+    assert rows_of(state.open_entries(table), *columns) == rows_of(wanted, *columns)
