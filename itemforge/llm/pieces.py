@@ -6,8 +6,8 @@ the dropout rate, so a seed and a document settle a segmentation, and every occu
 dropout 0 the result is the model's own. Characters without a piece, U+2581 among them, become byte pieces, so that
 decoding gives back every text exactly.
 
-Occurrences share work where they skip alike: every word of a slice is merged once without dropout, and an occurrence
-that skips none of these merges has that result. The others are merged by their own draws. Short words advance
+Occurrences share work where they skip alike: every word that a slice holds more than once is merged once without
+dropout, and an occurrence that skips none of these merges has that result. The others are merged by their own draws. Short words advance
 together, each by its own next agenda entry; long ones have an agenda each. A long word is cut first between characters
 that stand together in no piece, so that text without spaces falls into short words where the model has few pieces.
 """
@@ -335,14 +335,15 @@ class Encoder:
         merges: list[tuple] = []
         every = np.arange(len(words))
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        # with dropout a long word has no shared result
-        shared = every if not self.limit else np.flatnonzero(lengths <= SHORT)
+        # with dropout a long word, and one that occurs once, has no shared result
+        alone = (lengths > SHORT) | (np.bincount(token, minlength=len(words)) == 1)
+        shared = every if not self.limit else np.flatnonzero(~alone)
         flat, inner = _segment(self.v, words, shared, np.zeros(len(shared), np.uint64), np.zeros(len(shared), np.int64), np.uint64(0), merges)
         plain = np.zeros(len(words), np.int64)
         plain[shared] = np.arange(len(shared))
         item = plain[token]
         if self.limit:
-            own = lengths[token] > SHORT
+            own = alone[token]
             if merges:
                 of, start, middle, end = (np.concatenate(c) for c in zip(*merges, strict=True))
                 order = np.argsort(of, kind="stable")
@@ -366,7 +367,7 @@ class Encoder:
 def decode(vocabulary: Vocabulary, ids: np.ndarray | list[int] | None) -> str:
     """The text of piece ids; the space that encoding puts in front is taken off."""
     table = vocabulary.piece_bytes
-    return b"".join([table[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids or [])])[1:].decode("utf-8", "surrogatepass")
+    return b"".join(map(table.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids or []))[1:].decode("utf-8", "surrogatepass")
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:

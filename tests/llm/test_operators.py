@@ -535,6 +535,17 @@ def test_occurrences_of_a_word_vary():
     assert len(words) > 20 and pieces.decode(v, ids) == "thoughtfulness " * 500
 
 
+def test_words_that_occur_once_are_merged_once(monkeypatch):
+    v, merged = pieces.Vocabulary.load(), []
+    keep = pieces._segment
+    monkeypatch.setattr(pieces, "_segment", lambda v, words, which, *more: merged.extend(words[w] for w in which) or keep(v, words, which, *more))
+    text = "thoughtful segmentation of the international everything"
+    one = pieces.Encoder(v, dropout=0.6).encode([text], [1])[0]
+    assert sorted(merged) == sorted(" " + w for w in text.split())
+    merged.clear()
+    assert pieces.Encoder(v, dropout=0.6).encode([text, text], [1, 1])[0].tolist() == one.tolist() and len(merged) > 6
+
+
 def test_long_parts_are_quick():
     v, r = pieces.Vocabulary.load(), random.Random(6)
     pieces.Encoder(v).encode(["warm"], [0])
