@@ -15,14 +15,20 @@ def owners(members: DataFrame) -> DataFrame:
     return members.groupBy("question_id").agg(F.max("group_id").alias("group_id"))
 
 
-def build_units(eligible: DataFrame, members: DataFrame, any_member: bool = False) -> DataFrame:
+def build_units(eligible: DataFrame, members: DataFrame, any_member: bool = False, parts: int | None = None) -> DataFrame:
     """(request_id, unit_position, type, question_id, group_id, size): units in the order of their first question.
 
     A group is a unit if all its members are eligible, or with any_member if one is; else its questions are left out.
+    parts: tasks that the eligible rows are dealt over, whatever their bytes, so that it bounds the memory of one task.
     """
     sizes = members.groupBy("group_id").agg(F.count("*").alias("group_size"), F.count_distinct("question_id").alias("group_questions"))
-    rows = eligible.select("request_id", "question_id", "position").join(owners(members), "question_id", "left")
-    units = rows.groupBy("request_id", F.col("group_id"), F.when(F.col("group_id").isNull(), F.col("question_id")).alias("alone")).agg(F.min("position").alias("unit_position"), F.count_distinct("question_id").alias("there")).join(sizes, "group_id", "left")
+    # sizes come with the owner: a later join by group would bring all questions without one to one task
+    owned = owners(members).join(sizes, "group_id", "left")
+    unit = ["request_id", "group_id", "alone"]
+    rows = eligible.select("request_id", "question_id", "position").join(owned, "question_id", "left").withColumn("alone", F.when(F.col("group_id").isNull(), F.col("question_id")))
+    rows = rows.repartition(parts, *unit) if parts else rows
+    questions = rows.groupBy(*unit, "question_id").agg(F.min("position").alias("position"), F.min("group_size").alias("group_size"), F.min("group_questions").alias("group_questions"))
+    units = questions.groupBy(*unit).agg(F.min("position").alias("unit_position"), F.count("question_id").alias("there"), F.min("group_size").alias("group_size"), F.min("group_questions").alias("group_questions"))
     whole = F.col("group_id").isNull() | (F.lit(True) if any_member else F.col("there") == F.col("group_questions"))
     return units.filter(whole).select(
         "request_id", "unit_position", F.when(F.col("group_id").isNull(), "question").otherwise("group").alias("type"), F.col("alone").alias("question_id"), "group_id", F.coalesce("group_size", F.lit(1)).cast("long").alias("size")
@@ -82,9 +88,9 @@ def unit_totals(units: DataFrame) -> DataFrame:
     return units.groupBy("request_id").agg(F.sum("size").alias("questions"), F.count("*").alias("units"), F.count_if(F.col("type") == "group").alias("groups"))
 
 
-def assemble(eligible: DataFrame, members: DataFrame, questions: DataFrame, budgets: DataFrame, any_member: bool = False) -> DataFrame:
+def assemble(eligible: DataFrame, members: DataFrame, questions: DataFrame, budgets: DataFrame, any_member: bool = False, parts: int | None = None) -> DataFrame:
     """Quizzes of requests: units, seeded order (budgets carries seed), selection, flattening."""
-    units = build_units(eligible, members, any_member).join(budgets.select("request_id", "seed"), "request_id")
+    units = build_units(eligible, members, any_member, parts).join(budgets.select("request_id", "seed"), "request_id")
     unit = F.coalesce(F.col("group_id").cast("string"), F.col("question_id").cast("string"))
     shuffled = units.withColumn("unit_position", F.struct(shuffle_key(F.col("seed"), unit).alias("key"), unit.alias("unit")))
     return flatten(select_units(shuffled, budgets), members, questions)

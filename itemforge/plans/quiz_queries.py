@@ -104,13 +104,16 @@ units0 AS (SELECT request_id, group_id, CASE WHEN group_id IS NULL THEN question
 units AS (SELECT u.*, coalesce(n, 1) AS size FROM units0 u LEFT JOIN sizes USING (group_id))"""
 
 
-def _quiz(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _quiz(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Eligible questions (a customer may have one in several orders), members, the bank, and the parts to deal the eligible ones over."""
     k = F.col("p_partkey")
     parts = roles.read(spark, sf_dir, "part")
     members = parts.filter(k % 12 < 9).select(F.concat(F.lit("g"), F.floor(k / 3).cast("string")).alias("group_id"), k.alias("question_id"), (k % 3 + 1).alias("group_order"))
     lines = roles.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("question_id"))
-    eligible = roles.read(spark, sf_dir, "orders").join(lines, "o_orderkey").select(F.col("o_custkey").alias("request_id"), "question_id").distinct().withColumn("position", F.col("question_id"))
-    return eligible, members, parts.select(k.alias("question_id"))
+    dealt = roles.parts(lines)
+    orders = roles.read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("request_id"))
+    eligible = orders.repartition(dealt, "o_orderkey").join(lines.repartition(dealt, "o_orderkey"), "o_orderkey").select("request_id", "question_id", F.col("question_id").alias("position"))
+    return eligible, members, parts.select(k.alias("question_id")), dealt
 
 
 _TYPE = "CASE WHEN group_id IS NULL THEN 'question' ELSE 'group' END AS type"
@@ -118,20 +121,20 @@ _TYPE = "CASE WHEN group_id IS NULL THEN 'question' ELSE 'group' END AS type"
 
 @query(f"WITH {_QUIZ} SELECT request_id, unit_position, {_TYPE}, question_id, group_id, size FROM units WHERE group_id IS NULL OR there = size")
 def quiz_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    eligible, members, _ = _quiz(spark, sf_dir)
-    return quiz.build_units(eligible, members)
+    eligible, members, _, dealt = _quiz(spark, sf_dir)
+    return quiz.build_units(eligible, members, parts=dealt)
 
 
 @query(f"WITH {_QUIZ} SELECT request_id, unit_position, {_TYPE}, question_id, group_id, size FROM units")
 def quiz_units_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    eligible, members, _ = _quiz(spark, sf_dir)
-    return quiz.build_units(eligible, members, any_member=True)
+    eligible, members, _, dealt = _quiz(spark, sf_dir)
+    return quiz.build_units(eligible, members, any_member=True, parts=dealt)
 
 
 @query(f"WITH {_QUIZ} SELECT request_id, sum(size)::BIGINT AS questions, count(*) AS units, count(*) FILTER (group_id IS NOT NULL) AS groups FROM units GROUP BY 1")
 def quiz_unit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    eligible, members, _ = _quiz(spark, sf_dir)
-    return quiz.unit_totals(quiz.build_units(eligible, members, any_member=True))
+    eligible, members, _, dealt = _quiz(spark, sf_dir)
+    return quiz.unit_totals(quiz.build_units(eligible, members, any_member=True, parts=dealt))
 
 
 def _select(order: str) -> str:
@@ -156,14 +159,14 @@ def _budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_SELECT} SELECT request_id, unit_position, {_TYPE}, question_id, group_id, size FROM chosen")
 def quiz_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    eligible, members, _ = _quiz(spark, sf_dir)
-    return quiz.select_units(quiz.build_units(eligible, members, any_member=True), _budgets(spark, sf_dir))
+    eligible, members, _, dealt = _quiz(spark, sf_dir)
+    return quiz.select_units(quiz.build_units(eligible, members, any_member=True, parts=dealt), _budgets(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {_SELECT} {_FLAT}")
 def quiz_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    eligible, members, bank = _quiz(spark, sf_dir)
-    chosen = quiz.select_units(quiz.build_units(eligible, members, any_member=True), _budgets(spark, sf_dir))
+    eligible, members, bank, dealt = _quiz(spark, sf_dir)
+    chosen = quiz.select_units(quiz.build_units(eligible, members, any_member=True, parts=dealt), _budgets(spark, sf_dir))
     return quiz.flatten(chosen, members, bank)
 
 
@@ -173,8 +176,8 @@ _UNIT = "coalesce(group_id, question_id::VARCHAR)"
 @query(f"WITH RECURSIVE {_select(f"md5(request_id || '|' || {_UNIT}), {_UNIT}")} {_FLAT}")
 def quiz_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole quizzes: units, seeded order, budget, flattening. The seed of a request is its number."""
-    eligible, members, bank = _quiz(spark, sf_dir)
-    return quiz.assemble(eligible, members, bank, _budgets(spark, sf_dir), any_member=True)
+    eligible, members, bank, dealt = _quiz(spark, sf_dir)
+    return quiz.assemble(eligible, members, bank, _budgets(spark, sf_dir), any_member=True, parts=dealt)
 
 
 # ---------------------------------------------------------------- merges: odd documents are staged, even ones the bank

@@ -19,6 +19,15 @@ def spread(rows: DataFrame, key: str, tasks: int = 4) -> DataFrame:
     return rows.repartition(tasks * rows.sparkSession.sparkContext.defaultParallelism, key)
 
 
+#: Rows of a part, where a table is dealt over parts by its size.
+PART_ROWS = 500_000
+
+
+def parts(rows: DataFrame) -> int:
+    """Parts for a table of Parquet, whose footers tell its rows: a part a core at least, and none of many more than PART_ROWS rows."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PART_ROWS))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as questions: the topic is the type, the site the brand, the passage the name."""
     k, size = F.col("p_partkey"), F.col("p_size")

@@ -3,6 +3,7 @@
 import os
 import random
 import tempfile
+from collections import Counter
 
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
@@ -10,7 +11,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from itemforge.functions import text
-from itemforge.operators import dedup, metrics
+from itemforge.operators import dedup, metrics, quiz
 from itemforge.plans import enrichment, enrichment_queries, registry, roles
 from tests.conftest import rows_of
 from tests.oracle import TABLES, differences
@@ -101,3 +102,28 @@ def test_strip_takes_every_white_space_from_both_ends_only(spark):
     assert stripped == sorted([(f"a{c}b",) for c in spaces] + [("",), (None,), ("",)], key=repr)
     plan = rows.select(text.strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp" not in plan  # a pattern walks through the whole text
+
+
+def test_questions_without_a_group_are_not_one_task(spark):
+    """Sizes that a join by group would bring: all questions without a group have the same key there, null."""
+    members = spark.createDataFrame([(f"g{i // 3}", i, i % 3) for i in range(300)], "group_id string, question_id long, group_order int")
+    eligible = spark.range(4000).selectExpr("id % 40 request_id", "id question_id", "id position")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        units = quiz.build_units(eligible, members, any_member=True).select("*", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    held = Counter(u.task for u in units if u.type == "question")
+    assert sum(held.values()) == 3700 and max(held.values()) < 1300
+
+
+def test_eligible_questions_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(roles, "PART_ROWS", 300)
+    parts = roles.parts(roles.read(spark, SF, "lineitem"))
+    assert parts > 15
+    units = registry.QUERIES["quiz_units"](spark, SF)
+    assert units.rdd.getNumPartitions() == parts
+    assert not differences(spark, registry.QUERIES["quiz_units"], registry.ORACLES["quiz_units"], SF)
