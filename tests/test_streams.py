@@ -2,9 +2,12 @@
 
 import random
 import tempfile
+from glob import glob
 
 from itemforge.operators import scoring
-from itemforge.streaming import state
+from itemforge.plans import registry
+from itemforge.sources.scratch import shared
+from itemforge.streaming import outcomes, state
 from tests.conftest import rows_of
 
 ANSWERS = "learner long, subject string, question_id string, moment timestamp, seq long, is_correct boolean"
@@ -142,3 +145,25 @@ def test_the_keyed_ledger_takes_answers_of_any_age_and_replayed_batches(spark):
     wanted = scoring.mistakes_ledger(frame(spark, answers, ANSWERS))
     columns = ("learner", "subject", "question_id", "last_answered_at", "times_wrong")
     assert rows_of(state.open_entries(table), *columns) == rows_of(wanted, *columns)
+
+
+def test_superseded_lines_of_any_age_equal_brute_force(spark):
+    r = random.Random(8)
+    schema, day = "chunk long, line long, id string, accepted boolean, moment timestamp", 24 * 60
+    rows = [(i // 20, i, r.choice([None, "zzz", *(f"q{k}" for k in range(60))]), r.random() < 0.3, r.randint(0, 90) * day) for i in range(500)]
+    rows = [(c, n, name, accepted and name != "zzz", at) for c, n, name, accepted, at in rows]
+    tables = outcomes.outcome_tables(spark, f"{shared(spark)}/outcomes-test", changes=2)
+    for number in (0, 1, 2, 2, 3, 1, 4):  # batches 2 and 1 are replayed
+        outcomes.write_outcomes(tables, frame(spark, rows[number * 100 : number * 100 + 100], schema), number)
+    good = [(name, at) for _, _, name, accepted, at in rows if accepted and name]
+    wanted = [(c, n, any(name == g and abs(at - when) <= 10 * day for g, when in good)) for c, n, name, accepted, at in rows if not accepted]
+    assert rows_of(outcomes.superseded_so_far(tables, "10 days"), "chunk", "line", "superseded") == sorted(wanted, key=repr)
+    assert len({w[2] for w in wanted}) == 2
+
+
+def test_superseded_stream_holds_no_state(spark):
+    folder = shared(spark).removeprefix("file:")
+    before = set(glob(f"{folder}/outcomes-*/checkpoint"))
+    assert registry.QUERIES["superseded_stream"](spark, "/root/testdata/sf0.001").count() > 0
+    new = set(glob(f"{folder}/outcomes-*/checkpoint")) - before
+    assert len(new) == 1 and not [f for c in new for f in glob(f"{c}/state/*/*")]
